@@ -287,3 +287,191 @@ SELECT sender_country, receiver_country, COUNT(*) AS n_transactions,
        COUNT(*) FILTER (WHERE {SUSP_TXN}) AS n_suspicious,
        GROUPING(sender_country, receiver_country) AS level
 FROM txn GROUP BY CUBE (sender_country, receiver_country)"""
+
+ORACLE["a10_points"] = f"""
+WITH {TXN} SELECT transaction_id, transactiondate, CAST(amount_usd AS DOUBLE) AS amount_usd FROM txn"""
+
+
+def hist_sql(src: str, col: str, bins: int) -> str:
+    return f"""
+WITH v AS (SELECT CAST({col} AS DOUBLE) AS x FROM {src} WHERE {col} IS NOT NULL),
+b AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+c AS (SELECT CASE WHEN b.hi - b.lo = 0 THEN 0
+                  ELSE LEAST(CAST(floor((v.x - b.lo) * {float(bins)} / (b.hi - b.lo)) AS BIGINT), {bins - 1}) END AS bin,
+             COUNT(*) AS count
+      FROM v, b GROUP BY 1),
+s AS (SELECT CAST(range AS INTEGER) AS bin FROM range({bins}))
+SELECT s.bin, ROUND(b.lo + s.bin * ((b.hi - b.lo) / {float(bins)}), 6) AS bin_lo,
+       ROUND(b.lo + (s.bin + 1) * ((b.hi - b.lo) / {float(bins)}), 6) AS bin_hi,
+       CAST(COALESCE(c.count, 0) AS BIGINT) AS count
+FROM s CROSS JOIN b LEFT JOIN c ON s.bin = c.bin"""
+
+
+ORACLE["a11_histogram"] = hist_sql("events", "value", 10)
+ORACLE["a11_histogram_amount"] = f"WITH {TXN} " + hist_sql("txn", "amount_usd", 20).replace("WITH v AS", ", v AS", 1).lstrip()
+ORACLE["a11_histogram_amount"] = ORACLE["a11_histogram_amount"].replace(f"WITH {TXN} , v AS", f"WITH {TXN}, v AS")
+
+ORACLE["a12_density_heatmap"] = """
+WITH v AS (SELECT CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem
+           WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
+b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM v),
+k AS (SELECT CASE WHEN hx - lx = 0 THEN 0 ELSE LEAST(CAST(floor((x - lx) * 10.0 / (hx - lx)) AS INTEGER), 9) END AS x_bin,
+             CASE WHEN hy - ly = 0 THEN 0 ELSE LEAST(CAST(floor((y - ly) * 12.0 / (hy - ly)) AS INTEGER), 11) END AS y_bin
+      FROM v, b)
+SELECT x_bin, y_bin, COUNT(*) AS count, GROUPING(x_bin, y_bin) AS level
+FROM k GROUP BY GROUPING SETS ((x_bin, y_bin), (x_bin), (y_bin))"""
+
+
+def box_sql(src: str, g: str, y: str) -> str:
+    return f"""
+SELECT {g},
+       ROUND(CAST(min(CAST({y} AS DOUBLE)) AS DOUBLE), 4) AS min, ROUND(max(CAST({y} AS DOUBLE)), 4) AS max,
+       COUNT({y}) AS n,
+       ROUND(quantile_cont(CAST({y} AS DOUBLE), 0.25), 4) AS q1,
+       ROUND(quantile_cont(CAST({y} AS DOUBLE), 0.5), 4) AS median,
+       ROUND(quantile_cont(CAST({y} AS DOUBLE), 0.75), 4) AS q3,
+       ROUND(quantile_cont(CAST({y} AS DOUBLE), 0.75) - quantile_cont(CAST({y} AS DOUBLE), 0.25), 4) AS iqr
+FROM {src} GROUP BY {g}"""
+
+
+ORACLE["a13_box_stats"] = f"WITH {TXN} " + box_sql("txn", "transaction_type", "amount_usd")
+ORACLE["a13_box_stats_skewed"] = box_sql(
+    "(SELECT CASE WHEN l_linenumber > 0 THEN 'all' END AS grp, l_extendedprice FROM lineitem)", "grp", "l_extendedprice")
+
+ORACLE["a14_violin_stats"] = """
+WITH li AS (SELECT l_returnflag, l_linestatus, CAST(l_extendedprice AS DECIMAL(18,2)) AS price FROM lineitem)
+SELECT l_returnflag, l_linestatus,
+       ROUND(CAST(SUM(price) AS DOUBLE) / COUNT(price), 4) AS mean, COUNT(price) AS n,
+       ROUND(quantile_cont(CAST(price AS DOUBLE), 0.25), 4) AS q1,
+       ROUND(quantile_cont(CAST(price AS DOUBLE), 0.5), 4) AS median,
+       ROUND(quantile_cont(CAST(price AS DOUBLE), 0.75), 4) AS q3
+FROM li GROUP BY l_returnflag, l_linestatus"""
+
+ORACLE["a15_kde"] = """
+WITH v AS (SELECT event_type, CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL),
+tot AS (SELECT COUNT(*) AS total FROM v),
+st AS (SELECT event_type, COUNT(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v GROUP BY 1),
+p AS (SELECT event_type, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, mn, mx FROM st),
+q AS (SELECT event_type, n, bw, mn - 3.0 * bw AS glo, (mx + 3.0 * bw - (mn - 3.0 * bw)) / 199.0 AS step FROM p),
+g AS (SELECT q.*, CAST(r.range AS INTEGER) AS grid_index FROM q, range(200) r),
+d AS (SELECT g.event_type, g.grid_index, g.glo + g.grid_index * g.step AS x,
+             SUM(exp(-0.5 * pow((g.glo + g.grid_index * g.step - v.x) / g.bw, 2))) AS ksum,
+             any_value(g.n) AS n, any_value(g.bw) AS bw
+      FROM g JOIN v ON g.event_type = v.event_type GROUP BY 1, 2, 3)
+SELECT event_type, grid_index, ROUND(x, 6) AS x,
+       ROUND(ksum / (n * bw * sqrt(2 * pi())) * (n / (SELECT total FROM tot)) * 1e6, 4) AS density_e6
+FROM d"""
+
+ORACLE["a16_corr_matrix"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, ROUND(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM lineitem"
+    for a in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    for b in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+ORACLE["a17_pivot_heatmap"] = f"""
+WITH {TXN},
+top AS (SELECT sender_country, transaction_type, CAST(amount_usd AS DOUBLE) AS v FROM txn
+        ORDER BY amount_usd DESC NULLS LAST, transaction_id LIMIT 10),
+xs AS (SELECT DISTINCT sender_country FROM top),
+ys AS (SELECT DISTINCT transaction_type FROM top),
+m AS (SELECT sender_country, transaction_type, avg(v) AS v FROM top GROUP BY 1, 2)
+SELECT xs.sender_country, ys.transaction_type, ROUND(COALESCE(m.v, 0.0), 4) AS value
+FROM xs CROSS JOIN ys
+LEFT JOIN m ON m.sender_country = xs.sender_country AND m.transaction_type = ys.transaction_type"""
+
+GEO = """geo AS (SELECT r.r_name, n.n_name, c.c_mktsegment, CAST(c.c_acctbal AS DECIMAL(18,2)) AS acctbal
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+
+ORACLE["a18_sunburst"] = f"""
+WITH {GEO},
+g AS (SELECT r_name, n_name, c_mktsegment, CAST(SUM(acctbal) AS DOUBLE) AS value,
+             3 - GROUPING(r_name) - GROUPING(n_name) - GROUPING(c_mktsegment) AS depth
+      FROM geo GROUP BY ROLLUP (r_name, n_name, c_mktsegment))
+SELECT r_name, n_name, c_mktsegment, value, depth,
+       concat_ws('/', r_name, n_name, c_mktsegment) AS node_id,
+       CASE depth WHEN 1 THEN '' WHEN 2 THEN r_name ELSE r_name || '/' || n_name END AS parent_id
+FROM g WHERE depth > 0"""
+
+ORACLE["a19_treemap"] = """
+WITH g AS (SELECT p_type, p_brand, SUM(p_size) AS value,
+                  SUM(CAST(p_retailprice AS DOUBLE) * CAST(p_size AS DOUBLE)) / SUM(CAST(p_size AS DOUBLE)) AS color,
+                  2 - GROUPING(p_type) - GROUPING(p_brand) AS depth
+           FROM part GROUP BY ROLLUP (p_type, p_brand))
+SELECT p_type, p_brand, value, ROUND(color, 6) AS color, depth,
+       concat_ws('/', p_type, p_brand) AS node_id,
+       CASE depth WHEN 1 THEN '' ELSE p_type END AS parent_id
+FROM g WHERE depth > 0"""
+
+ORACLE["a20_funnel"] = """
+WITH g AS (SELECT event_type, SUM(CAST(value AS DECIMAL(18,2))) AS value, min(event_type) AS pos
+           FROM events GROUP BY event_type)
+SELECT event_type, CAST(value AS DOUBLE) AS value, pos,
+       ROUND(CAST(value AS DOUBLE) / CAST((SELECT value FROM g ORDER BY pos NULLS LAST, event_type LIMIT 1) AS DOUBLE), 6)
+         AS share_of_first
+FROM g"""
+
+ORACLE["a21_choropleth"] = f"""
+WITH {TXN}
+SELECT receiver_country, CAST(SUM(amount_usd) AS DOUBLE) AS value, min(sender_name) AS hover_name
+FROM txn GROUP BY receiver_country"""
+
+STOP = ("a about above after again against all am an and any are as at be because been before being "
+        "below between both but by can could did do does doing down during each few for from further "
+        "had has have having he her here hers herself him himself his how i if in into is it its itself "
+        "just me more most my myself no nor not of off on once only or other our ours ourselves out over "
+        "own same she should so some such than that the their theirs them themselves then there these they "
+        "this those through to too under until up very was we were what when where which while who whom "
+        "why will with would you your yours yourself yourselves").split()
+STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+
+ORACLE["a22_word_counts"] = f"""
+WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_'']+')) AS word
+           FROM documents)
+SELECT word, COUNT(*) AS count FROM w WHERE word NOT IN ({STOP_SQL})
+GROUP BY word ORDER BY count DESC, word LIMIT 200"""
+
+ORACLE["w1_cumulative"] = f"""
+WITH {TXN}
+SELECT transaction_id, transaction_type, CAST(amount_usd AS DOUBLE) AS amount_usd,
+       CAST(SUM(amount_usd) OVER (PARTITION BY transaction_type ORDER BY transactiondate, transaction_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS cumulative_sum
+FROM txn"""
+
+ORACLE["w2_activity_gap"] = """
+WITH p AS (SELECT event_id, user_id, ts,
+                  LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_ts FROM events)
+SELECT event_id, user_id, prev_ts, CAST(epoch(ts) - epoch(prev_ts) AS DOUBLE) AS gap_seconds FROM p"""
+
+ORACLE["w3_share_of_total"] = f"""
+WITH {TXN},
+s AS (SELECT channel, SUM(amount_usd) AS total_amount FROM txn GROUP BY channel)
+SELECT channel, CAST(total_amount AS DOUBLE) AS total_amount,
+       ROUND(CAST(total_amount AS DOUBLE) / CAST((SELECT SUM(total_amount) FROM s) AS DOUBLE), 9) AS share
+FROM s"""
+
+ORACLE["u1_union_routes"] = f"""
+WITH {TXN}
+SELECT transaction_id, CASE WHEN {SUSP_TXN} THEN 'suspicious' ELSE 'normal' END AS route,
+       CASE WHEN {SUSP_TXN} THEN channel END AS channel
+FROM txn"""
+
+ORACLE["u2_dedup_earliest"] = f"""
+WITH {TR},
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY ts, amount, account, l_orderkey, l_partkey,
+                                                            l_linenumber, l_quantity, l_discount) AS rn,
+             COUNT(*) OVER (PARTITION BY id) AS n_copies
+      FROM tr)
+SELECT id, ts, amount, account, l_partkey, n_copies FROM r WHERE rn = 1"""
+
+ORACLE["u3_reconcile"] = f"""
+WITH {TR},
+landed AS (SELECT id FROM tr WHERE l_linenumber <> 3
+           UNION ALL SELECT id FROM tr WHERE l_linenumber = 1
+           UNION ALL SELECT id || '-x' FROM tr WHERE l_linenumber = 2),
+s AS (SELECT id, COUNT(*) AS n_source FROM tr GROUP BY id),
+l AS (SELECT id, COUNT(*) AS n_landed FROM landed GROUP BY id),
+j AS (SELECT COALESCE(s.id, l.id) AS id, COALESCE(n_source, 0) AS n_source, COALESCE(n_landed, 0) AS n_landed
+      FROM s FULL OUTER JOIN l ON s.id = l.id)
+SELECT id, n_source, n_landed,
+       CASE WHEN n_landed = 0 THEN 'missing' WHEN n_source = 0 THEN 'extra'
+            WHEN n_landed > n_source THEN 'duplicated' ELSE 'matched' END AS status
+FROM j"""

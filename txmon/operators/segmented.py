@@ -34,11 +34,19 @@ def default_segment(df: DataFrame, order_col: str) -> Column:
     return F.lit(0)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
+                 extra: Column | None = None) -> DataFrame:
+    """Null-safe equi-join on ``keys`` (NULL keys match each other), keeping the left key
+    columns. The right keys are renamed first, so frames derived from the same source join
+    without ambiguity; ``extra`` is an additional condition on the (unique) column names."""
     r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
                      *[c for c in right.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys])
-    return left.join(r, cond, "left").drop(*[f"_r_{k}" for k in keys])
+    conds = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + ([extra] if extra is not None else [])
+    cond = reduce(lambda a, b: a & b, conds)
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+_null_safe_join = join_on_keys
 
 
 def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str,

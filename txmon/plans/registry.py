@@ -264,3 +264,171 @@ def q_a23(spark, sf):
 def q_a25(spark, sf):
     f = rules.flag_suspicious(fx.txn(spark, sf), TXN_RULES)
     return doubles(agg.corridors(f, flag="is_suspicious"))
+
+
+# ---------------------------------------------------------------- distributions
+from txmon.operators import distribution as dist  # noqa: E402
+from txmon.operators import hierarchy as hier  # noqa: E402
+from txmon.operators import reconcile as rec  # noqa: E402
+from txmon.operators import text as txt  # noqa: E402
+from txmon.operators import windows as win  # noqa: E402
+
+
+@register("a10_points")
+def q_a10(spark, sf):
+    return doubles(dist.points(fx.txn(spark, sf), ["transaction_id", "transactiondate", "amount_usd"]))
+
+
+@register("a10_points_sampled")
+def q_a10s(spark, sf):
+    ev = fx.table(spark, sf, "events")
+    return dist.points(ev, ["event_id", "ts", "value"], max_points=1000, id_col="event_id")
+
+
+@register("a11_histogram")
+def q_a11(spark, sf):
+    return rounded(dist.histogram(fx.table(spark, sf, "events"), "value", 10), ["bin_lo", "bin_hi"], 6)
+
+
+@register("a11_histogram_amount")
+def q_a11b(spark, sf):
+    return rounded(dist.histogram(fx.txn(spark, sf), "amount_usd", 20), ["bin_lo", "bin_hi"], 6)
+
+
+@register("a12_density_heatmap")
+def q_a12(spark, sf):
+    return dist.density_heatmap(fx.table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 10, 12)
+
+
+@register("a13_box_stats")
+def q_a13(spark, sf):
+    b = dist.box_stats(fx.txn(spark, sf), "transaction_type", "amount_usd")
+    return rounded(b, ["q1", "median", "q3", "iqr", "min", "max"], 4)
+
+
+@register("a13_box_stats_skewed")
+def q_a13s(spark, sf):
+    # one group holds every row: the exact path must still split it across tasks
+    li = fx.table(spark, sf, "lineitem").withColumn("grp", F.when(F.col("l_linenumber") > 0, F.lit("all")))
+    b = dist.box_stats(li, "grp", "l_extendedprice")
+    return rounded(b, ["q1", "median", "q3", "iqr", "min", "max"], 4)
+
+
+@register("a13_box_stats_approx")
+def q_a13a(spark, sf):
+    return dist.box_stats(fx.txn(spark, sf), "transaction_type", "amount_usd", approx=True)
+
+
+@register("a14_violin_stats")
+def q_a14(spark, sf):
+    li = fx.table(spark, sf, "lineitem").withColumn("price", F.col("l_extendedprice").cast("decimal(18,2)"))
+    v = dist.violin_stats(li, "l_returnflag", "price", color="l_linestatus")
+    return rounded(v, ["mean", "q1", "median", "q3"], 4)
+
+
+@register("a15_kde")
+def q_a15(spark, sf):
+    k = dist.kde(fx.table(spark, sf, "events"), "value", by="event_type", grid=200)
+    return k.select("event_type", "grid_index", F.round("x", 6).alias("x"),
+                    F.round(F.col("density") * 1e6, 4).alias("density_e6"))
+
+
+@register("a15_kde_binned")
+def q_a15b(spark, sf):
+    return dist.kde(fx.table(spark, sf, "events"), "value", grid=200, bins=1000)
+
+
+@register("a16_corr_matrix")
+def q_a16(spark, sf):
+    li = fx.table(spark, sf, "lineitem")
+    c = dist.corr_matrix(li, exclude=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    return rounded(c, ["corr"], 6)
+
+
+@register("a17_pivot_heatmap")
+def q_a17(spark, sf):
+    t = fx.txn(spark, sf)
+    return rounded(dist.pivot_heatmap(t, "sender_country", "transaction_type", "amount_usd", 10, tie="transaction_id"),
+                   ["value"], 4)
+
+
+def _customer_geo(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    n = fx.table(spark, sf, "nation")
+    r = fx.table(spark, sf, "region")
+    return (c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+             .select("r_name", "n_name", "c_mktsegment", "c_custkey",
+                     F.col("c_acctbal").cast("decimal(18,2)").alias("acctbal")))
+
+
+@register("a18_sunburst")
+def q_a18(spark, sf):
+    return doubles(hier.sunburst(_customer_geo(spark, sf), ["r_name", "n_name", "c_mktsegment"], "acctbal"))
+
+
+@register("a19_treemap")
+def q_a19(spark, sf):
+    p = fx.table(spark, sf, "part")
+    t = hier.treemap(p, ["p_type", "p_brand"], "p_size", "p_retailprice")
+    return rounded(t, ["color"], 6)
+
+
+@register("a20_funnel")
+def q_a20(spark, sf):
+    ev = fx.table(spark, sf, "events").withColumn("amount", F.col("value").cast("decimal(18,2)"))
+    return rounded(doubles(hier.funnel(ev, "event_type", "amount")), ["share_of_first"], 6)
+
+
+@register("a21_choropleth")
+def q_a21(spark, sf):
+    return doubles(hier.choropleth(fx.txn(spark, sf), "receiver_country", "amount_usd", "sender_name"))
+
+
+@register("a22_word_counts")
+def q_a22(spark, sf):
+    return txt.word_counts(fx.table(spark, sf, "documents"), "text", 200)
+
+
+@register("w1_cumulative")
+def q_w1(spark, sf):
+    c = win.cumulative(fx.txn(spark, sf), "transaction_type", "amount_usd", ["transactiondate", "transaction_id"])
+    return doubles(c.select("transaction_id", "transaction_type", "amount_usd", "cumulative_sum"))
+
+
+@register("w2_activity_gap")
+def q_w2(spark, sf):
+    ev = fx.table(spark, sf, "events")
+    g = win.activity_gap(ev, "user_id", "ts", "event_id")
+    return g.select("event_id", "user_id", "prev_ts", "gap_seconds")
+
+
+@register("w3_share_of_total")
+def q_w3(spark, sf):
+    s = agg.group_sum(fx.txn(spark, sf), "channel", "amount_usd", "total_amount")
+    return rounded(doubles(win.share_of_total(s, "total_amount")), ["share"], 9)
+
+
+@register("u1_union_routes")
+def q_u1(spark, sf):
+    s, n = rules.split_routes(fx.txn(spark, sf), TXN_RULES)
+    u = rec.union_routes(s.drop("route"), n.drop("route").drop("channel"))
+    return u.select("transaction_id", "route", "channel")
+
+
+def _transfer_ties():
+    return ["amount", "account", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount"]
+
+
+@register("u2_dedup_earliest")
+def q_u2(spark, sf):
+    d = rec.dedup_earliest(fx.transfers(spark, sf), "id", "ts", _transfer_ties())
+    return d.select("id", "ts", "amount", "account", "l_partkey", "n_copies")
+
+
+@register("u3_reconcile")
+def q_u3(spark, sf):
+    t = fx.transfers(spark, sf)
+    landed = (t.filter(F.col("l_linenumber") != 3)
+               .unionByName(t.filter(F.col("l_linenumber") == 1))
+               .unionByName(t.filter(F.col("l_linenumber") == 2).withColumn("id", F.concat("id", F.lit("-x")))))
+    return rec.reconcile(t, landed, "id")
