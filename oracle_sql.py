@@ -475,3 +475,224 @@ SELECT id, n_source, n_landed,
        CASE WHEN n_landed = 0 THEN 'missing' WHEN n_source = 0 THEN 'extra'
             WHEN n_landed > n_source THEN 'duplicated' ELSE 'matched' END AS status
 FROM j"""
+
+# ---------------------------------------------------------------- streams, sinks, reports
+EVS = f"""evs AS (
+  SELECT CAST(event_id AS VARCHAR) AS transaction_id, event_id, user_id, ts, value, event_type,
+         'NATION_' || CAST(user_id % 25 AS VARCHAR) AS sc, 'NATION_' || CAST(event_id % 25 AS VARCHAR) AS rc
+  FROM events)"""
+EV_HIGH = "value >= 200"
+EV_SS = f"sc IN {TEST_COUNTRIES}"
+EV_RS = f"rc IN {TEST_COUNTRIES}"
+EV_SUSP = f"({EV_HIGH} OR {EV_SS} OR {EV_RS})"
+EV_REASONS = (f"""'[' || concat_ws(',', CASE WHEN {EV_HIGH} THEN '"HIGH_AMOUNT"' END,
+                                  CASE WHEN {EV_SS} THEN '"SANCTIONED_SENDER_COUNTRY"' END,
+                                  CASE WHEN {EV_RS} THEN '"SANCTIONED_RECEIVER_COUNTRY"' END) || ']'""")
+
+ORACLE["t1_monitor_stream"] = f"""
+WITH {EVS}
+SELECT transaction_id, CASE WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END AS route,
+       strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
+       value AS amount_usd, {EV_REASONS} AS flag_reasons, FALSE AS is_corrupt
+FROM evs"""
+
+ORACLE["t3_run_available"] = f"""
+WITH {EVS}
+SELECT CASE WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END AS route,
+       strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, COUNT(*) AS n,
+       CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_amount
+FROM evs GROUP BY 1, 2, 3"""
+
+ORACLE["a24_run_metrics"] = f"""
+WITH {EVS}
+SELECT CASE WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END AS route, COUNT(*) AS n_rows,
+       CAST(0 AS BIGINT) AS n_errors, COUNT(*) AS n_processed,
+       COUNT(*) FILTER (WHERE {EV_SUSP}) AS n_suspicious, COUNT(*) FILTER (WHERE NOT {EV_SUSP}) AS n_normal
+FROM evs GROUP BY 1"""
+
+ORACLE["t4_dormant_stream"] = """
+WITH p AS (SELECT user_id, event_id, ts, value,
+                  LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS prev_ts
+           FROM events)
+SELECT CAST(user_id AS VARCHAR) AS account, CAST(event_id AS VARCHAR) AS id, ts, prev_ts,
+       CAST(epoch(ts) - epoch(prev_ts) AS DOUBLE) AS gap_seconds, value AS amount
+FROM p WHERE prev_ts IS NOT NULL AND epoch(ts) - epoch(prev_ts) >= 86400 AND value >= 100"""
+
+NL = " || chr(10) || "
+
+
+def iso(ts: str) -> str:
+    return (f"CASE WHEN microsecond({ts}) % 1000000 = 0 THEN strftime({ts}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f') END")
+
+
+def alert_sql(path, tid, amount, fee, sname, sdetails, scountry, rname, rdetails, rcountry, ttype, status, ts) -> str:
+    parts = [
+        "':rotating_light: *NEW SUSPICIOUS TRANSACTION DETECTED* :rotating_light:'", "''",
+        "'*File Path:*'", path, "''",
+        "'*Transaction Details*'",
+        f"'• *ID:* ' || {tid}",
+        f"'• *Amount:* $' || format('{{:,.2f}}', {amount}) || ' USD'",
+        f"'• *Fee:* $' || format('{{:,.2f}}', {fee}) || ' USD'", "''",
+        "'*Sender Information*'",
+        f"'• *Name:* ' || {sname}" + (f" || chr(10) || {sdetails} || '• *Country:* ' || {scountry}" if sdetails
+                                       else f" || chr(10) || '• *Country:* ' || {scountry}"), "''",
+        "'*Receiver Information*'",
+        f"'• *Name:* ' || {rname}" + (f" || chr(10) || {rdetails} || '• *Country:* ' || {rcountry}" if rdetails
+                                       else f" || chr(10) || '• *Country:* ' || {rcountry}"), "''",
+        "'*Additional Information*'",
+        f"'• *Transaction Type:* ' || {ttype}",
+        f"'• *Status:* ' || {status}",
+        f"'• *Timestamp:* ' || {ts}",
+    ]
+    return "(" + NL.join(parts) + ")"
+
+
+ORACLE["t5_alert_stream"] = f"""
+WITH {EVS}
+SELECT transaction_id, value AS amount, 0.0 AS fee, 'user_' || CAST(user_id AS VARCHAR) AS sender_name,
+       'N/A' AS receiver_name,
+       {alert_sql("'<path>'", "transaction_id", "value", "0.0", "'user_' || CAST(user_id AS VARCHAR)", None, "sc",
+                  "'N/A'", None, "rc", "event_type", "'N/A'", iso("ts"))} AS message
+FROM evs WHERE {EV_SUSP}"""
+
+ORACLE["t6_windowed"] = """
+SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
+       COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM events GROUP BY 1, 2, 3
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+ORACLE["t7_sliding_windows"] = """
+WITH w AS (SELECT user_id, make_timestamp(CAST((floor(epoch(ts) / 900) - r.k) * 900 AS BIGINT) * 1000000) AS ws
+           FROM events CROSS JOIN (SELECT range AS k FROM range(4)) r)
+SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, user_id, COUNT(*) AS n
+FROM w GROUP BY ws, user_id
+HAVING COUNT(*) >= 2 AND ws + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+ORACLE["t8_sessions"] = """
+WITH p AS (SELECT user_id, ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+s AS (SELECT user_id, ts, SUM(CASE WHEN prev IS NULL OR epoch(ts) - epoch(prev) >= 7200 THEN 1 ELSE 0 END)
+             OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+      FROM p),
+g AS (SELECT user_id, sid, min(ts) AS first_ts, max(ts) AS last_ts, COUNT(*) AS n FROM s GROUP BY 1, 2)
+SELECT first_ts AS session_start, last_ts + INTERVAL 2 HOUR AS session_end, user_id, n, first_ts, last_ts
+FROM g WHERE last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+ORACLE["t9_dedup_stream"] = f"WITH {TR} SELECT DISTINCT id FROM tr"
+
+ORACLE["s6_sink_stream"] = ORACLE["p1_project_stream"].replace(
+    "       '{\"device_id\":\"' || device_id || '\"}' AS metadata,\n", "")
+
+TXN_HIGH = "amount_usd >= 450000"
+TXN_SS = f"sender_country IN {TEST_COUNTRIES}"
+TXN_RS = f"receiver_country IN {TEST_COUNTRIES}"
+TXN_REASONS = (f"""'[' || concat_ws(',', CASE WHEN {TXN_HIGH} THEN '"HIGH_AMOUNT"' END,
+                                   CASE WHEN {TXN_SS} THEN '"SANCTIONED_SENDER_COUNTRY"' END,
+                                   CASE WHEN {TXN_RS} THEN '"SANCTIONED_RECEIVER_COUNTRY"' END) || ']'""")
+
+ORACLE["s3_write_routed"] = f"""
+WITH {TXN}
+SELECT transaction_id, CASE WHEN {SUSP_TXN} THEN 'suspicious' ELSE 'normal' END AS route,
+       strftime(transactiondate, '%Y') AS year, strftime(transactiondate, '%m') AS month,
+       strftime(transactiondate, '%d') AS day, CAST(amount_usd AS DOUBLE) AS amount_usd, {TXN_REASONS} AS flag_reasons
+FROM txn"""
+
+ORACLE["s4_read_suspicious"] = f"""
+WITH {TXN}
+SELECT transaction_id, 'suspicious' AS route, strftime(transactiondate, '%Y') AS year,
+       strftime(transactiondate, '%m') AS month, strftime(transactiondate, '%d') AS day, TRUE AS from_csv
+FROM txn WHERE {SUSP_TXN}"""
+
+ORACLE["s7_load_flat"] = f"WITH {TXN} SELECT transaction_id, CAST(2 AS BIGINT) AS n_copies FROM txn"
+ORACLE["s8_load_incremental"] = f"WITH {TXN} SELECT transaction_id, CAST(1 AS BIGINT) AS n_copies FROM txn"
+ORACLE["s10_cached_sql"] = f"WITH {TXN} SELECT channel, COUNT(*) AS n FROM txn GROUP BY channel"
+
+ORACLE["g1_run_sql"] = f"""
+WITH {TXN},
+big AS (SELECT sender_country, amount_usd FROM txn WHERE amount_usd > (SELECT AVG(amount_usd) FROM txn))
+SELECT sender_country, COUNT(*) AS n_big, CAST(SUM(amount_usd) AS DOUBLE) AS big_amount
+FROM big GROUP BY sender_country HAVING COUNT(*) > 10"""
+
+
+def describe_sql(cols) -> str:
+    parts = []
+    for i, (c, t) in enumerate(cols):
+        parts.append(f"""SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type,
+               COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, COUNT(DISTINCT {c}) AS distinct_count,
+               CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
+               COUNT(*) AS row_count FROM txn""")
+    return f"WITH {TXN} " + " UNION ALL ".join(parts)
+
+
+ORACLE["g2_describe_table"] = describe_sql([
+    ("transaction_id", "string"), ("transactiondate", "timestamp"), ("sender_name", "string"),
+    ("amount_usd", "decimal(18,2)"), ("sender_country", "string"), ("status", "string"),
+    ("CAST(NULL AS VARCHAR)", "string")]).replace("'CAST(NULL AS VARCHAR)'", "'device_id'")
+
+ORACLE["g3_run_reports"] = f"""
+WITH {TXN}
+SELECT 'by_channel' AS topic, 'ok' AS status, (SELECT COUNT(DISTINCT channel) FROM txn) AS n_rows
+UNION ALL SELECT 'nothing_big', 'empty', 0
+UNION ALL SELECT 'broken', 'error', CAST(NULL AS BIGINT)"""
+
+ORACLE["g4_chart_data"] = ORACLE["a13_box_stats"]
+ORACLE["g4_chart_data_histogram"] = ORACLE["a11_histogram"]
+
+ORACLE["g5_type_summary"] = f"""
+WITH {TXN}
+SELECT transaction_type, COUNT(*) AS n_transactions, CAST(SUM(amount_usd) AS DOUBLE) AS total_amount,
+       ROUND(CAST(SUM(amount_usd) AS DOUBLE) / COUNT(amount_usd), 6) AS avg_amount,
+       CAST(SUM(fee_usd) AS DOUBLE) AS total_fee
+FROM txn GROUP BY transaction_type"""
+
+ORACLE["g5_latest_5"] = f"""
+WITH {TXN}
+SELECT transaction_id, transactiondate, CAST(amount_usd AS DOUBLE) AS amount_usd FROM txn
+ORDER BY transactiondate DESC, transaction_id LIMIT 5"""
+
+ORACLE["g5_amount_over_time"] = f"""
+WITH {TXN}
+SELECT date_trunc('month', transactiondate) AS month, CAST(SUM(amount_usd) AS DOUBLE) AS total_amount,
+       COUNT(*) AS n_transactions
+FROM txn GROUP BY 1"""
+
+ORACLE["g5_amount_by_region"] = f"""
+WITH {TXN},
+cr AS (SELECT CAST(c.c_custkey AS VARCHAR) AS account, r.r_name
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)
+SELECT cr.r_name AS region, CAST(SUM(t.amount_usd) AS DOUBLE) AS total_amount, COUNT(*) AS n_transactions
+FROM txn t JOIN cr ON t.sender_account_number = cr.account GROUP BY cr.r_name"""
+
+ORACLE["g5_share_by_segment"] = f"""
+WITH {TXN},
+s AS (SELECT c.c_mktsegment AS segment, SUM(t.amount_usd) AS total_amount
+      FROM txn t JOIN customer c ON t.sender_account_number = CAST(c.c_custkey AS VARCHAR) GROUP BY 1)
+SELECT segment, CAST(total_amount AS DOUBLE) AS total_amount,
+       ROUND(CAST(total_amount AS DOUBLE) / CAST((SELECT SUM(total_amount) FROM s) AS DOUBLE), 6) AS share
+FROM s"""
+
+ORACLE["p4_safe_person"] = """
+WITH c AS (SELECT c_custkey, c_name, c_nationkey,
+                  CASE WHEN c_custkey % 7 = 0 THEN 'na' WHEN c_custkey % 5 = 0 THEN 'na'
+                       WHEN c_custkey % 3 = 0 THEN 'fallback' WHEN c_custkey % 11 = 0 THEN 'other'
+                       ELSE 'object' END AS kind
+           FROM customer)
+SELECT c_custkey, kind,
+       CASE kind WHEN 'object' THEN c_name WHEN 'fallback' THEN c_name ELSE 'N/A' END AS name,
+       CASE kind WHEN 'object' THEN 'BANK_' || CAST(c_nationkey AS VARCHAR) ELSE 'N/A' END AS bank_name,
+       CASE kind WHEN 'object' THEN CAST(c_custkey AS VARCHAR) ELSE 'N/A' END AS account_number
+FROM c"""
+
+ORACLE["p5_safe_amount"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_acctbal END AS amount FROM customer"""
+
+ORACLE["p6_alert_messages"] = f"""
+WITH {TXN}
+SELECT transaction_id, CAST(amount_usd AS DOUBLE) AS amount, CAST(fee_usd AS DOUBLE) AS fee,
+       sender_name, 'N/A' AS receiver_name,
+       {alert_sql("'txn'", "transaction_id", "CAST(amount_usd AS DOUBLE)", "CAST(fee_usd AS DOUBLE)", "sender_name",
+                  "(CASE WHEN amount_usd > 400000 THEN '• *Bank:* N/A' || chr(10) || '• *SWIFT:* N/A' || chr(10) "
+                  "|| '• *Account:* ' || sender_account_number || chr(10) ELSE '' END)",
+                  "sender_country", "'N/A'", None, "receiver_country", "transaction_type", "status",
+                  "strftime(transactiondate, '%Y-%m-%dT%H:%M:%S')")} AS message
+FROM txn WHERE {SUSP_TXN}"""

@@ -25,15 +25,16 @@ def _field(v: Column, name: str) -> Column:
             .otherwise(F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.to_json(node))))
 
 
-def safe_person(col: Column | str) -> Column:
+def safe_person(col: Column | str, parsed: Column | None = None) -> Column:
     """Person cell (JSON text) -> struct(kind, name, bank_name, swift_code, account_number).
 
     kind: ``na`` for NULL / empty / 'N/A' text, ``object`` for a JSON object, ``fallback``
     for unparsable text (the whole text becomes the name, other fields N/A) and ``other``
     for valid JSON that is not an object. Fields are 'N/A' unless kind is object/fallback.
+    Pass ``parsed`` (a column holding ``parse_json_text(col)``) to parse the text only once.
     """
     c = F.col(col) if isinstance(col, str) else col
-    v = parse_json_text(c)
+    v = parsed if parsed is not None else parse_json_text(c)
     is_na = c.isNull() | (c == "") | (c == NA)
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
     kind = (F.when(is_na, F.lit("na")).when(v.isNull(), F.lit("fallback"))

@@ -124,3 +124,25 @@ def register_fixtures(spark: SparkSession, sf_dir: str) -> None:
     txn(spark, sf_dir).createOrReplaceTempView("txn")
     raw_events(spark, sf_dir).createOrReplaceTempView("raw_events")
     transfers(spark, sf_dir).createOrReplaceTempView("transfers")
+
+
+def transfers_of(lineitem: DataFrame) -> DataFrame:
+    """``transfers`` projection of any (batch or streaming) lineitem DataFrame."""
+    return lineitem.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
+        F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_suppkey").alias("account"))
+
+
+def stage_time_slices(df: DataFrame, ts: str, path: str, n: int) -> str:
+    """Test staging for multi-batch streams: write ``df`` as ``n`` event-time slices, one file
+    each, oldest first (the file source then reads them in that order, one per trigger with
+    ``maxFilesPerTrigger=1``). Only used to drive streams over the test tables."""
+    t = F.col(ts).cast("timestamp").cast("double")
+    lo = df.select(F.min(t)).scalar()
+    hi = df.select(F.max(t)).scalar()
+    b = F.least(F.floor((t - lo) * F.lit(float(n)) / (hi - lo)), F.lit(n - 1))
+    sliced = df.withColumn("_slice", b)
+    for i in range(n):
+        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("overwrite").parquet(f"{path}/slice_{i:03d}")
+    return path

@@ -65,7 +65,7 @@ def q_decode(spark, sf):
     return d.select("transaction_id", "timestamp", F.col("sender.name").alias("sender_name"),
                     "amount_usd", "sender_country", "receiver_country", "transaction_type",
                     F.col("metadata.device_id").alias("device_id"),
-                    F.col("_corrupt_record").isNotNull().alias("is_corrupt"))
+                    F.col("decode_error").isNotNull().alias("is_corrupt"))
 
 
 @register("p1_project_stream")
@@ -432,3 +432,288 @@ def q_u3(spark, sf):
                .unionByName(t.filter(F.col("l_linenumber") == 1))
                .unionByName(t.filter(F.col("l_linenumber") == 2).withColumn("id", F.concat("id", F.lit("-x")))))
     return rec.reconcile(t, landed, "id")
+
+
+# ---------------------------------------------------------------- sources, sinks, streams
+from pyspark.sql import types as _T  # noqa: E402
+
+from txmon.operators import alerts as al  # noqa: E402
+from txmon.plans import charts  # noqa: E402
+from txmon.plans import reports as rp  # noqa: E402
+from txmon.plans.params import EVENT_DORMANT_GAP_SECONDS, EVENT_DORMANT_MIN_VALUE  # noqa: E402
+from txmon.functions.safe import safe_amount, safe_person  # noqa: E402
+from txmon.session import scratch_path  # noqa: E402
+from txmon.sources import files as fs  # noqa: E402
+from txmon.sources import sinks as sk  # noqa: E402
+from txmon.sources.events import read_event_stream  # noqa: E402
+from txmon.streaming import dormancy as dm  # noqa: E402
+from txmon.streaming import pipeline as pl  # noqa: E402
+from txmon.streaming import windows as sw  # noqa: E402
+
+
+def _events_stream(spark, sf, staged: bool = False, slices: int = 4):
+    schema = fx.table(spark, sf, "events").schema
+    if staged:
+        path = fx.stage_time_slices(fx.table(spark, sf, "events"), "ts", scratch_path(spark, "staged-events"), slices)
+        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _messages(spark, sf, staged: bool = False):
+    if staged:
+        return fx.events_to_messages(_events_stream(spark, sf, staged=True))
+    schema = fx.table(spark, sf, "events").schema
+    return read_event_stream(spark, "parquet", convert=fx.events_to_messages, path=sf, schema=schema,
+                             pathGlobFilter="events.parquet")
+
+
+def _run_to_parquet(df, spark, name, mode="append"):
+    out, ck = scratch_path(spark, name), scratch_path(spark, f"{name}-ck")
+    q = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", ck) \
+          .trigger(availableNow=True).start()
+    pl.run_available(q)
+    return spark.read.parquet(out)
+
+
+def _routed_events(spark, sf, staged=False):
+    base, ck = scratch_path(spark, "routed"), scratch_path(spark, "routed-ck")
+    pl.run_available(pl.monitor_stream(_messages(spark, sf, staged), base, ck, EVENT_RULES))
+    return base
+
+
+def _routed_view(spark, base):
+    r = fs.read_routed(spark, base)
+    return r.select("transaction_id", "route", "year", "month", "day",
+                    F.col("amount_usd").cast("double").alias("amount_usd"), "flag_reasons",
+                    F.col("decode_error").isNotNull().alias("is_corrupt"))
+
+
+@register("t1_monitor_stream")
+def q_t1(spark, sf):
+    return _routed_view(spark, _routed_events(spark, sf, staged=True))
+
+
+@register("t3_run_available")
+def q_t3(spark, sf):
+    r = fs.read_routed(spark, _routed_events(spark, sf))
+    return (r.groupBy("route", "year", "month")
+             .agg(F.count(F.lit(1)).alias("n"),
+                  F.sum(F.col("amount_usd").cast("decimal(18,2)")).cast("double").alias("total_amount")))
+
+
+@register("a24_run_metrics")
+def q_a24(spark, sf):
+    r = fs.read_routed(spark, _routed_events(spark, sf))
+    return al.run_metrics(r, by="route", error=F.col("decode_error").isNotNull() | F.col("transaction_id").isNull(),
+                          suspicious=F.col("route") == "suspicious")
+
+
+@register("t4_dormant_stream")
+def q_t4(spark, sf):
+    ev = _events_stream(spark, sf, staged=True)
+    flagged = dm.dormant_stream(ev, "user_id", "ts", "value", "event_id", EVENT_DORMANT_GAP_SECONDS,
+                                EVENT_DORMANT_MIN_VALUE)
+    return _run_to_parquet(flagged, spark, "dormant")
+
+
+def _mask_path(col):
+    return F.regexp_replace(col, r"\*File Path:\*\n[^\n]*\n", "*File Path:*\n<path>\n")
+
+
+@register("t5_alert_stream")
+def q_t5(spark, sf):
+    base = _routed_events(spark, sf)
+    out, ck = scratch_path(spark, "alerts"), scratch_path(spark, "alerts-ck")
+    pl.run_available(pl.alert_stream(spark, base, out, ck))
+    a = spark.read.parquet(out)
+    return a.select("transaction_id", "amount", "fee", "sender_name", "receiver_name",
+                    _mask_path(F.col("message")).alias("message"))
+
+
+@register("t6_windowed")
+def q_t6(spark, sf):
+    ev = _events_stream(spark, sf).withColumn("amount", F.col("value").cast("decimal(18,2)"))
+    w = sw.windowed(ev, "ts", "1 day", by=["event_type"], value="amount", watermark="1 hour")
+    return doubles(_run_to_parquet(w, spark, "win-tumbling"))
+
+
+@register("t7_sliding_windows")
+def q_t7(spark, sf):
+    w = sw.windowed(_events_stream(spark, sf), "ts", "1 hour", by=["user_id"], slide="15 minutes", watermark="1 hour")
+    return _run_to_parquet(w, spark, "win-sliding").filter(F.col("n") >= 2)
+
+
+@register("t8_sessions")
+def q_t8(spark, sf):
+    s = sw.sessions(_events_stream(spark, sf), "ts", "2 hours", "user_id", watermark="1 hour")
+    return _run_to_parquet(s, spark, "sessions")
+
+
+@register("t9_dedup_stream")
+def q_t9(spark, sf):
+    schema = fx.table(spark, sf, "lineitem").schema
+    li = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    d = sw.dedup_stream(fx.transfers_of(li), "id", "ts", "36500 days")
+    return _run_to_parquet(d, spark, "dedup").select("id")
+
+
+@register("s6_sink_stream")
+def q_s6(spark, sf):
+    from txmon.sources.events import decode_events as _dec
+    proj = fl.project_stream(_dec(_messages(spark, sf)))
+    out, ck = scratch_path(spark, "sink"), scratch_path(spark, "sink-ck")
+    pl.run_available(sk.sink_stream(proj, out, ck))
+    return spark.read.parquet(out).select("transaction_id", "transactiondate", "sender", "amount_usd", "Processingtime")
+
+
+_TXN_ROUTED = ["transaction_id", "transactiondate", "amount_usd", "sender_country", "receiver_country"]
+
+
+def _write_txn_routed(spark, sf):
+    base = scratch_path(spark, "txn-routed")
+    sk.write_routed(fx.txn(spark, sf).select(*_TXN_ROUTED), base, TXN_RULES, partition_by="event",
+                    event_ts="transactiondate")
+    schema = _T.StructType([_T.StructField(c, _T.StringType()) for c in _TXN_ROUTED + ["flag_reasons"]])
+    return base, schema
+
+
+@register("s3_write_routed")
+def q_s3(spark, sf):
+    base, schema = _write_txn_routed(spark, sf)
+    r = fs.read_routed(spark, base, schema=schema)
+    return r.select("transaction_id", "route", "year", "month", "day",
+                    F.col("amount_usd").cast("double").alias("amount_usd"), "flag_reasons")
+
+
+@register("s4_read_suspicious")
+def q_s4(spark, sf):
+    base, schema = _write_txn_routed(spark, sf)
+    r = fs.read_suspicious(spark, base, schema=schema)
+    return r.select("transaction_id", "route", "year", "month", "day",
+                    F.col("source_file").endswith(".csv").alias("from_csv"))
+
+
+def _flat_txn(spark, sf):
+    return fl.conform_flat(fx.txn(spark, sf))
+
+
+@register("s7_load_flat")
+def q_s7(spark, sf):
+    path = scratch_path(spark, "flat-append")
+    flat = _flat_txn(spark, sf)
+    sk.load_flat(flat, path, mode="append")
+    sk.load_flat(flat, path, mode="append")
+    return spark.read.parquet(path).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_copies"))
+
+
+@register("s8_load_incremental")
+def q_s8(spark, sf):
+    path = scratch_path(spark, "flat-incremental")
+    flat = _flat_txn(spark, sf)
+    sk.load_flat(flat.filter(F.col("status") == "F"), path, mode="incremental")
+    sk.load_flat(flat, path, mode="incremental")
+    return spark.read.parquet(path).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_copies"))
+
+
+def _views(spark, sf):
+    fx.register_tables(spark, sf, ["customer", "nation", "region"])
+    fx.register_fixtures(spark, sf)
+
+
+@register("s10_cached_sql")
+def q_s10(spark, sf):
+    _views(spark, sf)
+    sql = "SELECT channel, COUNT(*) AS n FROM txn GROUP BY channel"
+    fs.uncache_sql(sql)
+    return fs.cached_sql(spark, sql)
+
+
+@register("g1_run_sql")
+def q_g1(spark, sf):
+    _views(spark, sf)
+    return doubles(fs.run_sql(spark, """
+        WITH big AS (SELECT sender_country, amount_usd FROM txn
+                     WHERE amount_usd > (SELECT AVG(amount_usd) FROM txn))
+        SELECT sender_country, COUNT(*) AS n_big, SUM(amount_usd) AS big_amount
+        FROM big GROUP BY sender_country HAVING COUNT(*) > 10"""))
+
+
+@register("g2_describe_table")
+def q_g2(spark, sf):
+    t = fx.txn(spark, sf).select("transaction_id", "transactiondate", "sender_name", "amount_usd",
+                                 "sender_country", "status", "device_id")
+    return rp.describe_table(t)
+
+
+_TOPICS = {
+    "by_channel": "SELECT channel, COUNT(*) AS n FROM txn GROUP BY channel",
+    "nothing_big": "SELECT * FROM txn WHERE amount_usd > 1000000000",
+    "broken": "SELECT no_such_column FROM txn",
+}
+
+
+@register("g3_run_reports")
+def q_g3(spark, sf):
+    _views(spark, sf)
+    return rp.report_status(spark, rp.run_reports(spark, _TOPICS))
+
+
+@register("g4_chart_data")
+def q_g4(spark, sf):
+    b = charts.chart_data(fx.txn(spark, sf), "box_plot", x_col="transaction_type", y_col="amount_usd")
+    return rounded(b, ["q1", "median", "q3", "iqr", "min", "max"], 4)
+
+
+@register("g4_chart_data_histogram")
+def q_g4h(spark, sf):
+    h = charts.chart_data(fx.table(spark, sf, "events"), "histogram", x_col="value", bins=10)
+    return rounded(h, ["bin_lo", "bin_hi"], 6)
+
+
+def _g5(name):
+    def q(spark, sf):
+        _views(spark, sf)
+        out = rp.standard_reports(spark)[name]
+        return rounded(doubles(out), ["avg_amount", "share"], 6)
+    return q
+
+
+for _name in rp.STANDARD_REPORTS:
+    register(f"g5_{_name}")(_g5(_name))
+
+
+# ---------------------------------------------------------------- P4-P6 on table-derived text
+def _person_cells(spark, sf):
+    c = fx.table(spark, sf, "customer")
+    obj = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_custkey").cast("string").alias("account_number"),
+                             F.concat(F.lit("BANK_"), F.col("c_nationkey").cast("string")).alias("bank_name")))
+    k = F.col("c_custkey")
+    cell = (F.when(k % 7 == 0, F.lit("")).when(k % 5 == 0, F.lit("N/A"))
+             .when(k % 3 == 0, F.col("c_name")).when(k % 11 == 0, F.lit("[1, 2]")).otherwise(obj))
+    amount = F.when(k % 4 == 0, F.lit("n/a")).otherwise(F.col("c_acctbal").cast("string"))
+    return c.select("c_custkey", cell.alias("sender"), amount.alias("amount_usd"))
+
+
+@register("p4_safe_person")
+def q_p4(spark, sf):
+    p = _person_cells(spark, sf).withColumn("_p", safe_person("sender"))
+    return p.select("c_custkey", F.col("_p.kind").alias("kind"), F.col("_p.name").alias("name"),
+                    F.col("_p.bank_name").alias("bank_name"), F.col("_p.account_number").alias("account_number"))
+
+
+@register("p5_safe_amount")
+def q_p5(spark, sf):
+    return _person_cells(spark, sf).select("c_custkey", safe_amount("amount_usd").alias("amount"))
+
+
+@register("p6_alert_messages")
+def q_p6(spark, sf):
+    t = rules.flag_suspicious(fx.txn(spark, sf), TXN_RULES).filter("is_suspicious")
+    cells = t.select(
+        "transaction_id", F.date_format("transactiondate", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        F.to_json(F.struct(F.col("sender_name").alias("name"), F.col("sender_account_number").alias("account_number"))).alias("sender"),
+        F.lit(None).cast("string").alias("receiver"),
+        F.col("amount_usd").cast("string").alias("amount_usd"), F.col("fee_usd").cast("string").alias("fee_usd"),
+        "sender_country", "receiver_country", "transaction_type", "status", F.lit("txn").alias("source_file"))
+    a = al.alert_messages(cells, detail_threshold=400000.0)
+    return a.select("transaction_id", "amount", "fee", "sender_name", "receiver_name", "message")

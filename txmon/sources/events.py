@@ -8,15 +8,17 @@ from pyspark.sql import types as T
 
 from txmon.schemas import RAW_SCHEMA
 
-CORRUPT = "_corrupt_record"
+CORRUPT = "_corrupt_record"  # from_json's working column
+DECODE_ERROR = "decode_error"  # output name: the raw text of a message that failed to decode
 
 
-def read_event_stream(spark: SparkSession, source: str = "kafka", **opts) -> DataFrame:
+def read_event_stream(spark: SparkSession, source: str = "kafka", convert=None, **opts) -> DataFrame:
     """Streaming DataFrame of bus messages with columns ``key, value, timestamp``.
 
     ``source="kafka"`` reads all partitions from the earliest offset (resume position is kept
     by the query's checkpoint). Any other file format (``parquet``, ``json``...) is read
-    from ``opts["path"]``; a parquet folder of ``events`` rows is turned into messages.
+    from ``opts["path"]`` and ``convert`` (if given) turns its rows into messages, e.g.
+    ``fixtures.events_to_messages`` for a folder of ``events`` rows.
     """
     if source == "kafka":
         reader = spark.readStream.format("kafka").option("startingOffsets", "earliest")
@@ -32,18 +34,16 @@ def read_event_stream(spark: SparkSession, source: str = "kafka", **opts) -> Dat
     for k, v in opts.items():
         reader = reader.option(k, v)
     df = reader.load(path)
-    if "value" not in df.columns:
-        from txmon.plans.fixtures import events_to_messages
-        df = events_to_messages(df)
-    return df
+    return convert(df) if convert is not None else df
 
 
 def decode_events(df: DataFrame, value_col: str = "value", mode: str = "quarantine",
                   ingest_col: str | None = "timestamp") -> DataFrame:
     """Decode UTF-8 JSON message bodies into the raw event columns.
 
-    mode ``quarantine`` keeps every message and adds ``_corrupt_record`` (the original text
-    when it does not parse as a JSON object, else NULL); ``drop`` keeps parsed rows only;
+    mode ``quarantine`` keeps every message and adds ``decode_error`` (the original text
+    when it does not parse as a JSON object, else NULL; a neutral name, because file readers
+    treat a column called ``_corrupt_record`` as their own); ``drop`` keeps parsed rows only;
     ``failfast`` raises on the first bad message, as the reference consumer does.
     The source ingest time (``ingest_col``) is kept as ``ingest_time``.
     """
@@ -57,10 +57,10 @@ def decode_events(df: DataFrame, value_col: str = "value", mode: str = "quaranti
         corrupt = F.when(parsed.isNull(), body).otherwise(parsed[CORRUPT])
     extra = [F.col(ingest_col).cast("timestamp").alias("ingest_time")] if ingest_col and ingest_col in df.columns else []
     out = df.select(parsed.alias("_m"), corrupt.alias(CORRUPT), *extra)
-    out = out.select(*[F.col("_m")[f.name].alias(f.name) for f in RAW_SCHEMA.fields], CORRUPT,
-                     *[c for c in ("ingest_time",) if extra])
+    out = out.select(*[F.col("_m")[f.name].alias(f.name) for f in RAW_SCHEMA.fields],
+                     F.col(CORRUPT).alias(DECODE_ERROR), *[c for c in ("ingest_time",) if extra])
     if mode == "drop":
-        out = out.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        out = out.filter(F.col(DECODE_ERROR).isNull()).drop(DECODE_ERROR)
     elif mode == "failfast":
-        out = out.drop(CORRUPT)
+        out = out.drop(DECODE_ERROR)
     return out
