@@ -165,8 +165,9 @@ def kde(df: DataFrame, col: str, by=None, grid: int = 200, cut: float = 3.0,
     [min - cut*bw, max + cut*bw] with ``grid`` points per group. With ``common_norm`` the groups
     share one total area (each density is scaled by n_group / n_total).
 
-    Exact by default: every value adds its kernel at every grid point (an n x grid map-side
-    expansion, reduced by partial aggregation before the shuffle). ``bins`` first collapses the
+    Exact by default: every distinct value (weighted by its count) adds its kernel at every grid
+    point (a distinct-values x grid expansion, reduced by partial aggregation before the
+    shuffle); money amounts repeat heavily, so the work is bounded by the value domain. ``bins`` first collapses the
     values into that many equal-width bins per group and evaluates the kernel at the bin centres
     weighted by count (bounded work, approximate).
     """
@@ -179,8 +180,9 @@ def kde(df: DataFrame, col: str, by=None, grid: int = 200, cut: float = 3.0,
             .withColumn("_glo", F.col("_min") - F.lit(cut) * F.col("_bw"))
             .withColumn("_step", (F.col("_max") + F.lit(cut) * F.col("_bw") - F.col("_glo")) / F.lit(float(grid - 1)))
             .withColumn("_scale", (F.col("_n") / total) if common_norm else F.lit(1.0)))
-    pts = attach(v, st, g)
     if bins:
+        # approximate: values collapsed into equal-width bins, kernels at the bin centres
+        pts = attach(v, st, g)
         width = (F.col("_max") - F.col("_min")) / F.lit(float(bins))
         b = bucket_expr(F.col("_x"), F.col("_min"), F.col("_max"), bins)
         pts = (pts.withColumn("_b", b)
@@ -188,7 +190,10 @@ def kde(df: DataFrame, col: str, by=None, grid: int = 200, cut: float = 3.0,
                   .agg(F.count(F.lit(1)).cast("double").alias("_w"))
                   .withColumn("_x", F.col("_min") + (F.col("_b") + F.lit(0.5)) * width))
     else:
-        pts = pts.withColumn("_w", F.lit(1.0))
+        # exact: equal values add identical kernels, so each distinct value is evaluated once,
+        # weighted by its count (partial aggregation before the shuffle)
+        vc = v.groupBy(*g, "_x").agg(F.count(F.lit(1)).cast("double").alias("_w"))
+        pts = attach(vc, st, g)
     idx = F.sequence(F.lit(0), F.lit(grid - 1))
     contrib = F.transform(idx, lambda i: F.col("_w") * F.exp(
         F.lit(-0.5) * F.pow((F.col("_glo") + i * F.col("_step") - F.col("_x")) / F.col("_bw"), 2)))

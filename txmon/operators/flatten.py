@@ -10,11 +10,17 @@ from txmon.functions.jsonpath import parse_json_text, variant_scalar
 from txmon.schemas import FLAT_COLUMNS, FLAT_NOT_NULL, MAX_LENGTHS, METADATA_FIELDS, PERSON_FIELDS
 
 
-def project_stream(df: DataFrame) -> DataFrame:
-    """13-column projection of decoded events: nested parts as JSON text, ingest time kept."""
+def project_stream(df: DataFrame, nested_as_text: bool = True) -> DataFrame:
+    """13-column projection of decoded events, ingest time kept as ``Processingtime``.
+
+    Nested parts become JSON text, as in the relational raw table. A pipeline that flattens
+    right away passes ``nested_as_text=False`` and keeps the decoded structs, so ``flatten``
+    reads their fields directly instead of re-serialising and re-parsing the JSON."""
     def as_text(name: str) -> Column:
         c = F.col(name)
-        return c if isinstance(df.schema[name].dataType, T.StringType) else F.to_json(c)
+        if not nested_as_text or isinstance(df.schema[name].dataType, T.StringType):
+            return c
+        return F.to_json(c)
 
     ingest = F.col("ingest_time") if "ingest_time" in df.columns else F.current_timestamp()
     return df.select(

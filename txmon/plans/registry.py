@@ -48,7 +48,7 @@ def rounded(df: DataFrame, cols, places: int = 4) -> DataFrame:
 def events_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw JSON messages -> decode (S2) -> projection (P1) -> flatten (P2) -> conform."""
     decoded = decode_events(fx.raw_events(spark, sf_dir))
-    return fl.conform_flat(fl.flatten(fl.project_stream(decoded)))
+    return fl.conform_flat(fl.flatten(fl.project_stream(decoded, nested_as_text=False)))
 
 
 # ---------------------------------------------------------------- flagship / minimum slice
