@@ -23,14 +23,23 @@ from pyspark.sql import types as T
 SEG = "_seg"
 
 
+# Segments per doubling of a numeric ordering value (about 1 % of relative range each).
+LOG_SEGMENTS_PER_DOUBLING = 64
+
+
 def default_segment(df: DataFrame, order_col: str) -> Column:
-    """Day for timestamps/dates, the value itself (floored) for numbers, else one segment."""
+    """A monotone bucket of the first ordering column.
+
+    Timestamps/dates: the day. Numbers: ``floor(64 * sign(v) * log2(1 + |v|))`` -- monotone in
+    v, needs no statistics pass, and stays bounded (about 5,000 segments across +-1e12) however
+    wide the value range is. Other types: a single segment (plain window per key)."""
     dt = df.schema[order_col].dataType
     c = F.col(order_col)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return F.date_trunc("day", c.cast("timestamp"))
     if isinstance(dt, T.NumericType):
-        return F.floor(c.cast("double"))
+        v = c.cast("double")
+        return F.floor(F.lit(float(LOG_SEGMENTS_PER_DOUBLING)) * F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)))
     return F.lit(0)
 
 
@@ -49,21 +58,54 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
 _null_safe_join = join_on_keys
 
 
+def _default_of(dtype: T.DataType):
+    if isinstance(dtype, T.StringType):
+        return F.lit("")
+    if isinstance(dtype, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dtype, T.NumericType):
+        return F.lit(0).cast(dtype)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.lit("1970-01-01 00:00:00").cast(dtype)
+    if isinstance(dtype, T.DateType):
+        return F.lit("1970-01-01").cast(dtype)
+    return None
+
+
+def _with_key_surrogates(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
+    """Replace each key by two never-NULL columns (value-or-default, is-null), so NULL keys form
+    their own group and plain equi-joins and windows on the *same* columns line up: the join's
+    output partitioning then satisfies the window and the big side is shuffled once."""
+    names, cols = [], {}
+    for i, k in enumerate(by):
+        d = _default_of(df.schema[k].dataType)
+        if d is None:  # e.g. struct keys: keep as is (NULL-safe join below handles them)
+            names.append(k)
+            continue
+        cols[f"_kv{i}"] = F.coalesce(F.col(k), d)
+        cols[f"_kn{i}"] = F.col(k).isNull()
+        names += [f"_kv{i}", f"_kn{i}"]
+    return df.withColumns(cols), names
+
+
 def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str,
                 segment: Column | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same ``by`` key up to and including this
     row in ``order`` (ties in ``order`` must be broken by the caller, e.g. with an id)."""
     seg = segment if segment is not None else default_segment(df, order[0])
-    d = df.withColumn(SEG, seg)
-    keys = list(by) + [SEG]
+    d, kcols = _with_key_surrogates(df.withColumn(SEG, seg), list(by))
+    keys = kcols + [SEG]
     totals = d.groupBy(*keys).agg(F.sum(value).alias("_segsum"))
-    before = Window.partitionBy(*by).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, F.sum("_segsum").over(before).alias("_carry"))
+    before = Window.partitionBy(*kcols).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.sum("_segsum").over(before).alias("_carry"))
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    j = _null_safe_join(d, carry, keys)
-    zero = F.lit(0).cast(df.schema[value].dataType) if isinstance(df.schema[value].dataType, T.NumericType) else F.lit(0)
+    cond = [F.col(k) == F.col(f"_c{k}") for k in keys] if all(k.startswith("_k") or k == SEG for k in keys) \
+        else [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in keys]
+    j = d.join(carry, cond, "left").drop(*[f"_c{k}" for k in keys])
+    vt = df.schema[value].dataType
+    zero = F.lit(0).cast(vt) if isinstance(vt, T.NumericType) else F.lit(0)
     return (j.withColumn(out, F.coalesce(F.col("_carry"), zero) + F.sum(value).over(within))
-             .drop("_carry", SEG))
+             .drop("_carry", SEG, *[k for k in kcols if k.startswith("_k")]))
 
 
 def previous_value(df: DataFrame, by: list[str], order: list[str], col: str, out: str,
@@ -74,11 +116,14 @@ def previous_value(df: DataFrame, by: list[str], order: list[str], col: str, out
     itself): then the last row of a segment holds the segment's maximum.
     """
     seg = segment if segment is not None else default_segment(df, order[0])
-    d = df.withColumn(SEG, seg)
-    keys = list(by) + [SEG]
+    d, kcols = _with_key_surrogates(df.withColumn(SEG, seg), list(by))
+    keys = kcols + [SEG]
     last = d.groupBy(*keys).agg(F.max(col).alias("_seglast"))
-    prev_seg = Window.partitionBy(*by).orderBy(SEG)
-    carry = last.select(*keys, F.lag("_seglast").over(prev_seg).alias("_carry"))
+    prev_seg = Window.partitionBy(*kcols).orderBy(SEG)
+    carry = last.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.lag("_seglast").over(prev_seg).alias("_carry"))
     within = Window.partitionBy(*keys).orderBy(*order)
-    j = _null_safe_join(d, carry, keys)
-    return j.withColumn(out, F.coalesce(F.lag(col).over(within), F.col("_carry"))).drop("_carry", SEG)
+    cond = [F.col(k) == F.col(f"_c{k}") for k in keys] if all(k.startswith("_k") or k == SEG for k in keys) \
+        else [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in keys]
+    j = d.join(carry, cond, "left").drop(*[f"_c{k}" for k in keys])
+    return (j.withColumn(out, F.coalesce(F.lag(col).over(within), F.col("_carry")))
+             .drop("_carry", SEG, *[k for k in kcols if k.startswith("_k")]))
