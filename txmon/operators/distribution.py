@@ -82,7 +82,15 @@ def density_heatmap(df: DataFrame, x: str, y: str, bins_x: int = 10, bins_y: int
 
 
 # ------------------------------------------------------------------------------- A13, A14
-def exact_quantiles(df: DataFrame, by, value: str, qs=(0.25, 0.5, 0.75)) -> DataFrame:
+def value_counts_by(df: DataFrame, by, value: str) -> DataFrame:
+    """(group..., _v, _c): non-NULL values as DOUBLE with their counts (partial aggregation
+    before the shuffle turns a hot group's many rows into its distinct values)."""
+    g = _groups(by)
+    return (df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def exact_quantiles(df: DataFrame, by, value: str, qs=(0.25, 0.5, 0.75), vc: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group (pandas ``quantile`` / SQL
     ``percentile_cont``), one row per (group, q) with ``quantile``.
 
@@ -94,9 +102,10 @@ def exact_quantiles(df: DataFrame, by, value: str, qs=(0.25, 0.5, 0.75)) -> Data
     """
     g = _groups(by)
     if not g:  # one implicit group: a constant key keeps every join an equi-join
-        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs).drop("_all")
-    vc = (df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-            .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
+        vc0 = None if vc is None else vc.withColumn("_all", F.lit(0))
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, vc0).drop("_all")
+    if vc is None:
+        vc = value_counts_by(df, g, value)
     cum = running_sum(vc, g, ["_v"], "_c", "_cum")
     n = vc.groupBy(*g).agg(F.sum("_c").alias("_n"))
     qarr = F.array(*[F.lit(float(q)) for q in qs])
@@ -115,12 +124,13 @@ def exact_quantiles(df: DataFrame, by, value: str, qs=(0.25, 0.5, 0.75)) -> Data
     return res.select(*g, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile"))
 
 
-def _quantile_columns(df: DataFrame, by, value: str, qs, names, approx: bool, accuracy: int) -> DataFrame:
+def _quantile_columns(df: DataFrame, by, value: str, qs, names, approx: bool, accuracy: int,
+                      vc: DataFrame | None = None) -> DataFrame:
     g = _groups(by)
     if approx:
         arr = F.percentile_approx(F.col(value).cast("double"), [float(q) for q in qs], accuracy)
         return df.groupBy(*g).agg(arr.alias("_qs")).select(*g, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
-    long = exact_quantiles(df, g, value, qs)
+    long = exact_quantiles(df, g, value, qs, vc)
     return long.groupBy(*g).agg(*[F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(nm)
                                   for q, nm in zip(qs, names)])
 
@@ -140,9 +150,16 @@ def attach(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
 def box_stats(df: DataFrame, x, y: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
     """Per group of ``x``: q1, median, q3, iqr, min, max, n (exact unless ``approx``)."""
     g = _groups(x)
-    q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], approx, accuracy)
-    mm = df.groupBy(*g).agg(F.min(F.col(y).cast("double")).alias("min"), F.max(F.col(y).cast("double")).alias("max"),
-                            F.count(y).alias("n"))
+    if approx:
+        q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], True, accuracy)
+        mm = df.groupBy(*g).agg(F.min(F.col(y).cast("double")).alias("min"),
+                                F.max(F.col(y).cast("double")).alias("max"), F.count(y).alias("n"))
+    else:
+        # min, max and n come from the same compressed (value, count) table as the quantiles,
+        # so the input is aggregated once and every branch reuses that shuffle
+        vc = value_counts_by(df, g, y)
+        q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], False, accuracy, vc)
+        mm = vc.groupBy(*g).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_c").alias("n"))
     out = attach(mm, q, g)
     return out.withColumn("iqr", F.col("q3") - F.col("q1"))
 

@@ -642,7 +642,7 @@ def q_g1(spark, sf):
 def q_g2(spark, sf):
     t = fx.txn(spark, sf).select("transaction_id", "transactiondate", "sender_name", "amount_usd",
                                  "sender_country", "status", "device_id")
-    return rp.describe_table(t)
+    return rp.describe_table(t, exact_distinct=True)
 
 
 _TOPICS = {

@@ -12,11 +12,12 @@ def register_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def describe_table(df: DataFrame, exact_distinct: bool = True) -> DataFrame:
+def describe_table(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """One row per column: type, rows, NULL count, distinct count, min, max (as text).
 
-    Every column is summarised in a single aggregate pass. ``exact_distinct=False`` uses
-    HyperLogLog++ (no per-column re-expansion of the input, bounded memory).
+    Every column is summarised in a single aggregate pass. Distinct counts default to
+    HyperLogLog++ (bounded memory, no re-expansion of the input); ``exact_distinct=True``
+    counts exactly, which Spark plans by expanding each row once per column.
     """
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(df.schema.fields):
