@@ -696,3 +696,7 @@ SELECT transaction_id, CAST(amount_usd AS DOUBLE) AS amount, CAST(fee_usd AS DOU
                   "sender_country", "'N/A'", None, "receiver_country", "transaction_type", "status",
                   "strftime(transactiondate, '%Y-%m-%dT%H:%M:%S')")} AS message
 FROM txn WHERE {SUSP_TXN}"""
+
+ORACLE["v1_validate_not_null"] = """
+SELECT CAST(event_id AS VARCHAR) AS transaction_id, 'null:transactiondate' AS reasons
+FROM events WHERE event_id % 97 = 0"""

@@ -266,3 +266,20 @@ def test_reconcile_statuses(spark):
     landed = spark.createDataFrame([("a",), ("a",), ("c",), ("d",)], "id string")
     got = {r.id: r.status for r in rec.reconcile(src, landed, "id").collect()}
     assert got == {"a": "duplicated", "b": "missing", "c": "matched", "d": "extra"}
+
+
+def test_plain_date_folder_layout_is_read_with_dates_from_the_path(spark):
+    import os
+    base = scratch_path(spark, "plain")
+    local = base[len("file:"):] if base.startswith("file:") else base
+    rows = {"2024/01/05": "1,5.0\n2,7.5\n", "2024/02/11": "3,1.0\n"}
+    for folder, body in rows.items():
+        os.makedirs(f"{local}/{folder}", exist_ok=True)
+        with open(f"{local}/{folder}/transactions_x.csv", "w") as f:
+            f.write("transaction_id,amount_usd\n" + body)
+    open(f"{local}/2024/02/11/empty.csv", "w").close()
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("transaction_id", T.StringType()), T.StructField("amount_usd", T.StringType())])
+    got = sorted((r.transaction_id, r.year, r.month, r.day, r.source_file.endswith("transactions_x.csv"))
+                 for r in fs.read_suspicious(spark, base, layout="plain", schema=schema).collect())
+    assert got == [("1", "2024", "01", "05", True), ("2", "2024", "01", "05", True), ("3", "2024", "02", "11", True)]

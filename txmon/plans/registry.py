@@ -98,6 +98,17 @@ def q_validate(spark, sf):
     return bad.select("transaction_id", F.array_join("reject_reasons", ",").alias("reasons"))
 
 
+@register("v1_validate_not_null")
+def q_validate_nn(spark, sf):
+    # every 97th message carries a timestamp that does not parse: P3 makes it NULL, V1 rejects it
+    msgs = fx.raw_events(spark, sf)
+    bad_ts = F.regexp_replace("value", r'"timestamp":"[^"]*"', '"timestamp":"not-a-time"')
+    msgs = msgs.withColumn("value", F.when(F.col("key").cast("long") % 97 == 0, bad_ts).otherwise(F.col("value")))
+    flat = fl.conform_flat(fl.flatten(fl.project_stream(decode_events(msgs), nested_as_text=False)))
+    _, bad = fl.split_valid(flat)
+    return bad.select("transaction_id", F.array_join("reject_reasons", ",").alias("reasons"))
+
+
 # ---------------------------------------------------------------- rules
 @register("f1_is_high_amount")
 def q_f1(spark, sf):
