@@ -75,10 +75,9 @@ def density_heatmap(df: DataFrame, x: str, y: str, bins_x: int = 10, bins_y: int
     ly, hy = v.select(F.min("_y")).scalar(), v.select(F.max("_y")).scalar()
     b = v.select(bucket_expr(F.col("_x"), lx, hx, bins_x).alias("x_bin"),
                  bucket_expr(F.col("_y"), ly, hy, bins_y).alias("y_bin"))
-    b.createOrReplaceTempView("_txmon_density_bins")
-    return b.sparkSession.sql("""
-        SELECT x_bin, y_bin, COUNT(*) AS count, GROUPING_ID(x_bin, y_bin) AS level
-        FROM _txmon_density_bins GROUP BY GROUPING SETS ((x_bin, y_bin), (x_bin), (y_bin))""")
+    sets = [[F.col("x_bin"), F.col("y_bin")], [F.col("x_bin")], [F.col("y_bin")]]
+    return b.groupingSets(sets, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"),
+                                                      F.grouping_id().alias("level"))
 
 
 # ------------------------------------------------------------------------------- A13, A14

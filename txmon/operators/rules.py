@@ -86,7 +86,7 @@ def flag_dormant(df: DataFrame, account: str, ts: str, amount: str, id_col: str,
     amount >= min amount. The lag is computed skew-safe (see ``segmented``).
     """
     with_prev = previous_value(df, [account], [ts, id_col], ts, "prev_ts", segment)
-    gap = F.col(ts).cast("timestamp").cast("double") - F.col("prev_ts").cast("timestamp").cast("double")
+    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / F.lit(1e6)
     return (with_prev.withColumn("gap_seconds", gap)
             .withColumn("is_dormant_burst",
                         F.coalesce((F.col("gap_seconds") >= F.lit(float(min_gap_seconds)))

@@ -22,7 +22,7 @@ def activity_gap(df: DataFrame, account: str, ts: str, id_col: str,
                  segment: Column | None = None) -> DataFrame:
     """Previous transaction time of the account and the gap in seconds."""
     p = previous_value(df, [account], [ts, id_col], ts, "prev_ts", segment)
-    gap = F.col(ts).cast("timestamp").cast("double") - F.col("prev_ts").cast("timestamp").cast("double")
+    gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / F.lit(1e6)
     return p.withColumn("gap_seconds", gap)
 
 

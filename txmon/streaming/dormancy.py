@@ -26,20 +26,20 @@ def _processor(min_gap_seconds: float, min_amount: float):
         rows = pd.concat(list(chunks), ignore_index=True).sort_values(["ts", "id"], kind="mergesort")
         last = state.get[0] if state.exists else None
         last = None if last is None or pd.isna(last) else pd.Timestamp(last)
-        out = []
-        for ts, rid, amount in zip(rows["ts"], rows["id"], rows["amount"]):
-            ts = pd.Timestamp(ts)
-            if last is not None and ts < last:
-                continue  # late row: neither flagged nor applied
-            if last is not None:
-                gap = (ts - last).total_seconds()
-                if gap >= min_gap_seconds and amount is not None and amount >= min_amount:
-                    out.append((str(key[0]), rid, ts, last, gap, float(amount)))
-            last = ts
         if last is not None:
-            state.update((last.to_pydatetime(),))
-        if out:
-            yield pd.DataFrame(out, columns=["account", "id", "ts", "prev_ts", "gap_seconds", "amount"])
+            rows = rows[rows["ts"] >= last]  # late rows: neither flagged nor applied
+        if rows.empty:
+            return
+        prev = rows["ts"].shift(1)
+        if last is not None:
+            prev.iloc[0] = last
+        gap = (rows["ts"] - prev).dt.total_seconds()
+        hit = (gap >= min_gap_seconds) & (rows["amount"] >= min_amount)
+        state.update((pd.Timestamp(rows["ts"].iloc[-1]).to_pydatetime(),))
+        if hit.any():
+            out = pd.DataFrame({"account": str(key[0]), "id": rows["id"][hit], "ts": rows["ts"][hit],
+                                "prev_ts": prev[hit], "gap_seconds": gap[hit], "amount": rows["amount"][hit]})
+            yield out.reset_index(drop=True)
     return step
 
 
