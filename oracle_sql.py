@@ -142,7 +142,7 @@ p AS (SELECT *, LAG(transactiondate) OVER (PARTITION BY sender_account_number
 SELECT transaction_id, sender_account_number, prev_ts,
        (epoch_us(transactiondate) - epoch_us(prev_ts)) / 1e6 AS gap_seconds
 FROM p
-WHERE prev_ts IS NOT NULL AND epoch_us(transactiondate) - epoch_us(prev_ts) >= 180 * 86400 * 1000000
+WHERE prev_ts IS NOT NULL AND epoch_us(transactiondate) - epoch_us(prev_ts) >= 15552000000000
   AND amount_usd >= 400000"""
 
 ORACLE["f7_expected_fee"] = """
@@ -516,7 +516,7 @@ WITH p AS (SELECT user_id, event_id, ts, value,
            FROM events)
 SELECT CAST(user_id AS VARCHAR) AS account, CAST(event_id AS VARCHAR) AS id, ts, prev_ts,
        (epoch_us(ts) - epoch_us(prev_ts)) / 1e6 AS gap_seconds, value AS amount
-FROM p WHERE prev_ts IS NOT NULL AND epoch_us(ts) - epoch_us(prev_ts) >= 86400 * 1000000 AND value >= 100"""
+FROM p WHERE prev_ts IS NOT NULL AND epoch_us(ts) - epoch_us(prev_ts) >= 86400000000 AND value >= 100"""
 
 NL = " || chr(10) || "
 
@@ -571,7 +571,7 @@ HAVING COUNT(*) >= 2 AND ws + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) -
 
 ORACLE["t8_sessions"] = """
 WITH p AS (SELECT user_id, ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
-s AS (SELECT user_id, ts, SUM(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 7200 * 1000000 THEN 1 ELSE 0 END)
+s AS (SELECT user_id, ts, SUM(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 7200000000 THEN 1 ELSE 0 END)
              OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
       FROM p),
 g AS (SELECT user_id, sid, min(ts) AS first_ts, max(ts) AS last_ts, COUNT(*) AS n FROM s GROUP BY 1, 2)
