@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txmon.functions.jsonpath import parse_json_text, variant_scalar
+from txmon.operators.rules import without_nulls
 from txmon.schemas import FLAT_COLUMNS, FLAT_NOT_NULL, MAX_LENGTHS, METADATA_FIELDS, PERSON_FIELDS
 
 
@@ -79,7 +80,9 @@ def validate(df: DataFrame, max_lengths: dict | None = None, not_null=FLAT_NOT_N
     checks = [F.when(F.col(c).isNull(), F.lit(f"null:{c}")) for c in not_null if c in df.columns]
     checks += [F.when(F.length(F.col(c)) > n, F.lit(f"too_long:{c}"))
                for c, n in limits.items() if c in df.columns]
-    return df.withColumn("reject_reasons", F.array_compact(F.array(*checks)))
+    if not checks:
+        return df.withColumn("reject_reasons", F.array().cast("array<string>"))
+    return df.withColumn("reject_reasons", without_nulls(F.array(*checks)))
 
 
 def split_valid(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:

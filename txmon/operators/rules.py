@@ -54,10 +54,16 @@ REASON_SANCTIONED_SENDER = "SANCTIONED_SENDER_COUNTRY"
 REASON_SANCTIONED_RECEIVER = "SANCTIONED_RECEIVER_COUNTRY"
 
 
+def without_nulls(arr: Column) -> Column:
+    """Drop NULL entries of an array of distinct strings, keeping order. ``array_except`` is
+    code-generated (``array_compact`` would evaluate a lambda per element)."""
+    return F.array_except(arr, F.array(F.lit(None).cast("string")))
+
+
 def flag_reasons(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """add ``flag_reasons`` (array of reason codes, empty when not suspicious)."""
     lst = list(cfg.sanctioned)
-    reasons = F.array_compact(F.array(
+    reasons = without_nulls(F.array(
         F.when(is_high_amount(cfg.high_amount, cfg.amount_col), F.lit(REASON_HIGH_AMOUNT)),
         F.when(F.coalesce(F.col(cfg.sender_country_col).isin(lst), F.lit(False)), F.lit(REASON_SANCTIONED_SENDER)),
         F.when(F.coalesce(F.col(cfg.receiver_country_col).isin(lst), F.lit(False)), F.lit(REASON_SANCTIONED_RECEIVER)),
