@@ -205,8 +205,8 @@ SELECT * FROM (
 ORACLE["w4_top_n_per_group"] = f"""
 WITH {TXN}
 SELECT transaction_type, rank, transaction_id, CAST(amount_usd AS DOUBLE) AS amount_usd FROM (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY transaction_type
-                               ORDER BY amount_usd DESC NULLS LAST, transaction_id) AS rank
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY transaction_type
+                                    ORDER BY amount_usd DESC NULLS LAST, transaction_id) AS INTEGER) AS rank
   FROM txn) WHERE rank <= 3"""
 
 ORACLE["a1_row_count"] = f"WITH {TXN} SELECT COUNT(*) AS n_rows FROM txn"
@@ -270,7 +270,7 @@ FROM txn WHERE status IS NOT NULL GROUP BY status"""
 
 ORACLE["a9_line_mean_data"] = f"""
 WITH {TXN},
-g AS (SELECT year(transactiondate) AS order_year,
+g AS (SELECT CAST(year(transactiondate) AS INTEGER) AS order_year,
              CAST(SUM(amount_usd) AS DOUBLE) / COUNT(amount_usd) AS mean,
              stddev_samp(CAST(amount_usd AS DOUBLE)) AS sd, COUNT(amount_usd) AS n
       FROM txn GROUP BY 1)
@@ -384,7 +384,7 @@ GEO = """geo AS (SELECT r.r_name, n.n_name, c.c_mktsegment, CAST(c.c_acctbal AS
 ORACLE["a18_sunburst"] = f"""
 WITH {GEO},
 g AS (SELECT r_name, n_name, c_mktsegment, CAST(SUM(acctbal) AS DOUBLE) AS value,
-             3 - GROUPING(r_name) - GROUPING(n_name) - GROUPING(c_mktsegment) AS depth
+             CAST(3 - GROUPING(r_name) - GROUPING(n_name) - GROUPING(c_mktsegment) AS INTEGER) AS depth
       FROM geo GROUP BY ROLLUP (r_name, n_name, c_mktsegment))
 SELECT r_name, n_name, c_mktsegment, value, depth,
        concat_ws('/', r_name, n_name, c_mktsegment) AS node_id,
@@ -394,7 +394,7 @@ FROM g WHERE depth > 0"""
 ORACLE["a19_treemap"] = """
 WITH g AS (SELECT p_type, p_brand, SUM(p_size) AS value,
                   SUM(CAST(p_retailprice AS DOUBLE) * CAST(p_size AS DOUBLE)) / SUM(CAST(p_size AS DOUBLE)) AS color,
-                  2 - GROUPING(p_type) - GROUPING(p_brand) AS depth
+                  CAST(2 - GROUPING(p_type) - GROUPING(p_brand) AS INTEGER) AS depth
            FROM part GROUP BY ROLLUP (p_type, p_brand))
 SELECT p_type, p_brand, value, ROUND(color, 6) AS color, depth,
        concat_ws('/', p_type, p_brand) AS node_id,
@@ -550,7 +550,7 @@ def alert_sql(path, tid, amount, fee, sname, sdetails, scountry, rname, rdetails
 
 ORACLE["t5_alert_stream"] = f"""
 WITH {EVS}
-SELECT transaction_id, value AS amount, 0.0 AS fee, 'user_' || CAST(user_id AS VARCHAR) AS sender_name,
+SELECT transaction_id, value AS amount, CAST(0.0 AS DOUBLE) AS fee, 'user_' || CAST(user_id AS VARCHAR) AS sender_name,
        'N/A' AS receiver_name,
        {alert_sql("'<path>'", "transaction_id", "value", "0.0", "'user_' || CAST(user_id AS VARCHAR)", None, "sc",
                   "'N/A'", None, "rc", "event_type", "'N/A'", iso("ts"))} AS message
