@@ -527,6 +527,15 @@ def q_t4(spark, sf):
     return _run_to_parquet(flagged, spark, "dormant")
 
 
+@register("t4_dormant_stream_table")
+def q_t4t(spark, sf):
+    ev = _events_stream(spark, sf, staged=True)
+    out, state, ck = scratch_path(spark, "dormant-out"), scratch_path(spark, "dormant-state"), scratch_path(spark, "ck")
+    pl.run_available(dm.dormant_batches(ev, "user_id", "ts", "value", "event_id", EVENT_DORMANT_GAP_SECONDS,
+                                        EVENT_DORMANT_MIN_VALUE, state, out, ck))
+    return spark.read.parquet(out).drop("batch_id")
+
+
 def _mask_path(col):
     return F.regexp_replace(col, r"\*File Path:\*\n[^\n]*\n", "*File Path:*\n<path>\n")
 
