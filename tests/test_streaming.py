@@ -11,7 +11,7 @@ from txmon.plans.params import EVENT_RULES
 from txmon.session import scratch_path
 from txmon.sources.files import read_routed
 from txmon.streaming import dormancy as dm
-from txmon.streaming import pipeline as pl
+from txmon.streaming import monitor as pl
 from txmon.streaming import windows as sw
 
 

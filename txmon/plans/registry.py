@@ -458,7 +458,7 @@ from txmon.sources import files as fs  # noqa: E402
 from txmon.sources import sinks as sk  # noqa: E402
 from txmon.sources.events import read_event_stream  # noqa: E402
 from txmon.streaming import dormancy as dm  # noqa: E402
-from txmon.streaming import pipeline as pl  # noqa: E402
+from txmon.streaming import monitor as pl  # noqa: E402
 from txmon.streaming import windows as sw  # noqa: E402
 
 

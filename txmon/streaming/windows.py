@@ -3,7 +3,7 @@
 Event time must be TIMESTAMP (not TIMESTAMP_NTZ) for a watermark, so it is cast first.
 In append mode a window / session is emitted once the watermark passes its end; the watermark
 (max event time seen - delay) also bounds the state kept, and rows older than it are dropped
-(T10, counted by ``pipeline.dropped_by_watermark``).
+(T10, counted by ``monitor.dropped_by_watermark``).
 """
 
 from __future__ import annotations
