@@ -32,7 +32,8 @@ HEADLINE = [
     "u2_dedup_earliest",     # min_by de-duplication of repeated ids
     "u3_reconcile",          # source vs landed reconciliation
     "t1_monitor_stream",     # streaming classify-and-route into partitioned CSV
-    "t4_dormant_stream",     # stateful stream (per-account state)
+    "t4_dormant_stream",     # stateful stream (per-account state store)
+    "t4_dormant_stream_table",  # skew-safe stateful stream (segmented lag + state table)
     "g5_amount_by_region",   # ad hoc SQL with joins
 ]
 
