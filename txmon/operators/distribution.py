@@ -18,6 +18,12 @@ from txmon.operators.segmented import join_on_keys, running_sum
 from txmon.operators.topk import top_n
 
 
+def one_row(stats: DataFrame) -> Column:
+    """A one-row DataFrame as a single struct-valued scalar subquery: all its statistics come
+    from one job however many fields are read (AQE reuses the identical subquery)."""
+    return stats.select(F.struct(*[F.col(c) for c in stats.columns])).scalar()
+
+
 def _groups(by) -> list[str]:
     return [] if by is None else ([by] if isinstance(by, str) else list(by))
 
@@ -53,8 +59,8 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Counts of ``bins`` equal-width bins over [min, max]; empty bins reported as 0."""
     x = F.col(col).cast("double")
     vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    lo = vals.select(F.min("_x")).scalar()
-    hi = vals.select(F.max("_x")).scalar()
+    st = one_row(vals.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")))
+    lo, hi = st["lo"], st["hi"]
     counts = (vals.select(bucket_expr(F.col("_x"), lo, hi, bins).alias("bin"))
                   .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -71,8 +77,9 @@ def density_heatmap(df: DataFrame, x: str, y: str, bins_x: int = 10, bins_y: int
     ``level`` 0 = cell, 1 = x margin (y_bin NULL), 2 = y margin (x_bin NULL)."""
     v = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
           .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    lx, hx = v.select(F.min("_x")).scalar(), v.select(F.max("_x")).scalar()
-    ly, hy = v.select(F.min("_y")).scalar(), v.select(F.max("_y")).scalar()
+    st = one_row(v.agg(F.min("_x").alias("lx"), F.max("_x").alias("hx"),
+                       F.min("_y").alias("ly"), F.max("_y").alias("hy")))
+    lx, hx, ly, hy = st["lx"], st["hx"], st["ly"], st["hy"]
     b = v.select(bucket_expr(F.col("_x"), lx, hx, bins_x).alias("x_bin"),
                  bucket_expr(F.col("_y"), ly, hy, bins_y).alias("y_bin"))
     sets = [[F.col("x_bin"), F.col("y_bin")], [F.col("x_bin")], [F.col("y_bin")]]
@@ -142,7 +149,8 @@ def attach(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
     scalar subqueries, so no join at all."""
     extra = [c for c in b.columns if c not in g]
     if not g:
-        return a.withColumns({c: b.select(c).scalar() for c in extra})
+        row = one_row(b.select(*extra))
+        return a.withColumns({c: row[c] for c in extra})
     return join_on_keys(a, b, g, "inner")
 
 
