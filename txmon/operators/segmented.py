@@ -55,7 +55,6 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-_null_safe_join = join_on_keys
 
 
 def _default_of(dtype: T.DataType):

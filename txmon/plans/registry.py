@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txmon.functions.money import expected_fee as fee_expr
-from txmon.functions.money import format_usd
 from txmon.operators import aggregates as agg
 from txmon.operators import flatten as fl
 from txmon.operators import rules
