@@ -19,10 +19,17 @@ CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "encoding":
                "mode": "PERMISSIVE"}
 
 
-def with_partition_schema(schema: T.StructType, partitions=PARTITION_COLUMNS) -> T.StructType:
-    """Declare the folder partition columns as text so '01' stays '01' (no type inference)."""
-    have = set(schema.fieldNames())
-    return T.StructType(schema.fields + [T.StructField(p, T.StringType()) for p in partitions if p not in have])
+# Text width of the date folder values.
+DATE_WIDTH = {"year": 4, "month": 2, "day": 2}
+
+
+def as_folder_text(df: DataFrame) -> DataFrame:
+    """Discovered partition values back to folder text: '2024', '01', '05' (discovery infers
+    numbers; the data schema itself stays the file's columns, so headers line up)."""
+    cols = {c: F.lpad(F.col(c).cast("string"), w, "0") for c, w in DATE_WIDTH.items() if c in df.columns}
+    if "route" in df.columns:
+        cols["route"] = F.col("route").cast("string")
+    return df.withColumns(cols)
 
 
 def read_routed(spark: SparkSession, base: str, streaming: bool = False,
@@ -30,8 +37,8 @@ def read_routed(spark: SparkSession, base: str, streaming: bool = False,
     """Both routes of the routed sink (``route=/year=/month=/day=`` folders); ``source_file`` is
     each row's file. Filters on route/year/month/day prune folders in batch reads."""
     reader = spark.readStream if streaming else spark.read
-    df = reader.schema(with_partition_schema(schema)).options(**CSV_OPTIONS).options(**opts).csv(base)
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+    df = reader.schema(schema).options(**CSV_OPTIONS).options(**opts).csv(base)
+    return as_folder_text(df).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def read_suspicious(spark: SparkSession, base: str, streaming: bool = False, layout: str = "hive",
@@ -45,15 +52,15 @@ def read_suspicious(spark: SparkSession, base: str, streaming: bool = False, lay
     reader = spark.readStream if streaming else spark.read
     reader = reader.options(**CSV_OPTIONS).options(**opts)
     if layout == "plain":
-        df = (reader.schema(with_partition_schema(schema, [])).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+        df = (reader.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
                     .csv(base))
         path = F.col("_metadata.file_path")
         m = r"/(\d{4})/(\d{2})/(\d{2})/[^/]+$"
         return df.withColumns({"source_file": path, "year": F.regexp_extract(path, m, 1),
                                "month": F.regexp_extract(path, m, 2), "day": F.regexp_extract(path, m, 3),
                                "route": F.lit(route)})
-    df = reader.schema(with_partition_schema(schema, ["year", "month", "day"])).csv(f"{base.rstrip('/')}/route={route}")
-    return df.withColumns({"source_file": F.col("_metadata.file_path"), "route": F.lit(route)})
+    df = reader.schema(schema).csv(f"{base.rstrip('/')}/route={route}")
+    return as_folder_text(df).withColumns({"source_file": F.col("_metadata.file_path"), "route": F.lit(route)})
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
