@@ -134,15 +134,22 @@ def transfers_of(lineitem: DataFrame) -> DataFrame:
         F.col("l_suppkey").alias("account"))
 
 
-def stage_time_slices(df: DataFrame, ts: str, path: str, n: int) -> str:
-    """Test staging for multi-batch streams: write ``df`` as ``n`` event-time slices, one file
-    each, oldest first (the file source then reads them in that order, one per trigger with
-    ``maxFilesPerTrigger=1``). Only used to drive streams over the test tables."""
+def stage_time_slices(df: DataFrame, ts: str, path: str, n: int, files: int = 8) -> str:
+    """Test staging for multi-batch streams: write ``df`` under ``path`` as ``n`` event-time
+    slices, oldest first, each an ordinary parallel write of exactly ``files`` files (round-robin
+    repartition, no single-task funnel). The file source takes the oldest files first, so a stream
+    with ``maxFilesPerTrigger=files`` reads one whole slice per micro-batch, in event-time order.
+    Only used to drive streams over the test tables."""
     t = F.col(ts).cast("timestamp").cast("double")
-    lo = df.select(F.min(t)).scalar()
-    hi = df.select(F.max(t)).scalar()
-    b = F.least(F.floor((t - lo) * F.lit(float(n)) / (hi - lo)), F.lit(n - 1))
+    st = df.select(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()  # one job for both bounds
+    lo, hi = st["lo"], st["hi"]
+    b = F.when(hi > lo, F.least(F.floor((t - lo) * F.lit(float(n)) / (hi - lo)), F.lit(n - 1))).otherwise(0)
     sliced = df.withColumn("_slice", b)
+    spark = df.sparkSession
     for i in range(n):
-        sliced.filter(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("overwrite").parquet(f"{path}/slice_{i:03d}")
+        out = f"{path}/slice_{i:03d}"
+        sliced.filter(F.col("_slice") == i).drop("_slice").repartition(files).write.mode("overwrite").parquet(out)
+        written = len(spark.read.parquet(out).inputFiles())
+        if written != files:  # a short slice would let one micro-batch straddle two slices
+            raise ValueError(f"slice {i} has {written} files, expected {files}")
     return path

@@ -461,17 +461,24 @@ from txmon.streaming import monitor as pl  # noqa: E402
 from txmon.streaming import windows as sw  # noqa: E402
 
 
-def _events_stream(spark, sf, staged: bool = False, slices: int = 4):
+def _events_stream(spark, sf):
     schema = fx.table(spark, sf, "events").schema
-    if staged:
-        path = fx.stage_time_slices(fx.table(spark, sf, "events"), "ts", scratch_path(spark, "staged-events"), slices)
-        return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _messages(spark, sf, staged: bool = False):
-    if staged:
-        return fx.events_to_messages(_events_stream(spark, sf, staged=True))
+# Multi-batch stream runs over the test tables: event-time slices of ``events``, each read as
+# one micro-batch (see ``fixtures.stage_time_slices``).
+SLICES, SLICE_FILES = 4, 8
+
+
+def _sliced_events_stream(spark, sf):
+    events = fx.table(spark, sf, "events")
+    path = fx.stage_time_slices(events, "ts", scratch_path(spark, "staged-events"), SLICES, SLICE_FILES)
+    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", SLICE_FILES)
+                 .option("recursiveFileLookup", "true").parquet(path))
+
+
+def _messages(spark, sf):
     schema = fx.table(spark, sf, "events").schema
     return read_event_stream(spark, "parquet", convert=fx.events_to_messages, path=sf, schema=schema,
                              pathGlobFilter="events.parquet")
@@ -485,9 +492,9 @@ def _run_to_parquet(df, spark, name, mode="append"):
     return spark.read.parquet(out)
 
 
-def _routed_events(spark, sf, staged=False):
+def _routed_events(spark, sf):
     base, ck = scratch_path(spark, "routed"), scratch_path(spark, "routed-ck")
-    pl.run_available(pl.monitor_stream(_messages(spark, sf, staged), base, ck, EVENT_RULES))
+    pl.run_available(pl.monitor_stream(_messages(spark, sf), base, ck, EVENT_RULES))
     return base
 
 
@@ -500,7 +507,9 @@ def _routed_view(spark, base):
 
 @register("t1_monitor_stream")
 def q_t1(spark, sf):
-    return _routed_view(spark, _routed_events(spark, sf, staged=True))
+    base, ck = scratch_path(spark, "routed"), scratch_path(spark, "routed-ck")
+    pl.run_available(pl.monitor_stream(fx.events_to_messages(_sliced_events_stream(spark, sf)), base, ck, EVENT_RULES))
+    return _routed_view(spark, base)
 
 
 @register("t3_run_available")
@@ -520,18 +529,16 @@ def q_a24(spark, sf):
 
 @register("t4_dormant_stream")
 def q_t4(spark, sf):
-    ev = _events_stream(spark, sf, staged=True)
-    flagged = dm.dormant_stream(ev, "user_id", "ts", "value", "event_id", EVENT_DORMANT_GAP_SECONDS,
-                                EVENT_DORMANT_MIN_VALUE)
+    flagged = dm.dormant_stream(_sliced_events_stream(spark, sf), "user_id", "ts", "value", "event_id",
+                                EVENT_DORMANT_GAP_SECONDS, EVENT_DORMANT_MIN_VALUE)
     return _run_to_parquet(flagged, spark, "dormant")
 
 
 @register("t4_dormant_stream_table")
 def q_t4t(spark, sf):
-    ev = _events_stream(spark, sf, staged=True)
     out, state, ck = scratch_path(spark, "dormant-out"), scratch_path(spark, "dormant-state"), scratch_path(spark, "ck")
-    pl.run_available(dm.dormant_batches(ev, "user_id", "ts", "value", "event_id", EVENT_DORMANT_GAP_SECONDS,
-                                        EVENT_DORMANT_MIN_VALUE, state, out, ck))
+    pl.run_available(dm.dormant_batches(_sliced_events_stream(spark, sf), "user_id", "ts", "value", "event_id",
+                                        EVENT_DORMANT_GAP_SECONDS, EVENT_DORMANT_MIN_VALUE, state, out, ck))
     return spark.read.parquet(out).drop("batch_id")
 
 
