@@ -595,10 +595,19 @@ def q_s6(spark, sf):
 _TXN_ROUTED = ["transaction_id", "transactiondate", "amount_usd", "sender_country", "receiver_country"]
 
 
+_ROUTED_WRITES: dict[tuple, str] = {}
+
+
 def _write_txn_routed(spark, sf):
-    base = scratch_path(spark, "txn-routed")
-    sk.write_routed(fx.txn(spark, sf).select(*_TXN_ROUTED), base, TXN_RULES, partition_by="event",
-                    event_ts="transactiondate")
+    """Route ``txn`` into date folders once per session and scale; s3 and s4 read the same folder
+    (it is never modified after the write)."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir"), sf)
+    base = _ROUTED_WRITES.get(key)
+    if base is None:
+        base = scratch_path(spark, "txn-routed")
+        sk.write_routed(fx.txn(spark, sf).select(*_TXN_ROUTED), base, TXN_RULES, partition_by="event",
+                        event_ts="transactiondate")
+        _ROUTED_WRITES[key] = base
     schema = _T.StructType([_T.StructField(c, _T.StringType()) for c in _TXN_ROUTED + ["flag_reasons"]])
     return base, schema
 
