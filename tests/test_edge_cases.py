@@ -283,3 +283,35 @@ def test_plain_date_folder_layout_is_read_with_dates_from_the_path(spark):
     got = sorted((r.transaction_id, r.year, r.month, r.day, r.source_file.endswith("transactions_x.csv"))
                  for r in fs.read_suspicious(spark, base, layout="plain", schema=schema).collect())
     assert got == [("1", "2024", "01", "05", True), ("2", "2024", "01", "05", True), ("3", "2024", "02", "11", True)]
+
+
+def test_dormancy_state_step_orders_ties_ignores_late_rows_and_carries_state():
+    import pandas as pd
+
+    from txmon.streaming.dormancy import _processor
+
+    class State:
+        def __init__(self):
+            self.v = None
+
+        @property
+        def exists(self):
+            return self.v is not None
+
+        @property
+        def get(self):
+            return (self.v,)
+
+        def update(self, v):
+            self.v = v[0]
+
+    step, st = _processor(3600.0, 10.0), State()
+    t = pd.Timestamp("2024-01-01")
+    b1 = pd.DataFrame({"id": ["b", "a", "c"], "ts": [t, t, t + pd.Timedelta(hours=2)], "amount": [50.0, 50.0, None]})
+    assert list(step(("acct",), iter([b1]), st)) == []  # no previous time; NULL amount never flags
+    assert st.v == (t + pd.Timedelta(hours=2)).to_pydatetime()
+    b2 = pd.DataFrame({"id": ["late", "d", "e"], "ts": [t, t + pd.Timedelta(hours=5), t + pd.Timedelta(hours=5)],
+                       "amount": [99.0, 20.0, 20.0]})
+    out = pd.concat(list(step(("acct",), iter([b2.iloc[:1], b2.iloc[1:]]), st)))
+    assert list(out["id"]) == ["d"]  # 'late' predates the state; 'e' follows 'd' with no gap
+    assert out["gap_seconds"].iloc[0] == 3 * 3600.0 and out["account"].iloc[0] == "acct"

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,23 +24,32 @@ STATE_SCHEMA = "last_ts timestamp"
 def _processor(min_gap_seconds: float, min_amount: float):
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # all chunks of this key in this micro-batch (bounded by the trigger's batch size)
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(["ts", "id"], kind="mergesort")
+        parts = list(chunks)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        ts = rows["ts"].to_numpy(dtype="datetime64[ns]")
+        id_null = rows["id"].isna().to_numpy()
+        ids = np.where(id_null, "", rows["id"].to_numpy(dtype=object))
+        amount = rows["amount"].to_numpy(dtype="float64")
+        order = np.lexsort((ids, id_null, ts))  # by ts, then id (NULL ids last)
+        ts, ids, amount = ts[order], rows["id"].to_numpy(dtype=object)[order], amount[order]
         last = state.get[0] if state.exists else None
-        last = None if last is None or pd.isna(last) else pd.Timestamp(last)
+        last = None if last is None or pd.isna(last) else pd.Timestamp(last).to_datetime64().astype("datetime64[ns]")
         if last is not None:
-            rows = rows[rows["ts"] >= last]  # late rows: neither flagged nor applied
-        if rows.empty:
+            keep = ts >= last  # late rows: neither flagged nor applied
+            ts, ids, amount = ts[keep], ids[keep], amount[keep]
+        if len(ts) == 0:
             return
-        prev = rows["ts"].shift(1)
-        if last is not None:
-            prev.iloc[0] = last
-        gap = (rows["ts"] - prev).dt.total_seconds()
-        hit = (gap >= min_gap_seconds) & (rows["amount"] >= min_amount)
-        state.update((pd.Timestamp(rows["ts"].iloc[-1]).to_pydatetime(),))
+        prev = np.empty_like(ts)
+        prev[1:] = ts[:-1]
+        prev[0] = last if last is not None else np.datetime64("NaT")
+        gap = (ts - prev) / np.timedelta64(1, "s")  # NaN where there is no previous time
+        hit = (gap >= min_gap_seconds) & (amount >= min_amount)
+        seen = ts[~np.isnat(ts)]
+        if len(seen):
+            state.update((pd.Timestamp(seen[-1]).to_pydatetime(),))
         if hit.any():
-            out = pd.DataFrame({"account": str(key[0]), "id": rows["id"][hit], "ts": rows["ts"][hit],
-                                "prev_ts": prev[hit], "gap_seconds": gap[hit], "amount": rows["amount"][hit]})
-            yield out.reset_index(drop=True)
+            yield pd.DataFrame({"account": str(key[0]), "id": ids[hit], "ts": ts[hit], "prev_ts": prev[hit],
+                                "gap_seconds": gap[hit], "amount": amount[hit]})
     return step
 
 
