@@ -245,11 +245,13 @@ def corr_matrix(df: DataFrame, exclude=(), columns=None) -> DataFrame:
     if any(c not in df.columns for c in exclude):
         return spark.createDataFrame([], schema)
     cols = list(columns) if columns else numeric_columns(df, exclude)
-    pairs = [(a, b) for a in cols for b in cols]
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    # Pearson is symmetric: aggregate each unordered pair once (i <= j), emit both orders
+    cell = {(i, j): f"c{i}_{j}" for i in range(len(cols)) for j in range(i, len(cols))}
+    aggs = [F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(name)
+            for (i, j), name in cell.items()]
     wide = df.agg(*aggs)
-    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{i}").alias("corr"))
-               for i, (a, b) in enumerate(pairs)]
+    structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(cell[min(i, j), max(i, j)]).alias("corr"))
+               for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
