@@ -2,7 +2,7 @@
 
 ``Window.partitionBy(key)`` sends every row of a key to one task, so a key holding a third of
 the data becomes one huge sort. Both helpers split each key into ordered *segments* (a
-monotone bucket of the ordering column, e.g. the day of a timestamp) and:
+monotone bucket of the ordering column, e.g. the hour of a timestamp) and:
 
 1. compute the per-segment result with a window over ``(key, segment)`` (many tasks per key);
 2. aggregate one row per ``(key, segment)`` (partial aggregation before the shuffle);
@@ -30,12 +30,16 @@ LOG_SEGMENTS_PER_DOUBLING = 64
 def default_segment(df: DataFrame, order_col: str) -> Column:
     """A monotone bucket of the first ordering column.
 
-    Timestamps/dates: the day. Numbers: ``floor(64 * sign(v) * log2(1 + |v|))`` -- monotone in
+    Timestamps: the hour (a key holding a third of 100 TB over seven years is ~0.5 GB per hour,
+    a right-sized task; the carry table has one small row per active key-hour). Dates: the day.
+    Numbers: ``floor(64 * sign(v) * log2(1 + |v|))`` -- monotone in
     v, needs no statistics pass, and stays bounded (about 5,000 segments across +-1e12) however
     wide the value range is. Other types: a single segment (plain window per key)."""
     dt = df.schema[order_col].dataType
     c = F.col(order_col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("hour", c.cast("timestamp"))
+    if isinstance(dt, T.DateType):
         return F.date_trunc("day", c.cast("timestamp"))
     if isinstance(dt, T.NumericType):
         v = c.cast("double")
