@@ -362,6 +362,24 @@ SELECT event_type, grid_index, ROUND(x, 6) AS x,
        ROUND(ksum / (n * bw * sqrt(2 * pi())) * (n / (SELECT total FROM tot)) * 1e6, 4) AS density_e6
 FROM d"""
 
+ORACLE["a15_kde_binned"] = """
+WITH v AS (SELECT CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL),
+st AS (SELECT COUNT(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v),
+q AS (SELECT n, mn, mx, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
+q2 AS (SELECT n, mn, mx, bw, mn - 3.0 * bw AS glo, (mx + 3.0 * bw - (mn - 3.0 * bw)) / 199.0 AS step FROM q),
+b AS (SELECT CASE WHEN q2.mx = q2.mn THEN 0
+                  ELSE LEAST(CAST(floor((v.x - q2.mn) * 1000.0 / (q2.mx - q2.mn)) AS BIGINT), 999) END AS bin,
+             COUNT(*) AS w
+      FROM v, q2 GROUP BY 1),
+c AS (SELECT q2.mn + (b.bin + 0.5) * ((q2.mx - q2.mn) / 1000.0) AS cx, CAST(b.w AS DOUBLE) AS w FROM b, q2),
+g AS (SELECT q2.*, CAST(r.range AS INTEGER) AS grid_index FROM q2, range(200) r),
+d AS (SELECT g.grid_index, g.glo + g.grid_index * g.step AS x,
+             SUM(c.w * exp(-0.5 * pow((g.glo + g.grid_index * g.step - c.cx) / g.bw, 2))) AS ksum,
+             any_value(g.n) AS n, any_value(g.bw) AS bw
+      FROM g, c GROUP BY 1, 2)
+SELECT grid_index, ROUND(x, 6) AS x, ROUND(ksum / (n * bw * sqrt(2 * pi())) * 1e6, 4) AS density_e6
+FROM d"""
+
 ORACLE["a16_corr_matrix"] = " UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, ROUND(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM lineitem"
     for a in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
