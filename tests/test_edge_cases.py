@@ -315,3 +315,24 @@ def test_dormancy_state_step_orders_ties_ignores_late_rows_and_carries_state():
     out = pd.concat(list(step(("acct",), iter([b2.iloc[:1], b2.iloc[1:]]), st)))
     assert list(out["id"]) == ["d"]  # 'late' predates the state; 'e' follows 'd' with no gap
     assert out["gap_seconds"].iloc[0] == 3 * 3600.0 and out["account"].iloc[0] == "acct"
+
+
+def test_segmented_windows_are_exact_for_one_hot_key_within_one_day(spark):
+    import datetime as dt
+
+    from pyspark.sql import Window
+
+    from txmon.operators.segmented import previous_value, running_sum
+
+    t0 = dt.datetime(2024, 3, 1)
+    rows = [("hot", f"id{i:04d}", t0 + dt.timedelta(seconds=(i * 7919) % 86400), float(i % 13)) for i in range(600)]
+    rows += [("cold", f"c{i}", t0 + dt.timedelta(hours=i), 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, id string, ts timestamp, v double")
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    want = {r.id: (r.cum, r.prev) for r in df.select(
+        "id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
+        F.lag("ts").over(w).alias("prev")).collect()}
+    cum = {r.id: r.cum for r in running_sum(df, ["k"], ["ts", "id"], "v", "cum").collect()}
+    prev = {r.id: r.prev for r in previous_value(df, ["k"], ["ts", "id"], "ts", "prev").collect()}
+    assert {i: (cum[i], prev[i]) for i in want} == want
+    assert len({r.ts.hour for r in df.filter("k = 'hot'").select("ts").collect()}) == 24  # many segments
