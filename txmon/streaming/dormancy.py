@@ -9,6 +9,7 @@ and do not move the state back (``late_policy="ignore"``).
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,10 @@ STATE_SCHEMA = "last_ts timestamp"
 
 def _processor(min_gap_seconds: float, min_amount: float):
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # the state serializer's pandas concat warns once per key; silence it for this worker
+        # process (idempotent) so executor logs are not flooded
+        warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty",
+                                category=FutureWarning)
         # all chunks of this key in this micro-batch (bounded by the trigger's batch size)
         parts = list(chunks)
         rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
