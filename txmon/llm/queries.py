@@ -5,7 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmon.llm.common import table, text_of
+from txmon.llm.common import held_out, table, text_of
+
+
+#: Documents score 0.3 or more to stay.
+QUALITY_THRESHOLD = 0.3
+#: Numeric metadata of documents that the quality model may see.
+QUALITY_META = ["n_chars"]
+
+
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """The quality model, fitted without the held-out fold (crc32 of the id mod 5 is 0)."""
+    from txmon.llm.quality_fm import train
+
+    learn = labels.filter(~held_out("doc_id", 5) & F.col("doc_id").isNotNull())
+    return train(docs, learn, "doc_id", "text", "quality", QUALITY_META)
+
+
+def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txmon.llm.quality_fm import quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    found = quality_scores(docs, model, meta_cols=QUALITY_META, threshold=QUALITY_THRESHOLD, carry=["doc_id"])
+    return found.select("doc_id", held_out("doc_id", 5).alias("held_out"), "score", "predicted")
 
 
 def op2_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +40,16 @@ def op2_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from txmon.llm.lattice_lm import lattice_scores
+
+    held = held_out("doc_id", 10)
+    found = lattice_scores(table(spark, sf_dir, "documents"), ~held, public_tokenizers.path("piece_bpe_32k.model"), carry=["doc_id"])
+    return found.withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txmon.llm.simhash import simhash_components
 
@@ -45,4 +78,4 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_progressive_exact_dedup, op5_simhash_pigeonhole, op8_whole_token_counts, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op5_simhash_pigeonhole, op8_whole_token_counts, op10_poisson_mix)}
