@@ -57,6 +57,12 @@ def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txmon.llm.html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"]).select("page_id", "url", "text", "n_chars")
+
+
 def op8_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -78,4 +84,4 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op5_simhash_pigeonhole, op8_whole_token_counts, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op5_simhash_pigeonhole, op7_text_tag_ratio, op8_whole_token_counts, op10_poisson_mix)}
