@@ -50,6 +50,15 @@ def op3_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op4_lsa_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every benchmark item found in a document."""
+    from txmon.llm.lsa_decontam import mark_leaks
+
+    found = mark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", F.explode("leaks").alias("x")).select(
+        "doc_id", "x.item_id", F.round("x.cosine", 4).alias("cosine"), "x.lcs_share", "x.answer_share")
+
+
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txmon.llm.simhash import simhash_components
 
@@ -84,4 +93,4 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op5_simhash_pigeonhole, op7_text_tag_ratio, op8_whole_token_counts, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op4_lsa_decontamination, op5_simhash_pigeonhole, op7_text_tag_ratio, op8_whole_token_counts, op10_poisson_mix)}
