@@ -81,6 +81,13 @@ def op8_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txmon.llm.suffix_dedup import suffix_dedup
+
+    found = suffix_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 #: Target weights of the mixing query: the hot source counts half, two small ones double, all others one.
 MIX_WEIGHTS = {"src0": 0.5, "src1": 2.0, "src2": 2.0}
 
@@ -93,4 +100,4 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op4_lsa_decontamination, op5_simhash_pigeonhole, op7_text_tag_ratio, op8_whole_token_counts, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op4_lsa_decontamination, op5_simhash_pigeonhole, op7_text_tag_ratio, op8_whole_token_counts, op9_suffix_array_dedup, op10_poisson_mix)}
