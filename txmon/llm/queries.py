@@ -66,6 +66,22 @@ def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of documents as files ``source/lang/<doc_id div 1000>/<doc_id div 100>/<doc_id>``.
+
+    The table has no file names. A document that closes with its licence line stands for the licence file of its
+    thousand: it is named LICENSE-<doc_id> and lies one directory higher.
+    """
+    from txmon.llm.license_scan import CUE, license_scan
+
+    name, hundreds, thousands = F.col("doc_id").cast("string"), F.floor(F.col("doc_id") / 100), F.floor(F.col("doc_id") / 1000)
+    closes = F.element_at(F.split(text_of("text"), "\n"), -1).rlike(CUE)
+    path = F.concat_ws("/", "source", "lang", thousands.cast("string"),
+                       F.when(closes, F.concat(F.lit("LICENSE-"), name)).otherwise(F.concat_ws("/", hundreds.cast("string"), name)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
+    return license_scan(docs, carry=["doc_id", "path"]).select("doc_id", "path", "license", "license_cosine", "license_via", "license_dir")
+
+
 def op7_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txmon.llm.html_extract import extract_text
 
@@ -100,4 +116,4 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op4_lsa_decontamination, op5_simhash_pigeonhole, op7_text_tag_ratio, op8_whole_token_counts, op9_suffix_array_dedup, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op4_lsa_decontamination, op5_simhash_pigeonhole, op6_license_scan, op7_text_tag_ratio, op8_whole_token_counts, op9_suffix_array_dedup, op10_poisson_mix)}
