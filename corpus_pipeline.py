@@ -9,16 +9,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from txmon.llm.common import materialize, table
 from txmon.llm.exact_dedup import exact_dedup
+from txmon.llm.lsa_decontam import mark_leaks
 from txmon.llm.poisson_mix import poisson_mix
-from txmon.llm.queries import MIX_WEIGHTS
+from txmon.llm.quality_fm import quality_scores
+from txmon.llm.queries import MIX_WEIGHTS, QUALITY_META, QUALITY_THRESHOLD, quality_model
 from txmon.llm.simhash import simhash_components
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model does not reject; the model never sees the held-out fold's labels."""
+    model = quality_model(docs, table(spark, sf_dir, "labels"))
+    scored = quality_scores(docs, model, meta_cols=QUALITY_META, threshold=QUALITY_THRESHOLD)
+    return scored.filter("predicted = 1").select(*docs.columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of byte-identical texts the row with the largest doc_id stays."""
     return exact_dedup(docs).filter("kept").select(*docs.columns)
@@ -29,12 +39,23 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash_components(docs, shingle=4, max_bits=4).filter("stays").select(*docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return mark_leaks(docs, table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies of documents by target weights of their sources."""
     return poisson_mix(docs, MIX_WEIGHTS)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact), ("simhash_near_dedup", near), ("source_mix", mix)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", quality),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("benchmark_decontamination", decontaminate),
+    ("source_mix", mix),
+]
 
 #: SQL cannot express the learned and iterative stages; tests compare them with brute force.
 ORACLE_SQL = None
