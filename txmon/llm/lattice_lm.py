@@ -15,7 +15,7 @@ a join, which adaptive execution can split.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from math import exp, inf, log, log10
 
 import numpy as np
@@ -31,21 +31,62 @@ HEAD_BYTES = 64
 ROUNDS = 2
 #: Longest text (characters) handled in arrays with others of its length.
 VECTOR_CHARS = 40
-_FLUSH = 300_000
-_CACHE = 400_000
+_FLUSH = 500_000
 MARK = "▁"
 _LN10 = log(10)
 
 
+class PieceTable:
+    """Ids of pieces by a hash of their characters, looked up for whole arrays at once (open addressing)."""
+
+    BASE, SPREAD = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str]):
+        self.bits = max(10, (8 * len(pieces)).bit_length())
+        base, mask, found = int(self.BASE), (1 << 64) - 1, []
+        for piece in pieces:
+            h = 0
+            for c in piece:  # as step() does
+                h = (h * base + ord(c) + 1) & mask
+            found.append(h)
+        keys = np.array(found, dtype=np.uint64)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have one hash")
+        self.keys = keys
+        self.slots = np.full((1 << self.bits) + 64, -1, dtype=np.int32)
+        for k, slot in enumerate(self.slot(keys).tolist()):
+            while self.slots[slot] >= 0:
+                slot += 1
+            self.slots[slot] = k
+
+    def step(self, h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The hash of a text longer by one character."""
+        return h * self.BASE + codes + np.uint64(1)
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * self.SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece ids of hashes, -1 for none."""
+        slot = self.slot(h)
+        ids = self.slots[slot]
+        other = np.flatnonzero((ids >= 0) & (self.keys[ids] != h))
+        while len(other):
+            slot[other] += 1
+            ids[other] = self.slots[slot[other]]
+            other = other[(ids[other] >= 0) & (self.keys[ids[other]] != h[other])]
+        return ids
+
+
 class Lattice:
     """Log probabilities of paths of pieces; characters outside the vocabulary fall back to their bytes."""
 
     def __init__(self, pieces: list[str], logs: np.ndarray):
         self.longest = max(map(len, pieces))
         self.ids = {p: i for i, p in enumerate(pieces)}
+        self.table = PieceTable(pieces)
         self.logs = np.append(logs, -inf)  # id -1: no such piece
         self.byte_ids = [self.ids[f"<0x{b:02X}>"] for b in range(256)]
-        self.cache: dict[bytes, float] = {}
 
     def arcs(self, text: str) -> list[tuple[int, int, list[int]]]:
         """(from, to, piece ids) of every arc; an unknown character is one arc of byte pieces."""
@@ -84,59 +125,56 @@ class Lattice:
         return alpha[-1]
 
     def many(self, words: list[bytes], into: np.ndarray | None = None) -> np.ndarray:
-        """The same for many words, those of one length together (one array operation an arc)."""
+        """The same for many words, those of one length together (a few array operations an arc)."""
         out = np.zeros(len(words))
         by: dict[int, list[int]] = {}
         texts = [MARK + w.decode() for w in words]
         for k, text in enumerate(texts):
             by.setdefault(len(text), []).append(k)
-        get = self.ids.get
         for n, members in by.items():
-            for start in range(0, len(members), 4096):
-                some = members[start:start + 4096]
+            for start in range(0, len(members), 8192):
+                some = members[start:start + 8192]
                 own = [texts[k] for k in some]
-                if n > VECTOR_CHARS or len(some) < 4:
+                if n > VECTOR_CHARS or len(some) < 4 or any("\0" in t for t in own):  # arrays drop closing zeros
                     out[some] = [self.one(t, into) for t in own]
-                    continue
-                cells, odd = {}, np.zeros(len(own), dtype=bool)
-                for i in range(n):
-                    for j in range(i + 1, min(n, i + self.longest) + 1):
-                        ids = np.array([get(t[i:j], -1) for t in own])
-                        if j == i + 1:
-                            odd |= ids < 0
-                        if (ids >= 0).any():
-                            cells[i, j] = ids
-                alpha = [np.zeros(len(own))]
-                for j in range(1, n + 1):
-                    alpha.append(_log_sums([alpha[i] + self.logs[cells[i, j]] for i in range(max(0, j - self.longest), j) if (i, j) in cells], len(own)))
-                if odd.any():  # words with characters outside the vocabulary
-                    which = np.flatnonzero(odd)
-                    alpha[n][which] = [self.one(own[k], into) for k in which]
-                out[some] = alpha[n]
-                if into is not None:
-                    beta: list = [None] * n + [np.zeros(len(own))]
-                    plain = ~odd
-                    for i in range(n - 1, -1, -1):
-                        terms = []
-                        for j in range(i + 1, min(n, i + self.longest) + 1):
-                            if (i, j) in cells:
-                                ids = cells[i, j]
-                                terms.append(self.logs[ids] + beta[j])
-                                use = plain & (ids >= 0)
-                                into += np.bincount(ids[use], np.exp(alpha[i][use] + terms[-1][use] - alpha[n][use]), len(into))
-                        beta[i] = _log_sums(terms, len(own))
+                else:
+                    out[some] = self._column(own, n, into)
         return out
 
-    def words(self, wanted: Iterable[bytes]) -> dict[bytes, float]:
-        """Natural log probability of words over their segmentations into pieces, with a bounded memory of short words."""
-        wanted = set(wanted)
-        known = {w: x for w in wanted if (x := self.cache.get(w)) is not None}
-        new = [w for w in wanted if w not in known]
-        fresh = dict(zip(new, self.many(new).tolist()))
-        if len(self.cache) + len(fresh) > _CACHE:
-            self.cache.clear()
-        self.cache.update((w, x) for w, x in fresh.items() if len(w) <= HEAD_BYTES)
-        return known | fresh
+    def _column(self, texts: list[str], n: int, into: np.ndarray | None) -> np.ndarray:
+        """Forward (and backward) recursion over texts of ``n`` characters at once."""
+        size = len(texts)
+        codes = np.ascontiguousarray(np.array(texts, dtype=f"<U{n}").view(np.uint32).reshape(size, n).T).astype(np.uint64)
+        cells, odd = {}, np.zeros(size, dtype=bool)
+        for i in range(n):
+            h = np.zeros(size, dtype=np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                h = self.table.step(h, codes[j - 1])
+                ids = self.table.find(h)
+                if j == i + 1:
+                    odd |= ids < 0
+                if (ids >= 0).any():
+                    cells[i, j] = ids, self.logs[ids]
+        alpha = [np.zeros(size)]
+        for j in range(1, n + 1):
+            alpha.append(_log_sums([alpha[i] + cells[i, j][1] for i in range(max(0, j - self.longest), j) if (i, j) in cells], size))
+        which = np.flatnonzero(odd)  # texts with characters outside the vocabulary
+        alpha[n][which] = [self.one(texts[k], into) for k in which.tolist()]
+        if into is not None:
+            beta: list = [None] * n + [np.zeros(size)]
+            used, uses = [], []
+            for i in range(n - 1, -1, -1):
+                terms = []
+                for j in range(i + 1, min(n, i + self.longest) + 1):
+                    if (i, j) in cells:
+                        ids, logs = cells[i, j]
+                        terms.append(logs + beta[j])
+                        use = np.flatnonzero((ids >= 0) & ~odd)
+                        used.append(ids[use])
+                        uses.append(np.exp(alpha[i][use] + terms[-1][use] - alpha[n][use]))
+                beta[i] = _log_sums(terms, size)
+            into += np.bincount(np.concatenate(used), np.concatenate(uses), len(into)) if used else 0
+        return alpha[n]
 
 
 def _log_sum(terms: list[float]) -> float:
@@ -185,10 +223,10 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """Written table (word, c) over the binary column ``_text``, counted inside tasks first."""
+    """Written table (word, c): all words of ``_text``, counted where ``_train``; combined inside tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[bytes, int] = Counter()
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
@@ -196,14 +234,19 @@ def count_words(texts: DataFrame) -> DataFrame:
             return out
 
         for batch in slices(batches, "_text"):
-            for text in batch.column("_text").to_pylist():
-                held.update(words_of(text))
+            for text, train in zip(batch.column("_text").to_pylist(), batch.column("_train").to_pylist()):
+                if train:
+                    held.update(words_of(text))
+                else:
+                    for word in words_of(text):
+                        if word not in held:
+                            held[word] = 0
                 if len(held) > _FLUSH:
                     yield flush()
         if held:
             yield flush()
 
-    return materialize(texts.select("_text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "op3-words")
+    return materialize(texts.select("_text", "_train").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "op3-words")
 
 
 def adapt(words: DataFrame, pieces: list[str], start: np.ndarray, rounds: int = ROUNDS, prior: float = 100.0) -> np.ndarray:
@@ -230,10 +273,22 @@ def adapt(words: DataFrame, pieces: list[str], start: np.ndarray, rounds: int =
     return np.log(p)
 
 
-def log10_add(a: Column, b: Column) -> Column:
-    """log10(10**a + 10**b) without underflow; a may be null (nothing)."""
-    top = F.greatest(a, b)
-    return F.when(a.isNull(), b).otherwise(top + F.log10(F.pow(F.lit(10.0), a - top) + F.pow(F.lit(10.0), b - top)))
+def word_scores(words: DataFrame, pieces: list[str], logs: np.ndarray, whole: float, total: int, discount: float, free: float) -> DataFrame:
+    """Written table (word, c, base, score): log10 probabilities under both models, once for every word there is."""
+    model = words.sparkSession.sparkContext.broadcast((pieces, logs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*model.value)
+        for batch in batches:
+            c = batch.column(1).to_numpy()
+            path = lattice.many(batch.column(0).to_pylist()) / _LN10 + free
+            with np.errstate(divide="ignore"):
+                arc = np.log10(np.maximum(c - discount, 0) / max(total, 1))
+            top = np.maximum(arc, path)
+            score = top + np.log10(10 ** (arc - top) + 10 ** (path - top))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log10((c + 0.1) / whole)), pa.array(score)], ["word", "c", "base", "score"])
+
+    return materialize(words.mapInArrow(run, "word binary, c long, base double, score double"), "op3-scores")
 
 
 def lattice_scores(docs: DataFrame, train: Column, vocabulary: str, text_col: str = "text",
@@ -250,62 +305,55 @@ def lattice_scores(docs: DataFrame, train: Column, vocabulary: str, text_col: st
     carry = docs.columns if carry is None else carry
     shape = docs.select(*[f"`{c}`" for c in carry]).schema
     base = pack(docs, carry, _text=text_of(text_col).cast("binary"), _train=F.coalesce(train, F.lit(False)))
-    learn = base.filter("_train")
-    words = count_words(learn)
-    ends = learn.count()
-    seen = words.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
-                     F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    words = count_words(base)
+    ends = base.filter("_train").count()
+    seen = words.filter("c > 0").agg(
+        F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
+        F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
     distinct, total = seen["v"] + (ends > 0), seen["n"] + ends
     whole = total + 0.1 * (distinct + 1)
     # absolute discount from the counts of counts; what it frees is the mass of the paths of pieces
     discount = min(0.95, max(0.05, seen["n1"] / (seen["n1"] + 2 * seen["n2"]))) if seen["n1"] else 0.5
     free = log10(discount * seen["v"] / total) if seen["v"] else log10(0.99)
     end = log10(ends / total) if ends and seen["v"] else log10(0.01)
-    pieces, start = read_vocabulary(vocabulary)
-    logs = adapt(words, pieces, start, rounds)
-    head = (words.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD_WORDS)).toArrow()
-    top, counts = head.column(0).to_pylist(), head.column(1).to_pylist()
-    paths = Lattice(pieces, logs).many(top) / _LN10 + free
-    arcs = np.array([log10((c - discount) / total) for c in counts])
-    both = (np.maximum(arcs, paths) + np.log10(1 + 10 ** -np.abs(arcs - paths))).tolist() if top else []
-    table = {w: (log10((c + 0.1) / whole), x) for w, c, x in zip(top, counts, both)}
-    model = spark.sparkContext.broadcast((pieces, logs, table))
     base_end = log10((ends + 0.1) / whole)
+    pieces, start = read_vocabulary(vocabulary)
+    logs = adapt(words.filter("c > 0"), pieces, start, rounds)
+    scored = word_scores(words, pieces, logs, whole, total, discount, free)
+    head = scored.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toArrow()
+    table = dict(zip(head.column("word").to_pylist(), zip(*(head.column(k).to_pylist() for k in ("c", "base", "score")))))
+    shared = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, known = Lattice(*model.value[:2]), model.value[2]
+        known = shared.value
         for batch in slices(batches, "_text"):
-            texts = [Counter(words_of(t)) for t in batch.column("_text").to_pylist()]
-            path = lattice.words(w for counts in texts for w in counts if w not in known)
-            out: list[list] = [[] for _ in range(7)]
-            for counts in texts:
-                head_n, head_base, head_score, tail = 0, base_end, end, []
+            out: list[list] = [[] for _ in range(6)]
+            for text in batch.column("_text").to_pylist():
+                counts = Counter(words_of(text))
+                head_n, head_base, head_score, tail, times = int(ends > 0), base_end, end, [], []
                 for word, n in counts.items():
                     own = known.get(word)
                     if own is None:
                         tail.append(word)
+                        times.append(n)
                     else:
-                        head_n += n
-                        head_base += n * own[0]
-                        head_score += n * own[1]
-                row = (counts.total() + 1, head_n + (ends > 0), head_base, head_score, tail, [counts[w] for w in tail], [path[w] / _LN10 + free for w in tail])
-                for at, x in enumerate(row):
+                        if own[0]:
+                            head_n += n
+                        head_base += n * own[1]
+                        head_score += n * own[2]
+                for at, x in enumerate((counts.total() + 1, head_n, head_base, head_score, tail, times)):
                     out[at].append(x)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(ROW), *[pa.array(x, k) for x, k in zip(out, kinds)]],
-                                             [ROW, "_n", "_known", "_base", "_score", "_words", "_times", "_paths"])
+                                             [ROW, "_n", "_known", "_base", "_score", "_words", "_times"])
 
     schema = StructType(base.select(ROW).schema.fields + StructType.fromDDL(
-        "_n long, _known long, _base double, _score double, _words array<binary>, _times array<long>, _paths array<double>").fields)
+        "_n long, _known long, _base double, _score double, _words array<binary>, _times array<long>").fields)
     rows = materialize(base.select(ROW, "_text").mapInArrow(run, schema).withColumn("_uid", F.monotonically_increasing_id()), "op3-rows")
-    tail = rows.select("_uid", F.explode(F.arrays_zip("_words", "_times", "_paths")).alias("t")).select(
-        "_uid", F.col("t._words").alias("word"), F.col("t._times").alias("n"), F.col("t._paths").alias("path"))
-    c = F.coalesce("c", F.lit(0))
-    arc = F.log10((F.col("c") - F.lit(discount)) / F.lit(float(max(total, 1))))  # null where the word was not seen
-    rest = tail.join(words, "word", "left").groupBy("_uid").agg(
-        F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(whole))).alias("_more"),
-        F.sum(F.col("n") * log10_add(arc, F.col("path"))).alias("_more_score"),
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_more_known"))
+    tail = rows.select("_uid", F.explode(F.arrays_zip("_words", "_times")).alias("t")).select("_uid", F.col("t._words").alias("word"), F.col("t._times").alias("n"))
+    rest = tail.join(scored, "word").groupBy("_uid").agg(
+        F.sum(F.col("n") * F.col("base")).alias("_more"), F.sum(F.col("n") * F.col("score")).alias("_more_score"),
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_more_known"))
     out = rows.select(ROW, "_uid", "_n", "_known", "_base", "_score").join(rest, "_uid", "left")
     return unpack(out, shape, {
         "n_tokens": F.col("_n"), "n_known": F.col("_known") + F.coalesce("_more_known", F.lit(0)), "train_tokens": F.lit(total).cast("long"),
