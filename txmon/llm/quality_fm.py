@@ -36,6 +36,8 @@ DIM = (1 << WORD_BITS) + (STATS + META_FIELDS) * BINS
 #: Most labelled rows that a model is fitted on.
 MAX_TRAIN = 20_000
 EPOCHS = 8
+#: Small samples get more rounds, so that the model takes this many steps in all.
+LEAST_STEPS = 200
 _CACHE = 200_000
 
 _UPPER = bytes(range(65, 91))
@@ -141,7 +143,7 @@ def fit(rows: Rows, labels: np.ndarray, epochs: int = EPOCHS, step: float = 0.1,
     model.v[:] = rng.normal(0, 0.02, model.v.shape)
     gw, gv, g0 = np.full(DIM, 1e-2), np.full((DIM, FACTORS), 1e-2, dtype=np.float32), 1e-2
     sizes = np.diff(rows.at)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // n) if epochs == EPOCHS else 0)):
         order = rng.permutation(n)
         for k in range(0, n, batch):
             some = order[k:k + batch]
