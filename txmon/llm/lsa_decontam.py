@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The benchmark is a stated query set; it is handled in blocks of at most ``BLOCK_ITEMS`` items, each against all
+The benchmark is a stated query set. Documents are cut into words once; what later passes read is one small number a word
+(its place in the benchmark's vocabulary, or none). Items are handled in blocks of at most ``BLOCK_ITEMS``, each against all
 documents:
 
 1. document frequencies of the block's words over all passages of all documents;
@@ -8,7 +9,8 @@ documents:
    random test matrix (summed per word), to which the items' own Gram matrix is added; the driver gets one
    row a benchmark word and finishes the decomposition (Nystroem form);
 3. search: a window's latent inner product with every item is linear in its words, so a table (word x item) of latent
-   products scores all windows of two lengths; windows of cosine ``min_cosine`` or more are candidates;
+   products scores windows of two lengths. The sum of each word's greatest product bounds a window's score;
+   windows under the bound cannot be candidates, all others are scored, and cosines of ``MIN_COSINE`` or more are candidates;
 4. candidates are checked word by word: longest common subsequence with the item, and the share of the item's
    answer words (its rarest quarter) found there.
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from txmon.llm.common import ROW, pack, slices, text_of, unpack
+from txmon.llm.common import ROW, materialize, pack, slices, text_of, unpack
 
 STEP = 16  # words between windows
 WINDOWS = (2, 4)  # window lengths in steps
@@ -34,59 +36,57 @@ PASSAGE = 4  # passage length in steps
 BLOCK_ITEMS = 256
 EXTRA = 32  # latent dimensions beyond the block's items
 OVER = 8  # oversampling of the test matrix
-MAX_DF = 0.1  # words of more passages than this carry no weight
+MAX_DF = 0.02  # words of more passages than this carry no weight ...
+KEEP_SHARE = 0.5  # ... unless an item would keep less than this share of its distinct words
 MIN_COSINE = 0.3
 MIN_LCS = 0.5
 MIN_ANSWER = 0.5
+SURE_LCS = 0.7  # this much of an item in order needs no answer words
 #: Items of fewer words must be found whole.
 SHORT_ITEM = 8
 ITEM_WEIGHT = 8.0
 _EDGE = ".,;:!?\"'()[]{}*#%&$|<>"
 _CACHE = 300_000
-_SLICE = 1 << 20
+_SLICE = 1 << 20  # bytes of ids, four a word
+_CHUNK = 2048  # words or windows multiplied at once
 
 
 def normal(word: bytes) -> str:
     return word.decode().lower().strip(_EDGE)
 
 
-class Words:
-    """Ids of a block's words; -1 for any other, -2 for words that are punctuation only."""
+class Words(dict):
+    """Raw words to ids of the benchmark's vocabulary; -1 for any other, -2 for words that are punctuation only."""
 
     def __init__(self, ids: dict[str, int]):
-        self.ids, self.memo = ids, {}
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, word: bytes) -> int:
+        plain = normal(word)
+        found = self.ids.get(plain, -1) if plain else -2
+        if len(self) > _CACHE:
+            self.clear()
+        self[word] = found
+        return found
 
     def of(self, text: bytes) -> np.ndarray:
-        memo, words = self.memo, text.split()
-        found = [memo.get(w) for w in words]
-        if None in found:
-            if len(memo) > _CACHE:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    plain = normal(w)
-                    memo[w] = self.ids.get(plain, -1) if plain else -2
-            found = [memo[w] for w in words]
-        out = np.array(found, dtype=np.int64)
+        words = text.split()
+        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         return out[out != -2]
 
 
-def steps(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids in a row, the step every word lies in, and the first step of every document (one more at the end)."""
-    counts = np.array([-(-len(d) // STEP) for d in docs], dtype=np.int64)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    ids = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    at = np.concatenate([f + np.arange(len(d)) // STEP for f, d in zip(first, docs)]) if docs else np.zeros(0, np.int64)
-    return ids, at, first
+def places(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids in a row, the piece of ``size`` words every word lies in, and the first piece of every document (one more at the end)."""
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    first = np.concatenate(([0], np.cumsum(-(-lengths // size))))
+    within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.repeat(first[:-1], lengths) + within // size
+    return (np.concatenate(docs) if docs else np.zeros(0, np.int32)), at, first
 
 
-def passages(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, passage of every word, passages) of consecutive passages."""
-    counts = np.array([-(-len(d) // (STEP * PASSAGE)) for d in docs], dtype=np.int64)
-    first = np.concatenate(([0], np.cumsum(counts)))
-    ids = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-    at = np.concatenate([f + np.arange(len(d)) // (STEP * PASSAGE) for f, d in zip(first, docs)]) if docs else np.zeros(0, np.int64)
-    return ids, at, int(first[-1])
+def id_rows(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in batch.column("_ids").to_pylist()]
 
 
 def _sum_rows(parts: DataFrame) -> DataFrame:
@@ -109,22 +109,23 @@ def _sum_rows(parts: DataFrame) -> DataFrame:
     return parts.repartition("i").sortWithinPartitions("i").mapInArrow(run, "i int, row binary")
 
 
-def document_frequency(texts: DataFrame, ids: dict[str, int]) -> tuple[np.ndarray, int]:
-    """(passages holding each word, passages) over all documents."""
+def document_frequency(rows: DataFrame, here: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """(passages holding each of the block's words, passages) over all documents; ``here`` maps vocabulary to block ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, df, n = Words(ids), np.zeros(len(ids) + 1, dtype=np.int64), 0
-        for batch in slices(batches, "_text", _SLICE):
-            found, at, count = passages([words.of(t) for t in batch.column("_text").to_pylist()])
-            known = found >= 0
-            pairs = np.unique(at[known] * len(ids) + found[known])
-            df[:-1] += np.bincount(pairs % len(ids), minlength=len(ids))
-            n += count
+        df, n = np.zeros(size + 1, dtype=np.int64), 0
+        for batch in slices(batches, "_ids", _SLICE):
+            ids, at, first = places(id_rows(batch), STEP * PASSAGE)
+            own = here[ids]
+            known = np.flatnonzero(own >= 0)
+            pairs = np.unique(at[known] * size + own[known])
+            df[:-1] += np.bincount(pairs % size, minlength=size)
+            n += int(first[-1])
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df), dtype=np.int32)), pa.array(df)], ["i", "n"])
 
-    got = texts.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row a word
-    out = np.zeros(len(ids) + 1, dtype=np.int64)
+    got = rows.mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # a row a word
+    out = np.zeros(size + 1, dtype=np.int64)
     out[got.column("i").to_numpy()] = got.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
@@ -134,24 +135,31 @@ def test_matrix(words: list[str], width: int) -> np.ndarray:
     return np.stack([np.random.default_rng(crc32(w.encode())).choice(np.float32([-1, 1]), width) for w in words]) if words else np.zeros((0, width), np.float32)
 
 
-def gram_times(ids: np.ndarray, at: np.ndarray, weight: np.ndarray, outside: float, omega: np.ndarray) -> np.ndarray:
-    """X'X omega for the unit-length TF-IDF rows X of passages ``at``."""
-    out = np.zeros((len(weight), omega.shape[1]), dtype=np.float64)
+def gram_times(ids: np.ndarray, at: np.ndarray, weight: np.ndarray, outside: float, omega: np.ndarray, into: np.ndarray | None = None) -> np.ndarray:
+    """X'X omega for the unit-length TF-IDF rows X of passages ``at``, added to ``into``.
+
+    A few thousand words at once, so that what is gathered stays in the processor's cache.
+    """
+    out = np.zeros((len(weight), omega.shape[1]), dtype=np.float64) if into is None else into
     if not len(ids):
         return out
     w = np.where(ids >= 0, weight[np.maximum(ids, 0)], outside)
     norm = np.sqrt(np.bincount(at, w * w))
-    use = (ids >= 0) & (w > 0)
+    use = np.flatnonzero((ids >= 0) & (w > 0))
     ids, at, w = ids[use], at[use], (w[use] / norm[at[use]]).astype(np.float32)
     if not len(ids):
         return out
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    rows = np.add.reduceat(omega[ids] * w[:, None], starts, axis=0)
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
-    order = np.argsort(ids, kind="stable")
-    ids, back = ids[order], rows[owner[order]] * w[order][:, None]
-    heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    out[ids[heads]] = np.add.reduceat(back, heads, axis=0)
+    cuts = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, len(ids), _CHUNK), side="right") - 1], len(ids)))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own, here, x = ids[a:b], at[a:b], w[a:b, None]
+        heads = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+        rows = np.add.reduceat(omega[own] * x, heads, axis=0)
+        owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, b - a)))
+        order = np.argsort(own, kind="stable")
+        own = own[order]
+        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[heads]] += np.add.reduceat(rows[owner[order]] * x[order], heads, axis=0)
     return out
 
 
@@ -177,36 +185,47 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Block:
-    """One block of items: ids, weights, latent table and answer words."""
+    """One block of items over the vocabulary: block ids, weights, latent table and answer words."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
+    def __init__(self, items: list[tuple[int, list[str]]], vocabulary: dict[str, int]):
         self.items = items
         self.words = sorted({w for _, ws in items for w in ws})
-        self.ids = {w: i for i, w in enumerate(self.words)}
-        self.rows = [np.array([self.ids[w] for w in ws], dtype=np.int64) for _, ws in items]
+        ids = {w: i for i, w in enumerate(self.words)}
+        self.rows = [np.array([ids[w] for w in ws], dtype=np.int64) for _, ws in items]
+        self.here = np.full(len(vocabulary) + 1, -1, dtype=np.int64)  # the last one is for words outside
+        self.here[[vocabulary[w] for w in self.words]] = np.arange(len(self.words))
 
-    def learn(self, texts: DataFrame) -> None:
-        df, n = document_frequency(texts, self.ids)
+    def weigh(self, df: np.ndarray, n: int) -> None:
         idf = np.log((n + 1) / (df + 1)) + 0.1
-        # a handful of passages says nothing about common words
-        self.weight = np.where((df > MAX_DF * n) & (n >= 100), 0.0, idf)
-        self.outside = float(np.median(self.weight[self.weight > 0])) if (self.weight > 0).any() else 1.0
-        self.idf = idf
+        keep = (df <= MAX_DF * n) | (n < 100)  # a handful of passages says nothing about common words
+        for row in self.rows:
+            distinct = np.unique(row)
+            keep[distinct[np.argsort(df[distinct], kind="stable")][: int(np.ceil(KEEP_SHARE * len(distinct)))]] = True
+        self.weight = np.where(keep, idf, 0.0)
+        self.outside = float(np.median(idf[keep]))
+        self.answers = []
+        for row in self.rows:
+            distinct = np.unique(row)
+            self.answers.append(distinct[np.argsort(-idf[distinct], kind="stable")][: -(-len(distinct) // 4)])
+
+    def learn(self, rows: DataFrame) -> None:
+        df, n = document_frequency(rows, self.here, len(self.words))
+        self.weigh(df, n)
         rank = len(self.items) + EXTRA
-        omega = test_matrix(self.words, min(rank + OVER, max(1, len(self.words))))
-        # plain functions and values for the tasks, not this object
-        ids, weight, outside = self.ids, self.weight, self.outside
-        shared = texts.sparkSession.sparkContext.broadcast(omega)
+        omega = test_matrix(self.words, min(rank + OVER, len(self.words)))
+        # plain values for the tasks, not this object
+        here, weight, outside = self.here, self.weight, self.outside
+        shared = rows.sparkSession.sparkContext.broadcast(omega)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words, total = Words(ids), np.zeros(shared.value.shape)
-            for batch in slices(batches, "_text", _SLICE):
-                found, at, _ = passages([words.of(t) for t in batch.column("_text").to_pylist()])
-                total += gram_times(found, at, weight, outside, shared.value)
+            total = np.zeros(shared.value.shape)
+            for batch in slices(batches, "_ids", _SLICE):
+                ids, at, _ = places(id_rows(batch), STEP * PASSAGE)
+                gram_times(here[ids], at, weight, outside, shared.value, total)
             used = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([x.tobytes() for x in total[used].astype(np.float32)], pa.binary())], ["i", "row"])
 
-        got = _sum_rows(texts.mapInArrow(run, "i int, row binary")).toArrow()  # a row a word of the block
+        got = _sum_rows(rows.mapInArrow(run, "i int, row binary")).toArrow()  # a row a word of the block
         sketch = np.zeros(omega.shape)
         for i, row in zip(got.column("i").to_pylist(), got.column("row").to_pylist()):
             sketch[i] = np.frombuffer(row, np.float64)
@@ -221,59 +240,74 @@ class Block:
             size = np.linalg.norm(unit[:, k])
             unit[:, k] /= size if size > 0 else 1
         self.table = ((basis @ (basis.T @ unit)) * weight[:, None]).astype(np.float32)
-        self.answers = []
-        for row in self.rows:
-            distinct = np.unique(row)
-            self.answers.append(distinct[np.argsort(-idf[distinct], kind="stable")][: max(1, -(-len(distinct) // 4))])
 
     def state(self) -> dict:
-        return {"ids": self.ids, "rows": self.rows, "answers": self.answers, "table": self.table,
-                "weight": self.weight, "outside": self.outside, "names": [i for i, _ in self.items]}
+        return {"here": self.here, "rows": self.rows, "answers": self.answers, "table": self.table, "weight": self.weight,
+                "outside": self.outside, "names": [i for i, _ in self.items]}
 
 
-def find_leaks(texts: list[bytes], words: Words, s: dict, min_cosine: float, min_lcs: float, min_answer: float) -> list[list[dict]]:
-    """For every text the items found in it, with the best window's figures."""
-    docs = [words.of(t) for t in texts]
-    out: list[list[dict]] = [[] for _ in texts]
-    ids, at, first = steps(docs)
-    if not len(ids):
-        return out
+def candidates(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict, min_cosine: float) -> Iterator[tuple[int, int, int, float]]:
+    """(first step, steps, item, cosine) of the windows close enough to an item.
+
+    ``at`` is the step of every word. Windows may run over the end of their document, never into the next one.
+    """
     n = int(first[-1])
     w = np.where(ids >= 0, s["weight"][np.maximum(ids, 0)], s["outside"])
-    energy = np.bincount(at, w * w, n)
-    scores = np.zeros((n, s["table"].shape[1]), dtype=np.float32)
     use = np.flatnonzero((ids >= 0) & (w > 0))
-    if not len(use):
-        return out
-    heads = np.flatnonzero(np.concatenate(([True], at[use][1:] != at[use][:-1])))
-    scores[at[use][heads]] = np.add.reduceat(s["table"][ids[use]], heads, axis=0)
-    owner = np.repeat(np.arange(len(docs)), np.diff(first))
-    best: dict[tuple[int, int], dict] = {}
+    own, step = ids[use], at[use]
+    # up to rounding of the 32-bit table, no item's product exceeds the sum of the words' greatest products
+    bound = np.bincount(step, np.maximum(s["table"].max(axis=1), 0)[own] * (1 + 1e-5), n)
+    energy = np.bincount(at, w * w, n)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    head = np.searchsorted(step, np.arange(n + 1))
     for size in WINDOWS:
-        # windows may run over the end of their document, never into the next one
-        dots, energies = scores.copy(), energy.copy()
+        reach, energies = bound.copy(), energy.copy()
+        end = np.minimum(np.arange(n) + size, first[owner + 1])
         for k in range(1, size):
-            same = np.flatnonzero(owner[k:] == owner[:-k]) if k < n else np.zeros(0, np.int64)
-            dots[same] += scores[same + k]
+            same = np.flatnonzero(np.arange(n) + k < end)
+            reach[same] += bound[same + k]
             energies[same] += energy[same + k]
-        cosine = dots / np.sqrt(np.maximum(energies, 1e-12))[:, None]
-        for step, item in zip(*np.nonzero(cosine >= min_cosine)):
-            doc = int(owner[step])
-            start = int(step - first[doc]) * STEP
-            row = s["rows"][item]
-            wide = docs[doc][max(0, start - max(STEP, len(row))): start + size * STEP + max(STEP, len(row))]
-            share = lcs_length(row, wide) / len(row)
-            answer = float(np.isin(s["answers"][item], wide).mean())
-            if share >= (min_lcs if len(row) >= SHORT_ITEM else 1.0) and answer >= min_answer:
-                now = {"item_id": s["names"][item], "cosine": float(cosine[step, item]), "lcs_share": share, "answer_share": answer}
-                old = best.get((doc, item))
-                if old is None or (now["lcs_share"], now["cosine"]) > (old["lcs_share"], old["cosine"]):
-                    best[doc, item] = now
-    for (doc, _), found in sorted(best.items()):
-        out[doc].append(found)
+        norm = np.sqrt(energies)
+        hopeful = np.flatnonzero((reach >= min_cosine * norm) & (head[end] > head[:-1]))
+        for k in range(0, len(hopeful), _CHUNK // 8):
+            some = hopeful[k:k + _CHUNK // 8]
+            many = head[end[some]] - head[some]
+            begin = np.cumsum(many) - many
+            place = np.repeat(head[some] - begin, many) + np.arange(int(many.sum()))
+            cosine = np.add.reduceat(s["table"][own[place]], begin, axis=0) / norm[some][:, None]
+            for r, item in zip(*np.nonzero(cosine >= min_cosine)):
+                yield int(some[r]), size, int(item), float(cosine[r, item])
+
+
+def find_leaks(docs: list[np.ndarray], s: dict, min_cosine: float, min_lcs: float, min_answer: float) -> list[list[dict]]:
+    """For every text (vocabulary ids) the items found in it, with the figures of the closest window that passes all checks."""
+    out: list[list[dict]] = [[] for _ in docs]
+    ids, at, first = places(docs, STEP)
+    if not len(ids):
+        return out
+    ids = s["here"][ids]
+    start_of = np.cumsum([0, *map(len, docs)])
+    done = set()
+    for step, size, item, cosine in sorted(candidates(ids, at, first, s, min_cosine), key=lambda c: (-c[3], c[:3])):
+        doc = int(np.searchsorted(first, step, side="right")) - 1
+        if (doc, item) in done:
+            continue
+        start = (step - int(first[doc])) * STEP
+        row = s["rows"][item]
+        edge = max(STEP, len(row))
+        lo, hi = int(start_of[doc]) + max(0, start - edge), min(int(start_of[doc + 1]), int(start_of[doc]) + start + size * STEP + edge)
+        wide = ids[lo:hi]
+        share = lcs_length(row, wide) / len(row)
+        answer = float(np.isin(s["answers"][item], wide).mean())
+        if share >= (min_lcs if len(row) >= SHORT_ITEM else 1.0) and (answer >= min_answer or share >= SURE_LCS):
+            done.add((doc, item))
+            out[doc].append({"item_id": s["names"][item], "cosine": cosine, "lcs_share": share, "answer_share": answer})
     return out
 
 
+FOUND = "array<struct<item_id:bigint,cosine:double,lcs_share:double,answer_share:double>>"
+
+
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
                min_cosine: float = MIN_COSINE, min_lcs: float = MIN_LCS, min_answer: float = MIN_ANSWER,
                carry: list[str] | None = None) -> DataFrame:
@@ -285,34 +319,36 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """
     carry = docs.columns if carry is None else carry
     shape = docs.select(*[f"`{c}`" for c in carry]).schema
-    texts = docs.select(text_of(text_col).cast("binary").alias("_text"))
-    out = pack(docs, carry, _text=text_of(text_col).cast("binary"))
-    found_type = "array<struct<item_id:bigint,cosine:double,lcs_share:double,answer_share:double>>"
-    out = out.withColumn("_leaks", F.lit(None).cast(found_type))
+    given = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t")).orderBy("i", "t")
+    items = [(r["i"], [w for w in (normal(x) for x in r["t"].encode().split()) if w]) for r in given.toLocalIterator()]
+    items = [(i, words) for i, words in items if words]
+    vocabulary = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
+    shared_words = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    base = pack(docs, carry, _text=text_of(text_col).cast("binary"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared_words.value)
+        for batch in slices(batches, "_text"):
+            ids = [words.of(t).tobytes() for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(ids, pa.binary())], [ROW, "_ids"])
+
+    rows = materialize(base.mapInArrow(number, base.select(ROW).schema.add("_ids", "binary")), "op4-words")
+    out = rows.withColumn("_leaks", F.array().cast(FOUND))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs_share", pa.float64()), ("answer_share", pa.float64())]))
-    block: list[tuple[int, list[str]]] = []
 
-    def search(frame: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
-        part = Block(items)
-        part.learn(texts)
+    def search(frame: DataFrame, block: list[tuple[int, list[str]]]) -> DataFrame:
+        part = Block(block, vocabulary)
+        part.learn(rows.select("_ids"))
         shared = docs.sparkSession.sparkContext.broadcast(part.state())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = Words(shared.value["ids"])
-            for batch in slices(batches, "_text", _SLICE):
-                new = find_leaks(batch.column("_text").to_pylist(), words, shared.value, min_cosine, min_lcs, min_answer)
-                old = batch.column("_leaks").to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("_text"), pa.array([(a or []) + b for a, b in zip(old, new)], kind)], [ROW, "_text", "_leaks"])
+            for batch in slices(batches, "_ids", _SLICE):
+                new = find_leaks(id_rows(batch), shared.value, min_cosine, min_lcs, min_answer)
+                found = [(a or []) + b for a, b in zip(batch.column("_leaks").to_pylist(), new)]
+                yield pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("_ids"), pa.array(found, kind)], [ROW, "_ids", "_leaks"])
 
         return frame.mapInArrow(run, StructType(frame.schema.fields))
 
-    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("t")).orderBy("i", "t")
-    for row in rows.toLocalIterator():
-        words = [w for w in (normal(x) for x in row["t"].encode().split()) if w]
-        if words:
-            block.append((row["i"], words))
-        if len(block) == BLOCK_ITEMS:
-            out, block = search(out, block), []
-    if block:
-        out = search(out, block)
-    return unpack(out, shape, {"leaks": F.coalesce("_leaks", F.array().cast(found_type))})
+    for k in range(0, len(items), BLOCK_ITEMS):
+        out = search(out, items[k:k + BLOCK_ITEMS])
+    return unpack(out, shape, {"leaks": F.col("_leaks")})
