@@ -71,22 +71,25 @@ def template_vectors(templates: list[tuple[str, str]]) -> tuple[list[tuple[str,
 
 
 def best_templates(statements: DataFrame, templates: list[tuple[str, str]], min_cosine: float) -> DataFrame:
-    """(statement, licence, cosine) of the distinct ``statements`` that are close enough to a template."""
+    """(sid, licence, cosine) of the distinct ``statements(sid, statement)`` that are close enough to a template.
+
+    Terms carry the short statement id, never the statement, which can be a whole long file.
+    """
     spark: SparkSession = statements.sparkSession
     vectors, idf, other = template_vectors(templates)
     weights = spark.createDataFrame(vectors, "licence string, template int, term string, w double")
     idfs = spark.createDataFrame(idf, "term string, idf double")
     terms = (
-        statements.select("statement", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("statement", "term").agg(F.count("*").alias("tf"))
+        statements.select("sid", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0))).alias("term"))
+        .groupBy("sid", "term").agg(F.count("*").alias("tf"))
         .join(idfs, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
     )
-    norms = terms.groupBy("statement").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = terms.join(weights, "term").groupBy("statement", "licence", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = terms.join(weights, "term").groupBy("sid", "licence", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     return (
-        dots.join(norms, "statement").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
-        .groupBy("statement").agg(F.max(F.struct("cosine", "licence")).alias("best"))
-        .select("statement", "best.licence", "best.cosine").filter(F.col("cosine") >= min_cosine)
+        dots.join(norms, "sid").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
+        .groupBy("sid").agg(F.max(F.struct("cosine", "licence")).alias("best"))
+        .select("sid", "best.licence", "best.cosine").filter(F.col("cosine") >= min_cosine)
     )
 
 
@@ -115,10 +118,10 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     rows = materialize(
         pack(files, carry, _dir=parent(path), _speaks=speaks, _lines=F.transform(F.array_distinct(lines), lambda x: F.trim(x)))
         .withColumn("_uid", F.monotonically_increasing_id()), "op6-files")
-    said = rows.select("_uid", "_dir", "_speaks", F.explode("_lines").alias("statement"))
-    known = materialize(best_templates(said.select("statement").distinct(), templates, min_cosine), "op6-statements")
+    said = rows.select("_uid", "_dir", "_speaks", F.explode("_lines").alias("statement")).withColumn("sid", F.md5("statement"))
+    known = materialize(best_templates(said.select("sid", "statement").dropDuplicates(["sid"]), templates, min_cosine), "op6-statements")
     own = materialize(
-        said.join(known, "statement").groupBy("_uid")
+        said.drop("statement").join(known, "sid").groupBy("_uid")
         .agg(F.max(F.struct("cosine", "licence")).alias("_own"), F.first("_dir").alias("_dir"), F.first("_speaks").alias("_speaks")), "op6-own")
     spoken = materialize(own.filter("_speaks").groupBy(F.col("_dir").alias("_from")).agg(F.max("_own").alias("_said")), "op6-directories")
     # every directory once, with itself and all directories above it
