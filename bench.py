@@ -33,7 +33,7 @@ HEADLINE = [
     "u3_reconcile",          # source vs landed reconciliation
     "t1_monitor_stream",     # streaming classify-and-route into partitioned CSV
     "t4_dormant_stream",     # stateful stream (per-account state store)
-    "t4_dormant_stream_table",  # skew-safe stateful stream (segmented lag + state table)
+    "s3_write_routed",       # routed, date-partitioned write
     "g5_amount_by_region",   # ad hoc SQL with joins
 ]
 

@@ -9,14 +9,26 @@ TXN = """txn AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS transaction_id,
          CAST(o.o_orderdate AS TIMESTAMP) AS transactiondate,
          c.c_name AS sender_name,
+         'street ' || (c.c_custkey % 90) AS sender_address,
          CAST(c.c_custkey AS VARCHAR) AS sender_account_number,
+         'BANK_' || c.c_nationkey AS sender_bank_name,
+         CASE WHEN c.c_custkey % 3 > 0 THEN 'SW' || c.c_nationkey END AS sender_swift_code,
+         'receiver ' || (o.o_orderkey % 500) AS receiver_name,
+         CASE WHEN o.o_orderkey % 500 % 4 > 0 THEN 'road ' || (o.o_orderkey % 500) END AS receiver_address,
+         CAST(o.o_orderkey % 500 AS VARCHAR) AS receiver_account_number,
+         'BANK_' || rn.n_nationkey AS receiver_bank_name,
+         'SW' || rn.n_nationkey AS receiver_swift_code,
          CAST(o.o_totalprice AS DECIMAL(18,2)) AS amount_usd,
          sn.n_name AS sender_country,
          rn.n_name AS receiver_country,
          o.o_orderpriority AS transaction_type,
          o.o_orderstatus AS status,
          CAST(ROUND(LEAST(5 + CAST(o.o_totalprice AS DECIMAL(18,2)) * 0.01, 50), 2) AS DECIMAL(18,2)) AS fee_usd,
+         'REF-' || o.o_orderkey AS reference,
          CAST(o.o_orderdate AS TIMESTAMP) AS processing_time,
+         '10.0.0.' || (c.c_custkey % 250) AS ip_address,
+         CASE WHEN o.o_orderkey % 5 > 0 THEN 'dev-' || (c.c_custkey % 40) END AS device_id,
+         CAST(NULL AS VARCHAR) AS user_agent,
          CASE o.o_orderkey % 4 WHEN 0 THEN 'MOBILE_APP' WHEN 1 THEN 'WEB' WHEN 2 THEN 'BRANCH' ELSE 'API' END AS channel
   FROM orders o
   JOIN customer c ON o.o_custkey = c.c_custkey
@@ -27,7 +39,18 @@ EV = """ev AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id,
          CAST(ts AS TIMESTAMP) AS transactiondate,
          'user_' || CAST(user_id AS VARCHAR) AS sender_name,
+         'street ' || (user_id % 90) AS sender_address,
          CAST(user_id AS VARCHAR) AS sender_account_number,
+         'BANK_' || (user_id % 7) AS sender_bank_name,
+         CASE WHEN user_id % 3 > 0 THEN 'SW' || (user_id % 7) END AS sender_swift_code,
+         'user_' || (event_id % 1000) AS receiver_name,
+         CAST(event_id % 1000 AS VARCHAR) AS receiver_account_number,
+         CASE WHEN event_id % 10 > 0 THEN 'OK' ELSE 'FAILED' END AS status,
+         CAST(event_id % 50 AS DOUBLE) AS fee_usd,
+         CASE WHEN event_id % 2 > 0 THEN 'REF-' || event_id END AS reference,
+         '10.0.0.' || (user_id % 250) AS ip_address,
+         CASE event_id % 4 WHEN 0 THEN 'MOBILE_APP' WHEN 1 THEN 'WEB' WHEN 2 THEN 'BRANCH' ELSE 'API' END AS channel,
+         CASE WHEN event_id % 97 = 0 THEN 'cut' WHEN event_id % 89 = 0 THEN 'text' END AS fault,
          CAST(value AS DECIMAL(18,2)) AS amount_usd,
          value AS amount_double,
          'NATION_' || CAST(user_id % 25 AS VARCHAR) AS sender_country,
@@ -68,45 +91,55 @@ SELECT transaction_type, COUNT(*) AS n_transactions,
        COUNT(*) FILTER (WHERE {SUSP_EV}) AS n_suspicious
 FROM ev GROUP BY transaction_type"""
 
+PERSON_TEXT = """'{"name":"' || sender_name || '","address":"' || sender_address || '","account_number":"' || sender_account_number
+       || '","bank_name":"' || sender_bank_name || '"' || coalesce(',"swift_code":"' || sender_swift_code || '"', '') || '}'"""
+RECEIVER_TEXT = """'{"name":"' || receiver_name || '","account_number":"' || receiver_account_number || '"}'"""
+METADATA_TEXT = """'{"ip_address":"' || ip_address || '"' || coalesce(',"device_id":"' || device_id || '"', '') || ',"channel":"' || channel || '"}'"""
+ISO_TS = """CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
+            ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END"""
+# the message as the bus carries it; the amount's digits are the engine's own text of a double
+MESSAGE = f"""'{{"transaction_id":"' || transaction_id || '","timestamp":"' || {ISO_TS} || '","sender":' || {PERSON_TEXT}
+       || ',"receiver":' || {RECEIVER_TEXT} || ',"amount_usd":' || CASE WHEN fault = 'text' THEN '"' ELSE '' END || CAST(amount_double AS VARCHAR)
+       || CASE WHEN fault = 'text' THEN '"' ELSE '' END || ',"sender_country":"' || sender_country || '","receiver_country":"' || receiver_country
+       || '","transaction_type":"' || transaction_type || '","status":"' || status || '","fee_usd":' || CAST(fee_usd AS VARCHAR)
+       || coalesce(',"reference":"' || reference || '"', '') || ',"metadata":' || {METADATA_TEXT} || CASE WHEN fault = 'cut' THEN '' ELSE '}}' END"""
+
+
+def unless_cut(c: str, name: str | None = None) -> str:
+    return f"CASE WHEN fault IS DISTINCT FROM 'cut' THEN {c} END AS {name or c}"
+
+
 ORACLE["s2_decode_events"] = f"""
 WITH {EV}
-SELECT transaction_id,
-       CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
-            ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS "timestamp",
-       sender_name, amount_double AS amount_usd, sender_country, receiver_country,
-       transaction_type, device_id, FALSE AS is_corrupt
+SELECT {unless_cut('transaction_id')}, {unless_cut(ISO_TS, '"timestamp"')}, {unless_cut('sender_name')},
+       CASE WHEN fault IS NULL THEN amount_double END AS amount_usd, {unless_cut('sender_country')}, {unless_cut('receiver_country')},
+       {unless_cut('transaction_type')}, {unless_cut('device_id')}, fault IS NOT NULL AS is_corrupt,
+       CASE WHEN fault IS NOT NULL THEN {MESSAGE} END AS decode_error
 FROM ev"""
 
 ORACLE["p1_project_stream"] = f"""
 WITH {EV}
-SELECT transaction_id, transactiondate,
-       '{{"name":"' || sender_name || '","account_number":"' || sender_account_number || '"}}' AS sender,
-       amount_double AS amount_usd,
-       '{{"device_id":"' || device_id || '"}}' AS metadata,
-       processing_time AS "Processingtime"
+SELECT transaction_id, transactiondate, {PERSON_TEXT} AS sender, {RECEIVER_TEXT} AS receiver,
+       amount_double AS amount_usd, sender_country, receiver_country, transaction_type, status, fee_usd, reference,
+       {METADATA_TEXT} AS metadata, processing_time AS "Processingtime"
 FROM ev"""
 
-ORACLE["p2_flatten"] = f"""
-WITH {EV}
-SELECT transaction_id, transactiondate, sender_name, sender_account_number,
-       CAST(NULL AS VARCHAR) AS sender_bank_name, CAST(NULL AS VARCHAR) AS receiver_name,
-       amount_double AS amount_usd, sender_country, receiver_country, transaction_type,
-       processing_time, device_id, CAST(NULL AS VARCHAR) AS channel
-FROM ev"""
+EV_FLAT = """transaction_id, transactiondate, sender_name, sender_address, sender_account_number, sender_bank_name, sender_swift_code,
+       receiver_name, CAST(NULL AS VARCHAR) AS receiver_address, receiver_account_number, CAST(NULL AS VARCHAR) AS receiver_bank_name,
+       CAST(NULL AS VARCHAR) AS receiver_swift_code, {amount} AS amount_usd, sender_country, receiver_country, transaction_type, status,
+       fee_usd, reference, processing_time, ip_address, device_id, CAST(NULL AS VARCHAR) AS user_agent, channel"""
 
-ORACLE["p3_conform_flat"] = f"""
-WITH {EV}
-SELECT transaction_id, transactiondate, CAST(amount_usd AS DOUBLE) AS amount_usd,
-       CAST(NULL AS DOUBLE) AS fee_usd, processing_time
-FROM ev"""
+ORACLE["p2_flatten"] = f"WITH {EV} SELECT {EV_FLAT.format(amount='amount_double')} FROM ev"
+
+ORACLE["p3_conform_flat"] = f"WITH {EV} SELECT {EV_FLAT.format(amount='CAST(amount_usd AS DOUBLE)')} FROM ev"
 
 ORACLE["v1_validate"] = f"""
 WITH {TXN}
 SELECT transaction_id,
-       concat_ws(',', CASE WHEN length(sender_name) > 15 THEN 'too_long:sender_name' END,
+       concat_ws(',', CASE WHEN length(sender_address) > 8 THEN 'too_long:sender_address' END,
                       CASE WHEN length(receiver_country) > 8 THEN 'too_long:receiver_country' END) AS reasons
 FROM txn
-WHERE length(sender_name) > 15 OR length(receiver_country) > 8"""
+WHERE length(sender_address) > 8 OR length(receiver_country) > 8"""
 
 ORACLE["f1_is_high_amount"] = f"""
 WITH {TXN} SELECT transaction_id, COALESCE(amount_usd >= 450000, FALSE) AS is_high_amount FROM txn"""
@@ -202,6 +235,9 @@ SELECT * FROM (
   FROM (SELECT * FROM txn ORDER BY amount_usd DESC NULLS LAST, transaction_id LIMIT 10) t, k
   WHERE k.n_distinct >= 10)"""
 
+ORACLE["l5_limit_categories_bar"] = (ORACLE["l5_limit_categories"].replace("n_distinct < 10", "n_distinct <= 25")
+                                     .replace("LIMIT 10)", "LIMIT 20)").replace("n_distinct >= 10", "n_distinct > 25"))
+
 ORACLE["w4_top_n_per_group"] = f"""
 WITH {TXN}
 SELECT transaction_type, rank, transaction_id, CAST(amount_usd AS DOUBLE) AS amount_usd FROM (
@@ -380,6 +416,30 @@ d AS (SELECT g.grid_index, g.glo + g.grid_index * g.step AS x,
 SELECT grid_index, ROUND(x, 6) AS x, ROUND(ksum / (n * bw * sqrt(2 * pi())) * 1e6, 4) AS density_e6
 FROM d"""
 
+def curve_sql(src: str, by: str, grid: int, cut: float) -> str:
+    """Exact kernel density per group, every area 1."""
+    return f"""
+WITH v AS ({src}),
+st AS (SELECT {by}, COUNT(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v GROUP BY 1),
+p AS (SELECT {by}, n, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, mn, mx FROM st),
+q AS (SELECT {by}, n, bw, mn - {cut} * bw AS glo, (mx + {cut} * bw - (mn - {cut} * bw)) / {grid - 1}.0 AS step FROM p),
+g AS (SELECT q.*, CAST(r.range AS INTEGER) AS grid_index FROM q, range({grid}) r),
+c AS (SELECT {by}, x, COUNT(*) AS w FROM v GROUP BY 1, 2),
+d AS (SELECT g.{by}, g.grid_index, g.glo + g.grid_index * g.step AS x,
+             SUM(c.w * exp(-0.5 * pow((g.glo + g.grid_index * g.step - c.x) / g.bw, 2))) AS ksum,
+             any_value(g.n) AS n, any_value(g.bw) AS bw
+      FROM g JOIN c ON g.{by} = c.{by} GROUP BY 1, 2, 3)
+SELECT {by}, grid_index, ROUND(x, 6) AS x, ROUND(ksum / (n * bw * sqrt(2 * pi())) * 1e6, 4) AS density_e6 FROM d"""
+
+
+ORACLE["a14_violin_grid"] = curve_sql("SELECT event_type, CAST(value AS DOUBLE) AS x FROM events WHERE value IS NOT NULL", "event_type", 50, 2.0)
+ORACLE["a15_kde_columns"] = curve_sql(
+    "SELECT 'l_quantity' AS series, CAST(l_quantity AS DOUBLE) AS x FROM lineitem UNION ALL SELECT 'l_discount', CAST(l_discount AS DOUBLE) FROM lineitem",
+    "series", 100, 3.0)
+ORACLE["a15_density_histogram"] = f"""
+SELECT h.*, ROUND(count / ((SELECT COUNT(value) FROM events) * ((SELECT max(value) - min(value) FROM events) / 10.0)), 6) AS density
+FROM ({hist_sql("events", "value", 10)}) h"""
+
 ORACLE["a16_corr_matrix"] = " UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, ROUND(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS corr FROM lineitem"
     for a in ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -497,7 +557,8 @@ FROM j"""
 # ---------------------------------------------------------------- streams, sinks, reports
 EVS = f"""evs AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id, event_id, user_id, ts, value, event_type,
-         'NATION_' || CAST(user_id % 25 AS VARCHAR) AS sc, 'NATION_' || CAST(event_id % 25 AS VARCHAR) AS rc
+         'NATION_' || CAST(user_id % 25 AS VARCHAR) AS sc, 'NATION_' || CAST(event_id % 25 AS VARCHAR) AS rc,
+         CASE WHEN event_id % 97 = 0 THEN 'cut' WHEN event_id % 89 = 0 THEN 'text' END AS fault
   FROM events)"""
 EV_HIGH = "value >= 200"
 EV_SS = f"sc IN {TEST_COUNTRIES}"
@@ -507,26 +568,51 @@ EV_REASONS = (f"""'[' || concat_ws(',', CASE WHEN {EV_HIGH} THEN '"HIGH_AMOUNT"'
                                   CASE WHEN {EV_SS} THEN '"SANCTIONED_SENDER_COUNTRY"' END,
                                   CASE WHEN {EV_RS} THEN '"SANCTIONED_RECEIVER_COUNTRY"' END) || ']'""")
 
+EV_ROUTE = f"CASE WHEN fault IS NOT NULL THEN 'quarantine' WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END"
+# a message cut short gives no field at all, a text amount only no amount
+EV_SEEN = f"""seen AS (
+  SELECT CASE WHEN fault IS DISTINCT FROM 'cut' THEN transaction_id END AS transaction_id, {EV_ROUTE} AS route, ts,
+         CASE WHEN fault IS NULL THEN value END AS amount_usd, fault,
+         CASE WHEN fault = 'cut' THEN '[]'
+              WHEN fault = 'text' THEN {EV_REASONS.replace("WHEN value >= 200", "WHEN FALSE")}
+              ELSE {EV_REASONS} END AS flag_reasons
+  FROM evs)"""
+
 ORACLE["t1_monitor_stream"] = f"""
-WITH {EVS}
-SELECT transaction_id, CASE WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END AS route,
-       strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
-       value AS amount_usd, {EV_REASONS} AS flag_reasons, FALSE AS is_corrupt
-FROM evs"""
+WITH {EVS}, {EV_SEEN}
+SELECT transaction_id, route, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day,
+       amount_usd, flag_reasons, fault IS NOT NULL AS is_corrupt
+FROM seen"""
 
 ORACLE["t3_run_available"] = f"""
-WITH {EVS}
-SELECT CASE WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END AS route,
-       strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, COUNT(*) AS n,
-       CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_amount
-FROM evs GROUP BY 1, 2, 3"""
+WITH {EVS}, {EV_SEEN}
+SELECT route, strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, COUNT(*) AS n,
+       CAST(SUM(CAST(amount_usd AS DECIMAL(18,2))) AS DOUBLE) AS total_amount
+FROM seen GROUP BY 1, 2, 3"""
 
 ORACLE["a24_run_metrics"] = f"""
-WITH {EVS}
-SELECT CASE WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END AS route, COUNT(*) AS n_rows,
-       CAST(0 AS BIGINT) AS n_errors, COUNT(*) AS n_processed,
-       COUNT(*) FILTER (WHERE {EV_SUSP}) AS n_suspicious, COUNT(*) FILTER (WHERE NOT {EV_SUSP}) AS n_normal
-FROM evs GROUP BY 1"""
+WITH {EVS}, {EV_SEEN}
+SELECT route || '/' || strftime(ts, '%Y/%m/%d') AS folder, COUNT(*) AS n_rows,
+       COUNT(*) FILTER (WHERE fault IS NOT NULL) AS n_errors, COUNT(*) FILTER (WHERE fault IS NULL) AS n_processed,
+       COUNT(*) FILTER (WHERE route = 'suspicious') AS n_suspicious, COUNT(*) FILTER (WHERE route <> 'suspicious') AS n_normal
+FROM seen GROUP BY 1"""
+
+SLICE = """CAST(CASE WHEN (SELECT max(epoch(ts)) > min(epoch(ts)) FROM events)
+                THEN LEAST(floor((epoch(ts) - (SELECT min(epoch(ts)) FROM events)) * 4.0
+                                 / ((SELECT max(epoch(ts)) FROM events) - (SELECT min(epoch(ts)) FROM events))), 3) ELSE 0 END AS INTEGER)"""
+
+ORACLE["t2_batch_sizing"] = f"SELECT {SLICE} AS batch_id, COUNT(*) AS n_rows FROM events GROUP BY 1"
+
+ORACLE["s9_resume"] = """
+WITH m AS (SELECT min(epoch_us(ts)) + max(epoch_us(ts)) AS twice FROM events)
+SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(1 AS BIGINT) AS n_landed,
+       CASE WHEN epoch_us(ts) * 2 <= twice THEN 0 ELSE 1 END AS batch_id
+FROM events, m"""
+
+ORACLE["t10_late_data"] = f"""
+SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end,
+       event_type, COUNT(*) AS n
+FROM events WHERE {SLICE} > 0 GROUP BY 1, 2, 3"""
 
 ORACLE["t4_dormant_stream"] = """
 WITH p AS (SELECT user_id, event_id, ts, value,
@@ -567,25 +653,28 @@ def alert_sql(path, tid, amount, fee, sname, sdetails, scountry, rname, rdetails
 
 
 ORACLE["t5_alert_stream"] = f"""
-WITH {EVS}
-SELECT transaction_id, value AS amount, CAST(0.0 AS DOUBLE) AS fee, 'user_' || CAST(user_id AS VARCHAR) AS sender_name,
-       'N/A' AS receiver_name,
-       {alert_sql("'<path>'", "transaction_id", "value", "0.0", "'user_' || CAST(user_id AS VARCHAR)", None, "sc",
-                  "'N/A'", None, "rc", "event_type", "'N/A'", iso("ts"))} AS message
-FROM evs WHERE {EV_SUSP}"""
+WITH {EV}
+SELECT CASE WHEN fault IS DISTINCT FROM 'cut' THEN transaction_id END AS transaction_id,
+       CASE WHEN fault IS NULL THEN 'suspicious' ELSE 'quarantine' END AS route,
+       CASE WHEN fault IS NULL THEN amount_double ELSE 0.0 END AS amount,
+       CASE WHEN fault IS DISTINCT FROM 'cut' THEN fee_usd ELSE 0.0 END AS fee,
+       CASE WHEN fault IS DISTINCT FROM 'cut' THEN sender_name ELSE 'N/A' END AS sender_name,
+       CASE WHEN fault IS DISTINCT FROM 'cut' THEN receiver_name ELSE 'N/A' END AS receiver_name,
+       CASE WHEN fault IS NULL THEN {alert_sql("'<path>'", "transaction_id", "amount_double", "fee_usd", "sender_name", None, "sender_country",
+                                               "receiver_name", None, "receiver_country", "transaction_type", "status", iso("ts"))}
+            ELSE ':x: *ERROR PROCESSING FILE*' || chr(10) || 'File: <path>' || chr(10) || 'Error: ' || {MESSAGE} END AS message
+FROM ev WHERE fault IS NOT NULL OR {SUSP_EV.replace("CAST(amount_usd AS DOUBLE)", "amount_double")}"""
 
 ORACLE["t6_windowed"] = """
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
        COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
-FROM events GROUP BY 1, 2, 3
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+FROM events GROUP BY 1, 2, 3"""
 
 ORACLE["t7_sliding_windows"] = """
 WITH w AS (SELECT user_id, make_timestamp(CAST((floor(epoch(ts) / 900) - r.k) * 900 AS BIGINT) * 1000000) AS ws
            FROM events CROSS JOIN (SELECT range AS k FROM range(4)) r)
 SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, user_id, COUNT(*) AS n
-FROM w GROUP BY ws, user_id
-HAVING COUNT(*) >= 2 AND ws + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+FROM w GROUP BY ws, user_id"""
 
 ORACLE["t8_sessions"] = """
 WITH p AS (SELECT user_id, ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
@@ -594,12 +683,11 @@ s AS (SELECT user_id, ts, SUM(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(
       FROM p),
 g AS (SELECT user_id, sid, min(ts) AS first_ts, max(ts) AS last_ts, COUNT(*) AS n FROM s GROUP BY 1, 2)
 SELECT first_ts AS session_start, last_ts + INTERVAL 2 HOUR AS session_end, user_id, n, first_ts, last_ts
-FROM g WHERE last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+FROM g"""
 
-ORACLE["t9_dedup_stream"] = f"WITH {TR} SELECT DISTINCT id FROM tr"
+ORACLE["t9_dedup_stream"] = ORACLE["p1_project_stream"]
 
-ORACLE["s6_sink_stream"] = ORACLE["p1_project_stream"].replace(
-    "       '{\"device_id\":\"' || device_id || '\"}' AS metadata,\n", "")
+ORACLE["s6_sink_stream"] = ORACLE["p1_project_stream"]
 
 TXN_HIGH = "amount_usd >= 450000"
 TXN_SS = f"sender_country IN {TEST_COUNTRIES}"
@@ -622,8 +710,16 @@ SELECT transaction_id, 'suspicious' AS route, strftime(transactiondate, '%Y') AS
 FROM txn WHERE {SUSP_TXN}"""
 
 ORACLE["s7_load_flat"] = f"WITH {TXN} SELECT transaction_id, CAST(2 AS BIGINT) AS n_copies FROM txn"
-ORACLE["s8_load_incremental"] = f"WITH {TXN} SELECT transaction_id, CAST(1 AS BIGINT) AS n_copies FROM txn"
-ORACLE["s10_cached_sql"] = f"WITH {TXN} SELECT channel, COUNT(*) AS n FROM txn GROUP BY channel"
+ORACLE["s8_load_incremental"] = f"WITH {TXN} SELECT transaction_id, CAST(1 AS BIGINT) AS n_copies, processing_time FROM txn"
+ORACLE["s10_cached_sql"] = f"""
+WITH {TXN}
+SELECT step, step = 'second' AS hit, channel, COUNT(*) AS n
+FROM txn, (VALUES ('first'), ('second'), ('replaced')) s(step) WHERE step <> 'replaced' OR status = 'F' GROUP BY ALL"""
+TXN_COLUMNS = """transaction_id, transactiondate, sender_name, sender_address, sender_account_number, sender_bank_name, sender_swift_code,
+       receiver_name, receiver_address, receiver_account_number, receiver_bank_name, receiver_swift_code,
+       CAST(amount_usd AS DOUBLE) AS amount_usd, sender_country, receiver_country, transaction_type, status,
+       CAST(fee_usd AS DOUBLE) AS fee_usd, reference, processing_time, ip_address, device_id, user_agent, channel"""
+ORACLE["s5_read_table"] = f"WITH {TXN} SELECT {TXN_COLUMNS} FROM txn"
 
 ORACLE["g1_run_sql"] = f"""
 WITH {TXN},
@@ -632,29 +728,39 @@ SELECT sender_country, COUNT(*) AS n_big, CAST(SUM(amount_usd) AS DOUBLE) AS big
 FROM big GROUP BY sender_country HAVING COUNT(*) > 10"""
 
 
-def describe_sql(cols) -> str:
-    parts = []
-    for i, (c, t) in enumerate(cols):
-        parts.append(f"""SELECT {i} AS position, '{c}' AS column_name, '{t}' AS data_type,
-               COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, COUNT(DISTINCT {c}) AS distinct_count,
-               CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
-               COUNT(*) AS row_count FROM txn""")
-    return f"WITH {TXN} " + " UNION ALL ".join(parts)
-
+FLAT = ["transaction_id", "transactiondate", "sender_name", "sender_address", "sender_account_number", "sender_bank_name",
+        "sender_swift_code", "receiver_name", "receiver_address", "receiver_account_number", "receiver_bank_name", "receiver_swift_code",
+        "amount_usd", "sender_country", "receiver_country", "transaction_type", "status", "fee_usd", "reference", "processing_time",
+        "ip_address", "device_id", "user_agent", "channel"]
+FLAT_TYPES = {"transactiondate": "timestamp", "processing_time": "timestamp", "amount_usd": "decimal(18,2)", "fee_usd": "decimal(18,2)"}
 
-ORACLE["g2_describe_table"] = describe_sql([
-    ("transaction_id", "string"), ("transactiondate", "timestamp"), ("sender_name", "string"),
-    ("amount_usd", "decimal(18,2)"), ("sender_country", "string"), ("status", "string"),
-    ("CAST(NULL AS VARCHAR)", "string")]).replace("'CAST(NULL AS VARCHAR)'", "'device_id'")
+# the sample row is the first in the order of all columns' text, i.e. the smallest id (ids are unique)
+ORACLE["g2_describe_table"] = f"WITH {TXN} " + " UNION ALL ".join(
+    f"""SELECT {i} AS position, '{c}' AS column_name, '{FLAT_TYPES.get(c, "string")}' AS data_type,
+        COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count, COUNT(DISTINCT {c}) AS distinct_count,
+        CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
+        (SELECT CAST({c} AS VARCHAR) FROM txn ORDER BY transaction_id LIMIT 1) AS sample_value, COUNT(*) AS row_count FROM txn"""
+    for i, c in enumerate(FLAT))
 
 ORACLE["g3_run_reports"] = f"""
 WITH {TXN}
 SELECT 'by_channel' AS topic, 'ok' AS status, (SELECT COUNT(DISTINCT channel) FROM txn) AS n_rows
 UNION ALL SELECT 'nothing_big', 'empty', 0
-UNION ALL SELECT 'broken', 'error', CAST(NULL AS BIGINT)"""
+UNION ALL SELECT 'broken', 'error', CAST(NULL AS BIGINT)
+UNION ALL SELECT 'fails_later', 'error', CAST(NULL AS BIGINT)"""
 
 ORACLE["g4_chart_data"] = ORACLE["a13_box_stats"]
 ORACLE["g4_chart_data_histogram"] = ORACLE["a11_histogram"]
+ORACLE["g4_area_points"] = f"WITH {TXN} SELECT transaction_id, CAST(amount_usd AS DOUBLE) AS amount_usd FROM txn"
+ORACLE["g4_3d_scatter"] = "SELECT l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem"
+ORACLE["g4_scatter_hue"] = f"WITH {TXN} SELECT transaction_id, CAST(amount_usd AS DOUBLE) AS amount_usd, status FROM txn"
+ORACLE["g4_bubble_hue"] = (f"WITH {TXN} SELECT transaction_id, CAST(amount_usd AS DOUBLE) AS amount_usd, "
+                           "CAST(fee_usd AS DOUBLE) AS fee_usd, channel FROM txn")
+ORACLE["g4_histogram_col"] = f"SELECT bin, ROUND(bin_lo, 4) AS bin_lo, ROUND(bin_hi, 4) AS bin_hi, count FROM ({hist_sql('events', 'value', 10)})"
+ORACLE["g4_treemap_value_col"] = ORACLE["a19_treemap"].replace("ROUND(color, 6)", "ROUND(color, 4)")
+ORACLE["g4_radar"] = f"WITH {TXN} SELECT channel, CAST(SUM(amount_usd) AS DOUBLE) AS sum_amount_usd FROM txn GROUP BY channel"
+ORACLE["g4_timeline"] = f"WITH {TXN} SELECT transactiondate, processing_time, transaction_id, status FROM txn"
+ORACLE["g4_parallel"] = "SELECT l_quantity, l_tax, l_discount FROM lineitem"
 
 ORACLE["g5_type_summary"] = f"""
 WITH {TXN}

@@ -4,12 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from oracle_sql import ORACLE
 from tests.conftest import SF_SMALL
 from tests.helpers import canon, duck_rows, spark_rows
 from txmon.plans.fixtures import TABLES
-
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from txmon.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -21,10 +20,9 @@ def duck():
     con.close()
 
 
-def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = set(QUERIES) - set(ORACLE)
-    assert rows_only == {"a10_points_sampled", "a13_box_stats_approx"}
-    assert set(ORACLE) <= set(QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -35,11 +33,6 @@ def test_query_matches_oracle(spark, duck, name):
     assert canon(scols, srows) == canon(ocols, orows)
 
 
-@pytest.mark.parametrize("name", ["a10_points_sampled", "a13_box_stats_approx"])
-def test_rows_only_queries_run(spark, name):
-    assert QUERIES[name](spark, SF_SMALL).count() > 0
-
-
 def test_entry_flagship(spark):
     df = entry.entry(spark)
     rows = df.collect()

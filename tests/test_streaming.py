@@ -111,28 +111,6 @@ def test_redelivered_copies_are_dropped(spark):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["x", "y", "z"]
 
 
-def test_table_state_dormancy_resumes_and_equals_batch_lag(spark):
-    events = fx.table(spark, SF_SMALL, "events")
-    src = scratch_path(spark, "src")
-    write = _slice_writer(spark, events, src)
-    out, state, ck = scratch_path(spark, "dorm-t"), scratch_path(spark, "dorm-state"), scratch_path(spark, "ck")
-
-    def run():
-        stream = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-                  .option("recursiveFileLookup", "true").parquet(src))
-        return pl.run_available(dm.dormant_batches(stream, "user_id", "ts", "value", "event_id", 6 * 3600, 50.0,
-                                                   state, out, ck))
-
-    write(0), write(1)
-    run()
-    write(2), write(3)
-    run()
-    got = {r.id for r in spark.read.parquet(out).collect()}
-    batch = rules.flag_dormant(events.withColumn("tid", F.col("event_id").cast("string")), "user_id", "ts",
-                               "value", "tid", 6 * 3600, 50.0)
-    assert got == {r.tid for r in batch.filter("is_dormant_burst").collect()}
-
-
 def test_staged_slices_arrive_one_whole_slice_per_micro_batch(spark):
     events = fx.table(spark, SF_SMALL, "events")
     path = fx.stage_time_slices(events, "ts", scratch_path(spark, "slices"), 4, 3)

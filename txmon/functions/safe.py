@@ -12,9 +12,11 @@ NA = "N/A"
 
 
 def safe_amount(col: Column | str) -> Column:
-    """Number from text or number; anything non-numeric becomes 0."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
+    """Number from text or number; anything non-numeric becomes 0 (also '5d' and '7f', which the
+    JVM's cast would read as numbers)."""
+    text = (F.col(col) if isinstance(col, str) else col).cast("string")
+    number = F.when(~text.rlike(r"(?i)[0-9.][df]\s*$"), text.try_cast("double"))
+    return F.coalesce(number, F.lit(0.0))
 
 
 def _field(v: Column, name: str) -> Column:

@@ -11,11 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txmon.operators.topk import top_n
-
-
-def _num(df: DataFrame, c: str) -> Column:
-    return F.col(c)
+from txmon.operators.topk import count_categories, top_n
 
 
 def exact_avg(c: str) -> Column:
@@ -53,27 +49,40 @@ radar_data = group_sum
 bar_data = group_sum
 
 
-def bar_mean_data(df: DataFrame, x: str, y: str, max_x: int = 20, tie: str | None = None) -> DataFrame:
-    """A5: mean of y per x; when x has more than ``max_x`` distinct values only the top
-    ``max_x`` *rows* by y are used (``showing_only`` marks that case)."""
-    k = df.select(F.count_distinct(x)).scalar()
-    all_rows = df.filter(k <= F.lit(max_x))
-    top_rows = top_n(df, max_x, y, tie or x).filter(k > F.lit(max_x))
-    rows = all_rows.unionByName(top_rows)
-    return (rows.groupBy(x).agg(exact_avg(y).alias(f"mean_{y}"), F.count(F.lit(1)).alias("n_rows"))
-                .withColumn("showing_only", k > F.lit(max_x)))
+def bar_mean_data(df: DataFrame, x: str, y: str, max_x: int | None = None, tie: str | None = None) -> DataFrame:
+    """A5: mean of y per x, one row per x value.
+
+    With ``max_x`` (the report's rule, 20) more than that many distinct values of x (NULL not counted)
+    narrow the data to the top ``max_x`` *rows* by y; ``showing_only`` marks that case. One aggregate of
+    the data answers the small case and counts the values; only the other case reads the rows again."""
+    g = df.groupBy(x).agg(F.sum(y).alias("_s"), F.count(y).alias("_c"), F.count(F.lit(1)).alias("n_rows"))
+
+    def means(rows: DataFrame) -> DataFrame:
+        return rows.select(x, (F.col("_s").cast("double") / F.col("_c")).alias(f"mean_{y}"), "n_rows")
 
+    if max_x is None:
+        return means(g).withColumn("showing_only", F.lit(False))
+    k = count_categories(g, x)
+    top = top_n(df, max_x, y, tie or x).groupBy(x).agg(F.sum(y).alias("_s"), F.count(y).alias("_c"), F.count(F.lit(1)).alias("n_rows"))
+    return (means(g.filter(k <= F.lit(max_x)).unionByName(top.filter(k > F.lit(max_x))))
+            .withColumn("showing_only", k > F.lit(max_x)))
 
-def pie_data(df: DataFrame, names: str, values: str, max_categories: int = 10,
+
+def pie_data(df: DataFrame, names: str, values: str, max_categories: int | None = None,
              n_bars: int = 10, tie: str | None = None) -> DataFrame:
-    """Pie slices (sum per name, share of total) when there are fewer than
-    ``max_categories`` distinct names (NULL counts as a name); otherwise, if ``values`` is
-    numeric, the top ``n_bars`` rows as a horizontal bar (A7). ``chart`` tells which."""
-    k = df.select(F.count_distinct(names) + F.max(F.col(names).isNull().cast("int"))).scalar()
+    """Pie slices: sum per name and its share of the total (NULL when the total is 0).
+
+    With ``max_categories`` (the report's rule, 10) that many distinct names or more (NULL counts as a
+    name) give, if ``values`` is numeric, the top ``n_bars`` rows as a horizontal bar (A7) instead;
+    ``chart`` tells which. Slices, total and the number of names come from one aggregate of the data."""
     slices = df.groupBy(names).agg(F.sum(values).alias("value"))
-    total = df.select(F.sum(values)).scalar()
-    pie = (slices.withColumn("share", F.col("value").cast("double") / total.cast("double"))
-                 .withColumn("chart", F.lit("pie")).filter(k < F.lit(max_categories)))
+    total = slices.select(F.sum("value")).scalar()
+    pie = (slices.withColumn("share", F.try_divide(F.col("value").cast("double"), total.cast("double")))
+                 .withColumn("chart", F.lit("pie")))
+    if max_categories is None:
+        return pie
+    k = count_categories(slices, names, count_nulls=True)
+    pie = pie.filter(k < F.lit(max_categories))
     if isinstance(df.schema[values].dataType, T.NumericType):
         bars = (hbar_data(df, values, names, n_bars, tie)
                 .select(names, F.col(values).alias("value"))
@@ -92,7 +101,7 @@ def hbar_data(df: DataFrame, values: str, names: str, n: int = 10, tie: str | No
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Count per value (NULL dropped), descending, with its percentage to 1 decimal."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = df.select(F.count(col)).scalar()
+    total = counts.select(F.sum("count")).scalar()  # of the few counts, not of the rows again
     return counts.withColumn("pct", F.round(F.col("count") * 100.0 / total, 1))
 
 
@@ -118,8 +127,12 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def corridors(df: DataFrame, sender: str = "sender_country", receiver: str = "receiver_country",
               amount: str = "amount_usd", flag: str | None = None) -> DataFrame:
     """Sender x receiver country totals with every subtotal (CUBE); ``level`` is the
-    grouping id (0 = pair, 1 = per sender, 2 = per receiver, 3 = grand total)."""
-    aggs = [F.count(F.lit(1)).alias("n_transactions"), F.sum(amount).alias("total_amount")]
+    grouping id (0 = pair, 1 = per sender, 2 = per receiver, 3 = grand total). The pairs are summed
+    first and the cube is taken over their sums, so the rows themselves are never multiplied."""
+    pairs = df.groupBy(sender, receiver).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_a"), *([F.count_if(F.col(flag)).alias("_f")] if flag else []))
+    kind = pairs.schema["_a"].dataType
+    aggs = [F.sum("_n").alias("n_transactions"), F.sum("_a").cast(kind).alias("total_amount")]
     if flag:
-        aggs.append(F.count_if(F.col(flag)).alias("n_suspicious"))
-    return df.cube(sender, receiver).agg(*aggs, F.grouping_id().alias("level"))
+        aggs.append(F.sum("_f").alias("n_suspicious"))
+    return pairs.cube(sender, receiver).agg(*aggs, F.grouping_id().alias("level"))

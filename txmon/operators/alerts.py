@@ -61,6 +61,15 @@ def alert_messages(df: DataFrame, file_col: str = "source_file",
              .drop("_s", "_r"))
 
 
+# Fixed value: head of an error alert.
+ERROR_HEADER = ":x: *ERROR PROCESSING FILE*\n"
+
+
+def error_message(file_col: str = "source_file", error_col: str = "decode_error") -> Column:
+    """T5: the alert of a row that could not be processed."""
+    return F.concat(F.lit(ERROR_HEADER), F.lit("File: "), _txt(file_col), F.lit("\nError: "), _txt(error_col))
+
+
 def run_metrics(df: DataFrame, by: str = "source_file", error: Column | None = None,
                 suspicious: Column | None = None) -> DataFrame:
     """Per file (or batch): processed rows, error rows, suspicious and normal rows."""

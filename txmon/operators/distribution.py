@@ -29,36 +29,30 @@ def _groups(by) -> list[str]:
 
 
 # ------------------------------------------------------------------------------------- A10
-def points(df: DataFrame, cols, order=None, max_points: int | None = None, id_col: str | None = None) -> DataFrame:
-    """A10: raw points of line/area/scatter/bubble/3-D/parallel/timeline charts.
+def points(df: DataFrame, cols, order=None) -> DataFrame:
+    """A10: raw points of line/area/scatter/bubble/3-D/parallel/timeline charts, every row.
+    For a bounded plot of many rows use the binned density (A12), which loses none."""
+    out = df.select(*([cols] if isinstance(cols, str) else cols))
+    return out.orderBy(*([order] if isinstance(order, str) else order)) if order else out
 
-    ``max_points`` turns on a deterministic sample (rows whose ``xxhash64(id)`` falls in the
-    first 1/k of the hash range, k from the row count) -- the sampling is the feature, not a cap.
-    """
-    out = df.select(*([cols] if isinstance(cols, str) else cols), *([id_col] if id_col and id_col not in cols else []))
-    if max_points:
-        if not id_col:
-            raise ValueError("sampling needs an id column for a deterministic choice")
-        n = df.select(F.count(F.lit(1))).scalar()
-        k = F.greatest(F.ceil(n / F.lit(max_points)), F.lit(1))
-        out = out.filter(F.pmod(F.xxhash64(F.col(id_col)), k) == 0)
-    if order:
-        out = out.orderBy(*([order] if isinstance(order, str) else order))
-    return out
+
+def is_number(x: Column) -> Column:
+    """Neither NULL nor NaN: what statistics and bins are taken over (as the data-frame library does)."""
+    return x.isNotNull() & ~F.isnan(x)
 
 
 # ------------------------------------------------------------------------------------- A11
 def bucket_expr(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin of x over [lo, hi] (0-based), the maximum falls in the last bin."""
     width = hi - lo
-    raw = F.floor((x - lo) * F.lit(float(bins)) / width)
+    raw = F.floor(F.try_divide((x - lo) * F.lit(float(bins)), width))
     return F.when(width == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """Counts of ``bins`` equal-width bins over [min, max]; empty bins reported as 0."""
     x = F.col(col).cast("double")
-    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    vals = df.select(x.alias("_x")).filter(is_number(F.col("_x")))
     st = one_row(vals.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")))
     lo, hi = st["lo"], st["hi"]
     counts = (vals.select(bucket_expr(F.col("_x"), lo, hi, bins).alias("bin"))
@@ -76,23 +70,23 @@ def density_heatmap(df: DataFrame, x: str, y: str, bins_x: int = 10, bins_y: int
     """2-D bin counts plus both marginal histograms in one grouping-sets aggregate.
     ``level`` 0 = cell, 1 = x margin (y_bin NULL), 2 = y margin (x_bin NULL)."""
     v = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-          .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+          .filter(is_number(F.col("_x")) & is_number(F.col("_y")))
     st = one_row(v.agg(F.min("_x").alias("lx"), F.max("_x").alias("hx"),
                        F.min("_y").alias("ly"), F.max("_y").alias("hy")))
     lx, hx, ly, hy = st["lx"], st["hx"], st["ly"], st["hy"]
     b = v.select(bucket_expr(F.col("_x"), lx, hx, bins_x).alias("x_bin"),
                  bucket_expr(F.col("_y"), ly, hy, bins_y).alias("y_bin"))
+    cells = b.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("_n"))  # then margins from the few cells
     sets = [[F.col("x_bin"), F.col("y_bin")], [F.col("x_bin")], [F.col("y_bin")]]
-    return b.groupingSets(sets, "x_bin", "y_bin").agg(F.count(F.lit(1)).alias("count"),
-                                                      F.grouping_id().alias("level"))
+    return cells.groupingSets(sets, "x_bin", "y_bin").agg(F.sum("_n").alias("count"), F.grouping_id().alias("level"))
 
 
 # ------------------------------------------------------------------------------- A13, A14
 def value_counts_by(df: DataFrame, by, value: str) -> DataFrame:
-    """(group..., _v, _c): non-NULL values as DOUBLE with their counts (partial aggregation
+    """(group..., _v, _c): values as DOUBLE (neither NULL nor NaN) with their counts (partial aggregation
     before the shuffle turns a hot group's many rows into its distinct values)."""
     g = _groups(by)
-    return (df.select(*g, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    return (df.select(*g, F.col(value).cast("double").alias("_v")).filter(is_number(F.col("_v")))
               .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
 
 
@@ -175,54 +169,68 @@ def violin_stats(df: DataFrame, x, y: str, color: str | None = None, approx: boo
                  accuracy: int = 10000) -> DataFrame:
     """Per group (and colour group): mean, median, q1, q3, n."""
     g = _groups(x) + ([color] if color else [])
-    q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], approx, accuracy)
-    m = df.groupBy(*g).agg((F.sum(y).cast("double") / F.count(y)).alias("mean"), F.count(y).alias("n"))
+    kind = df.schema[y].dataType
+    exact = kind if isinstance(kind, T.DecimalType) else T.DoubleType()  # money sums stay exact
+    if approx:
+        v = df.filter(is_number(F.col(y).cast("double")))
+        q = _quantile_columns(v, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], True, accuracy)
+        m = v.groupBy(*g).agg((F.sum(y).cast("double") / F.count(y)).alias("mean"), F.count(y).alias("n"))
+        return attach(m, q, g)
+    # mean, n and quantiles all from one compressed (value, count) table: the input is read once
+    vc = value_counts_by(df, g, y)
+    q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], False, accuracy, vc)
+    m = vc.groupBy(*g).agg((F.sum(F.col("_v").cast(exact) * F.col("_c")).cast("double") / F.sum("_c")).alias("mean"), F.sum("_c").alias("n"))
     return attach(m, q, g)
 
 
+def violin_grid(df: DataFrame, x, y: str, color: str | None = None, grid: int = 100, cut: float = 2.0, bins: int = 1000) -> DataFrame:
+    """The outline of each violin: a kernel density per group on a grid from min - cut*bw to max + cut*bw.
+    Every group's area is 1 (violins are scaled by the plot, not by the group's share)."""
+    return kde(df, y, by=_groups(x) + ([color] if color else []), grid=grid, cut=cut, common_norm=False, bins=bins)
+
+
 # ------------------------------------------------------------------------------------- A15
 def kde(df: DataFrame, col: str, by=None, grid: int = 200, cut: float = 3.0,
-        common_norm: bool = True, bins: int | None = None) -> DataFrame:
+        common_norm: bool = True, bins: int | None = 1000) -> DataFrame:
     """Gaussian kernel density on a grid, per group.
 
     Bandwidth is Scott's rule, ``sd * n^(-1/5)`` (sd with ddof 1); the grid spans
     [min - cut*bw, max + cut*bw] with ``grid`` points per group. With ``common_norm`` the groups
-    share one total area (each density is scaled by n_group / n_total).
+    share one total area (each density is scaled by n_group / n_total). Groups without spread (one
+    value, or one row) have no density and are left out.
 
-    Exact by default: every distinct value (weighted by its count) adds its kernel at every grid
-    point (a distinct-values x grid expansion, reduced by partial aggregation before the
-    shuffle); money amounts repeat heavily, so the work is bounded by the value domain. ``bins`` first collapses the
-    values into that many equal-width bins per group and evaluates the kernel at the bin centres
-    weighted by count (bounded work, approximate).
+    The data are compressed once to (group, value, count); statistics, total and kernels all come from
+    that table. By default its values are collapsed into ``bins`` equal-width bins per group and the
+    kernel is evaluated at the bin centres weighted by count: bounded work. ``bins=None`` evaluates every
+    distinct value exactly (distinct values x grid, reduced by partial aggregation before the shuffle).
     """
     g = _groups(by)
-    v = df.select(*g, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    st = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
-                           F.min("_x").alias("_min"), F.max("_x").alias("_max"))
-    total = v.select(F.count(F.lit(1))).scalar()
-    st = (st.withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    vc = value_counts_by(df, g, col)
+    w, v = F.col("_c").cast("double"), F.col("_v")
+    centre = one_row(vc.agg(F.min("_v").alias("at")))["at"]  # shifted squares: no cancellation
+    st = vc.groupBy(*g).agg(F.sum("_c").alias("_n"), F.sum(w * (v - centre)).alias("_s1"), F.sum(w * (v - centre) * (v - centre)).alias("_s2"),
+                            F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    n = F.col("_n").cast("double")
+    st = st.withColumn("_sd", F.sqrt(F.greatest(F.try_divide(F.col("_s2") - F.col("_s1") * F.col("_s1") / n, n - 1), F.lit(0.0))))
+    total = st.select(F.sum("_n")).scalar()
+    st = (st.filter("_max > _min AND _sd > 0").withColumn("_bw", F.col("_sd") * F.pow(n, F.lit(-0.2)))
             .withColumn("_glo", F.col("_min") - F.lit(cut) * F.col("_bw"))
             .withColumn("_step", (F.col("_max") + F.lit(cut) * F.col("_bw") - F.col("_glo")) / F.lit(float(grid - 1)))
-            .withColumn("_scale", (F.col("_n") / total) if common_norm else F.lit(1.0)))
+            .withColumn("_scale", (F.col("_n") / total) if common_norm else F.lit(1.0)).drop("_s1", "_s2", "_sd"))
+    pts = attach(vc, st, g)
+    if not g:
+        pts = pts.filter(F.col("_bw").isNotNull())
     if bins:
-        # approximate: values collapsed into equal-width bins, kernels at the bin centres
-        pts = attach(v, st, g)
         width = (F.col("_max") - F.col("_min")) / F.lit(float(bins))
-        b = bucket_expr(F.col("_x"), F.col("_min"), F.col("_max"), bins)
-        pts = (pts.withColumn("_b", b)
+        pts = (pts.withColumn("_b", bucket_expr(F.col("_v"), F.col("_min"), F.col("_max"), bins))
                   .groupBy(*g, "_b", "_n", "_bw", "_glo", "_step", "_scale", "_min", "_max")
-                  .agg(F.count(F.lit(1)).cast("double").alias("_w"))
-                  .withColumn("_x", F.col("_min") + (F.col("_b") + F.lit(0.5)) * width))
-    else:
-        # exact: equal values add identical kernels, so each distinct value is evaluated once,
-        # weighted by its count (partial aggregation before the shuffle)
-        vc = v.groupBy(*g, "_x").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-        pts = attach(vc, st, g)
+                  .agg(F.sum("_c").alias("_c"))
+                  .withColumn("_v", F.col("_min") + (F.col("_b") + F.lit(0.5)) * width))
     # grid index rows first, then plain column arithmetic: generate, kernel and the partial
     # aggregate stay in one whole-stage-codegen span (no interpreted lambda per element)
-    ex = pts.select(*g, "_x", "_w", "_bw", "_glo", "_step",
+    ex = pts.select(*g, "_v", w.alias("_w"), "_bw", "_glo", "_step",
                     F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("grid_index"))
-    z = (F.col("_glo") + F.col("grid_index") * F.col("_step") - F.col("_x")) / F.col("_bw")
+    z = (F.col("_glo") + F.col("grid_index") * F.col("_step") - F.col("_v")) / F.col("_bw")
     sums = ex.groupBy(*g, "grid_index").agg(F.sum(F.col("_w") * F.exp(F.lit(-0.5) * z * z)).alias("_ksum"))
     dens = attach(sums, st.select(*g, "_n", "_bw", "_glo", "_step", "_scale"), g)
     norm = F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))
@@ -230,12 +238,31 @@ def kde(df: DataFrame, col: str, by=None, grid: int = 200, cut: float = 3.0,
                        (F.col("_ksum") / norm * F.col("_scale")).alias("density"))
 
 
+def kde_columns(df: DataFrame, columns, grid: int = 200, cut: float = 3.0, bins: int | None = 1000) -> DataFrame:
+    """One curve per numeric column (``series``), each with area 1."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s"))
+    return kde(long.select("s.series", "s.value"), "value", "series", grid, cut, common_norm=False, bins=bins)
+
+
+def density_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
+    """The histogram drawn under a density curve: counts scaled to a total area of 1."""
+    h = histogram(df, col, bins)
+    total = h.select(F.sum("count")).scalar()
+    return h.withColumn("density", F.try_divide(F.col("count").cast("double"), total * (F.col("bin_hi") - F.col("bin_lo"))))
+
+
 # ------------------------------------------------------------------------------------- A16
 def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields
             if isinstance(f.dataType, T.NumericType) and f.name not in set(exclude)]
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over the rows that have both values; NULL where one of them does not vary."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def corr_matrix(df: DataFrame, exclude=(), columns=None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns (pairwise-complete), long form
     (col_a, col_b, corr) including the diagonal. An ``exclude`` name that is not a column yields
@@ -247,7 +274,7 @@ def corr_matrix(df: DataFrame, exclude=(), columns=None) -> DataFrame:
     cols = list(columns) if columns else numeric_columns(df, exclude)
     # Pearson is symmetric: aggregate each unordered pair once (i <= j), emit both orders
     cell = {(i, j): f"c{i}_{j}" for i in range(len(cols)) for j in range(i, len(cols))}
-    aggs = [F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(name)
+    aggs = [_corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(name)
             for (i, j), name in cell.items()]
     wide = df.agg(*aggs)
     structs = [F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(cell[min(i, j), max(i, j)]).alias("corr"))
@@ -257,12 +284,11 @@ def corr_matrix(df: DataFrame, exclude=(), columns=None) -> DataFrame:
 
 # ------------------------------------------------------------------------------------- A17
 def pivot_heatmap(df: DataFrame, x: str, y: str, values: str, n: int = 10, tie: str | None = None) -> DataFrame:
-    """Top-n rows by value, pivot x by y with the mean of duplicates and 0 for gaps;
-    returned in long form (x, y, value). The pivot values come from at most n rows."""
-    top = top_n(df, n, values, tie or x).select(x, F.col(y).cast("string").alias(y), F.col(values).cast("double").alias(values))
-    ys = [r[0] for r in top.select(y).distinct().collect()]  # <= n values, bounded by construction
-    if not ys:
-        return df.sparkSession.createDataFrame([], f"{x} string, {y} string, value double")
-    wide = top.groupBy(x).pivot(y, sorted(ys, key=lambda s: (s is None, s))).agg(F.avg(values)).fillna(0.0)
-    names = [c for c in wide.columns if c != x]
-    return wide.unpivot([x], names, y, "value")
+    """Top-n rows by value; every pair of their x and y values with the mean of duplicates and 0 for
+    gaps, in long form (x, y, value). A missing x or y is a value of its own. At most n rows reach the pairs."""
+    top = top_n(df, n, values, tie or x).select(F.col(x).alias("_x"), F.col(y).cast("string").alias("_y"), F.col(values).cast("double").alias("_v"))
+    cells = top.groupBy("_x", "_y").agg(F.avg("_v").alias("_v"))
+    ys = cells.select(F.sort_array(F.collect_set(F.struct("_y")))).scalar()  # at most n values
+    grid = cells.select("_x").distinct().select("_x", F.explode(ys).alias("_s")).select("_x", F.col("_s._y").alias("_y"))
+    out = join_on_keys(grid, cells, ["_x", "_y"])
+    return out.select(F.col("_x").alias(x), F.col("_y").alias(y), F.coalesce("_v", F.lit(0.0)).alias("value"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txmon.functions.jsonpath import parse_json_text, variant_scalar
+from txmon.functions.jsonpath import node_scalar
 from txmon.operators.rules import without_nulls
 from txmon.schemas import FLAT_COLUMNS, FLAT_NOT_NULL, MAX_LENGTHS, METADATA_FIELDS, PERSON_FIELDS
 
@@ -37,19 +37,32 @@ def project_stream(df: DataFrame, nested_as_text: bool = True) -> DataFrame:
 
 
 def _nested(df: DataFrame, name: str, fields: list[str], prefix: str) -> list[Column]:
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.StructType):
-        have = {f.name for f in dtype.fields}
-        return [(F.col(name)[f] if f in have else F.lit(None).cast("string")).cast("string")
-                .alias(f"{prefix}{f}") for f in fields]
-    v = parse_json_text(F.col(name))  # parsed once per column, shared by all its fields
-    return [variant_scalar(v, f"$.{f}").alias(f"{prefix}{f}") for f in fields]
+    """Scalar fields of a nested part: one rule for decoded structs and for parsed JSON text."""
+    have = {f.name: f.dataType for f in df.schema[name].dataType.fields}
+    out = []
+    for f in fields:
+        if f not in have:
+            c = F.lit(None).cast("string")
+        elif isinstance(have[f], T.VariantType):
+            c = node_scalar(F.col(name)[f])
+        else:
+            c = F.col(name)[f].cast("string")
+        out.append(c.alias(f"{prefix}{f}"))
+    return out
+
+
+def _parsed(df: DataFrame, parts: dict[str, list[str]]) -> DataFrame:
+    """JSON text columns replaced by structs of variants, parsed once in a projection of their own."""
+    text = {n: T.StructType([T.StructField(f, T.VariantType()) for f in fields])
+            for n, fields in parts.items() if not isinstance(df.schema[n].dataType, T.StructType)}
+    return df.withColumns({n: F.from_json(F.col(n).cast("string"), s) for n, s in text.items()}) if text else df
 
 
 def flatten(df: DataFrame) -> DataFrame:
     """24 flat columns from the projected row (``sender``/``receiver``/``metadata`` may be JSON
     text, with lax JSON_VALUE semantics, or structs)."""
     ptime = "Processingtime" if "Processingtime" in df.columns else "processing_time"
+    df = _parsed(df, {"sender": PERSON_FIELDS, "receiver": PERSON_FIELDS, "metadata": METADATA_FIELDS})
     sender = _nested(df, "sender", PERSON_FIELDS, "sender_")
     receiver = _nested(df, "receiver", PERSON_FIELDS, "receiver_")
     meta = _nested(df, "metadata", METADATA_FIELDS, "")

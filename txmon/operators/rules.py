@@ -72,8 +72,12 @@ def flag_reasons(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
 
 
 def route(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """add ``route`` = 'suspicious' | 'normal' (each row gets exactly one)."""
-    return df.withColumn("route", F.when(suspicious_expr(cfg), F.lit("suspicious")).otherwise(F.lit("normal")))
+    """add ``route`` = 'suspicious' | 'normal' (each row gets exactly one); a decoded row whose
+    message failed to decode gets 'quarantine', whatever the fields that did parse say."""
+    r = F.when(suspicious_expr(cfg), F.lit("suspicious")).otherwise(F.lit("normal"))
+    if "decode_error" in df.columns:
+        r = F.when(F.col("decode_error").isNotNull(), F.lit("quarantine")).otherwise(r)
+    return df.withColumn("route", r)
 
 
 def split_routes(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> tuple[DataFrame, DataFrame]:

@@ -24,8 +24,8 @@ def tokens(df: DataFrame, text: str) -> DataFrame:
     return df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD_PATTERN), 0)).alias("word"))
 
 
-def word_counts(df: DataFrame, text: str, n: int | None = 200, stopwords=STOPWORDS) -> DataFrame:
-    """Count per word over all rows, stop words removed; top ``n`` by count (ties by word)."""
+def word_counts(df: DataFrame, text: str, n: int | None = None, stopwords=STOPWORDS) -> DataFrame:
+    """Count per word over all rows, stop words removed; with ``n`` the top n by count (ties by word)."""
     words = tokens(df, text)
     if stopwords:
         words = words.filter(~F.col("word").isin(list(stopwords)))

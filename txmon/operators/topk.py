@@ -61,14 +61,18 @@ def top_n_per_group(df: DataFrame, group, n: int, by, tie, ascending: bool = Fal
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
-def limit_categories(df: DataFrame, col: str, value: str, max_categories: int, n: int,
-                     tie: str | None = None, count_nulls: bool = False) -> DataFrame:
-    """All rows when the column has fewer than ``max_categories`` distinct values, else
-    the top-``n`` rows by ``value``. One plan: the distinct count is a scalar subquery."""
-    n_distinct = F.count_distinct(F.col(col))
-    if count_nulls:
-        n_distinct = n_distinct + F.max(F.col(col).isNull().cast("int"))
-    k = df.select(n_distinct).scalar()
-    few = df.filter(k < F.lit(max_categories))
-    many = top_n(df, n, value, tie or col).filter(k >= F.lit(max_categories))
-    return few.unionByName(many).withColumn("n_distinct", k)
+def count_categories(groups: DataFrame, col: str, count_nulls: bool = False) -> Column:
+    """Number of values in a table of groups (one row per value) as a scalar subquery."""
+    return groups.select(F.count(F.lit(1) if count_nulls else F.col(col))).scalar()
+
+
+def limit_categories(df: DataFrame, col: str, value: str, max_categories: int | None = None, n: int = 10,
+                     tie: str | None = None, count_nulls: bool = False, at_most: bool = False) -> DataFrame:
+    """All rows; with ``max_categories``, only the top-``n`` rows by ``value`` once the column has that
+    many distinct values or more (``at_most``: more than that many, the bar rule)."""
+    k = count_categories(df.groupBy(col).agg(F.lit(1).alias("_one")), col, count_nulls)
+    if max_categories is None:
+        return df.withColumn("n_distinct", k)
+    small = (k <= F.lit(max_categories)) if at_most else (k < F.lit(max_categories))
+    many = top_n(df, n, value, tie or col).filter(~small)
+    return df.filter(small).unionByName(many).withColumn("n_distinct", k)

@@ -27,6 +27,6 @@ def activity_gap(df: DataFrame, account: str, ts: str, id_col: str,
 
 
 def share_of_total(df: DataFrame, value: str, out: str = "share") -> DataFrame:
-    """Value / sum(value) over all rows."""
+    """Value / sum(value) over all rows (NULL when the total is 0)."""
     total = df.select(F.sum(value)).scalar()
-    return df.withColumn(out, F.col(value).cast("double") / total.cast("double"))
+    return df.withColumn(out, F.try_divide(F.col(value).cast("double"), total.cast("double")))

@@ -48,34 +48,38 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (o.join(c, o.o_custkey == c.c_custkey)
           .join(sn, F.col("c_nationkey") == F.col("s_nk"))
           .join(rn, (F.col("o_orderkey") % 25) == F.col("r_nk")))
-    null = F.lit(None).cast("string")
+    key, receiver = F.col("o_orderkey"), F.col("o_orderkey") % 500
     amount = F.col("o_totalprice").cast(MONEY)
     ts = F.col("o_orderdate").cast("timestamp")
+
+    def numbered(prefix: str, n: Column) -> Column:
+        return F.concat(F.lit(prefix), n.cast("string"))
+
     cols = {
-        "transaction_id": F.col("o_orderkey").cast("string"),
+        "transaction_id": key.cast("string"),
         "transactiondate": ts,
         "sender_name": F.col("c_name"),
-        "sender_address": null,
+        "sender_address": numbered("street ", F.col("c_custkey") % 90),
         "sender_account_number": F.col("c_custkey").cast("string"),
-        "sender_bank_name": null,
-        "sender_swift_code": null,
-        "receiver_name": null,
-        "receiver_address": null,
-        "receiver_account_number": null,
-        "receiver_bank_name": null,
-        "receiver_swift_code": null,
+        "sender_bank_name": numbered("BANK_", F.col("c_nationkey")),
+        "sender_swift_code": F.when(F.col("c_custkey") % 3 > 0, numbered("SW", F.col("c_nationkey"))),
+        "receiver_name": numbered("receiver ", receiver),
+        "receiver_address": F.when(receiver % 4 > 0, numbered("road ", receiver)),
+        "receiver_account_number": receiver.cast("string"),
+        "receiver_bank_name": numbered("BANK_", F.col("r_nk")),
+        "receiver_swift_code": numbered("SW", F.col("r_nk")),
         "amount_usd": amount,
         "sender_country": F.col("s_country"),
         "receiver_country": F.col("r_country"),
         "transaction_type": F.col("o_orderpriority"),
         "status": F.col("o_orderstatus"),
         "fee_usd": expected_fee(amount),
-        "reference": null,
+        "reference": numbered("REF-", key),
         "processing_time": ts,
-        "ip_address": null,
-        "device_id": null,
-        "user_agent": null,
-        "channel": channel_of(F.col("o_orderkey")),
+        "ip_address": numbered("10.0.0.", F.col("c_custkey") % 250),
+        "device_id": F.when(key % 5 > 0, numbered("dev-", F.col("c_custkey") % 40)),
+        "user_agent": F.lit(None).cast("string"),
+        "channel": channel_of(key),
     }
     return j.select(*[cols[f.name].cast(f.dataType).alias(f.name) for f in FLAT_SCHEMA.fields])
 
@@ -89,22 +93,43 @@ def iso_text(ts: Column) -> Column:
 
 def events_to_messages(events: DataFrame) -> DataFrame:
     """``events`` rows -> bus messages (key, value JSON text, timestamp = ingest time)."""
+    event, user = F.col("event_id"), F.col("user_id")
+
+    def numbered(prefix: str, n: Column) -> Column:
+        return F.concat(F.lit(prefix), n.cast("string"))
+
     body = F.struct(
-        F.col("event_id").cast("string").alias("transaction_id"),
+        event.cast("string").alias("transaction_id"),
         iso_text(F.col("ts")).alias("timestamp"),
-        F.struct(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("name"),
-                 F.col("user_id").cast("string").alias("account_number")).alias("sender"),
+        F.struct(numbered("user_", user).alias("name"), numbered("street ", user % 90).alias("address"),
+                 user.cast("string").alias("account_number"), numbered("BANK_", user % 7).alias("bank_name"),
+                 F.when(user % 3 > 0, numbered("SW", user % 7)).alias("swift_code")).alias("sender"),
+        F.struct(numbered("user_", event % 1000).alias("name"), (event % 1000).cast("string").alias("account_number")).alias("receiver"),
         F.col("value").alias("amount_usd"),
-        F.concat(F.lit("NATION_"), (F.col("user_id") % 25).cast("string")).alias("sender_country"),
-        F.concat(F.lit("NATION_"), (F.col("event_id") % 25).cast("string")).alias("receiver_country"),
+        numbered("NATION_", user % 25).alias("sender_country"),
+        numbered("NATION_", event % 25).alias("receiver_country"),
         F.col("event_type").alias("transaction_type"),
-        F.struct(F.get_json_object("props", "$.k").alias("device_id")).alias("metadata"),
+        F.when(event % 10 > 0, F.lit("OK")).otherwise(F.lit("FAILED")).alias("status"),
+        (event % 50).cast("double").alias("fee_usd"),
+        F.when(event % 2 > 0, numbered("REF-", event)).alias("reference"),
+        F.struct(numbered("10.0.0.", user % 250).alias("ip_address"), F.get_json_object("props", "$.k").alias("device_id"),
+                 channel_of(event).alias("channel")).alias("metadata"),
     )
-    return events.select(F.col("event_id").cast("string").alias("key"),
+    return events.select(event.cast("string").alias("key"),
                          F.to_json(body).alias("value"),
                          F.col("ts").cast("timestamp").alias("timestamp"))
 
 
+def events_to_faulty_messages(events: DataFrame) -> DataFrame:
+    """As ``events_to_messages``, with the two faults a bus brings: every 97th message has lost its
+    end (malformed JSON), every 89th carries its amount as text (a wrong type)."""
+    key = F.col("key").cast("long")
+    text_amount = F.regexp_replace("value", r'"amount_usd":([0-9.eE+-]+)', '"amount_usd":"$1"')
+    value = (F.when(key % 97 == 0, F.expr("substring(value, 1, length(value) - 1)"))
+             .when(key % 89 == 0, text_amount).otherwise(F.col("value")))
+    return events_to_messages(events).withColumn("value", value)
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_to_messages(table(spark, sf_dir, "events"))
 
@@ -126,6 +151,11 @@ def register_fixtures(spark: SparkSession, sf_dir: str) -> None:
     transfers(spark, sf_dir).createOrReplaceTempView("transfers")
 
 
+def redelivered(messages: DataFrame) -> DataFrame:
+    """Every 5th message of ``messages`` arrives a second time, unchanged."""
+    return messages.unionByName(messages.filter(F.col("key").cast("long") % 5 == 0))
+
+
 def transfers_of(lineitem: DataFrame) -> DataFrame:
     """``transfers`` projection of any (batch or streaming) lineitem DataFrame."""
     return lineitem.select(
@@ -134,19 +164,19 @@ def transfers_of(lineitem: DataFrame) -> DataFrame:
         F.col("l_suppkey").alias("account"))
 
 
-def stage_time_slices(df: DataFrame, ts: str, path: str, n: int, files: int = 8) -> str:
+def stage_time_slices(df: DataFrame, ts: str, path: str, n: int, files: int = 8, order: list[int] | None = None) -> str:
     """Test staging for multi-batch streams: write ``df`` under ``path`` as ``n`` event-time
     slices, oldest first, each an ordinary parallel write of exactly ``files`` files (round-robin
     repartition, no single-task funnel). The file source takes the oldest files first, so a stream
     with ``maxFilesPerTrigger=files`` reads one whole slice per micro-batch, in event-time order.
-    Only used to drive streams over the test tables."""
+    ``order`` writes the slices in another order (late data). Only used to drive streams over the test tables."""
     t = F.col(ts).cast("timestamp").cast("double")
     st = df.select(F.struct(F.min(t).alias("lo"), F.max(t).alias("hi"))).scalar()  # one job for both bounds
     lo, hi = st["lo"], st["hi"]
     b = F.when(hi > lo, F.least(F.floor((t - lo) * F.lit(float(n)) / (hi - lo)), F.lit(n - 1))).otherwise(0)
     sliced = df.withColumn("_slice", b)
     spark = df.sparkSession
-    for i in range(n):
+    for i in order or range(n):
         out = f"{path}/slice_{i:03d}"
         sliced.filter(F.col("_slice") == i).drop("_slice").repartition(files).write.mode("overwrite").parquet(out)
         written = len(spark.read.parquet(out).inputFiles())

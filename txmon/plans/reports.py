@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, ParseException, PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,7 +13,8 @@ def register_view(df: DataFrame, name: str) -> None:
 
 
 def describe_table(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
-    """One row per column: type, rows, NULL count, distinct count, min, max (as text).
+    """One row per column: type, rows, NULL count, distinct count, min, max (as text) and the value
+    of the sample row (the first row in the order of all columns' text).
 
     Every column is summarised in a single aggregate pass. Distinct counts default to
     HyperLogLog++ (bounded memory, no re-expansion of the input); ``exact_distinct=True``
@@ -27,11 +28,14 @@ def describe_table(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
         aggs += [F.count_if(c.isNull()).alias(f"n{i}"), nd.alias(f"d{i}"),
                  (F.min(c).cast("string") if orderable else F.lit(None).cast("string")).alias(f"lo{i}"),
                  (F.max(c).cast("string") if orderable else F.lit(None).cast("string")).alias(f"hi{i}")]
+    text = [F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() not in ("struct", "array", "map", "variant")
+            else F.to_json(F.col(f"`{f.name}`")) for f in df.schema.fields]
+    aggs.append(F.min(F.struct(*[c.alias(f"s{i}") for i, c in enumerate(text)])).alias("_sample"))
     wide = df.agg(*aggs)
     rows = [F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column_name"),
                      F.lit(f.dataType.simpleString()).alias("data_type"), F.col(f"n{i}").alias("null_count"),
                      F.col(f"d{i}").alias("distinct_count"), F.col(f"lo{i}").alias("min_value"),
-                     F.col(f"hi{i}").alias("max_value"))
+                     F.col(f"hi{i}").alias("max_value"), F.col(f"_sample.s{i}").alias("sample_value"))
             for i, f in enumerate(df.schema.fields)]
     return wide.select(F.col("_rows").alias("row_count"), F.explode(F.array(*rows)).alias("c")).select("c.*", "row_count")
 
@@ -48,17 +52,23 @@ def run_reports(spark: SparkSession, topics: dict[str, str]) -> dict[str, DataFr
     return out
 
 
+def run_count(df: DataFrame) -> int:
+    """Run a whole query, every column of every row, and return its number of rows (one action)."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    return seen.get["n"]
+
+
 def report_status(spark: SparkSession, reports: dict[str, DataFrame | Exception]) -> DataFrame:
-    """Per topic: status ok / empty / error and the row count (one bounded action per topic;
-    emptiness is ``isEmpty`` i.e. at most one row is fetched)."""
+    """Per topic: status ok / empty / error and the row count: one action per topic. A query that
+    fails while it runs is an error of its own topic only."""
     rows = []
     for topic, df in reports.items():
-        if isinstance(df, Exception):
-            rows.append((topic, "error", None))
-        elif df.isEmpty():
-            rows.append((topic, "empty", 0))
-        else:
-            rows.append((topic, "ok", df.count()))
+        try:
+            n = None if isinstance(df, Exception) else run_count(df)
+        except PySparkException:
+            n = None
+        rows.append((topic, "error" if n is None else "ok" if n else "empty", n))
     return spark.createDataFrame(rows, "topic string, status string, n_rows long")
 
 

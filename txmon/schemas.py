@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 PERSON_FIELDS = ["name", "address", "account_number", "bank_name", "swift_code"]
 METADATA_FIELDS = ["ip_address", "device_id", "user_agent", "channel"]
 
-PERSON_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in PERSON_FIELDS])
-METADATA_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in METADATA_FIELDS])
+# Fields of nested parts stay variants until they are flattened, so an object where a scalar is
+# expected is still known to be one.
+PERSON_SCHEMA = T.StructType([T.StructField(f, T.VariantType()) for f in PERSON_FIELDS])
+METADATA_SCHEMA = T.StructType([T.StructField(f, T.VariantType()) for f in METADATA_FIELDS])
 
 RAW_SCHEMA = T.StructType([
     T.StructField("transaction_id", T.StringType()),
@@ -59,10 +61,4 @@ FLAT_COLUMNS = [
 FLAT_NOT_NULL = ["transaction_id", "transactiondate", "processing_time"]
 
 FLAT_SCHEMA = T.StructType([T.StructField(n, t, n not in FLAT_NOT_NULL) for n, t, _ in FLAT_COLUMNS])
-FLAT_NAMES = [n for n, _, _ in FLAT_COLUMNS]
 MAX_LENGTHS = {n: m for n, _, m in FLAT_COLUMNS if m is not None}
-
-# Columns of the stream projection (raw event with nested parts kept as JSON text).
-PROJECTED_NAMES = ["transaction_id", "transactiondate", "sender", "receiver", "amount_usd",
-                   "sender_country", "receiver_country", "transaction_type", "status", "fee_usd",
-                   "reference", "metadata", "Processingtime"]

@@ -7,6 +7,7 @@ are unset, so a cluster's own ``spark.checkpoint.dir`` and sizing always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # sessions of a key are merged inside tasks before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -45,11 +48,12 @@ CLUSTER_CONF = {
 
 
 def get_spark(app: str = "txmon", master: str | None = None,
-              shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra: dict | None = None, cluster: bool = False) -> SparkSession:
+    """A session with the library's defaults; ``cluster`` adds ``CLUSTER_CONF`` (RocksDB state, large shuffles)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    conf = dict(_DEFAULTS)
+    conf = _DEFAULTS | (CLUSTER_CONF if cluster else {})
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -64,16 +68,18 @@ def get_spark(app: str = "txmon", master: str | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is used as is. Only when it is unset (unit tests, a bare local
-    session) a private folder is created and registered.
+    The cluster's setting is used as is. Only a bare local session (unit tests) without the
+    setting gets a private folder; any other master raises, because its executors would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="txmon-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    if path:
+        return path
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="txmon-ckpt-"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -82,14 +88,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/txmon-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
+def ensure_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder through Spark's own file system layer (local or remote)."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
 
 
-def local_dir(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def makedirs_if_local(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(local_dir(path), exist_ok=True)
+def share_code(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver found it (a shared code folder),
+    also when the session was started without it on PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if root not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, have]))

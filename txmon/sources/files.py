@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txmon.session import ensure_folder
+
 # Text columns of a routed CSV file (nested parts are JSON text).
 ROUTED_COLUMNS = ["transaction_id", "timestamp", "sender", "receiver", "amount_usd", "sender_country",
                   "receiver_country", "transaction_type", "status", "fee_usd", "reference", "metadata",
@@ -14,53 +18,48 @@ PARTITION_COLUMNS = ["route", "year", "month", "day"]
 ROUTED_CSV_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ROUTED_COLUMNS])
 
 # PERMISSIVE: a malformed line becomes a row of NULLs instead of failing the file. Message
-# decoding errors travel in the data's own ``decode_error`` column.
+# decoding errors travel in the data's own ``decode_error`` column. The header must name the
+# schema's columns in order: a file with other columns fails instead of being read by position.
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8",
-               "mode": "PERMISSIVE"}
-
+               "mode": "PERMISSIVE", "enforceSchema": "false"}
 
-# Text width of the date folder values.
-DATE_WIDTH = {"year": 4, "month": 2, "day": 2}
 
+def with_folder_columns(df: DataFrame) -> DataFrame:
+    """``source_file`` and the folder values ``route/year/month/day`` as text, taken from each row's file.
 
-def as_folder_text(df: DataFrame) -> DataFrame:
-    """Discovered partition values back to folder text: '2024', '01', '05' (discovery infers
-    numbers; the data schema itself stays the file's columns, so headers line up)."""
-    cols = {c: F.lpad(F.col(c).cast("string"), w, "0") for c, w in DATE_WIDTH.items() if c in df.columns}
-    if "route" in df.columns:
-        cols["route"] = F.col("route").cast("string")
-    return df.withColumns(cols)
+    Taken from the path, they are there before the first file is, and the schema stays the file's own
+    columns, so headers are checked. A filter on them is one on the file's path: other files are not opened."""
+    path = F.col("_metadata.file_path")
+    return df.withColumns({"source_file": path, **{c: F.regexp_extract(path, rf"/{c}=([^/]*)/", 1) for c in PARTITION_COLUMNS}})
 
 
 def read_routed(spark: SparkSession, base: str, streaming: bool = False,
                 schema: T.StructType = ROUTED_CSV_SCHEMA, **opts) -> DataFrame:
-    """Both routes of the routed sink (``route=/year=/month=/day=`` folders); ``source_file`` is
-    each row's file. Filters on route/year/month/day prune folders in batch reads."""
+    """All routes of the routed sink's folder ``base`` (``route=/year=/month=/day=``), read through its
+    commit log: files that a failed or unfinished batch left behind are never read. A folder without
+    files yet gives no rows."""
+    ensure_folder(spark, base)
     reader = spark.readStream if streaming else spark.read
-    df = reader.schema(schema).options(**CSV_OPTIONS).options(**opts).csv(base)
-    return as_folder_text(df).withColumn("source_file", F.col("_metadata.file_path"))
+    return with_folder_columns(reader.schema(schema).options(**CSV_OPTIONS).options(**opts).option("recursiveFileLookup", "true").csv(base))
 
 
 def read_suspicious(spark: SparkSession, base: str, streaming: bool = False, layout: str = "hive",
                     schema: T.StructType = ROUTED_CSV_SCHEMA, route: str = "suspicious", **opts) -> DataFrame:
     """One route's CSV files with an explicit schema; ``source_file`` is each row's file.
 
-    ``layout="hive"`` reads ``base/route=<route>/year=/month=/day=`` (only that route's folder is
-    listed); ``layout="plain"`` reads ``base/YYYY/MM/DD/*.csv`` and takes the date from the path.
-    Empty files yield no rows.
+    ``layout="hive"`` keeps one route of ``read_routed``; ``layout="plain"`` reads ``base/YYYY/MM/DD/*.csv`` and takes
+    the date from the path. Empty files yield no rows.
     """
+    if layout != "plain":
+        return read_routed(spark, base, streaming, schema, **opts).filter(F.col("route") == route)
     reader = spark.readStream if streaming else spark.read
-    reader = reader.options(**CSV_OPTIONS).options(**opts)
-    if layout == "plain":
-        df = (reader.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-                    .csv(base))
-        path = F.col("_metadata.file_path")
-        m = r"/(\d{4})/(\d{2})/(\d{2})/[^/]+$"
-        return df.withColumns({"source_file": path, "year": F.regexp_extract(path, m, 1),
-                               "month": F.regexp_extract(path, m, 2), "day": F.regexp_extract(path, m, 3),
-                               "route": F.lit(route)})
-    df = reader.schema(schema).csv(f"{base.rstrip('/')}/route={route}")
-    return as_folder_text(df).withColumns({"source_file": F.col("_metadata.file_path"), "route": F.lit(route)})
+    df = (reader.schema(schema).options(**CSV_OPTIONS).options(**opts)
+                .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(base))
+    path = F.col("_metadata.file_path")
+    m = r"/(\d{4})/(\d{2})/(\d{2})/[^/]+$"
+    return df.withColumns({"source_file": path, "year": F.regexp_extract(path, m, 1),
+                           "month": F.regexp_extract(path, m, 2), "day": F.regexp_extract(path, m, 3),
+                           "route": F.lit(route)})
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:
@@ -73,20 +72,33 @@ def run_sql(spark: SparkSession, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
-_CACHE: dict[str, DataFrame] = {}
+#: Most results kept; the one not used for longest goes first.
+CACHE_SIZE = 32
+_CACHE: OrderedDict[tuple, DataFrame] = OrderedDict()
+
+
+def _cache_key(spark: SparkSession, df: DataFrame) -> tuple:
+    return spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), df.semanticHash()
 
 
 def cached_sql(spark: SparkSession, sql: str) -> DataFrame:
-    """Result cache keyed by query text (persisted lazily on first use)."""
-    df = _CACHE.get(sql)
-    if df is None:
-        df = spark.sql(sql).persist()
-        _CACHE[sql] = df
+    """Result cache (persisted lazily on first use), per session and analysed plan: the same
+    question is answered from the cache, also in other words, and a replaced view is a new plan."""
+    df = spark.sql(sql)
+    key = _cache_key(spark, df)
+    kept = _CACHE.get(key)
+    if kept is not None and kept.sameSemantics(df):
+        _CACHE.move_to_end(key)
+        return kept
+    _CACHE[key] = df.persist()
+    while len(_CACHE) > CACHE_SIZE:
+        _CACHE.popitem(last=False)[1].unpersist()
     return df
 
 
-def uncache_sql(sql: str | None = None) -> None:
-    keys = [sql] if sql is not None else list(_CACHE)
+def uncache_sql(spark: SparkSession, sql: str | None = None) -> None:
+    """Drop one question's result, or all results."""
+    keys = list(_CACHE) if sql is None else [_cache_key(spark, spark.sql(sql))]
     for k in keys:
         df = _CACHE.pop(k, None)
         if df is not None:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txmon.operators.reconcile import dedup_earliest
 from txmon.operators.rules import RuleConfig, flag_reasons, route
 
 PARTITIONS = ["route", "year", "month", "day"]
@@ -54,21 +56,27 @@ def write_routed(df: DataFrame, base: str, cfg: RuleConfig = RuleConfig(), fmt:
 
 
 def load_flat(df: DataFrame, path: str, mode: str = "incremental", key: str = "transaction_id",
-              fmt: str = "parquet") -> None:
+              order: str = "processing_time", fmt: str = "parquet") -> None:
     """Load flattened rows into the flat table at ``path``.
 
     ``append``      inserts every row on every call (the reference procedure's behaviour).
-    ``incremental`` inserts only keys not in the table yet (left anti join on ``key``; the
-                    existing keys are read as a projection of one column).
+    ``incremental`` inserts each key once: the earliest row (``order``) of the keys that are not in
+                    the table yet (left anti join on the projected key column). Rows without a key
+                    cannot be told apart and are left out; V1 reports them. Only a missing table
+                    counts as a first load; any other read error is raised.
     """
     spark = df.sparkSession
     if mode == "incremental":
+        ties = [c for c in df.columns if c not in (key, order)]
+        df = dedup_earliest(df.filter(F.col(key).isNotNull()), key, order, ties).drop("n_copies").select(*df.columns)
         try:
             existing = spark.read.format(fmt).load(path).select(key)
-        except Exception:  # noqa: BLE001 - first load: no table yet
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             existing = None
         if existing is not None:
-            df = df.join(existing.distinct(), key, "left_anti")
+            df = df.join(existing, key, "left_anti")
     elif mode != "append":
         raise ValueError("mode must be 'append' or 'incremental'")
     df.write.mode("append").format(fmt).save(path)

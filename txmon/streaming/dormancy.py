@@ -66,59 +66,3 @@ def dormant_stream(df: DataFrame, account: str, ts: str, amount: str, id_col: st
     return src.groupBy("account").applyInPandasWithState(
         _processor(float(min_gap_seconds), float(min_amount)), OUTPUT_SCHEMA, STATE_SCHEMA,
         "append", GroupStateTimeout.NoTimeout)
-
-
-# ---------------------------------------------------------------------------------------------
-# Skew-safe variant: each micro-batch is a static DataFrame, so the per-account ordering uses
-# the segmented lag of the batch operator (F6) and no account's rows meet in one task. The state
-# (last time per account) is a table versioned by batch id: batch k reads ``v=k-1`` and writes
-# ``v=k`` (overwrite), so a replayed batch recomputes the same version and output (idempotent).
-# Each version is a full copy of the state; versions older than the last committed one can be
-# removed by the operator's retention job.
-# ---------------------------------------------------------------------------------------------
-STATE_COLUMNS = "account string, last_ts timestamp"
-
-
-def dormant_batch_writer(state_path: str, out_path: str, min_gap_seconds: float, min_amount: float):
-    """``foreachBatch`` function: flag dormant bursts of one micro-batch with carried state.
-
-    Input batch columns: account, id, ts, amount (see ``dormant_batches``)."""
-    from txmon.operators.segmented import previous_value
-
-    state_path, out_path = state_path.rstrip("/"), out_path.rstrip("/")
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id > 0:
-            state = spark.read.parquet(f"{state_path}/v={batch_id - 1}")
-        else:
-            state = spark.createDataFrame([], STATE_COLUMNS)
-        # one state row per account; AQE splits a hot account's side of this join
-        j = batch.join(state, "account", "left")
-        fresh = j.filter(F.col("last_ts").isNull() | (F.col("ts") >= F.col("last_ts")))  # late rows ignored
-        p = previous_value(fresh, ["account"], ["ts", "id"], "ts", "_prev_in_batch")
-        prev = F.coalesce(F.col("_prev_in_batch"), F.col("last_ts"))
-        gap = (F.unix_micros("ts") - F.unix_micros(prev)) / F.lit(1e6)
-        flagged = (p.withColumn("prev_ts", prev).withColumn("gap_seconds", gap)
-                    .filter((F.col("gap_seconds") >= F.lit(float(min_gap_seconds)))
-                            & (F.col("amount") >= F.lit(float(min_amount))))
-                    .select("account", "id", "ts", "prev_ts", "gap_seconds", "amount"))
-        flagged.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        seen = fresh.groupBy("account").agg(F.max("ts").alias("last_ts"))
-        merged = state.unionByName(seen).groupBy("account").agg(F.max("last_ts").alias("last_ts"))
-        merged.write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
-    return process
-
-
-def dormant_batches(df: DataFrame, account: str, ts: str, amount: str, id_col: str,
-                    min_gap_seconds: float, min_amount: float, state_path: str, out_path: str,
-                    checkpoint: str, trigger: dict | None = None):
-    """Start the skew-safe dormancy stream; flagged rows land in ``out_path/batch_id=N``.
-
-    Micro-batches must arrive in event-time order per account for the result to equal the
-    batch lag (as for ``dormant_stream``); rows older than an account's stored time are late."""
-    src = df.select(F.col(account).cast("string").alias("account"), F.col(id_col).cast("string").alias("id"),
-                    F.col(ts).cast("timestamp").alias("ts"), F.col(amount).cast("double").alias("amount"))
-    w = (src.writeStream.foreachBatch(dormant_batch_writer(state_path, out_path, min_gap_seconds, min_amount))
-             .option("checkpointLocation", checkpoint))
-    return w.trigger(**(trigger or {"availableNow": True})).start()

@@ -7,12 +7,13 @@ visible exactly once even when a task or executor is lost and the batch is re-ru
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from txmon.operators.alerts import alert_messages
+from txmon.operators.alerts import alert_messages, error_message
 from txmon.operators.rules import RuleConfig
 from txmon.sources.events import decode_events
-from txmon.sources.files import ROUTED_COLUMNS, read_suspicious
+from txmon.sources.files import ROUTED_COLUMNS, read_routed
 from txmon.sources.sinks import PARTITIONS, to_text_columns, with_route_partitions
 
 
@@ -24,8 +25,8 @@ def monitor_stream(messages: DataFrame, base: str, checkpoint: str, cfg: RuleCon
                    trigger: dict | None = None, partition_by: str = "processing",
                    fmt: str = "csv") -> StreamingQuery:
     """Bus messages -> decode (S2) -> flag + reasons (F3/F4) -> route (F5) -> one file sink
-    partitioned by ``route/year/month/day`` (S3). Bad messages are kept in ``decode_error``
-    and land in the normal route instead of stopping the stream.
+    partitioned by ``route/year/month/day`` (S3). Messages that do not decode (malformed JSON, or a
+    field of the wrong type) land in the ``quarantine`` route with their text in ``decode_error``.
 
     T2: micro-batch size comes from the source (``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger``)
     and ``trigger`` (e.g. ``{"processingTime": "1 minute"}``); T3: the default trigger is
@@ -40,8 +41,11 @@ def monitor_stream(messages: DataFrame, base: str, checkpoint: str, cfg: RuleCon
 
 
 def run_available(query: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
-    """Wait for an ``availableNow`` run to finish (raises if the query failed)."""
-    query.awaitTermination(timeout_s)
+    """Wait for an ``availableNow`` run to finish (raises if the query failed). A run over its
+    time bound is stopped; the next run resumes from the checkpoint."""
+    done = query.awaitTermination(timeout_s)
+    if timeout_s is not None and not done:
+        query.stop()
     if query.exception() is not None:
         raise query.exception()
     return query
@@ -49,11 +53,14 @@ def run_available(query: StreamingQuery, timeout_s: float | None = None) -> Stre
 
 def alert_stream(spark: SparkSession, routed_base: str, target: str, checkpoint: str,
                  trigger: dict | None = None, **read_opts) -> StreamingQuery:
-    """T5: stream the suspicious folder of the routed sink into an alert table (parquet).
-    Rows whose message failed to decode carry ``decode_error`` and still yield an alert (with N/A fields)."""
-    src = read_suspicious(spark, routed_base, streaming=True, **read_opts)
-    alerts = alert_messages(src).select("transaction_id", "source_file", "amount", "fee", "sender_name",
-                                        "receiver_name", "message", "decode_error")
+    """T5: stream the routed sink's suspicious and quarantined rows into an alert table (parquet).
+    Suspicious rows give the alert text; quarantined rows give an error alert with the message's
+    own text. The folder is read through the sink's commit log, so each row alerts once."""
+    src = read_routed(spark, routed_base, streaming=True, **read_opts).filter(F.col("route").isin("suspicious", "quarantine"))
+    is_error = F.col("route") == "quarantine"
+    alerts = alert_messages(src).withColumn("message", F.when(is_error, error_message()).otherwise(F.col("message")))
+    alerts = alerts.select("transaction_id", "route", "source_file", "amount", "fee", "sender_name", "receiver_name",
+                           "message", "decode_error")
     w = (alerts.writeStream.format("parquet").outputMode("append")
                .option("path", target).option("checkpointLocation", checkpoint))
     return _trigger(w, trigger).start()

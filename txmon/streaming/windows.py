@@ -1,16 +1,21 @@
 """Event-time operators (T6-T10); each also runs on a batch DataFrame unchanged.
 
 Event time must be TIMESTAMP (not TIMESTAMP_NTZ) for a watermark, so it is cast first.
-In append mode a window / session is emitted once the watermark passes its end; the watermark
-(max event time seen - delay) also bounds the state kept, and rows older than it are dropped
-(T10, counted by ``monitor.dropped_by_watermark``).
+In append mode a window / session is emitted once the watermark passes its end, so a bounded run
+never emits the last ones. ``land_windows`` therefore runs windows in update mode and lands every
+change; ``read_windows`` keeps the latest state of each window. The watermark (max event time seen -
+delay) bounds the state kept, and rows older than it are dropped (T10, counted by
+``monitor.dropped_by_watermark``). Sessions have no update mode: a finished input runs ``sessions`` as a
+batch plan (the same operator); a stream appends closed sessions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txmon.sources.sinks import batch_writer
+
 
 def event_time(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
     d = df.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -30,6 +35,20 @@ def windowed(df: DataFrame, ts: str, duration: str, by=(), value: str | None = N
                     *by, *[a for a in ["n", "total"] if a in g.columns])
 
 
+def land_windows(windows: DataFrame, target: str, checkpoint: str, trigger: dict | None = None):
+    """Land every change of streaming windows, one folder per micro-batch (a replayed batch replaces its own)."""
+    w = windows.writeStream.outputMode("update").foreachBatch(batch_writer(target)).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_windows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The latest landed state of every window: rows of one key are reduced before the shuffle."""
+    d = spark.read.parquet(target)
+    values = [c for c in d.columns if c not in (*keys, "batch_id")]
+    last = d.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id").cast("long")).alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def sessions(df: DataFrame, ts: str, gap: str, by, value: str | None = None,
              watermark: str | None = "1 hour") -> DataFrame:
     """Activity sessions per key (a session ends ``gap`` after its last event)."""
