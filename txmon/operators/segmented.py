@@ -91,12 +91,6 @@ def _with_key_surrogates(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[
     return df.withColumns(cols), names
 
 
-def _dealt(d: DataFrame, keys: list[str]) -> DataFrame:
-    """One explicit exchange on (key, segment), which the per-segment aggregate, the window and the
-    join all use: the plan below is run once and its shuffle read by both branches."""
-    return d.repartition(*[F.col(k) for k in keys])
-
-
 def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out: str,
                 segment: Column | None = None) -> DataFrame:
     """``out`` = sum of ``value`` over rows of the same ``by`` key up to and including this
@@ -104,7 +98,6 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, out:
     seg = segment if segment is not None else default_segment(df, order[0])
     d, kcols = _with_key_surrogates(df.withColumn(SEG, seg), list(by))
     keys = kcols + [SEG]
-    d = _dealt(d, keys)
     totals = d.groupBy(*keys).agg(F.sum(value).alias("_segsum"))
     before = Window.partitionBy(*kcols).orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.sum("_segsum").over(before).alias("_carry"))
@@ -130,7 +123,6 @@ def previous_value(df: DataFrame, by: list[str], order: list[str], col: str, out
     seg = segment if segment is not None else default_segment(df, order[0])
     d, kcols = _with_key_surrogates(df.withColumn(SEG, seg), list(by))
     keys = kcols + [SEG]
-    d = _dealt(d, keys)
     last = d.groupBy(*keys).agg(F.max(col).alias("_seglast"))
     prev_seg = Window.partitionBy(*kcols).orderBy(SEG)
     carry = last.select(*[F.col(k).alias(f"_c{k}") for k in keys], F.lag("_seglast").over(prev_seg).alias("_carry"))
