@@ -268,3 +268,14 @@ def test_reference_chart_signatures(spark):
         charts.chart_data(df, kind, title="T", **kw).collect()
     with pytest.raises(ValueError):
         charts.chart_data(df, "scatter_chart", x_col="x", y_col="y", hue_col="nope")
+
+
+@pytest.mark.parametrize("values", [[1.7e15 + i for i in range(2000)], [5.0 + i * 1e-6 for i in range(2000)], [float(i) for i in range(-1000, 1000)]])
+def test_segments_split_a_hot_key_in_a_narrow_range(spark, values):
+    from txmon.operators.segmented import default_segment
+
+    df = spark.createDataFrame([("hot", v, i) for i, v in enumerate(values)], "k string, v double, id int")
+    sizes = [r["count"] for r in df.withColumn("s", default_segment(df, "v")).groupBy("k", "s").count().collect()]
+    assert max(sizes) <= len(values) * 0.02
+    got = {r.id: r.cumulative_sum for r in win.cumulative(df.withColumn("one", F.lit(1)), "k", "one", ["v", "id"]).collect()}
+    assert [got[i] for i in range(len(values))] == list(range(1, len(values) + 1))

@@ -25,6 +25,8 @@ SEG = "_seg"
 
 # Segments per doubling of a numeric ordering value (about 1 % of relative range each).
 LOG_SEGMENTS_PER_DOUBLING = 64
+# Equal parts of a numeric column's own range.
+RANGE_SEGMENTS = 4096
 
 
 def default_segment(df: DataFrame, order_col: str) -> Column:
@@ -32,9 +34,10 @@ def default_segment(df: DataFrame, order_col: str) -> Column:
 
     Timestamps: the hour (a key holding a third of 100 TB over seven years is ~0.5 GB per hour,
     a right-sized task; the carry table has one small row per active key-hour). Dates: the day.
-    Numbers: ``floor(64 * sign(v) * log2(1 + |v|))`` -- monotone in
-    v, needs no statistics pass, and stays bounded (about 5,000 segments across +-1e12) however
-    wide the value range is. Other types: a single segment (plain window per key)."""
+    Numbers: two monotone buckets together: ``floor(64 * sign(v) * log2(1 + |v|))``, which copes with outliers,
+    and 4096 equal parts of the data's own [min, max] (a one-row aggregate as a scalar subquery), which
+    splits a narrow range such as epoch numbers or doubles close together. Other types: a single segment
+    (plain window per key)."""
     dt = df.schema[order_col].dataType
     c = F.col(order_col)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
@@ -43,7 +46,10 @@ def default_segment(df: DataFrame, order_col: str) -> Column:
         return F.date_trunc("day", c.cast("timestamp"))
     if isinstance(dt, T.NumericType):
         v = c.cast("double")
-        return F.floor(F.lit(float(LOG_SEGMENTS_PER_DOUBLING)) * F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)))
+        seen = df.select(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
+        part = F.try_divide((v - seen["lo"]) * F.lit(float(RANGE_SEGMENTS)), seen["hi"] - seen["lo"])
+        linear = F.least(F.coalesce(F.floor(part), F.lit(0)), F.lit(RANGE_SEGMENTS - 1))
+        return F.floor(F.lit(float(LOG_SEGMENTS_PER_DOUBLING)) * F.signum(v) * F.log2(F.lit(1.0) + F.abs(v))) * RANGE_SEGMENTS + linear
     return F.lit(0)
 
 
