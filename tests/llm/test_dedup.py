@@ -252,3 +252,40 @@ def test_string_owners_match_brute_force():
     for k, t in enumerate(texts):
         for a in range(len(t) - MATCH + 1):
             assert got[k][a] == min(o for o, u in zip(ords, texts) if t[a:a + MATCH] in u)
+
+
+def test_segments_that_share_a_string_are_never_left_out():
+    """The bound on shared context may let too much through, never too little."""
+    import pyarrow as pa
+
+    from txmon.llm.suffix_dedup import GRAM, MATCH, REACH, may_share
+
+    rng = random.Random(6)
+    routes, texts, places, spared = [], [], [], 0
+    for route in range(60):
+        gram = bytes(rng.choice(b"xyz") for _ in range(GRAM))
+        near = [bytes(rng.choice(b"ab") for _ in range(REACH - 1)) for _ in range(2)]
+        for _ in range(rng.randint(2, 6)):
+            left, right = bytearray(rng.choice(near)), bytearray(rng.choice(near))
+            for side in (left, right):
+                if rng.random() < 0.7:
+                    side[rng.randrange(len(side))] ^= 3
+            before = rng.randint(0, REACH - 1)
+            after = rng.randint(REACH - 1 - before, REACH - 1)
+            routes.append(route)
+            texts.append(bytes(left[len(left) - before:]) + gram + bytes(right[:after]))
+            places.append(before)
+    got = may_share(np.array(routes, np.uint64), pa.array(texts, pa.binary()), np.array(places))
+    windows = [{t[a:a + MATCH] for a in range(len(t) - MATCH + 1)} for t in texts]
+    for k, (r, w) in enumerate(zip(routes, windows)):
+        shares = any(routes[j] == r and j != k and texts[j] != texts[k] and w & windows[j] for j in range(len(texts)))
+        assert got[k] or not shares
+        spared += not got[k]
+    assert spared > 20
+
+
+def test_released_steps_leave_no_shuffle_files(spark):
+    from txmon.llm.common import materialize, release
+
+    materialize(spark.range(1000).repartition(5, "id"), "release")
+    release(spark)

@@ -10,13 +10,15 @@ Conventions every operator follows:
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txmon.session import scratch_path
+from txmon.session import scratch_path, share_code
 
 ROW = "_row"
 
@@ -25,6 +27,8 @@ SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table; workers are told where the code lies."""
+    share_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +44,17 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps: it follows the driver's garbage collection.
+
+    Twice, as what the driver's Python side lets go only becomes garbage of the JVM after that.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def pack(docs: DataFrame, carry: list[str], **working: Column) -> DataFrame:
     """Working columns plus the caller's ``carry`` columns inside the struct ``ROW``."""
     row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(c) for c in carry])

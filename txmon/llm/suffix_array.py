@@ -130,6 +130,29 @@ def _names(s: np.ndarray, leftmost_sorted: np.ndarray, next_at: np.ndarray) -> n
     return np.concatenate(([0], np.cumsum(~same)))
 
 
+def _sorted_marks(s: np.ndarray, small: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Leftmost-smaller substrings in order, and their names, by packed symbols; None if some are too long to pack."""
+    symbols = 2 * s + small + 1  # of equal symbols the larger type comes first
+    lengths = np.append(np.diff(marks), 0) + 1
+    bits = int(symbols.max()).bit_length()
+    each = 63 // bits
+    if not each or lengths.max() > 5 * each:
+        return None
+    keys = []
+    for at in range(0, int(lengths.max()), each):
+        key = np.zeros(len(marks), dtype=np.int64)
+        for k in range(at, at + each):
+            some = symbols[np.minimum(marks + k, len(s) - 1)]
+            key = (key << bits) + np.where(k < lengths, some, 0)
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(marks), dtype=bool)
+    for key in keys:
+        ranked = key[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return marks[order], np.cumsum(new)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Suffix array of integers >= 0 whose last symbol is the unique smallest."""
     s = np.asarray(s, dtype=np.int64)
@@ -144,14 +167,18 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     def induced(order: np.ndarray) -> np.ndarray:
         return np.array(_induce_loops(*loops, order.tolist(), int(s.max()) + 1)) if wide else induce(s, small, order)
 
-    sa = induced(marks)  # in any order: sorts the substrings between marks
-    is_mark = np.zeros(n, dtype=bool)
-    is_mark[marks] = True
-    ranked = sa[is_mark[sa]]
-    next_at = np.zeros(n, dtype=np.int64)
-    next_at[marks[:-1]] = marks[1:]
-    next_at[marks[-1]] = marks[-1]
-    names = _names(s, ranked, next_at)
+    found = _sorted_marks(s, small, marks)
+    if found is not None:
+        ranked, names = found
+    else:  # induce once from any order: that sorts the substrings between marks
+        sa = induced(marks)
+        is_mark = np.zeros(n, dtype=bool)
+        is_mark[marks] = True
+        ranked = sa[is_mark[sa]]
+        next_at = np.zeros(n, dtype=np.int64)
+        next_at[marks[:-1]] = marks[1:]
+        next_at[marks[-1]] = marks[-1]
+        names = _names(s, ranked, next_at)
     if names[-1] + 1 < len(marks):
         named = np.zeros(n, dtype=np.int64)
         named[ranked] = names

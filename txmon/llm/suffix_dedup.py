@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from txmon.llm.common import ROW, materialize, pack, text_of, unpack
+from txmon.llm.common import ROW, materialize, pack, release, slices, text_of, unpack
 from txmon.llm.suffix_array import permuted_prefixes, suffix_array
 
 MATCH = 50
 GRAM = 26
 REACH = MATCH - GRAM + 1  # grams in a string
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 24 << 20
 BUCKET_BYTES = 32 << 20
-CHUNK = 1 << 20  # window starts handled in one array operation
+CHUNK = 1 << 16  # window starts handled in one array operation
 SHARD_BYTES = 2 << 20  # text of one suffix array
 #: Documents (of all groups, counted in classes) from which an anchor's strings travel one by one.
 HOT_DOCS = 256
@@ -68,9 +68,7 @@ def grouped_docs(base: DataFrame, groups: int) -> DataFrame:
     dealt = base.withColumn("_g", F.pmod(F.xxhash64("_ord", "_text"), F.lit(groups)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, "_text"):
             rows = pa.Table.from_batches([batch]).sort_by("_g").combine_chunks()
             g = rows.column("_g").to_numpy()
             heads = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
@@ -108,12 +106,14 @@ def _mix(h: np.ndarray, factor: int) -> np.ndarray:
     return h
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one number."""
+    return np.ndarray(len(data) - 7, np.uint64, data, 0, (1,)) if len(data) >= 8 else np.zeros(0, np.uint64)
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of the 26 bytes from every position of ``data`` on (len - 25 of them)."""
-    x = data.astype(np.uint64)
-    x = x[:-1] | (x[1:] << np.uint64(8))
-    x = x[:-2] | (x[2:] << np.uint64(16))
-    x = x[:-4] | (x[4:] << np.uint64(32))
+    x = eight_bytes(data).copy()  # aligned
     n = len(data) - GRAM + 1
     h = _mix(x[:n] * np.uint64(0x9E3779B97F4A7C15), 0xBF58476D1CE4E5B9)
     h = _mix(h ^ x[8:8 + n], 0x94D049BB133111EB)
@@ -122,19 +122,50 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def first_least(h: np.ndarray) -> np.ndarray:
-    """Position of the first least of h[a:a + REACH] for every a."""
-    value, at, span = h, np.arange(len(h), dtype=np.int32), 1
-
-    def join(left, right, shift, n):
-        keep = left[0][:n] <= right[0][shift:shift + n]
-        return np.where(keep, left[0][:n], right[0][shift:shift + n]), np.where(keep, left[1][:n], right[1][shift:shift + n])
-
+def window_least(h: np.ndarray) -> np.ndarray:
+    """The least of h[a:a + REACH] for every a."""
+    least, span = h, 1
     while span * 2 <= REACH:
-        value, at = join((value, at), (value, at), span, len(value) - span)
+        least = np.minimum(least[:-span], least[span:])
         span *= 2
-    n = len(h) - REACH + 1
-    return join((value, at), (value, at), REACH - span, n)[1]
+    shift = REACH - span
+    return np.minimum(least[:len(least) - shift], least[shift:]) if shift else least
+
+
+def first_least(h: np.ndarray) -> np.ndarray:
+    """Position of the first least of h[a:a + REACH] for every a (slow; for stretches with equal hashes close together)."""
+    grid = np.lib.stride_tricks.sliding_window_view(h, REACH)
+    return np.concatenate([np.argmin(grid[k:k + 8192], axis=1) + np.arange(k, min(k + 8192, len(grid))) for k in range(0, len(grid), 8192)])
+
+
+def runs(h: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first, last): runs of valid string starts with the same first least gram."""
+    least = window_least(h)
+
+    def cut(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        before = np.concatenate(([False], valid[:-1]))
+        heads = valid & (~before | new)
+        tails = valid & np.concatenate((~valid[1:] | heads[1:], [True]))
+        return np.flatnonzero(heads), np.flatnonzero(tails)
+
+    first, last = cut(np.concatenate(([True], least[1:] != least[:-1])))
+    if not len(first):
+        return first, first, last
+    place, value = first.copy(), least[first]
+    alive = np.flatnonzero(h[place] != value)
+    while len(alive):
+        place[alive] += 1
+        alive = alive[h[place[alive]] != value[alive]]
+    odd = np.flatnonzero(place < last)  # an equal hash follows where the first one has left the string
+    if not len(odd):
+        return place, first, last
+    parts = [np.delete(np.stack([place, first, last]), odd, axis=1)]
+    for x, y in zip(first[odd].tolist(), last[odd].tolist()):
+        at = first_least(h[x:y + REACH])
+        heads = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        parts.append(np.stack([at[heads] + x, heads + x, np.append(heads[1:], len(at)) - 1 + x]))
+    joined = np.concatenate(parts, axis=1)
+    return tuple(joined[:, np.argsort(joined[1], kind="stable")])
 
 
 class Anchors:
@@ -150,20 +181,16 @@ class Anchors:
         self.start = np.concatenate(([0], np.cumsum(sizes)))
         parts: list[tuple] = []
         starts = len(self.data) - MATCH + 1
+        valid = np.ones(max(0, starts), dtype=bool)
+        for end in self.start[1:].tolist():
+            valid[max(0, end - MATCH + 1):end] = False  # strings that would run over their document's end
         for c in range(0, max(0, starts), CHUNK):
             end = min(starts, c + CHUNK)
             h = gram_hashes(self.data[c:end + MATCH - 1])
-            least = first_least(h).astype(np.int64)
-            a = np.arange(c, end)
-            doc = np.searchsorted(self.start, a, side="right") - 1 if len(texts) > 1 else np.zeros(len(a), np.int64)
-            ok = a + MATCH <= self.start[doc + 1]
-            a, doc, least = a[ok], doc[ok], least[ok]
-            if not len(a):
-                continue
-            heads = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (a[1:] != a[:-1] + 1) | (doc[1:] != doc[:-1]))))
-            last = np.append(heads[1:], len(a)) - 1
-            p = least[heads]
-            parts.append((p + c, a[heads], a[last], doc[heads], h[p], h[a[heads] - c], h[a[last] - c + REACH - 1]))
+            p, a, b = runs(h, valid[c:end])
+            if len(p):
+                doc = np.searchsorted(self.start, a + c, side="right") - 1
+                parts.append((p + c, a + c, b + c, doc, h[p], h[a], h[b + REACH - 1]))
         cols = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 3
         p, a, b, doc, key, first, last = cols
         if len(p):  # one anchor cut by a chunk's end
@@ -176,7 +203,8 @@ class Anchors:
         seg = _mix(first ^ _mix(shape, 0x9E3779B97F4A7C15), 0xBF58476D1CE4E5B9)
         seg = _mix(seg ^ key, 0x94D049BB133111EB)
         self.seg = _mix(seg ^ last, 0xD6E8FEB86659FD93)
-        self.route = self.key >> np.uint64(16)
+        # anchors are least hashes: mixed again, they spread evenly over the buckets
+        self.route = _mix(self.key, 0x9E3779B97F4A7C15) >> np.uint64(16)
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, anchor) of every string of the anchors ``which``."""
@@ -186,19 +214,17 @@ class Anchors:
         return self.a[owner] + within, owner
 
     def string_hashes(self, at: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the strings starting at ``at`` (two grams cover one)."""
+        """64-bit hashes of the strings starting at ``at``, from seven (overlapping) words of eight bytes."""
         out = np.zeros(len(at), dtype=np.uint64)
+        if not len(at):
+            return out
+        words = eight_bytes(self.data)
         for c in range(0, len(at), CHUNK):
             some = at[c:c + CHUNK]
-            grid = self.data[some[:, None] + np.arange(MATCH)]
-            rows = np.concatenate([grid, np.zeros((len(some), 1), np.uint8)], axis=1)
-            x = np.zeros(len(some), dtype=np.uint64)
-            for k in range(0, MATCH, 8):
-                word = np.zeros(len(some), dtype=np.uint64)
-                for j in range(k, min(k + 8, MATCH)):
-                    word |= rows[:, j].astype(np.uint64) << np.uint64(8 * (j - k))
-                x = _mix(x ^ word, 0xBF58476D1CE4E5B9 if k % 16 else 0x94D049BB133111EB)
-            out[c:c + CHUNK] = _mix(x, 0xD6E8FEB86659FD93)
+            h = _mix(words[some] * np.uint64(0x9E3779B97F4A7C15), 0xBF58476D1CE4E5B9)
+            for k, factor in zip((8, 16, 24, 32, 40, MATCH - 8), (0x94D049BB133111EB, 0xD6E8FEB86659FD93) * 3):
+                h = _mix(h ^ words[some + k], factor)
+            out[c:c + CHUNK] = h ^ (h >> np.uint64(29))
         return out
 
 
@@ -326,73 +352,57 @@ def finish(rows: pa.Table, found: Anchors, gone: np.ndarray, with_text: bool) ->
 
 
 def segment_columns(found: Anchors, ords: np.ndarray, plain: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(route, seg, ord, first byte, end) of the segments to compare."""
+    """(route, seg, ord, first byte, end, place of the anchor) of the segments to compare."""
     at, owner = found.windows(hot)
     own = found.string_hashes(at)
     return (np.concatenate([found.route[plain], own >> np.uint64(16)]), np.concatenate([found.seg[plain], own]),
             np.concatenate([ords[found.doc[plain]], ords[found.doc[owner]]]),
-            np.concatenate([found.a[plain], at]), np.concatenate([found.b[plain], at]) + MATCH)
+            np.concatenate([found.a[plain], at]), np.concatenate([found.b[plain], at]) + MATCH,
+            np.concatenate([found.p[plain] - found.a[plain], np.zeros(len(at), np.int64)]).astype(np.uint8))
 
 
-def segments(both: DataFrame, row_schema: StructType, bits: int, with_text: bool) -> DataFrame:
-    """kind 0: finished documents without repeated anchors; 1: segments by bucket; 2: the other documents, packed."""
-    row_type = row_schema[ROW].dataType
-    schema = StructType(StructType.fromDDL("kind int, g int, b int, blob binary").fields + StructType().add(ROW, row_type).fields + StructType.fromDDL(RESULT).fields)
-    names = schema.names
+def segments(both: DataFrame, bits: int) -> DataFrame:
+    """(b, g, blob): each group's distinct segments by bucket, with the smallest id that holds them in the group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def other(kind: int, g: int, b: int | None, blob: bytes, row_arrow: pa.DataType) -> pa.RecordBatch:
-            kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([kind], pa.int32()), pa.array([g], pa.int32()), pa.array([b], pa.int32()), pa.array([blob], pa.binary()), pa.nulls(1, row_arrow),
-                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, kinds), pa.nulls(1, pa.binary())], names)
+    def distinct(route, seg, ords) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ords, seg, route))
+        r, s = route[order], seg[order]
+        return order, np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])))) if len(r) else order
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, rows in by_key(batches):
             repeated = Repeated(rows)
             held: list[tuple] = []
-            row_arrow = None
             for docs in _doc_slices(rows):
-                row_arrow = docs.schema.field(ROW).type
                 found = Anchors(docs.column("_text").to_pylist())
                 plain, hot = repeated.split(found)
-                touched = np.zeros(docs.num_rows, dtype=bool)
-                touched[found.doc[plain]] = True
-                touched[found.doc[hot]] = True
-                clean = np.flatnonzero(~touched)
-                if len(clean):
-                    some = docs.take(pa.array(clean))
-                    own = Anchors.__new__(Anchors)
-                    texts = some.column("_text").to_pylist()
-                    own.data = np.frombuffer(b"".join(texts), np.uint8)
-                    own.start = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-                    n = len(clean)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([0] * n, pa.int32()), pa.array([g] * n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
-                         some.column(ROW).combine_chunks(), *finish(some, own, np.zeros(len(own.data), bool), with_text)], names)
-                if touched.any():
-                    some = docs.take(pa.array(np.flatnonzero(touched)))
-                    yield other(2, g, None, packed({c: some.column(c).combine_chunks() for c in some.column_names}), row_arrow)
-                route, seg, ords, lo, hi = segment_columns(found, docs.column("_ord").to_numpy(), plain, hot)
-                order = np.lexsort((ords, seg, route))
-                route, seg, ords, lo, hi = (x[order] for x in (route, seg, ords, lo, hi))
-                if len(route):
-                    new = np.flatnonzero(np.concatenate(([True], (route[1:] != route[:-1]) | (seg[1:] != seg[:-1]))))
-                    held.append((route[new], seg[new], ords[new], [found.data[x:y].tobytes() for x, y in zip(lo[new].tolist(), hi[new].tolist())]))
-            if not held:
+                cols = segment_columns(found, docs.column("_ord").to_numpy(), plain, hot)
+                order, new = distinct(*cols[:3])
+                route, seg, ords, lo, hi, place = (x[order[new]] for x in cols)
+                held.append((route, seg, ords, place, cut_out(found.data, lo, hi)))
+            route, seg, ords, place = (np.concatenate([h[k] for h in held]) for k in range(4)) if held else (np.zeros(0, np.uint64),) * 4
+            if not len(route):
                 continue
-            route, seg, ords = (np.concatenate([h[k] for h in held]) for k in range(3))
-            bytes_ = pa.array([x for h in held for x in h[3]], pa.binary())
-            order = np.lexsort((ords, seg, route))
-            route, seg, ords = route[order], seg[order], ords[order]
-            new = np.flatnonzero(np.concatenate(([True], (route[1:] != route[:-1]) | (seg[1:] != seg[:-1]))))
-            route, seg, ords, bytes_ = route[new], seg[new], ords[new], bytes_.take(pa.array(order[new]))
+            order, new = distinct(route, seg, ords)
+            pick = order[new]
+            route, seg, ords, place = route[pick], seg[pick], ords[pick], place[pick]
+            text = pa.concat_arrays([h[4] for h in held]).take(pa.array(pick))
             bucket = _deal(route, bits)
             cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(route)).tolist()):
-                blob = packed({"d": _u64(np.diff(route[a:b], prepend=np.uint64(0))), "seg": _u64(seg[a:b]), "ord": pa.array(ords[a:b]), "text": pa.concat_arrays([bytes_.slice(a, b - a)])})
-                yield other(1, g, int(bucket[a]), blob, row_arrow)
+                blob = packed({"d": _u64(np.diff(route[a:b], prepend=np.uint64(0))), "seg": _u64(seg[a:b]), "ord": pa.array(ords[a:b]), "at": pa.array(place[a:b]), "text": pa.concat_arrays([text.slice(a, b - a)])})
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([g], pa.int32()), pa.array([blob], pa.binary())], ["b", "g", "blob"])
+
+    return both.mapInArrow(run, "b int, g int, blob binary")
 
-    return both.mapInArrow(run, schema)
+
+def cut_out(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """The stretches lo:hi of ``data`` as binary values."""
+    sizes = hi - lo
+    ends = np.cumsum(sizes)
+    at = np.repeat(lo - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
 
 
 def _doc_slices(rows: list[tuple]) -> Iterator[pa.Table]:
@@ -455,6 +465,65 @@ def shard_owners(route: np.ndarray, texts: list[bytes], ords: np.ndarray) -> lis
     return out
 
 
+def _reach(route: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Longest run of equal bytes each context shares with another one of its route.
+
+    ``words`` hold a context's 24 bytes, nearest to the anchor first, as three big-endian numbers; contexts are
+    sorted, and of a sorted row only neighbours need comparing.
+    """
+    order = np.lexsort((*words[::-1], route))
+    r = route[order]
+    same = r[1:] == r[:-1]
+    shared = np.zeros(max(0, len(r) - 1), dtype=np.int64)
+    going = same.copy()
+    for w in words:
+        differ = w[order][1:] ^ w[order][:-1]
+        equal = np.full(len(differ), 8)
+        some = np.flatnonzero(differ)
+        # leading zero bytes of the difference; doubles would round, so by halves
+        high = (differ[some] >> np.uint64(32)).astype(np.float64)
+        low = (differ[some] & np.uint64(0xFFFFFFFF)).astype(np.float64)
+        bits = np.where(high > 0, 32 + np.frexp(high)[1], np.frexp(low)[1])
+        equal[some] = (64 - bits) // 8
+        shared += np.where(going, equal, 0)
+        going &= equal == 8
+    shared[~same] = -1
+    best = np.full(len(r), -1, dtype=np.int64)
+    best[1:] = shared
+    best[:-1] = np.maximum(best[:-1], shared)
+    out = np.empty(len(r), dtype=np.int64)
+    out[order] = best
+    return out
+
+
+def may_share(route: np.ndarray, text: pa.Array, place: np.ndarray) -> np.ndarray:
+    """Which segments can hold a string that another segment of their route holds too.
+
+    Seen from the anchor, a shared string needs as many equal bytes to the left and right, together, as it has beyond
+    the anchor gram; the greatest such runs over all others bound both sides, so none is missed. ``place`` is
+    the anchor's place in each segment.
+    """
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset:text.offset + len(text) + 1].astype(np.int64)
+    data = np.concatenate((np.frombuffer(text.buffers()[2], np.uint8), np.zeros(64, np.uint8)))
+    size = np.diff(ends)
+    reach = REACH - 1
+
+    def words(at: np.ndarray, step: int, room: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k in range(0, reach, 8):
+            word = np.zeros(len(at), dtype=np.uint64)
+            for j in range(k, k + 8):
+                byte = data[np.maximum(at + step * j, 0)]
+                word = (word << np.uint64(8)) | np.where(j < room, byte, 0).astype(np.uint64)
+            out.append(word)
+        return out
+
+    left_room, right_room = place, size - place - GRAM
+    left = _reach(route, words(ends[:-1] + place - 1, -1, left_room))
+    right = _reach(route, words(ends[:-1] + place + GRAM, 1, right_room))
+    return np.minimum(left, left_room) + np.minimum(right, right_room) + GRAM >= MATCH
+
+
 def resolve(shards: DataFrame, buckets: int) -> DataFrame:
     """(g, kind = 3, blob): to every group the smallest id for each string of its segments."""
 
@@ -472,23 +541,32 @@ def resolve(shards: DataFrame, buckets: int) -> DataFrame:
             heads = np.flatnonzero(new)
             least = np.minimum.reduceat(ords[order], heads)
             routes = r[heads]
-            lone = np.ones(len(heads), dtype=bool)  # one segment only: every string of it has the segment's smallest id
-            twin = routes[1:] == routes[:-1]
-            lone[1:][twin] = False
-            lone[:-1][twin] = False
-            values: list[np.ndarray] = [least[k:k + 1] for k in range(len(heads))]
-            mixed = np.flatnonzero(~lone)
-            if len(mixed):
-                for k, x in zip(mixed.tolist(), shard_owners(routes[mixed], text.take(pa.array(order[heads[mixed]])).to_pylist(), least[mixed])):
-                    values[k] = x
+            twin = np.flatnonzero(routes[1:] == routes[:-1])
+            alone = np.ones(len(heads), dtype=bool)  # a lone segment's strings all have the segment's smallest id
+            alone[twin] = alone[twin + 1] = False
+            mixed = np.flatnonzero(~alone)
+            if len(mixed):  # segments that can share no string with another one are as good as alone
+                place = np.concatenate([t.column("at").to_numpy() for t in parts]).astype(np.int64)
+                able = may_share(routes[mixed], text.take(pa.array(order[heads[mixed]])), place[order[heads[mixed]]])
+                alone[mixed[~able]] = True
+                mixed = mixed[able]
+            found = shard_owners(routes[mixed], text.take(pa.array(order[heads[mixed]])).to_pylist(), least[mixed]) if len(mixed) else []
+            many = np.ones(len(heads), dtype=np.int64)
+            many[mixed] = [len(x) for x in found]
+            offset = np.zeros(len(heads), dtype=np.int64)
+            offset[mixed] = np.cumsum(many[mixed]) - many[mixed]
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            least[mixed] = flat[offset[mixed]] if len(mixed) else least[mixed]
+            listed = np.where(alone, 0, many)
             place = np.empty(len(route), dtype=np.int64)
             place[order] = np.cumsum(new) - 1
             ends = np.cumsum(sizes)
             for k, (_, g, _) in enumerate(rows):
                 own = place[ends[k] - sizes[k]:ends[k]]
-                mine = [values[x] for x in own.tolist()]
-                yield _reply(g, 3, packed({"seg": _u64(s[heads][own]), "n": pa.array([len(x) for x in mine], pa.int32()), "first": pa.array([int(x[0]) for x in mine], pa.int64()),
-                                           "all": pa.array([x if len(x) > 1 else None for x in mine], pa.list_(pa.int64()))}))
+                n = listed[own]
+                at = np.repeat(offset[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat[at]))
+                yield _reply(g, 3, packed({"seg": _u64(s[heads][own]), "first": pa.array(least[own]), "all": lists}))
 
     return shards.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(run, "g int, kind int, blob binary")
 
@@ -504,11 +582,10 @@ def cuts(both: DataFrame, row_schema: StructType, with_text: bool) -> DataFrame:
             repeated = Repeated(rows)
             replies = [unpacked(blob) for _, kind, blob in rows if kind == 3]
             seg = np.concatenate([t.column("seg").to_numpy() for t in replies]) if replies else np.zeros(0, np.uint64)
-            many = np.concatenate([t.column("n").to_numpy() for t in replies]).astype(np.int64) if replies else np.zeros(0, np.int64)
             first = np.concatenate([t.column("first").to_numpy() for t in replies]) if replies else np.zeros(0, np.int64)
             every = pa.concat_arrays([c for t in replies for c in t.column("all").chunks]) if replies else pa.array([], pa.list_(pa.int64()))
             flat = every.flatten().to_numpy(zero_copy_only=False) if len(every) else np.zeros(0, np.int64)
-            long = np.where(many > 1, many, 0)
+            long = np.concatenate([pc.list_value_length(t.column("all")).to_numpy() for t in replies]) if replies else np.zeros(0, np.int64)
             offset = np.cumsum(long) - long
             order = np.argsort(seg)
             ranked = seg[order]
@@ -520,9 +597,10 @@ def cuts(both: DataFrame, row_schema: StructType, with_text: bool) -> DataFrame:
                 for at, owner, ids, within in _strings(found, plain, hot):
                     if not len(at):
                         continue
+                    # every repeated anchor has been answered: ids are all in ``ranked``
                     k = order[np.minimum(np.searchsorted(ranked, ids), len(ranked) - 1)]
                     value = first[k]
-                    listed = many[k] > 1
+                    listed = long[k] > 0
                     value[listed] = flat[offset[k[listed]] + within[listed]]
                     marked = at[value < ords[found.doc[owner]]]
                     step = np.zeros(len(gone) + 1, dtype=np.int32)
@@ -561,11 +639,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_group = grouped_docs(base, groups)
     keys = anchor_keys(by_group.repartition(groups, "g").sortWithinPartitions("g"), bits)
     again = materialize(repeated_anchors(keys, buckets), "op9-anchors", "none")
-    both = by_group.unionByName(again).repartition(groups, "g").sortWithinPartitions("g", "kind")
-    parts = materialize(segments(both, base.schema, bits, with_text), "op9-segments", "none")
-    owners = resolve(parts.filter("kind = 1").select("b", "g", "blob"), buckets)
-    rest = parts.filter("kind = 2").select("g", F.lit(1).alias("kind"), "blob")
-    last = rest.unionByName(again).unionByName(owners).repartition(groups, "g").sortWithinPartitions("g", "kind")
-    done = cuts(last, base.schema, with_text).unionByName(parts.filter("kind = 0").drop("kind", "g", "b", "blob"))
+    del keys
+    release(docs.sparkSession)
+    told = by_group.unionByName(again)
+    owners = materialize(resolve(segments(told.repartition(groups, "g").sortWithinPartitions("g", "kind"), bits), buckets), "op9-owners", "none")
+    release(docs.sparkSession)
+    done = cuts(told.unionByName(owners).repartition(groups, "g").sortWithinPartitions("g", "kind"), base.schema, with_text)
     added = {"n_bytes": F.col("_bytes"), "n_removed": F.col("_removed"), "spans": F.col("_spans"), "kept_sha256": F.col("_sha")}
     return unpack(done, shape, added | ({"kept": F.col("_kept")} if with_text else {}))
