@@ -825,4 +825,3 @@ ORACLE["v1_validate_not_null"] = """
 SELECT CAST(event_id AS VARCHAR) AS transaction_id, 'null:transactiondate' AS reasons
 FROM events WHERE event_id % 97 = 0"""
 
-ORACLE["t4_dormant_stream_table"] = ORACLE["t4_dormant_stream"]

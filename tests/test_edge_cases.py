@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.errors import PySparkException
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 

@@ -1,7 +1,6 @@
 """Report surface: chart dispatch validation, per-topic failures, table description."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from txmon.plans import charts
