@@ -67,8 +67,14 @@ def unpack(df: DataFrame, row_type, added: dict[str, Column]) -> DataFrame:
     return df.select(*own, *[c.alias(n) for n, c in added.items()])
 
 
+def lean() -> None:
+    """Inside a task: Arrow memory goes back to the system when freed, not to a pool that the worker keeps."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that ``column`` holds about ``limit`` bytes at most (or one row)."""
+    lean()
     for batch in batches:
         n = batch.num_rows
         if not n:

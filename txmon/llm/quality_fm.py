@@ -21,7 +21,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     # bounded by max_train rows; order fixed so that a rerun fits the same model
     got = rows.mapInArrow(run, "y double, idx binary, val binary").toArrow()
-    got = got.take(pa.compute.sort_indices(got, sort_keys=[("y", "ascending"), ("idx", "ascending"), ("val", "ascending")]))
+    got = got.take(pc.sort_indices(got, sort_keys=[("y", "ascending"), ("idx", "ascending"), ("val", "ascending")]))
     got = got.slice(0, max_train)
     idx = [np.frombuffer(x, np.int32) for x in got.column("idx").to_pylist()]
     val = [np.frombuffer(x, np.float32) for x in got.column("val").to_pylist()]

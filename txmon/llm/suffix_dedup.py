@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from txmon.llm.common import ROW, materialize, pack, release, slices, text_of, unpack
+from txmon.llm.common import ROW, lean, materialize, pack, release, slices, text_of, unpack
 from txmon.llm.suffix_array import permuted_prefixes, suffix_array
 
 MATCH = 50
@@ -86,13 +86,14 @@ def _reply(g: int, kind: int, blob: bytes) -> pa.RecordBatch:
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Runs of rows with the same first column; rows come sorted by it."""
+    lean()
     now, held = None, []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
             if row[0] != now:
                 if held:
                     yield now, held
-                now, held = row[0], []
+                now, held = row[0], []  # the finished run is let go before the next one grows
             held.append(row)
     if held:
         yield now, held
