@@ -289,7 +289,8 @@ def repeated_anchors(keys: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            parts = [unpacked(blob) for _, _, blob in rows]
+            parts, sources = [unpacked(blob) for _, _, blob in rows], [g for _, g, _ in rows]
+            rows.clear()  # only what is unpacked is still needed
             route = [np.cumsum(t.column("d").to_numpy()) for t in parts]
             sizes = [len(r) for r in route]
             route = np.concatenate(route)
@@ -301,7 +302,7 @@ def repeated_anchors(keys: DataFrame, buckets: int) -> DataFrame:
             every[order] = np.repeat(total, np.diff(np.append(heads, len(route))))
             again = every > 1
             ends = np.cumsum(sizes)
-            for k, (_, g, _) in enumerate(rows):
+            for k, g in enumerate(sources):
                 own = slice(ends[k] - sizes[k], ends[k])
                 mine = route[own][again[own]]
                 if len(mine):
@@ -530,7 +531,8 @@ def resolve(shards: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            parts = [unpacked(blob) for _, _, blob in rows]
+            parts, sources = [unpacked(blob) for _, _, blob in rows], [g for _, g, _ in rows]
+            rows.clear()
             sizes = [t.num_rows for t in parts]
             route = np.concatenate([np.cumsum(t.column("d").to_numpy()) for t in parts])
             seg = np.concatenate([t.column("seg").to_numpy() for t in parts])
@@ -562,7 +564,7 @@ def resolve(shards: DataFrame, buckets: int) -> DataFrame:
             place = np.empty(len(route), dtype=np.int64)
             place[order] = np.cumsum(new) - 1
             ends = np.cumsum(sizes)
-            for k, (_, g, _) in enumerate(rows):
+            for k, g in enumerate(sources):
                 own = place[ends[k] - sizes[k]:ends[k]]
                 n = listed[own]
                 at = np.repeat(offset[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
