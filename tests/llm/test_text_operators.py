@@ -396,3 +396,28 @@ def test_mixing_odd_rows(make_docs):
     assert poisson_mix(make_docs([(1, "x")]), {"s0": 0.0}).count() == 0
     many = poisson_mix(make_docs([(1, "x")]), target_rows=1500).collect()
     assert 1300 < len(many) < 1700 and len({r.copy_no for r in many}) == len(many)
+
+
+def _hosts(sample, n, words):
+    """Texts of ``words`` words out of the sample's, dealt by a seeded generator."""
+    pool = [w for _, t in sample for w in (t or "").split()]
+    rng = random.Random(5)
+    starts = [rng.randrange(len(pool) - words) for _ in range(n)]
+    return [pool[a:a + words] for a in starts]
+
+
+def test_frequent_short_items_are_found_everywhere(spark, make_docs, sample):
+    """An item of 15 words in a third of all documents, whole or with two words changed, is found as surely as a rare one."""
+    from txmon.llm.lsa_decontam import mark_leaks
+
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{CHECK}/benchmark.parquet").collect()]
+    item, text = min(bench, key=lambda b: (len(b[1].split()), b[0]))
+    words, rng, rows = text.split()[:15], random.Random(3), []
+    bench = [(i, t if i != item else " ".join(words)) for i, t in bench]
+    for k, host in enumerate(_hosts(sample, 900, 80)):
+        at = rng.randrange(len(host))
+        near = ["other" if j in (2, 9) and k % 2 else w for j, w in enumerate(words)]
+        rows.append((k, " ".join(host[:at] + (near if k % 3 == 0 else []) + host[at:])))
+    got = mark_leaks(make_docs(rows), spark.createDataFrame(bench, "item_id long, text string"), carry=["doc_id"]).collect()
+    found = {r.doc_id for r in got if item in {x.item_id for x in r.leaks}}
+    assert found == set(range(0, 900, 3))

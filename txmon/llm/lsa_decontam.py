@@ -10,7 +10,8 @@ documents:
    row a benchmark word and finishes the decomposition (Nystroem form);
 3. search: a window's latent inner product with every item is linear in its words, so a table (word x item) of latent
    products scores windows of two lengths. The sum of each word's greatest product bounds a window's score;
-   windows under the bound cannot be candidates, all others are scored, and cosines of ``MIN_COSINE`` or more are candidates;
+   windows under the bound cannot be candidates, all others are scored, and cosines of ``MIN_COSINE`` or more are candidates.
+   So are windows with ``MIN_SHARE`` of an item's own telling words, which is the same for rare and frequent items;
 4. candidates are checked word by word: longest common subsequence with the item, and the share of the item's
    answer words (its rarest quarter) found there.
 
@@ -19,6 +20,7 @@ Passes 1 and 2 shuffle one row a word and task, pass 3 nothing. A text is always
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -39,6 +41,9 @@ OVER = 8  # oversampling of the test matrix
 MAX_DF = 0.02  # words of more passages than this carry no weight ...
 KEEP_SHARE = 0.5  # ... unless an item would keep less than this share of its distinct words
 MIN_COSINE = 0.3
+#: This share of a query's telling words in one window makes it a candidate, however frequent the words are in the documents.
+#: With half of all words and of the answer words there, or 70 % of all, no fewer can be (words not repeated, leak in one window).
+MIN_SHARE = 0.2
 MIN_LCS = 0.5
 MIN_ANSWER = 0.5
 SURE_LCS = 0.7  # this much of an item in order needs no answer words
@@ -49,6 +54,7 @@ _EDGE = ".,;:!?\"'()[]{}*#%&$|<>"
 _CACHE = 300_000
 _SLICE = 1 << 20  # bytes of ids, four a word
 _CHUNK = 2048  # words or windows multiplied at once
+_PAIRS = 1 << 17  # (word, query) pairs counted at once
 
 
 def normal(word: bytes) -> str:
@@ -185,22 +191,33 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Block:
-    """One block of items over the vocabulary: block ids, weights, latent table and answer words."""
+    """One block of items over the vocabulary: block ids, queries, weights, latent table, telling words and answer words."""
 
     def __init__(self, items: list[tuple[int, list[str]]], vocabulary: dict[str, int]):
         self.items = items
         self.words = sorted({w for _, ws in items for w in ws})
         ids = {w: i for i, w in enumerate(self.words)}
         self.rows = [np.array([ids[w] for w in ws], dtype=np.int64) for _, ws in items]
+        self.queries = self.rows
+        self.owner = np.arange(len(self.rows))
         self.here = np.full(len(vocabulary) + 1, -1, dtype=np.int64)  # the last one is for words outside
         self.here[[vocabulary[w] for w in self.words]] = np.arange(len(self.words))
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         idf = np.log((n + 1) / (df + 1)) + 0.1
-        keep = (df <= MAX_DF * n) | (n < 100)  # a handful of passages says nothing about common words
-        for row in self.rows:
+        rare = (df <= MAX_DF * n) | (n < 100)  # a handful of passages says nothing about common words
+        keep = rare.copy()
+        telling = []  # of each query: its rare words and at least the rarest half
+        for row in self.queries:
             distinct = np.unique(row)
-            keep[distinct[np.argsort(df[distinct], kind="stable")][: int(np.ceil(KEEP_SHARE * len(distinct)))]] = True
+            least = distinct[np.argsort(df[distinct], kind="stable")][: int(np.ceil(KEEP_SHARE * len(distinct)))]
+            keep[least] = True
+            telling.append(np.union1d(distinct[rare[distinct]], least))
+        self.mark_query = np.repeat(np.arange(len(telling)), [len(x) for x in telling])
+        self.mark_need = np.maximum(1, np.ceil(MIN_SHARE * np.array([len(x) for x in telling]))).astype(np.int64)
+        marked = np.concatenate(telling)
+        self.mark_of = np.argsort(marked, kind="stable")  # marks of word i: mark_of[mark_at[i]:mark_at[i + 1]]
+        self.mark_at = np.searchsorted(marked[self.mark_of], np.arange(len(self.words) + 1))
         self.weight = np.where(keep, idf, 0.0)
         self.outside = float(np.median(idf[keep]))
         self.answers = []
@@ -211,7 +228,7 @@ class Block:
     def learn(self, rows: DataFrame) -> None:
         df, n = document_frequency(rows, self.here, len(self.words))
         self.weigh(df, n)
-        rank = len(self.items) + EXTRA
+        rank = len(self.queries) + EXTRA
         omega = test_matrix(self.words, min(rank + OVER, len(self.words)))
         # plain values for the tasks, not this object
         here, weight, outside = self.here, self.weight, self.outside
@@ -229,13 +246,13 @@ class Block:
         sketch = np.zeros(omega.shape)
         for i, row in zip(got.column("i").to_pylist(), got.column("row").to_pylist()):
             sketch[i] = np.frombuffer(row, np.float64)
-        own_ids = np.concatenate(self.rows)
-        own_at = np.repeat(np.arange(len(self.rows)), [len(r) for r in self.rows])
+        own_ids = np.concatenate(self.queries)
+        own_at = np.repeat(np.arange(len(self.queries)), [len(r) for r in self.queries])
         # both Gram matrices have a trace near the number of their rows
-        sketch = sketch / max(n, 1) + gram_times(own_ids, own_at, weight, outside, omega) * (ITEM_WEIGHT / len(self.rows))
+        sketch = sketch / max(n, 1) + gram_times(own_ids, own_at, weight, outside, omega) * (ITEM_WEIGHT / len(self.queries))
         basis = latent_basis(sketch, omega, rank)
-        unit = np.zeros((len(self.words), len(self.rows)))
-        for k, row in enumerate(self.rows):
+        unit = np.zeros((len(self.words), len(self.queries)))
+        for k, row in enumerate(self.queries):
             np.add.at(unit[:, k], row, weight[row])
             size = np.linalg.norm(unit[:, k])
             unit[:, k] /= size if size > 0 else 1
@@ -243,11 +260,12 @@ class Block:
 
     def state(self) -> dict:
         return {"here": self.here, "rows": self.rows, "answers": self.answers, "table": self.table, "weight": self.weight,
-                "outside": self.outside, "names": [i for i, _ in self.items]}
+                "outside": self.outside, "names": [i for i, _ in self.items], "owner": self.owner, "mark_query": self.mark_query, "mark_need": self.mark_need,
+                "mark_of": self.mark_of, "mark_at": self.mark_at}
 
 
 def candidates(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict, min_cosine: float) -> Iterator[tuple[int, int, int, float]]:
-    """(first step, steps, item, cosine) of the windows close enough to an item.
+    """(first step, steps, query, cosine) of the windows close enough to a query.
 
     ``at`` is the step of every word. Windows may run over the end of their document, never into the next one.
     """
@@ -279,6 +297,50 @@ def candidates(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict, min_
                 yield int(some[r]), size, int(item), float(cosine[r, item])
 
 
+def sharing(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict) -> Iterator[tuple[int, int, int]]:
+    """(first step, steps, query) of the windows that hold ``MIN_SHARE`` of a query's telling words, each word counted once."""
+    n, size, marks = int(first[-1]), max(WINDOWS), len(s["mark_query"])
+    known = np.flatnonzero(ids >= 0)
+    many = (s["mark_at"][1:] - s["mark_at"][:-1])[ids[known]]
+    known, many = known[many > 0], many[many > 0]
+    own, step = ids[known], at[known]
+    start_of = np.repeat(first[:-1], np.diff(first))  # of each step: the first step of its document
+    work = np.cumsum(np.bincount(step, many, n)).astype(np.int64)
+    cuts = np.unique(np.concatenate((np.searchsorted(work, np.arange(0, int(work[-1]) + 1, _PAIRS)), np.arange(0, n, _SLICE // 64), [n])))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):  # windows that start in a <= step < b
+        lo, hi = np.searchsorted(step, (a, b + size - 1))
+        count = many[lo:hi]
+        begin = np.cumsum(count) - count
+        mark = s["mark_of"][np.repeat(s["mark_at"][own[lo:hi]] - begin, count) + np.arange(int(count.sum()))]
+        # two neighbouring pieces of ``size`` steps hold every window: few get there
+        here = np.repeat(step[lo:hi], count)
+        pair = np.unique(here * marks + mark)
+        here, mark = pair // marks, pair % marks
+        query = s["mark_query"][mark]
+        coarse = (here - a) // size + 1
+        width = len(s["mark_need"])
+        seen = np.bincount(coarse * width + query, minlength=((b - a) // size + 4) * width).reshape(-1, width)
+        wanted = seen[:-1] + seen[1:] >= s["mark_need"]
+        some = np.flatnonzero(wanted[coarse, query] | wanted[coarse - 1, query])
+        here, mark = here[some], mark[some]
+        windows = (here[:, None] - np.arange(size)).ravel()
+        mark = np.repeat(mark, size)
+        fits = (windows >= np.repeat(start_of[here], size)) & (windows >= a) & (windows < b)
+        pair = np.unique(windows[fits] * marks + mark[fits])
+        pair = pair // marks * width + s["mark_query"][pair % marks]  # sorted: marks are in the order of queries
+        pair, found = np.unique(pair, return_counts=True)
+        good = pair[found >= s["mark_need"][pair % width]]
+        yield from zip((good // width).tolist(), [size] * len(good), (good % width).tolist())
+
+
+def cosine_of(step: int, size: int, query: int, ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict) -> float:
+    end = min(step + size, int(first[np.searchsorted(first, step, side="right")]))
+    own = ids[slice(*np.searchsorted(at, (step, end)))]
+    known = own[own >= 0]
+    norm = np.sqrt((s["weight"][known] ** 2).sum() + (len(own) - len(known)) * s["outside"] ** 2)
+    return float(s["table"][known[s["weight"][known] > 0], query].sum() / norm) if norm > 0 else 0.0
+
+
 def find_leaks(docs: list[np.ndarray], s: dict, min_cosine: float, min_lcs: float, min_answer: float) -> list[list[dict]]:
     """For every text (vocabulary ids) the items found in it, with the figures of the closest window that passes all checks."""
     out: list[list[dict]] = [[] for _ in docs]
@@ -286,17 +348,33 @@ def find_leaks(docs: list[np.ndarray], s: dict, min_cosine: float, min_lcs: floa
     if not len(ids):
         return out
     ids = s["here"][ids]
-    start_of = np.cumsum([0, *map(len, docs)])
+    start_of = np.cumsum([0, *map(len, docs)]).tolist()
+    heads = first.tolist()
+
+    def around(place: tuple[int, int, int]) -> tuple[int, int, int, int]:
+        """(document, item, first word, end) of what is compared with the item of a candidate."""
+        step, size, query = place
+        doc, item = bisect_right(heads, step) - 1, int(s["owner"][query])
+        start, edge = (step - heads[doc]) * STEP, max(STEP, len(s["rows"][item]))
+        return doc, item, start_of[doc] + max(0, start - edge), min(start_of[doc + 1], start_of[doc] + start + size * STEP + edge)
+
+    def hopeful(place: tuple[int, int, int]) -> bool:
+        """Whether enough of the item's words are there at all, in whatever order."""
+        _, item, lo, hi = around(place)
+        row, answers, there = s["rows"][item].tolist(), s["answers"][item].tolist(), set(ids[lo:hi].tolist())
+        least = min_lcs if sum(x in there for x in answers) >= min_answer * len(answers) else max(min_lcs, SURE_LCS)
+        return sum(x in there for x in row) >= (1.0 if len(row) < SHORT_ITEM else least) * len(row)
+
+    close = {c[:3]: c[3] for c in candidates(ids, at, first, s, min_cosine) if hopeful(c[:3])}
+    for place in sharing(ids, at, first, s):
+        if place not in close and hopeful(place):
+            close[place] = cosine_of(*place, ids, at, first, s)
     done = set()
-    for step, size, item, cosine in sorted(candidates(ids, at, first, s, min_cosine), key=lambda c: (-c[3], c[:3])):
-        doc = int(np.searchsorted(first, step, side="right")) - 1
+    for place, cosine in sorted(close.items(), key=lambda c: (-c[1], c[0])):
+        doc, item, lo, hi = around(place)
         if (doc, item) in done:
             continue
-        start = (step - int(first[doc])) * STEP
-        row = s["rows"][item]
-        edge = max(STEP, len(row))
-        lo, hi = int(start_of[doc]) + max(0, start - edge), min(int(start_of[doc + 1]), int(start_of[doc]) + start + size * STEP + edge)
-        wide = ids[lo:hi]
+        row, wide = s["rows"][item], ids[lo:hi]
         share = lcs_length(row, wide) / len(row)
         answer = float(np.isin(s["answers"][item], wide).mean())
         if share >= (min_lcs if len(row) >= SHORT_ITEM else 1.0) and (answer >= min_answer or share >= SURE_LCS):
