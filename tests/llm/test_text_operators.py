@@ -421,3 +421,45 @@ def test_frequent_short_items_are_found_everywhere(spark, make_docs, sample):
     got = mark_leaks(make_docs(rows), spark.createDataFrame(bench, "item_id long, text string"), carry=["doc_id"]).collect()
     found = {r.doc_id for r in got if item in {x.item_id for x in r.leaks}}
     assert found == set(range(0, 900, 3))
+
+
+def test_items_of_any_length_are_found(spark, make_docs, sample):
+    """Whole copies of items of 1, 3, 5, 800 and 2,000 words, and most of a long one, in texts that hold other words."""
+    from txmon.llm.lsa_decontam import mark_leaks
+
+    rng = random.Random(4)
+    sizes = [1, 2, 3, 5, 7, 70, 800, 1000, 1500, 2000]
+    items = {n: [f"w{rng.randrange(3000)}n{n}" for _ in range(n)] for n in sizes}
+    rows, want = [], {}
+    for k, host in enumerate(_hosts(sample, 120, 300)):
+        n = sizes[k % len(sizes)]
+        text = items[n] if k < 80 or n < 8 else [w for j, w in enumerate(items[n]) if j % 6]
+        if k < 100:
+            want[k] = n
+            host = host[:150 + k] + text + host[150 + k:]
+        elif n > 8:
+            host = host[:150] + text[:n // 3] + host[150:]  # a third of an item is no leak
+        rows.append((k, " ".join(host)))
+    bench = [(n, " ".join(ws)) for n, ws in items.items()]
+    got = mark_leaks(make_docs(rows), spark.createDataFrame(bench, "item_id long, text string"), carry=["doc_id"]).collect()
+    found = {r.doc_id: {x.item_id for x in r.leaks} for r in got if r.leaks}
+    assert {k: v for k, v in found.items() if k < 100} == {k: {n} for k, n in want.items()}
+    assert not {k for k in found if k >= 100 and sizes[k % len(sizes)] > 8}
+
+
+def test_blocks_hold_whole_items():
+    from txmon.llm.lsa_decontam import blocks
+
+    many = [(1, ["a"] * 20000), (2, ["b"] * 10), (3, ["c"] * 70)]
+    assert [[i for i, _ in b] for b in blocks(many)] == [[1], [2, 3]]
+
+
+def test_short_items_are_phrases_of_one_document(spark, make_docs):
+    """A phrase of frequent words is found where its words follow each other, not over the border of two documents."""
+    from txmon.llm.lsa_decontam import mark_leaks
+
+    rows = [(k, "red green blue " * 40 + ("one two three " if k % 2 else "three one ")) for k in range(60)] + [(100, "x one two"), (101, "three y")]
+    bench = spark.createDataFrame([(1, "one two three"), (2, "blue")], "item_id long, text string")
+    got = mark_leaks(make_docs(rows).coalesce(1), bench, carry=["doc_id"]).collect()
+    found = {r.doc_id: sorted(x.item_id for x in r.leaks) for r in got}
+    assert found == {k: ([1, 2] if k % 2 else [2]) for k in range(60)} | {100: [], 101: []}

@@ -11,7 +11,8 @@ documents:
 3. search: a window's latent inner product with every item is linear in its words, so a table (word x item) of latent
    products scores windows of two lengths. The sum of each word's greatest product bounds a window's score;
    windows under the bound cannot be candidates, all others are scored, and cosines of ``MIN_COSINE`` or more are candidates.
-   So are windows with ``MIN_SHARE`` of an item's own telling words, which is the same for rare and frequent items;
+   So are windows with ``MIN_SHARE`` of an item's own telling words, which is the same for rare and frequent items, and
+   short items wherever their words follow each other. Items longer than a passage are cut: each piece is a query for the item;
 4. candidates are checked word by word: longest common subsequence with the item, and the share of the item's
    answer words (its rarest quarter) found there.
 
@@ -190,6 +191,25 @@ def lcs_length(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
+def pieces(row: np.ndarray) -> list[np.ndarray]:
+    """The queries of an item: itself, or pieces that fit in a window at any offset if it is longer than a passage."""
+    return [row] if len(row) <= STEP * PASSAGE else np.array_split(row, -(-len(row) // (STEP * (PASSAGE - 1))))
+
+
+def blocks(items: list[tuple[int, list[str]]]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items in blocks of ``BLOCK_ITEMS`` queries at most; an item with more than that is a block of its own."""
+    block, size = [], 0
+    for item in items:
+        many = len(pieces(np.arange(len(item[1]))))
+        if block and size + many > BLOCK_ITEMS:
+            yield block
+            block, size = [], 0
+        block.append(item)
+        size += many
+    if block:
+        yield block
+
+
 class Block:
     """One block of items over the vocabulary: block ids, queries, weights, latent table, telling words and answer words."""
 
@@ -198,8 +218,8 @@ class Block:
         self.words = sorted({w for _, ws in items for w in ws})
         ids = {w: i for i, w in enumerate(self.words)}
         self.rows = [np.array([ids[w] for w in ws], dtype=np.int64) for _, ws in items]
-        self.queries = self.rows
-        self.owner = np.arange(len(self.rows))
+        self.queries = [q for row in self.rows for q in pieces(row)]
+        self.owner = np.repeat(np.arange(len(self.rows)), [len(pieces(row)) for row in self.rows])
         self.here = np.full(len(vocabulary) + 1, -1, dtype=np.int64)  # the last one is for words outside
         self.here[[vocabulary[w] for w in self.words]] = np.arange(len(self.words))
 
@@ -333,6 +353,21 @@ def sharing(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict) -> Iter
         yield from zip((good // width).tolist(), [size] * len(good), (good % width).tolist())
 
 
+def phrases(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict) -> Iterator[tuple[int, int, int]]:
+    """(first step, steps, query) of the places of items under ``SHORT_ITEM`` words, word after word in one document."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for query, item in enumerate(s["owner"].tolist()):
+        row = s["rows"][item]
+        if len(row) >= SHORT_ITEM:
+            continue
+        hits = np.flatnonzero(ids[: max(0, len(ids) - len(row) + 1)] == row[0])
+        for k in range(1, len(row)):
+            hits = hits[ids[hits + k] == row[k]]
+        hits = hits[owner[at[hits]] == owner[at[hits + len(row) - 1]]]
+        _, once = np.unique(owner[at[hits]], return_index=True)
+        yield from ((int(at[k]), min(WINDOWS), query) for k in hits[once])
+
+
 def cosine_of(step: int, size: int, query: int, ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict) -> float:
     end = min(step + size, int(first[np.searchsorted(first, step, side="right")]))
     own = ids[slice(*np.searchsorted(at, (step, end)))]
@@ -366,7 +401,7 @@ def find_leaks(docs: list[np.ndarray], s: dict, min_cosine: float, min_lcs: floa
         return sum(x in there for x in row) >= (1.0 if len(row) < SHORT_ITEM else least) * len(row)
 
     close = {c[:3]: c[3] for c in candidates(ids, at, first, s, min_cosine) if hopeful(c[:3])}
-    for place in sharing(ids, at, first, s):
+    for place in (*sharing(ids, at, first, s), *phrases(ids, at, first, s)):
         if place not in close and hopeful(place):
             close[place] = cosine_of(*place, ids, at, first, s)
     done = set()
@@ -427,6 +462,6 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         return frame.mapInArrow(run, StructType(frame.schema.fields))
 
-    for k in range(0, len(items), BLOCK_ITEMS):
-        out = search(out, items[k:k + BLOCK_ITEMS])
+    for block in blocks(items):
+        out = search(out, block)
     return unpack(out, shape, {"leaks": F.col("_leaks")})
