@@ -77,6 +77,24 @@ def test_quality_odd_rows(spark, make_docs):
     assert quality_scores(make_docs([]), model).count() == 0
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_quality_sample_is_bounded_by_rows_whatever_the_label(make_docs, spark, monkeypatch, alike):
+    """One id of label 0 with most rows, equal or not: no more than max_train rows reach the driver, and both classes are learned."""
+    from txmon.llm import quality_fm as q
+
+    rng, seen, fit = random.Random(2), [], q.fit
+    good, bad = ["calm river stone garden", "long quiet evening walk"], ["$$$ BUY NOW!!! ###", "@@@ WIN BIG!!! %%%"]
+    rows = [(0, "$$$ BUY NOW!!!" + ("" if alike else f" {k} ###")) for k in range(600)]
+    rows += [(k, " ".join(rng.choice(good if k % 2 else bad) for _ in range(5))) for k in range(1, 301)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(301)], "doc_id long, quality int")
+    monkeypatch.setattr(q, "fit", lambda rows, y, *a, **b: (seen.append(y), fit(rows, y, *a, **b))[1])
+    model = q.train(make_docs(rows), labels, "doc_id", "text", "quality", ["n_chars"], max_train=200)
+    (y,) = seen
+    assert 150 < len(y) <= 200 and 20 <= y.sum() <= len(y) - 20
+    got = {r.doc_id: r.score for r in q.quality_scores(make_docs([(1, " ".join(good * 2)), (2, " ".join(bad * 2))]), model, meta_cols=["n_chars"]).collect()}
+    assert got[1] > got[2] + 0.3
+
+
 # --- language model -----------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

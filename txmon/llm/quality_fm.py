@@ -8,7 +8,7 @@ features of a text as half of (sum_i v_i x_i)^2 - sum_i (v_i x_i)^2 per factor.
 * metadata: numeric columns named by the caller, put in bins by magnitude.
 
 The model has a fixed size (``DIM`` x (FACTORS + 1) floats). It is fitted on at most ``max_train`` labelled rows,
-chosen by hash of the id; scoring is one pass over all rows.
+chosen by hash of the row; scoring is one pass over all rows.
 """
 
 from __future__ import annotations
@@ -172,28 +172,38 @@ def fit(rows: Rows, labels: np.ndarray, epochs: int = EPOCHS, step: float = 0.1,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, meta_cols: list[str],
           max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` rows of ``docs`` with a label of 0 or 1 (the lesser one if an id has both)."""
+    """Fit on at most ``max_train`` distinct rows of ``docs`` with a label of 0 or 1 (the lesser one if an id has both).
+
+    Rows with the same id, text and metadata count once. The sample is chosen by hash of the whole row, whatever its label.
+    """
     marks = (labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id"))
              .agg(F.min(label_col).cast("double").alias("_y")))
-    have = docs.select(F.col(id_col).alias("_id")).join(marks, "_id").distinct()
-    sample = have.orderBy(F.xxhash64("_id"), "_id").limit(max_train)  # at most max_train rows of 16 bytes
     base = pack(docs, [], _id=F.col(id_col), _text=text_of(text_col).cast("binary"),
                 _meta=F.array(*[F.col(f"`{c}`").cast("double") for c in meta_cols]).cast("array<double>"))
-    rows = base.join(F.broadcast(sample), "_id").select("_y", "_text", "_meta")
+    base = base.withColumn("_h", F.xxhash64("_text", "_meta"))
+    have = base.select("_id", "_h").distinct().join(marks, "_id")
+    sample = have.orderBy(F.xxhash64("_id", "_h"), "_id", "_h").limit(max_train)  # at most max_train rows of 24 bytes
+    rows = base.join(F.broadcast(sample), ["_id", "_h"]).select("_id", "_h", "_y", "_text", "_meta")
+    key = rows.select("_id", "_h").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Featurizer()
+        maker, done = Featurizer(), set()  # at most max_train keys
         for batch in slices(batches, "_text"):
+            keys = list(zip(batch.column("_id").to_pylist(), batch.column("_h").to_pylist()))
+            fresh = [k not in done and not done.add(k) for k in keys]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            if not batch.num_rows:
+                continue
             made = maker.rows(batch.column("_text").to_pylist(), batch.column("_meta").to_pylist())
             cut = [slice(a, b) for a, b in zip(made.at[:-1], made.at[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_y"), pa.array([made.idx[c].astype(np.int32).tobytes() for c in cut], pa.binary()),
-                 pa.array([made.val[c].astype(np.float32).tobytes() for c in cut], pa.binary())], ["y", "idx", "val"])
+                [batch.column("_id"), batch.column("_h"), batch.column("_y"), pa.array([made.idx[c].astype(np.int32).tobytes() for c in cut], pa.binary()),
+                 pa.array([made.val[c].astype(np.float32).tobytes() for c in cut], pa.binary())], ["_id", "_h", "y", "idx", "val"])
 
-    # bounded by max_train rows; order fixed so that a rerun fits the same model
-    got = rows.mapInArrow(run, "y double, idx binary, val binary").toArrow()
+    made = rows.mapInArrow(run, key.add("y", "double").add("idx", "binary").add("val", "binary"))
+    # a row a key of the sample: max_train at most; order fixed so that a rerun fits the same model
+    got = made.dropDuplicates(["_id", "_h"]).select("y", "idx", "val").toArrow()
     got = got.take(pc.sort_indices(got, sort_keys=[("y", "ascending"), ("idx", "ascending"), ("val", "ascending")]))
-    got = got.slice(0, max_train)
     idx = [np.frombuffer(x, np.int32) for x in got.column("idx").to_pylist()]
     val = [np.frombuffer(x, np.float32) for x in got.column("val").to_pylist()]
     at = np.concatenate(([0], np.cumsum([len(x) for x in idx], dtype=np.int64)))
