@@ -320,6 +320,23 @@ def test_html_without_an_article_element():
     assert main_text(PAGE.replace('class="text"', 'class="x"').replace("<div class=\"x\">", "<main><p>Intro words.</p>"))[0].startswith("Intro words. Head")
 
 
+def test_html_implied_end_tags():
+    """Elements of furniture end where HTML says so, and inner elements of the same name do not end them."""
+    from txmon.llm.html_extract import main_text
+
+    body = "a sentence that is long enough to be the content of this page, and more"
+    for page, want in (
+        (f'<div><p class="byline">By X<p>One {body}<p>Two {body}</div>', f"One {body} Two {body}"),
+        (f'<div><p class="byline">By <b>X</b><h2>Head</h2><p>One {body}</div>', f"Head One {body}"),
+        (f'<ul><li class="ad">Buy<li>One {body}<li>Two {body}</ul>', f"One {body} Two {body}"),
+        (f'<dl><dt>Term<dd class="ad">Buy<dt>Two {body}<dd>Three {body}</dl>', f"Term Two {body} Three {body}"),
+        (f'<table><tr><td class="ad">Buy<td>One {body}<tr><td>Two {body}</table>', f"One {body} Two {body}"),
+        (f'<div><p>One {body}</p><ul><li class="comment"><ul><li>a</li><li>b</li></ul></li></ul><p>Two {body}</p></div>', f"One {body} Two {body}"),
+        (f'<div><p>One {body}</p><span class="ad"><span>a</span>b</span><p>Two {body}</p></div>', f"One {body} Two {body}"),
+    ):
+        assert main_text(page)[0] == want, page
+
+
 def test_html_odd_pages(spark):
     from txmon.llm.html_extract import extract_text, main_text
 

@@ -27,6 +27,12 @@ _BLOCK = frozenset("address article aside blockquote body br button caption cent
 _HOLDER = frozenset("article aside blockquote body button details dialog div dl fieldset figure footer form head header iframe main nav noscript ol section select style script svg table template textarea title ul".split())
 _DROP = frozenset("aside button dialog fieldset footer form head header iframe nav noscript script select style svg template textarea title".split())
 _FURNITURE = frozenset("ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo complementary cookie cookies dialog disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain pagination paywall popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar widget widgets".split())
+# HTML's implied end tags: what a start tag closes, and the elements beyond which it closes nothing.
+_LISTED = _HOLDER - {"div"}
+_IMPLIED = {"li": (frozenset(["li"]), _LISTED), "dt": (frozenset(["dt", "dd"]), _LISTED), "dd": (frozenset(["dt", "dd"]), _LISTED),
+            "td": (frozenset(["td", "th"]), frozenset(["table"])), "th": (frozenset(["td", "th"]), frozenset(["table"])), "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"]))}
+_ENDS_P = frozenset("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+_P = frozenset(["p"])
 _SOFT = frozenset(["with", "has", "no", "without", "hide", "show"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -79,9 +85,22 @@ class Blocks(HTMLParser):
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    def imply_end(self, names: frozenset[str], beyond: frozenset[str]) -> None:
+        """Close the innermost open element of ``names``, unless it lies beyond an element of those."""
+        for at in range(len(self.open) - 1, 0, -1):
+            if self.open[at][0] in names:
+                del self.open[at:]
+                return
+            if self.open[at][0] in beyond:
+                return
+
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCK:
             self.cut()
+        if tag in _ENDS_P:
+            self.imply_end(_P, _HOLDER)
+        if tag in _IMPLIED:
+            self.imply_end(*_IMPLIED[tag])
         self.tags += 1
         if tag == "a":
             self.in_link = 1
@@ -91,6 +110,8 @@ class Blocks(HTMLParser):
                 self.cut()
             self.holders.append((tag, self.open[-1][1]))
             self.open.append((tag, len(self.holders) - 1, furniture or is_furniture(tag, attrs)))
+        elif furniture and tag not in _VOID and any(tag == name for name, _, _ in self.open):
+            self.open.append((tag, self.open[-1][1], True))  # so that its end tag does not close the outer one
 
     def handle_startendtag(self, tag, attrs):
         if tag in _BLOCK:
