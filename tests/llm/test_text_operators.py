@@ -337,6 +337,22 @@ def test_html_implied_end_tags():
         assert main_text(page)[0] == want, page
 
 
+def test_html_regions_inside_the_main_element():
+    """Ratio clusters and link shares decide inside <main> too; short lists and headings of the text stay, sibling articles are joined."""
+    from txmon.llm.html_extract import main_text
+
+    body = [f"Paragraph {k} is long enough to be the content of this page, and it goes on for quite a while here." for k in range(4)]
+    text = "".join(f"<p>{b}</p>" for b in body)
+    stories = "<ul>" + "".join(f"<li><a href=x>Another story number {k} of today</a></li>" for k in range(8)) + "</ul>"
+    advert = "<div><div><span>Buy</span> <b>now</b></div><div><i>Only</i> <b>$5</b></div><div><span>Click</span></div><div><b>Hurry</b></div></div>"
+    assert main_text(f"<body><main><h1>Head</h1>{text}{stories}</main></body>")[0] == " ".join(["Head", *body])
+    got = main_text(f"<body><main><h1>Head</h1>{text}{advert}</main></body>")[0]
+    assert got.removesuffix(" Buy now") == " ".join(["Head", *body])  # smoothing may keep the block at the border
+    assert main_text(f"<body><main>{text}<ul><li>One</li><li>Two</li></ul><p>Short.</p></main></body>")[0] == " ".join([*body, "One Two Short."])
+    two = f"<body><div><article><h2>A</h2>{text}</article><article><h2>B</h2>{text}</article></div><div><article><a href=x>Teaser</a></article></div></body>"
+    assert main_text(two)[0] == " ".join(["A", *body, "B", *body])
+
+
 def test_html_odd_pages(spark):
     from txmon.llm.html_extract import extract_text, main_text
 

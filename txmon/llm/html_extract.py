@@ -5,8 +5,9 @@ text, its count of tags and the element that holds it. Blocks in menus, page hea
 sidebars, notices, adverts, forms, scripts and reader comments are marked by their elements. For all
 other blocks the ratio of text outside links to tags is smoothed over the page with a Gaussian and split into two
 clusters; the high cluster marks content regions. The main element is the article (or main) element with the most
-clustered text or, on pages without one, the smallest element that holds nearly all of it. All unmarked blocks
-of the regions in that element are returned, whole.
+clustered text, together with sibling articles of a third of that or more, or, on pages without one, the smallest element that
+holds nearly all of it. The regions of that element are returned, whole: elements with a block in the high cluster and,
+in articles, lists, tables, quotations and figures that are not mostly links.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ _IMPLIED = {"li": (frozenset(["li"]), _LISTED), "dt": (frozenset(["dt", "dd"]),
             "td": (frozenset(["td", "th"]), frozenset(["table"])), "th": (frozenset(["td", "th"]), frozenset(["table"])), "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"]))}
 _ENDS_P = frozenset("address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _P = frozenset(["p"])
+_PART = frozenset("blockquote dl figure ol table ul".split())  # parts of a text that may have few words a tag
 _SOFT = frozenset(["with", "has", "no", "without", "hide", "show"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _WORDS = re.compile(r"[a-z]+")
@@ -188,16 +190,29 @@ def main_text(html: str) -> tuple[str, int]:
     named = [k for k, (tag, _) in enumerate(holders) if tag in ("article", "main") and held[k]]
     whole = held[0]
     if named and (best := max(named, key=lambda k: (held[k], k))) and held[best] * 3 >= whole:
-        main, all_in = best, True
+        mains, marked = {best}, True
+        if holders[best][0] == "article":
+            mains.update(k for k in named if holders[k] == holders[best] and held[k] * 3 >= held[best])
     else:
-        main, all_in = max(k for k in range(len(holders)) if held[k] * 20 >= whole * 17), False
-    rich = {blocks[i][3] for i in dense}
-    kept = []
+        mains, marked = {max(k for k in range(len(holders)) if held[k] * 20 >= whole * 17)}, False
+    rich = {blocks[i][3] for i in dense} | (mains if marked else set())
+    sizes, links = [0] * len(holders), [0] * len(holders)  # own and inner unmarked characters of each element, and those in links
     for i in plain:
         at = blocks[i][3]
-        while at >= 0 and at != main:
+        while at >= 0:
+            sizes[at] += len(blocks[i][0])
+            links[at] += blocks[i][2]
+            at = holders[at][1]
+    kept = []
+    for i in plain:
+        at = own = blocks[i][3]
+        part = marked and holders[own][0] in _PART and 2 * links[own] <= sizes[own]
+        while at >= 0 and at not in mains:
+            part = part or (marked and holders[at][0] in _PART and at in rich)
             at = holders[at][1]
-        if at == main and (all_in or blocks[i][3] in rich) and (all_in or 2 * blocks[i][2] <= len(blocks[i][0])):
+        # a block that is mostly links stays inside an article's running text, where its neighbours are dense
+        linked = 2 * blocks[i][2] > len(blocks[i][0])
+        if at >= 0 and (own in rich or part) and (not linked or (marked and own in rich and smoothed[i] >= cut)):
             kept.append(blocks[i][0])
     return " ".join(kept), len(kept)
 
