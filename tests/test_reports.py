@@ -57,3 +57,12 @@ def test_describe_table_counts_per_column(spark):
                    "d": ("double", 1, 2, "2.5", "3.5", 3)}
     approx = {r.column_name: r.distinct_count for r in rp.describe_table(df).collect()}
     assert approx == {"s": 2, "i": 1, "d": 2}
+
+
+def test_charts_keep_every_category_unless_asked(spark):
+    df = spark.createDataFrame([(f"c{k:02d}", float(k)) for k in range(30)], "x string, y double")
+    bars = charts.chart_data(df, "bar_mean_chart", x_col="x", y_col="y")
+    assert bars.count() == 30
+    assert charts.chart_data(df, "bar_mean_chart", x_col="x", y_col="y", max_x=20).count() == 20
+    assert charts.chart_data(df, "pie_chart", names="x", values="y").count() == 30
+    assert charts.chart_data(df, "pie_chart", names="x", values="y", max_categories=10).count() == 10

@@ -30,11 +30,11 @@ CHARTS = {
     "line_chart": (_xy, [["x_col", "y_col"]]),
     "line_mean_chart": (lambda df, x_col, y_col: agg.line_mean_data(df, x_col, y_col), [["x_col", "y_col"]]),
     "bar_chart": (lambda df, x_col, y_col: agg.bar_data(df, x_col, y_col), [["x_col", "y_col"]]),
-    "bar_mean_chart": (lambda df, x_col, y_col, tie=None, max_x=20: agg.bar_mean_data(df, x_col, y_col, max_x, tie), [["x_col", "y_col"]]),
+    "bar_mean_chart": (lambda df, x_col, y_col, tie=None, max_x=None: agg.bar_mean_data(df, x_col, y_col, max_x, tie), [["x_col", "y_col"]]),
     "scatter_chart": (_xy, [["x_col", "y_col"]]),
     "histogram": (lambda df, x_col=None, col=None, bins=10: dist.histogram(df, x_col or col, bins), [["x_col"], ["col"]]),
     "hbar_chart": (lambda df, values, names, tie=None, n=10, num_bars=None: agg.hbar_data(df, values, names, num_bars or n, tie), [["values", "names"]]),
-    "pie_chart": (lambda df, values, names, tie=None, max_categories=10: agg.pie_data(df, names, values, max_categories, tie=tie), [["values", "names"]]),
+    "pie_chart": (lambda df, values, names, tie=None, max_categories=None: agg.pie_data(df, names, values, max_categories, tie=tie), [["values", "names"]]),
     "pie_counts": (lambda df, x_col=None, pie_col=None: agg.value_counts(df, x_col or pie_col), [["x_col"], ["pie_col"]]),
     "area_chart": (_area, [["x_col", "y_col"], ["category_col", "value_col"]]),
     "box_plot": (lambda df, x_col, y_col: dist.box_stats(df, x_col, y_col), [["x_col", "y_col"]]),
