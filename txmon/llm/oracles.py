@@ -52,4 +52,38 @@ ORACLES = {
         SELECT doc_id, source, copy_no, copies, round(rate, 9) AS mix_rate,
                (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no || ':8'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS mix_key
         FROM e""",
+    "op11_url_filter": """
+        WITH r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                     ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+             u AS (SELECT page_id, row_number() OVER () AS k,
+                          CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+             s AS (SELECT page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(rest[length(regexp_extract(rest, '^[^/?#]*')) + 1:], '^[^?#]*') AS path FROM u),
+             f AS (SELECT k, arg_max({'r': rh || rp, 'v': v}, length(rh || rp)) AS best FROM s
+                   JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY k)
+        SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM s LEFT JOIN f USING (k)""",
+    "op13_source_audit": r"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'),
+                                         lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents),
+             o AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+             keep AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 30),
+             g AS (SELECT DISTINCT lang, source FROM d),
+             c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN keep USING (lang, term) GROUP BY ALL),
+             cells AS (SELECT g.lang, g.source, keep.term, coalesce(c.n, 0) AS n, keep.n AS in_lang
+                       FROM g JOIN keep USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = keep.term),
+             p AS (SELECT lang, source, term, n,
+                          1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p,
+                          1 + 1000000000::HUGEINT * (in_lang + 5) // (sum(in_lang) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS q
+                   FROM cells),
+             pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0)::BIGINT AS value
+                       FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                       LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y
+                                  ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) v
+                       ON v.lang = a.lang AND v.source = a.source AND v.item = b.source),
+             both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs
+                            UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value, rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM both_parts)
+        WHERE part = 'pair' OR rank <= 50""",
 }

@@ -116,4 +116,54 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op4_lsa_decontamination, op5_simhash_pigeonhole, op6_license_scan, op7_text_tag_ratio, op8_whole_token_counts, op9_suffix_array_dedup, op10_poisson_mix)}
+#: (host, path, verdict) of the pages query.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txmon.llm.url_filter import url_verdicts
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    found = url_verdicts(table(spark, sf_dir, "pages"), rules, carry=["page_id"])
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the contract: where h = crc32(doc_id) ends in 0, the words from a on repeat with period p."""
+    words = F.regexp_extract_all(text_of("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = (docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+            .withColumn("n", F.when(F.size("w") > 0, F.size("w").cast("long")))  # null: the text stays as it is
+            .withColumn("a", F.col("g") % F.col("n"))
+            .withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))))
+    repeated = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, element_at(w, cast(a + (i - a) % p + 1 as int)))), ' ')")
+    return rows.select("doc_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(repeated).alias("text"))
+
+
+def op12_run_finder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document; the digest columns are the contract's."""
+    from txmon.llm.run_finder import find_runs
+
+    found = find_runs(with_repeats(table(spark, sf_dir, "documents")), carry=["doc_id"])
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"), F.expr("1000 * -best.l div best.p").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txmon.llm.source_audit import source_audit
+
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_progressive_exact_dedup, op3_lattice_likelihood, op4_lsa_decontamination, op5_simhash_pigeonhole, op6_license_scan, op7_text_tag_ratio, op8_whole_token_counts, op9_suffix_array_dedup, op10_poisson_mix, op11_url_filter, op12_run_finder, op13_source_audit)}
