@@ -12,6 +12,7 @@ columns and emits one partial sum for each pair of sources.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,33 +39,32 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (lang, source, term, count, documents), summed within the task while they fit."""
     lean()
-    held: dict[tuple, list[int]] = {}
-
-    def passed_on() -> pa.RecordBatch:
-        keys = list(held)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array([k[2] for k in keys], pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()),
-             pa.array([v[1] for v in held.values()], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+    held: dict[tuple, tuple[Counter, Counter]] = {}
+    size = 0
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (occurs, docs) in held.items():
+            n = len(occurs)
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(source, pa.string()), n), pa.array(list(occurs), pa.binary()),
+                 pa.array(list(occurs.values()), pa.int64()), pa.array([docs[t] for t in occurs], pa.int64())],
+                names=["lang", "source", "term", "n", "docs"])
         held.clear()
-        return out
 
     for batch in slices(batches, "text"):
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
-            own: dict[bytes, int] = {}
-            for term in text.as_py().translate(_FOLD).split():
-                own[term] = own.get(term, 0) + 1
-            for term, n in own.items():
-                sums = held.get((lang, source, term))
-                if sums is None:
-                    held[lang, source, term] = [n, 1]
-                else:
-                    sums[0] += n
-                    sums[1] += 1
-            if len(held) >= HELD:
-                yield passed_on()
-    if held:
-        yield passed_on()
+            terms = text.as_py().translate(_FOLD).split()
+            if (lang, source) not in held:
+                held[lang, source] = Counter(), Counter()
+            occurs, docs = held[lang, source]
+            size -= len(occurs)
+            occurs.update(terms)
+            docs.update(set(terms))
+            size += len(occurs)
+            if size >= HELD:
+                yield from passed_on()
+                size = 0
+    yield from passed_on()
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
