@@ -35,7 +35,12 @@ TXN = """txn AS (
   JOIN nation sn ON c.c_nationkey = sn.n_nationkey
   JOIN nation rn ON rn.n_nationkey = o.o_orderkey % 25)"""
 
-EV = """ev AS (
+FAULT = """CASE WHEN event_id % 97 = 0 THEN 'cut' WHEN event_id % 89 = 0 THEN 'text' WHEN event_id % 83 = 0 THEN 'none'
+              WHEN event_id % 79 = 0 THEN 'twice' WHEN event_id % 73 = 0 THEN 'nan' WHEN event_id % 71 = 0 THEN 'empty' END"""
+# of faulty messages only one with a wrong type gives its other fields
+READABLE = "(fault IS NULL OR fault = 'text')"
+
+EV = f"""ev AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id,
          CAST(ts AS TIMESTAMP) AS transactiondate,
          'user_' || CAST(user_id AS VARCHAR) AS sender_name,
@@ -50,7 +55,7 @@ EV = """ev AS (
          CASE WHEN event_id % 2 > 0 THEN 'REF-' || event_id END AS reference,
          '10.0.0.' || (user_id % 250) AS ip_address,
          CASE event_id % 4 WHEN 0 THEN 'MOBILE_APP' WHEN 1 THEN 'WEB' WHEN 2 THEN 'BRANCH' ELSE 'API' END AS channel,
-         CASE WHEN event_id % 97 = 0 THEN 'cut' WHEN event_id % 89 = 0 THEN 'text' END AS fault,
+         {FAULT} AS fault,
          CAST(value AS DECIMAL(18,2)) AS amount_usd,
          value AS amount_double,
          'NATION_' || CAST(user_id % 25 AS VARCHAR) AS sender_country,
@@ -99,14 +104,16 @@ ISO_TS = """CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT
             ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END"""
 # the message as the bus carries it; the amount's digits are the engine's own text of a double
 MESSAGE = f"""'{{"transaction_id":"' || transaction_id || '","timestamp":"' || {ISO_TS} || '","sender":' || {PERSON_TEXT}
-       || ',"receiver":' || {RECEIVER_TEXT} || ',"amount_usd":' || CASE WHEN fault = 'text' THEN '"' ELSE '' END || CAST(amount_double AS VARCHAR)
-       || CASE WHEN fault = 'text' THEN '"' ELSE '' END || ',"sender_country":"' || sender_country || '","receiver_country":"' || receiver_country
+       || ',"receiver":' || {RECEIVER_TEXT} || ',"amount_usd":' || CASE WHEN fault = 'text' THEN '"' ELSE '' END
+       || CASE WHEN fault = 'nan' THEN 'NaN' ELSE CAST(amount_double AS VARCHAR) END || CASE WHEN fault = 'text' THEN '"' ELSE '' END || ',"sender_country":"' || sender_country || '","receiver_country":"' || receiver_country
        || '","transaction_type":"' || transaction_type || '","status":"' || status || '","fee_usd":' || CAST(fee_usd AS VARCHAR)
-       || coalesce(',"reference":"' || reference || '"', '') || ',"metadata":' || {METADATA_TEXT} || CASE WHEN fault = 'cut' THEN '' ELSE '}}' END"""
+       || coalesce(',"reference":"' || reference || '"', '') || ',"metadata":' || {METADATA_TEXT} || CASE WHEN fault = 'cut' THEN '' ELSE '}}' END
+       || CASE WHEN fault = 'twice' THEN '{{"transaction_id":"again"}}' ELSE '' END"""
+MESSAGE = f"CASE fault WHEN 'none' THEN '(no message body)' WHEN 'empty' THEN '{{}}' ELSE {MESSAGE} END"
 
 
 def unless_cut(c: str, name: str | None = None) -> str:
-    return f"CASE WHEN fault IS DISTINCT FROM 'cut' THEN {c} END AS {name or c}"
+    return f"CASE WHEN {READABLE} THEN {c} END AS {name or c}"
 
 
 ORACLE["s2_decode_events"] = f"""
@@ -134,12 +141,11 @@ ORACLE["p2_flatten"] = f"WITH {EV} SELECT {EV_FLAT.format(amount='amount_double'
 ORACLE["p3_conform_flat"] = f"WITH {EV} SELECT {EV_FLAT.format(amount='CAST(amount_usd AS DOUBLE)')} FROM ev"
 
 ORACLE["v1_validate"] = f"""
-WITH {TXN}
-SELECT transaction_id,
-       concat_ws(',', CASE WHEN length(sender_address) > 8 THEN 'too_long:sender_address' END,
-                      CASE WHEN length(receiver_country) > 8 THEN 'too_long:receiver_country' END) AS reasons
-FROM txn
-WHERE length(sender_address) > 8 OR length(receiver_country) > 8"""
+WITH {TXN}, r AS (
+  SELECT transaction_id, CAST(transaction_id AS BIGINT) % 23 = 0 AS long_country, CAST(transaction_id AS BIGINT) % 19 = 0 AS long_address FROM txn)
+SELECT transaction_id, concat_ws(',', CASE WHEN long_address THEN 'too_long:sender_address' END,
+                                 CASE WHEN long_country THEN 'too_long:receiver_country' END) AS reasons
+FROM r WHERE long_address OR long_country"""
 
 ORACLE["f1_is_high_amount"] = f"""
 WITH {TXN} SELECT transaction_id, COALESCE(amount_usd >= 450000, FALSE) AS is_high_amount FROM txn"""
@@ -558,7 +564,7 @@ FROM j"""
 EVS = f"""evs AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id, event_id, user_id, ts, value, event_type,
          'NATION_' || CAST(user_id % 25 AS VARCHAR) AS sc, 'NATION_' || CAST(event_id % 25 AS VARCHAR) AS rc,
-         CASE WHEN event_id % 97 = 0 THEN 'cut' WHEN event_id % 89 = 0 THEN 'text' END AS fault
+         {FAULT} AS fault
   FROM events)"""
 EV_HIGH = "value >= 200"
 EV_SS = f"sc IN {TEST_COUNTRIES}"
@@ -569,11 +575,11 @@ EV_REASONS = (f"""'[' || concat_ws(',', CASE WHEN {EV_HIGH} THEN '"HIGH_AMOUNT"'
                                   CASE WHEN {EV_RS} THEN '"SANCTIONED_RECEIVER_COUNTRY"' END) || ']'""")
 
 EV_ROUTE = f"CASE WHEN fault IS NOT NULL THEN 'quarantine' WHEN {EV_SUSP} THEN 'suspicious' ELSE 'normal' END"
-# a message cut short gives no field at all, a text amount only no amount
+# a text amount gives only no amount, every other fault no field at all
 EV_SEEN = f"""seen AS (
-  SELECT CASE WHEN fault IS DISTINCT FROM 'cut' THEN transaction_id END AS transaction_id, {EV_ROUTE} AS route, ts,
+  SELECT CASE WHEN {READABLE} THEN transaction_id END AS transaction_id, {EV_ROUTE} AS route, ts,
          CASE WHEN fault IS NULL THEN value END AS amount_usd, fault,
-         CASE WHEN fault = 'cut' THEN '[]'
+         CASE WHEN NOT {READABLE} THEN '[]'
               WHEN fault = 'text' THEN {EV_REASONS.replace("WHEN value >= 200", "WHEN FALSE")}
               ELSE {EV_REASONS} END AS flag_reasons
   FROM evs)"""
@@ -654,17 +660,37 @@ def alert_sql(path, tid, amount, fee, sname, sdetails, scountry, rname, rdetails
 
 ORACLE["t5_alert_stream"] = f"""
 WITH {EV}
-SELECT CASE WHEN fault IS DISTINCT FROM 'cut' THEN transaction_id END AS transaction_id,
+SELECT CASE WHEN {READABLE} THEN transaction_id END AS transaction_id,
        CASE WHEN fault IS NULL THEN 'suspicious' ELSE 'quarantine' END AS route,
        CASE WHEN fault IS NULL THEN amount_double ELSE 0.0 END AS amount,
-       CASE WHEN fault IS DISTINCT FROM 'cut' THEN fee_usd ELSE 0.0 END AS fee,
-       CASE WHEN fault IS DISTINCT FROM 'cut' THEN sender_name ELSE 'N/A' END AS sender_name,
-       CASE WHEN fault IS DISTINCT FROM 'cut' THEN receiver_name ELSE 'N/A' END AS receiver_name,
+       CASE WHEN {READABLE} THEN fee_usd ELSE 0.0 END AS fee,
+       CASE WHEN {READABLE} THEN sender_name ELSE 'N/A' END AS sender_name,
+       CASE WHEN {READABLE} THEN receiver_name ELSE 'N/A' END AS receiver_name,
        CASE WHEN fault IS NULL THEN {alert_sql("'<path>'", "transaction_id", "amount_double", "fee_usd", "sender_name", None, "sender_country",
                                                "receiver_name", None, "receiver_country", "transaction_type", "status", iso("ts"))}
             ELSE ':x: *ERROR PROCESSING FILE*' || chr(10) || 'File: <path>' || chr(10) || 'Error: ' || {MESSAGE} END AS message
 FROM ev WHERE fault IS NOT NULL OR {SUSP_EV.replace("CAST(amount_usd AS DOUBLE)", "amount_double")}"""
 
+FILE_ERROR = "':x: *ERROR PROCESSING FILE*' || chr(10) || 'File: <path>' || chr(10) || 'Error: '"
+DAY = "CAST(transaction_id AS BIGINT) % 4"
+DAY_1 = f"({DAY} = 0)"
+
+
+def on_day_1(c: str) -> str:
+    return f"CASE WHEN {DAY_1} THEN {c} ELSE 'N/A' END"
+
+
+ORACLE["t5_alert_files"] = f"""
+WITH {TXN}
+SELECT transaction_id, 'suspicious' AS route, CAST(amount_usd AS DOUBLE) AS amount, CASE WHEN {DAY_1} THEN CAST(fee_usd AS DOUBLE) ELSE 0.0 END AS fee,
+       'N/A' AS sender_name, {alert_sql("'<path>'", "transaction_id", "CAST(amount_usd AS DOUBLE)", f"CASE WHEN {DAY_1} THEN CAST(fee_usd AS DOUBLE) ELSE 0.0 END",
+                                        "'N/A'", None, "sender_country", "'N/A'", None, on_day_1("receiver_country"), "'N/A'", "status",
+                                        on_day_1("strftime(transactiondate, '%Y-%m-%dT%H:%M:%S')"))} AS message, CAST(NULL AS VARCHAR) AS decode_error
+FROM txn WHERE {DAY} IN (0, 2)
+UNION ALL
+SELECT NULL, 'file_error', NULL, NULL, NULL, {FILE_ERROR} || 'no column transaction_id', 'no column transaction_id'
+FROM range(4)"""
+
 ORACLE["t6_windowed"] = """
 SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, event_type,
        COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total

@@ -26,8 +26,9 @@ class RuleConfig:
 
 
 def is_high_amount(threshold: float = HIGH_AMOUNT_THRESHOLD, amount_col: str = "amount_usd") -> Column:
-    """amount >= threshold; a missing amount counts as 0."""
-    return F.coalesce(F.col(amount_col).cast("double"), F.lit(0.0)) >= F.lit(float(threshold))
+    """amount >= threshold; a missing amount and NaN count as 0 (Spark orders NaN above every number)."""
+    amount = F.col(amount_col).cast("double")
+    return F.coalesce(F.nanvl(amount, F.lit(0.0)), F.lit(0.0)) >= F.lit(float(threshold))
 
 
 def is_sanctioned(countries=SANCTIONED_COUNTRIES, sender_col: str = "sender_country",

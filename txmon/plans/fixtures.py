@@ -121,12 +121,18 @@ def events_to_messages(events: DataFrame) -> DataFrame:
 
 
 def events_to_faulty_messages(events: DataFrame) -> DataFrame:
-    """As ``events_to_messages``, with the two faults a bus brings: every 97th message has lost its
-    end (malformed JSON), every 89th carries its amount as text (a wrong type)."""
+    """As ``events_to_messages``, with the faults a bus brings: every 97th message has lost its end (malformed
+    JSON), every 89th carries its amount as text (a wrong type), every 83rd has no body, every 79th is two objects run
+    together, every 73rd has NaN as its amount and every 71st is an empty object."""
     key = F.col("key").cast("long")
-    text_amount = F.regexp_replace("value", r'"amount_usd":([0-9.eE+-]+)', '"amount_usd":"$1"')
+    amount = r'"amount_usd":([0-9.eE+-]+)'
     value = (F.when(key % 97 == 0, F.expr("substring(value, 1, length(value) - 1)"))
-             .when(key % 89 == 0, text_amount).otherwise(F.col("value")))
+             .when(key % 89 == 0, F.regexp_replace("value", amount, '"amount_usd":"$1"'))
+             .when(key % 83 == 0, F.lit(None).cast("string"))
+             .when(key % 79 == 0, F.concat("value", F.lit('{"transaction_id":"again"}')))
+             .when(key % 73 == 0, F.regexp_replace("value", amount, '"amount_usd":NaN'))
+             .when(key % 71 == 0, F.lit("{}"))
+             .otherwise(F.col("value")))
     return events_to_messages(events).withColumn("value", value)
 
 

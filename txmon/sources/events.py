@@ -10,6 +10,7 @@ from txmon.schemas import RAW_SCHEMA
 
 CORRUPT = "_corrupt_record"  # from_json's working column
 DECODE_ERROR = "decode_error"  # output name: the raw text of a message that failed to decode
+NO_BODY = "(no message body)"
 
 
 def read_event_stream(spark: SparkSession, source: str = "kafka", convert=None, **opts) -> DataFrame:
@@ -41,22 +42,29 @@ def decode_events(df: DataFrame, value_col: str = "value", mode: str = "quaranti
                   ingest_col: str | None = "timestamp") -> DataFrame:
     """Decode UTF-8 JSON message bodies into the raw event columns.
 
-    mode ``quarantine`` keeps every message and adds ``decode_error`` (the original text
-    when it does not parse as a JSON object, else NULL; a neutral name, because file readers
-    treat a column called ``_corrupt_record`` as their own); ``drop`` keeps parsed rows only;
-    ``failfast`` raises on the first bad message, as the reference consumer does.
+    A message must be one JSON object, and nothing else, with a ``transaction_id``: an absent body, text before or
+    after the object, NaN or Infinity, a field of the wrong type and an object without id do not decode. The body
+    is parsed once, inside an envelope that closes with a checksum of it, so that what follows the object cannot be overlooked
+    (a parser alone stops at the object's end).
+
+    mode ``quarantine`` keeps every message and adds ``decode_error`` (the original text of a message that does not
+    decode, ``NO_BODY`` where there is no text, else NULL; a neutral name, because file readers treat a column
+    called ``_corrupt_record`` as their own). A message whose only fault is a field of the wrong type keeps its other fields.
+    ``drop`` keeps decoded rows only; ``failfast`` raises on the first bad message, as the original consumer does.
     The source ingest time (``ingest_col``) is kept as ``ingest_time``.
     """
     body = F.col(value_col).cast("string")
+    check = F.xxhash64(body)
+    envelope = T.StructType([T.StructField("message", RAW_SCHEMA), T.StructField("check", T.LongType()), T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(F.concat(F.lit('{"message":'), body, F.lit(',"check":'), check.cast("string"), F.lit("}")), envelope,
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowNonNumericNumbers": "false", "allowSingleQuotes": "false"})
+    message = parsed["message"]
+    decoded = F.coalesce(parsed[CORRUPT].isNull() & (parsed["check"] == check) & message["transaction_id"].isNotNull(), F.lit(False))
+    corrupt = F.when(~decoded, F.when(F.trim(body) != "", body).otherwise(F.lit(NO_BODY)))
     if mode == "failfast":
-        parsed = F.from_json(body, RAW_SCHEMA, {"mode": "FAILFAST"})
-        corrupt = F.lit(None).cast("string")
-    else:
-        schema = T.StructType(RAW_SCHEMA.fields + [T.StructField(CORRUPT, T.StringType())])
-        parsed = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        corrupt = F.when(parsed.isNull(), body).otherwise(parsed[CORRUPT])
+        message = F.when(~decoded, F.raise_error(F.concat(F.lit("message does not decode: "), corrupt))).otherwise(message)
     extra = [F.col(ingest_col).cast("timestamp").alias("ingest_time")] if ingest_col and ingest_col in df.columns else []
-    out = df.select(parsed.alias("_m"), corrupt.alias(CORRUPT), *extra)
+    out = df.select(message.alias("_m"), corrupt.alias(CORRUPT), *extra)
     out = out.select(*[F.col("_m")[f.name].alias(f.name) for f in RAW_SCHEMA.fields],
                      F.col(CORRUPT).alias(DECODE_ERROR), *[c for c in ("ingest_time",) if extra])
     if mode == "drop":

@@ -33,6 +33,14 @@ def with_folder_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"source_file": path, **{c: F.regexp_extract(path, rf"/{c}=([^/]*)/", 1) for c in PARTITION_COLUMNS}})
 
 
+def with_plain_folder(df: DataFrame, route: str = "suspicious") -> DataFrame:
+    """The same for folders ``YYYY/MM/DD`` that hold one route."""
+    path = F.col("_metadata.file_path")
+    m = r"/(\d{4})/(\d{2})/(\d{2})/[^/]+$"
+    return df.withColumns({"source_file": path, "route": F.lit(route), "year": F.regexp_extract(path, m, 1),
+                           "month": F.regexp_extract(path, m, 2), "day": F.regexp_extract(path, m, 3)})
+
+
 def read_routed(spark: SparkSession, base: str, streaming: bool = False,
                 schema: T.StructType = ROUTED_CSV_SCHEMA, **opts) -> DataFrame:
     """All routes of the routed sink's folder ``base`` (``route=/year=/month=/day=``), read through its
@@ -55,11 +63,53 @@ def read_suspicious(spark: SparkSession, base: str, streaming: bool = False, lay
     reader = spark.readStream if streaming else spark.read
     df = (reader.schema(schema).options(**CSV_OPTIONS).options(**opts)
                 .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(base))
-    path = F.col("_metadata.file_path")
-    m = r"/(\d{4})/(\d{2})/(\d{2})/[^/]+$"
-    return df.withColumns({"source_file": path, "year": F.regexp_extract(path, m, 1),
-                           "month": F.regexp_extract(path, m, 2), "day": F.regexp_extract(path, m, 3),
-                           "route": F.lit(route)})
+    return with_plain_folder(df, route)
+
+
+#: Cells read of a row while the file's header is not known; a file that fills the last one is reported as an error.
+MAX_CELLS = 64
+
+
+def read_file_rows(spark: SparkSession, base: str, streaming: bool = False, layout: str = "hive", **opts) -> DataFrame:
+    """Every row of every CSV file as it stands, header rows included: ``cells`` and ``width`` (cells up to the last
+    that is not empty), ``source_file`` and the folder values. No file can fail the read, whatever its columns;
+    ``by_header`` sorts the files out. Layouts as in ``read_suspicious``; ``hive`` keeps all routes."""
+    ensure_folder(spark, base)
+    reader = spark.readStream if streaming else spark.read
+    names = [f"c{i}" for i in range(MAX_CELLS)]
+    reader = reader.schema(", ".join(f"{n} string" for n in names)).options(**{**CSV_OPTIONS, "header": "false"}).options(**opts)
+    df = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(base)
+    width = F.greatest(*[F.when(F.col(n).isNotNull(), F.lit(i + 1)).otherwise(0) for i, n in enumerate(names)])
+    df = with_folder_columns(df) if layout != "plain" else with_plain_folder(df)
+    return df.select(F.array(*names).alias("cells"), width.alias("width"), "source_file", *PARTITION_COLUMNS)
+
+
+def by_header(rows: DataFrame, columns: list[str] = ROUTED_COLUMNS, required: tuple = ("transaction_id",)) -> tuple[DataFrame, DataFrame]:
+    """(rows of readable files, unreadable files) of ``read_file_rows``.
+
+    Each file's first row names its columns: cells are taken by name, in whatever order the file has them, columns it does
+    not have are NULL, others are left out. A file is unreadable, as a whole, with a reason in ``error``: a ``required``
+    column is missing, a row has more cells than the header, there are ``MAX_CELLS`` cells or more, or the bytes
+    are not UTF-8 (the reader puts U+FFFD for those). A file with nothing but a header gives no rows.
+
+    Both results read ``rows`` again: persist it. A file is read by one task (its rows may span lines), so the row
+    numbers that find its first row ascend within it.
+    """
+    cells = rows.filter("width > 0").withColumn("_row", F.monotonically_increasing_id())
+    files = cells.groupBy("source_file", *PARTITION_COLUMNS).agg(
+        F.min("_row").alias("_first"), F.min_by(F.struct("cells", "width"), "_row").alias("_head"), F.max("width").alias("_widest"),
+        F.max(F.exists("cells", lambda c: c.contains("\ufffd"))).alias("_garbled"))
+    names = F.col("_head.cells")
+    errors = [F.when(F.col("_garbled"), F.lit("not UTF-8 text")),
+              *[F.when(~F.array_contains(names, c) | F.array_contains(names, c).isNull(), F.lit(f"no column {c}")) for c in required],
+              F.when(F.col("_widest") >= MAX_CELLS, F.lit(f"{MAX_CELLS} cells or more in a row")),
+              F.when(F.col("_widest") > F.col("_head.width"), F.lit("a row has more cells than the header"))]
+    files = files.withColumn("error", F.coalesce(*errors))
+    bad = files.filter("error IS NOT NULL").select("source_file", *PARTITION_COLUMNS, "error")
+    heads = files.filter("error IS NULL").select(F.col("source_file").alias("_file"), "_first", names.alias("_names"))
+    good = cells.join(heads, (F.col("source_file") == F.col("_file")) & (F.col("_row") != F.col("_first")))
+    at = {c: F.coalesce(F.array_position("_names", c), F.lit(0)).cast("int") for c in columns}
+    return good.select(*[F.when(at[c] > 0, F.try_element_at("cells", at[c])).alias(c) for c in columns], "source_file", *PARTITION_COLUMNS), bad
 
 
 def read_table(spark: SparkSession, name: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Continuous classify-and-route (T1-T3) and the suspicious-file alert stream (T5).
 
-Both use Spark's file sink, which commits each micro-batch through its metadata log: a batch is
-visible exactly once even when a task or executor is lost and the batch is re-run.
+Routing uses Spark's file sink, which commits each micro-batch through its metadata log: a batch is
+visible exactly once even when a task or executor is lost and the batch is re-run. Alerts land in one folder
+per micro-batch, which a re-run replaces.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from txmon.operators.alerts import alert_messages, error_message
 from txmon.operators.rules import RuleConfig
 from txmon.sources.events import decode_events
-from txmon.sources.files import ROUTED_COLUMNS, read_routed
-from txmon.sources.sinks import PARTITIONS, to_text_columns, with_route_partitions
+from txmon.sources.files import ROUTED_COLUMNS, by_header, read_file_rows
+from txmon.sources.sinks import PARTITIONS, batch_writer, to_text_columns, with_route_partitions
 
 
 def _trigger(writer, trigger: dict | None):
@@ -51,19 +52,35 @@ def run_available(query: StreamingQuery, timeout_s: float | None = None) -> Stre
     return query
 
 
-def alert_stream(spark: SparkSession, routed_base: str, target: str, checkpoint: str,
-                 trigger: dict | None = None, **read_opts) -> StreamingQuery:
-    """T5: stream the routed sink's suspicious and quarantined rows into an alert table (parquet).
-    Suspicious rows give the alert text; quarantined rows give an error alert with the message's
-    own text. The folder is read through the sink's commit log, so each row alerts once."""
-    src = read_routed(spark, routed_base, streaming=True, **read_opts).filter(F.col("route").isin("suspicious", "quarantine"))
+def alert_rows(rows: DataFrame, bad_files: DataFrame) -> DataFrame:
+    """T5: alerts of suspicious rows, error alerts of quarantined rows, and one error alert for each unreadable file."""
     is_error = F.col("route") == "quarantine"
-    alerts = alert_messages(src).withColumn("message", F.when(is_error, error_message()).otherwise(F.col("message")))
-    alerts = alerts.select("transaction_id", "route", "source_file", "amount", "fee", "sender_name", "receiver_name",
-                           "message", "decode_error")
-    w = (alerts.writeStream.format("parquet").outputMode("append")
-               .option("path", target).option("checkpointLocation", checkpoint))
-    return _trigger(w, trigger).start()
+    alerts = alert_messages(rows).withColumn("message", F.when(is_error, error_message()).otherwise(F.col("message")))
+    errors = bad_files.select("source_file", F.lit("file_error").alias("route"), F.col("error").alias("decode_error")).withColumn("message", error_message())
+    columns = ["transaction_id", "route", "source_file", "amount", "fee", "sender_name", "receiver_name", "message", "decode_error"]
+    return alerts.select(*columns).unionByName(errors, allowMissingColumns=True).select(*columns)
+
+
+def alert_stream(spark: SparkSession, routed_base: str, target: str, checkpoint: str,
+                 trigger: dict | None = None, layout: str = "hive", **read_opts) -> StreamingQuery:
+    """T5: stream new suspicious files into an alert table (parquet, a folder ``batch_id=N`` for each micro-batch; a
+    replayed batch replaces its own).
+
+    ``layout="hive"`` reads the routed sink's suspicious and quarantined rows through its commit log, so each
+    row alerts once; ``layout="plain"`` reads ``base/YYYY/MM/DD/*.csv`` from whatever wrote them. Suspicious rows give the alert
+    text, quarantined rows an error alert with the message's own text. A file that cannot be read gives one error
+    alert, and all other files of the batch alert as usual (``files.by_header``)."""
+    rows = read_file_rows(spark, routed_base, streaming=True, layout=layout, **read_opts).filter(F.col("route").isin("suspicious", "quarantine"))
+    write = batch_writer(target)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # headers, rows and errors come from one read
+        try:
+            write(alert_rows(*by_header(batch)), batch_id)
+        finally:
+            batch.unpersist()
+
+    return _trigger(rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint), trigger).start()
 
 
 def dropped_by_watermark(query: StreamingQuery) -> int:
