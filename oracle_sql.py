@@ -702,14 +702,15 @@ WITH w AS (SELECT user_id, make_timestamp(CAST((floor(epoch(ts) / 900) - r.k) *
 SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, user_id, COUNT(*) AS n
 FROM w GROUP BY ws, user_id"""
 
-ORACLE["t8_sessions"] = """
-WITH p AS (SELECT user_id, ts, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
-s AS (SELECT user_id, ts, SUM(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 7200000000 THEN 1 ELSE 0 END)
+SESSIONS = """
+WITH p AS (SELECT user_id, ts, value, LAG(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events),
+s AS (SELECT user_id, ts, value, SUM(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 7200000000 THEN 1 ELSE 0 END)
              OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
       FROM p),
-g AS (SELECT user_id, sid, min(ts) AS first_ts, max(ts) AS last_ts, COUNT(*) AS n FROM s GROUP BY 1, 2)
-SELECT first_ts AS session_start, last_ts + INTERVAL 2 HOUR AS session_end, user_id, n, first_ts, last_ts
-FROM g"""
+g AS (SELECT user_id, sid, min(ts) AS first_ts, max(ts) AS last_ts, COUNT(*) AS n, SUM(round(value * 100)) AS total FROM s GROUP BY 1, 2)
+SELECT first_ts AS session_start, last_ts + INTERVAL 2 HOUR AS session_end, user_id, n, first_ts, last_ts"""
+ORACLE["t8_sessions"] = SESSIONS + " FROM g"
+ORACLE["t8_session_stream"] = SESSIONS + ", total FROM g"
 
 ORACLE["t9_dedup_stream"] = ORACLE["p1_project_stream"]
 

@@ -467,6 +467,7 @@ from txmon.sources import sinks as sk  # noqa: E402
 from txmon.sources.events import read_event_stream  # noqa: E402
 from txmon.streaming import dormancy as dm  # noqa: E402
 from txmon.streaming import monitor as pl  # noqa: E402
+from txmon.streaming import sessions as ss  # noqa: E402
 from txmon.streaming import windows as sw  # noqa: E402
 
 
@@ -628,8 +629,16 @@ def q_t7(spark, sf):
 
 @register("t8_sessions")
 def q_t8(spark, sf):
-    # a finished input: the operator's batch plan gives every session, also those a stream would hold open
-    return sw.sessions(fx.table(spark, sf, "events"), "ts", "2 hours", "user_id", watermark=None)
+    return ss.sessions(fx.table(spark, sf, "events"), "ts", "2 hours", "user_id")
+
+
+@register("t8_session_stream")
+def q_t8_stream(spark, sf):
+    # four micro-batches: sessions that span two of them, and the ones still open at the end
+    out, ck = scratch_path(spark, "sessions"), scratch_path(spark, "sessions-ck")
+    events = _sliced_events_stream(spark, sf).withColumn("hundredths", F.round(F.col("value") * 100))
+    pl.run_available(ss.land_sessions(events, "ts", "2 hours", "user_id", out, ck, value="hundredths"))
+    return ss.read_sessions(spark, out, "user_id").drop("closed")
 
 
 @register("t9_dedup_stream")

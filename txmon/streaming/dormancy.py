@@ -1,68 +1,102 @@
 """T4: dormant-account detection on a stream with per-account state.
 
-State per account is one timestamp (the last transaction seen), held in the state store and
-checkpointed with the query. Within a micro-batch an account's rows are sorted by (ts, id)
-before the state is applied, so the result equals the batch ``lag`` plan (F6) whenever batches
-arrive in event-time order. Rows older than the stored last time are late: they are not flagged
-and do not move the state back (``late_policy="ignore"``).
+State per account is one time (the last transaction seen), in RocksDB and checkpointed with the query. An account's time
+is cut into segments no longer than the shortest gap that counts, so within a segment only the first row, by
+(ts, id), can end a dormant gap: map tasks reduce their rows to (first row, last time) per account and
+segment before the shuffle (``keyed``), and the state step sees one short row per segment however hot an account
+is. Results equal the batch ``lag`` plan (F6) whenever micro-batches arrive in event-time order; rows older than the stored last
+time are late: they are not flagged and do not move the state back.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUTPUT_SCHEMA = "account string, id string, ts timestamp, prev_ts timestamp, gap_seconds double, amount double"
-STATE_SCHEMA = "last_ts timestamp"
-
-
-def _processor(min_gap_seconds: float, min_amount: float):
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # the state serializer's pandas concat warns once per key; silence it for this worker
-        # process (idempotent) so executor logs are not flooded
-        warnings.filterwarnings("ignore", message="The behavior of DataFrame concatenation with empty",
-                                category=FutureWarning)
-        # all chunks of this key in this micro-batch (bounded by the trigger's batch size)
-        parts = list(chunks)
-        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        ts = rows["ts"].to_numpy(dtype="datetime64[ns]")
-        id_null = rows["id"].isna().to_numpy()
-        ids = np.where(id_null, "", rows["id"].to_numpy(dtype=object))
-        amount = rows["amount"].to_numpy(dtype="float64")
-        order = np.lexsort((ids, id_null, ts))  # by ts, then id (NULL ids last)
-        ts, ids, amount = ts[order], rows["id"].to_numpy(dtype=object)[order], amount[order]
-        last = state.get[0] if state.exists else None
-        last = None if last is None or pd.isna(last) else pd.Timestamp(last).to_datetime64().astype("datetime64[ns]")
-        if last is not None:
-            keep = ts >= last  # late rows: neither flagged nor applied
-            ts, ids, amount = ts[keep], ids[keep], amount[keep]
-        if len(ts) == 0:
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from txmon.streaming.keyed import before_state, prepare, segment_of
+
+#: Longest segment, in microseconds; shorter if the gap is.
+HOUR = 3_600_000_000
+
+FLAGGED = "account string, id string, ts long, prev_ts long, amount double"
+
+
+def first_and_last(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per (account, segment): its first row by (ts, id), NULL ids last, and its last time."""
+    rows = rows.sort_values(["account", "segment", "ts", "id"], na_position="last", kind="stable")
+    rows["last_ts"] = rows.groupby(["account", "segment"], dropna=False, sort=False)["last_ts"].transform("max")
+    return rows.drop_duplicates(["account", "segment"])
+
+
+class Dormancy(StatefulProcessor):
+    """Flags first rows of segments whose previous transaction, in the batch or in the state, is long past."""
+
+    def __init__(self, min_gap: int, min_amount: float, keep: int | None):
+        self.min_gap, self.min_amount, self.keep = min_gap, min_amount, keep
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_ts long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        chunks = [chunk for chunk in rows if len(chunk)]
+        if not chunks:
             return
-        prev = np.empty_like(ts)
-        prev[1:] = ts[:-1]
-        prev[0] = last if last is not None else np.datetime64("NaT")
-        gap = (ts - prev) / np.timedelta64(1, "s")  # NaN where there is no previous time
-        hit = (gap >= min_gap_seconds) & (amount >= min_amount)
-        seen = ts[~np.isnat(ts)]
-        if len(seen):
-            state.update((pd.Timestamp(seen[-1]).to_pydatetime(),))
-        if hit.any():
-            yield pd.DataFrame({"account": str(key[0]), "id": ids[hit], "ts": ts[hit], "prev_ts": prev[hit],
-                                "gap_seconds": gap[hit], "amount": amount[hit]})
-    return step
-
-
-def dormant_stream(df: DataFrame, account: str, ts: str, amount: str, id_col: str,
-                   min_gap_seconds: float, min_amount: float) -> DataFrame:
-    """Flagged rows (account, id, ts, prev_ts, gap_seconds, amount) of a streaming DataFrame."""
-    src = df.select(F.col(account).cast("string").alias("account"), F.col(id_col).cast("string").alias("id"),
-                    F.col(ts).cast("timestamp").alias("ts"), F.col(amount).cast("double").alias("amount"))
-    return src.groupBy("account").applyInPandasWithState(
-        _processor(float(min_gap_seconds), float(min_amount)), OUTPUT_SCHEMA, STATE_SCHEMA,
-        "append", GroupStateTimeout.NoTimeout)
+        seen = first_and_last(pd.concat(chunks, ignore_index=True))
+        known = self.last.get()
+        before = seen["last_ts"].shift()
+        if known is not None:
+            fresh = seen["ts"] > known[0]  # a segment that begins at or before the known time cannot end a gap
+            before = before.where(before > known[0], known[0])
+        else:
+            fresh = before.notna()
+        hit = seen[fresh & (seen["ts"] - before >= self.min_gap) & (seen["amount"] >= self.min_amount)]
+        now = int(seen["last_ts"].max())
+        if known is None or now > known[0]:
+            self.last.update((now,))
+            if self.keep is not None:
+                self.handle.registerTimer((now + self.keep) // 1000)
+        if len(hit):
+            yield pd.DataFrame({"account": hit["account"], "id": hit["id"], "ts": hit["ts"], "prev_ts": before[hit.index].astype("int64"), "amount": hit["amount"]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = self.last.get()
+        if known is not None and (known[0] + self.keep) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()  # else the account has moved on and a later timer holds
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def account_segments(df: DataFrame, account: str, ts: str, amount: str, id_col: str, min_gap_seconds: float) -> DataFrame:
+    """The rows that reach the state step: per account and segment one (first row, last time) from each map task."""
+    length = max(1, min(HOUR, int(min_gap_seconds * 1e6)))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select(F.col(account).cast("string").alias("account"), segment_of(at, length).alias("segment"),
+                     F.col(id_col).cast("string").alias("id"), at.alias("ts"), F.col(amount).cast("double").alias("amount"),
+                     at.alias("last_ts")).filter("ts IS NOT NULL")
+    return before_state(rows, first_and_last)
+
+
+def dormant_stream(df: DataFrame, account: str, ts: str, amount: str, id_col: str, min_gap_seconds: float, min_amount: float,
+                   keep_seconds: float | None = None, watermark: str = "1 hour") -> DataFrame:
+    """Flagged rows (account, id, ts, prev_ts, gap_seconds, amount) of a streaming DataFrame.
+
+    ``keep_seconds`` bounds the state: an account's time is dropped by an event-time timer once the watermark (``watermark`` behind the
+    newest row) is that far past it, and its next transaction counts as its first. It must cover every gap that should be flagged;
+    None keeps all accounts. Rows without a time are left out, a missing account is an account of its own."""
+    prepare(df.sparkSession)
+    segments = account_segments(df, account, ts, amount, id_col, min_gap_seconds)
+    keep = None
+    if keep_seconds is not None:
+        keep = int(keep_seconds * 1e6)
+        segments = segments.withColumn("at", F.timestamp_micros("last_ts")).withWatermark("at", watermark)
+    step = Dormancy(int(min_gap_seconds * 1e6), float(min_amount), keep)
+    flagged = segments.groupBy("account").transformWithStateInPandas(step, FLAGGED, "Append", "None" if keep is None else "EventTime")
+    return flagged.select("account", "id", F.timestamp_micros("ts").alias("ts"), F.timestamp_micros("prev_ts").alias("prev_ts"),
+                          ((F.col("ts") - F.col("prev_ts")) / F.lit(1e6)).alias("gap_seconds"), "amount")

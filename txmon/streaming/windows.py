@@ -5,8 +5,7 @@ In append mode a window / session is emitted once the watermark passes its end,
 never emits the last ones. ``land_windows`` therefore runs windows in update mode and lands every
 change; ``read_windows`` keeps the latest state of each window. The watermark (max event time seen -
 delay) bounds the state kept, and rows older than it are dropped (T10, counted by
-``monitor.dropped_by_watermark``). Sessions have no update mode: a finished input runs ``sessions`` as a
-batch plan (the same operator); a stream appends closed sessions.
+``monitor.dropped_by_watermark``). Sessions (T8) are in ``streaming.sessions``.
 """
 
 from __future__ import annotations
@@ -49,19 +48,6 @@ def read_windows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame
     return last.select(*keys, "_last.*")
 
 
-def sessions(df: DataFrame, ts: str, gap: str, by, value: str | None = None,
-             watermark: str | None = "1 hour") -> DataFrame:
-    """Activity sessions per key (a session ends ``gap`` after its last event)."""
-    d = event_time(df, ts, watermark)
-    keys = [by] if isinstance(by, str) else list(by)
-    aggs = [F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")]
-    if value:
-        aggs.append(F.sum(value).alias("total"))
-    g = d.groupBy(F.session_window(ts, gap).alias("s"), *keys).agg(*aggs)
-    return g.select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), *keys,
-                    *[c for c in g.columns if c not in ("s", *keys)])
-
-
 def dedup_stream(df: DataFrame, id_col: str, ts: str, delay: str) -> DataFrame:
     """Drop re-delivered copies of an id seen within ``delay`` of event time (state per id is
     dropped once the watermark passes it)."""
