@@ -696,6 +696,10 @@ SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1
        COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
 FROM events GROUP BY 1, 2, 3"""
 
+ORACLE["t6_compacted_windows"] = ORACLE["t6_windowed"]
+
+ORACLE["s3_compacted_routed"] = ORACLE["t1_monitor_stream"]
+
 ORACLE["t7_sliding_windows"] = """
 WITH w AS (SELECT user_id, make_timestamp(CAST((floor(epoch(ts) / 900) - r.k) * 900 AS BIGINT) * 1000000) AS ws
            FROM events CROSS JOIN (SELECT range AS k FROM range(4)) r)
@@ -738,6 +742,8 @@ FROM txn WHERE {SUSP_TXN}"""
 
 ORACLE["s7_load_flat"] = f"WITH {TXN} SELECT transaction_id, CAST(2 AS BIGINT) AS n_copies FROM txn"
 ORACLE["s8_load_incremental"] = f"WITH {TXN} SELECT transaction_id, CAST(1 AS BIGINT) AS n_copies, processing_time FROM txn"
+ORACLE["s8_load_by_period"] = ORACLE["s8_load_incremental"]
+
 ORACLE["s10_cached_sql"] = f"""
 WITH {TXN}
 SELECT step, step = 'second' AS hit, channel, COUNT(*) AS n

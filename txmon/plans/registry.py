@@ -462,6 +462,7 @@ from txmon.plans import reports as rp  # noqa: E402
 from txmon.plans.params import EVENT_DORMANT_GAP_SECONDS, EVENT_DORMANT_MIN_VALUE  # noqa: E402
 from txmon.functions.safe import safe_amount, safe_person  # noqa: E402
 from txmon.session import scratch_path  # noqa: E402
+from txmon.sources import compaction as cp  # noqa: E402
 from txmon.sources import files as fs  # noqa: E402
 from txmon.sources import sinks as sk  # noqa: E402
 from txmon.sources.events import read_event_stream  # noqa: E402
@@ -621,6 +622,33 @@ def q_t6(spark, sf):
     return doubles(_land_windows(spark, w, ["window_start", "window_end", "event_type"]))
 
 
+@register("t6_compacted_windows")
+def q_t6_compacted(spark, sf):
+    # four micro-batches land; the first three are packed into one generation
+    keys = ["window_start", "window_end", "event_type"]
+    out, packed, ck = (scratch_path(spark, n) for n in ("windows", "windows-packed", "windows-ck"))
+    ev = _sliced_events_stream(spark, sf).withColumn("amount", F.col("value").cast("decimal(18,2)"))
+    pl.run_available(sw.land_windows(sw.windowed(ev, "ts", "1 day", by=["event_type"], value="amount"), out, ck))
+    sw.compact_windows(spark, out, keys, packed)
+    return doubles(sw.read_windows(spark, out, keys, packed))
+
+
+@register("s3_compacted_routed")
+def q_s3_compacted(spark, sf):
+    # two generations and files that came after them
+    events = fx.table(spark, sf, "events")
+    src, base, packed, ck = (scratch_path(spark, n) for n in ("events", "routed", "routed-packed", "routed-ck"))
+    for third in range(3):
+        events.filter(F.col("event_id") % 3 == third).write.mode("append").parquet(src)
+        messages = fx.events_to_faulty_messages(spark.readStream.schema(events.schema).parquet(src))
+        pl.run_available(pl.monitor_stream(messages, base, ck, EVENT_RULES))
+        if third < 2:
+            cp.compact_routed(spark, base, packed)
+    r = cp.read_routed_compacted(spark, base, packed)
+    return r.select("transaction_id", "route", "year", "month", "day", F.col("amount_usd").cast("double").alias("amount_usd"), "flag_reasons",
+                    F.col("decode_error").isNotNull().alias("is_corrupt"))
+
+
 @register("t7_sliding_windows")
 def q_t7(spark, sf):
     w = sw.windowed(_events_stream(spark, sf), "ts", "1 hour", by=["user_id"], slide="15 minutes", watermark="1 hour")
@@ -709,6 +737,17 @@ def q_s8(spark, sf):
     return spark.read.parquet(path).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_copies"), F.max("processing_time").alias("processing_time"))
 
 
+@register("s8_load_by_period")
+def q_s8_by_period(spark, sf):
+    # as s8_load_incremental, into folders by month: some later copies come back under another one
+    path = scratch_path(spark, "flat-by-month")
+    flat = _flat_txn(spark, sf)
+    again = flat.filter(F.col("transaction_id").cast("long") % 3 == 0).withColumn("processing_time", F.col("processing_time") + F.expr("INTERVAL 1 DAY"))
+    sk.load_by_period(flat.filter(F.col("status") == "F"), path, period="yyyy-MM")
+    sk.load_by_period(flat.unionByName(again), path, period="yyyy-MM")
+    return spark.read.parquet(path).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_copies"), F.max("processing_time").alias("processing_time"))
+
+
 def _views(spark, sf):
     fx.register_tables(spark, sf, ["customer", "nation", "region"])
     fx.register_fixtures(spark, sf)

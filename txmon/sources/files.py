@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,12 @@ def with_folder_columns(df: DataFrame) -> DataFrame:
     Taken from the path, they are there before the first file is, and the schema stays the file's own
     columns, so headers are checked. A filter on them is one on the file's path: other files are not opened."""
     path = F.col("_metadata.file_path")
-    return df.withColumns({"source_file": path, **{c: F.regexp_extract(path, rf"/{c}=([^/]*)/", 1) for c in PARTITION_COLUMNS}})
+
+    def value(c: str) -> Column:
+        found = F.regexp_extract(path, rf"/{c}=([^/]*)/", 1)
+        return F.coalesce(F.nullif(found, F.lit("")), F.col(c)) if c in df.columns else found  # coarser folders keep it as a column
+
+    return df.withColumns({"source_file": path, **{c: value(c) for c in PARTITION_COLUMNS}})
 
 
 def with_plain_folder(df: DataFrame, route: str = "suspicious") -> DataFrame:
@@ -42,7 +47,7 @@ def with_plain_folder(df: DataFrame, route: str = "suspicious") -> DataFrame:
 
 
 def read_routed(spark: SparkSession, base: str, streaming: bool = False,
-                schema: T.StructType = ROUTED_CSV_SCHEMA, **opts) -> DataFrame:
+                schema: T.StructType | str = ROUTED_CSV_SCHEMA, **opts) -> DataFrame:
     """All routes of the routed sink's folder ``base`` (``route=/year=/month=/day=``), read through its
     commit log: files that a failed or unfinished batch left behind are never read. A folder without
     files yet gives no rows."""

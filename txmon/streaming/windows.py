@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txmon.sources.compaction import compact_batches, latest, read_batches
 from txmon.sources.sinks import batch_writer
 
 
@@ -40,12 +41,16 @@ def land_windows(windows: DataFrame, target: str, checkpoint: str, trigger: dict
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_windows(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
-    """The latest landed state of every window: rows of one key are reduced before the shuffle."""
-    d = spark.read.parquet(target)
-    values = [c for c in d.columns if c not in (*keys, "batch_id")]
-    last = d.groupBy(*keys).agg(F.max_by(F.struct(*values), F.col("batch_id").cast("long")).alias("_last"))
-    return last.select(*keys, "_last.*")
+def read_windows(spark: SparkSession, target: str, keys: list[str], compacted: str | None = None) -> DataFrame:
+    """The latest landed state of every window: rows of one key are reduced before the shuffle. ``compacted`` names the
+    folder that ``compact_windows`` keeps."""
+    d = read_batches(spark, target, compacted) if compacted else spark.read.parquet(target)
+    return latest(keys)(d).drop("batch_id")
+
+
+def compact_windows(spark: SparkSession, target: str, keys: list[str], compacted: str) -> int:
+    """Pack the landed micro-batches, without the newest, into few files that hold the latest state of each window."""
+    return compact_batches(spark, target, compacted, latest(keys))
 
 
 def dedup_stream(df: DataFrame, id_col: str, ts: str, delay: str) -> DataFrame:
