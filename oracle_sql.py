@@ -320,6 +320,25 @@ SELECT order_year, ROUND(mean, 4) AS mean, ROUND(sd, 4) AS sd, n,
        ROUND(mean - 1.96 * sd / sqrt(n), 4) AS ci_low, ROUND(mean + 1.96 * sd / sqrt(n), 4) AS ci_high
 FROM g"""
 
+# a row's weight in a replicate: how many Poisson(1) thresholds 16 bits of a digest reach
+REACHED = "[24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535]"
+ORACLE["a9_line_mean_bootstrap"] = f"""
+WITH {TXN},
+y AS (SELECT year(transactiondate) AS order_year, transaction_id, amount_usd FROM txn),
+d AS (SELECT order_year, amount_usd, b.block, md5(transaction_id || ':0:' || b.block) AS h FROM y, (SELECT unnest(range(125)) AS block) b),
+w AS (SELECT order_year, block * 8 + i.i AS replicate, amount_usd,
+             len(list_filter({REACHED}, lambda t: t <= ('0x' || substr(h, CAST(4 * i.i + 1 AS BIGINT), 4))::INTEGER)) AS w
+      FROM d, (SELECT unnest(range(8)) AS i) i),
+m AS (SELECT order_year, replicate, CAST(SUM(amount_usd * w) AS DOUBLE) / SUM(w) AS mean FROM w GROUP BY 1, 2 HAVING SUM(w) > 0),
+e AS (SELECT order_year, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM m GROUP BY 1)
+SELECT CAST(order_year AS INTEGER) AS order_year, ROUND(CAST(SUM(amount_usd) AS DOUBLE) / COUNT(*), 4) AS mean, COUNT(*) AS n,
+       ROUND(any_value(lo), 4) AS ci_low, ROUND(any_value(hi), 4) AS ci_high
+FROM y JOIN e USING (order_year) GROUP BY 1"""
+
+ORACLE["a23_stored_distinct"] = f"WITH {TXN} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(3 AS BIGINT) AS n_loads, COUNT(*) AS n_rows, COUNT(DISTINCT {c}) AS exact, TRUE AS near FROM txn"
+    for c in ("transaction_id", "sender_account_number", "sender_swift_code"))
+
 ORACLE["a23_distinct_count"] = f"WITH {TXN} SELECT COUNT(DISTINCT sender_account_number) AS n_distinct FROM txn"
 
 ORACLE["a25_corridors"] = f"""
@@ -620,6 +639,10 @@ SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, time_bucket(INTERVAL
        event_type, COUNT(*) AS n
 FROM events WHERE {SLICE} > 0 GROUP BY 1, 2, 3"""
 
+ORACLE["t10_late_rows"] = f"SELECT * FROM events WHERE {SLICE} = 0"
+
+ORACLE["t10_window_parts"] = ORACLE["t10_late_data"]
+
 ORACLE["t4_dormant_stream"] = """
 WITH p AS (SELECT user_id, event_id, ts, value,
                   LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)) AS prev_ts

@@ -7,10 +7,13 @@ averages are ``sum / count`` of the exact sum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txmon.operators.segmented import join_on_keys
 from txmon.operators.topk import count_categories, top_n
 
 
@@ -107,13 +110,65 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def line_mean_data(df: DataFrame, x: str, y: str, z: float = 1.96) -> DataFrame:
     """Mean of y per x with a normal 95 % interval (mean +- z*sd/sqrt(n)).
-    (The plotting library bootstraps its interval; the normal form is deterministic.)"""
+    (The plotting library bootstraps its interval: ``line_mean_bootstrap``.)"""
     g = df.groupBy(x).agg(exact_avg(y).alias("mean"), F.stddev_samp(F.col(y).cast("double")).alias("sd"),
                           F.count(y).alias("n"))
     half = F.lit(z) * F.col("sd") / F.sqrt(F.col("n"))
     return g.withColumn("ci_low", F.col("mean") - half).withColumn("ci_high", F.col("mean") + half)
 
 
+#: 16-bit fractions of a digest, eight to a digest; a fraction's Poisson(1) weight is the number of thresholds it reaches.
+_FRACTIONS = 8
+_REACHED = [math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+
+
+def poisson_weights(row_id: Column, block: Column, seed: int) -> list[Column]:
+    """Poisson(1) weights of a row in the eight replicates of ``block``, from the MD5 of ``id:seed:block``."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(row_id.cast("string"), F.lit("null")), F.lit(str(seed)), block.cast("string")).cast("binary"))
+    fractions = [F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int") for i in range(_FRACTIONS)]
+    return [sum((F.when(u >= t, 1).otherwise(0) for t in _REACHED[1:]), F.when(u >= _REACHED[0], 1).otherwise(0)) for u in fractions]
+
+
+def line_mean_bootstrap(df: DataFrame, x: str, y: str, id_col: str, n_boot: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+    """Mean of y per x with the plotting library's interval: percentiles of ``n_boot`` bootstrapped means.
+
+    Every row counts in each replicate as often as a Poisson(1) number says that a hash of its id and the replicate gives (a
+    multinomial resample in the limit), so one pass sums all replicates side by side, is combined in the map tasks, and shuffles
+    n_boot sums per x however many rows there are; a repeated task or run gives the same interval. Rows that share an id share their
+    weights. Missing y (NULL or NaN) are left out; an x with a single value has that value at both ends, a replicate that draws
+    no row of an x has no mean there.
+    """
+    rows = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(id_col).alias("_id")).filter(F.col("_y").isNotNull() & ~F.isnan(F.col("_y").cast("double")))
+    blocks = F.sequence(F.lit(0), F.lit(-(-n_boot // _FRACTIONS) - 1))
+    weights = poisson_weights(F.col("_id"), F.col("_block"), seed)
+    sums = (rows.select("*", F.explode(blocks).alias("_block")).select("_x", "_block", "_y", *[w.alias(f"_w{i}") for i, w in enumerate(weights)])
+            .groupBy("_x", "_block").agg(*[F.sum(F.col("_y") * F.col(f"_w{i}")).alias(f"_s{i}") for i in range(_FRACTIONS)],
+                                         *[F.sum(f"_w{i}").alias(f"_n{i}") for i in range(_FRACTIONS)]))
+    means = F.array(*[F.struct((F.col("_block") * _FRACTIONS + i).alias("b"), F.try_divide(F.col(f"_s{i}").cast("double"), F.col(f"_n{i}")).alias("m"))
+                      for i in range(_FRACTIONS)])
+    tail = (1 - level) / 2
+    ends = (sums.select("_x", F.explode(means).alias("r")).filter(F.col("r.b") < n_boot)
+            .groupBy("_x").agg(F.percentile("r.m", [tail, 1 - tail]).alias("_ends")))
+    mean = rows.groupBy("_x").agg(exact_avg("_y").alias("mean"), F.count("_y").alias("n"))
+    return join_on_keys(mean, ends, ["_x"]).select(F.col("_x").alias(x), "mean", "n", F.col("_ends")[0].alias("ci_low"), F.col("_ends")[1].alias("ci_high"))
+
+
+def store_distinct(df: DataFrame, columns: list[str], path: str, load: str, lg_k: int = 14) -> None:
+    """A23 for a growing table: keep one sketch of each column's distinct values per load (``path/load=...``; a repeated load
+    replaces its own). Sketches merge, so a recount reads sketches and never an old load again."""
+    sketches = df.agg(*[F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), F.lit(lg_k)).alias(f"_k{i}") for i, c in enumerate(columns)],
+                      F.count(F.lit(1)).alias("rows"))
+    long = sketches.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_k{i}").alias("sketch")) for i, c in enumerate(columns)])).alias("s"), "rows")
+    long.select("s.*", "rows").write.mode("overwrite").parquet(f"{path}/load={load}")
+
+
+def stored_distinct(spark: SparkSession, path: str) -> DataFrame:
+    """Per column: rows, loads and the estimated number of distinct non-NULL values over all stored loads."""
+    kept = spark.read.parquet(path)
+    return kept.groupBy("column_name").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"),
+                                           F.count(F.lit(1)).alias("n_loads"), F.sum("rows").alias("n_rows"))
+
+
 def distinct_count(df: DataFrame, col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """Number of distinct non-NULL values (HyperLogLog++ when ``approx``)."""
     agg = F.approx_count_distinct(col, rsd) if approx else F.count_distinct(col)

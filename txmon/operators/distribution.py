@@ -9,6 +9,7 @@ aggregate jobs and inlines the value, so nothing is collected by hand and no cro
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,28 +38,38 @@ def points(df: DataFrame, cols, order=None) -> DataFrame:
 
 
 def is_number(x: Column) -> Column:
-    """Neither NULL nor NaN: what statistics and bins are taken over (as the data-frame library does)."""
+    """Neither NULL nor NaN: what order statistics are taken over (as the data-frame library does); infinities are values."""
     return x.isNotNull() & ~F.isnan(x)
 
 
+def is_finite(x: Column) -> Column:
+    """Also no infinity: what bins and densities are taken over, as an infinite range has neither width nor spread."""
+    return is_number(x) & (F.abs(x) < F.lit(float("inf")))
+
+
 # ------------------------------------------------------------------------------------- A11
 def bucket_expr(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Equal-width bin of x over [lo, hi] (0-based), the maximum falls in the last bin."""
+    """Equal-width bin of x over [lo, hi] (0-based), the maximum falls in the last bin. Where the width or its
+    multiple exceeds a double, the bin is taken from halves and shares."""
     width = hi - lo
-    raw = F.floor(F.try_divide((x - lo) * F.lit(float(bins)), width))
+    inf = F.lit(float("inf"))
+    scaled = (x - lo) * F.lit(float(bins))
+    share = F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2) * F.lit(float(bins))
+    raw = F.floor(F.when((width < inf) & (scaled < inf), F.try_divide(scaled, width)).otherwise(share))
     return F.when(width == 0, F.lit(0)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
-    """Counts of ``bins`` equal-width bins over [min, max]; empty bins reported as 0."""
+    """Counts of ``bins`` equal-width bins over [min, max] of the finite values; empty bins reported as 0."""
     x = F.col(col).cast("double")
-    vals = df.select(x.alias("_x")).filter(is_number(F.col("_x")))
+    vals = df.select(x.alias("_x")).filter(is_finite(F.col("_x")))
     st = one_row(vals.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")))
     lo, hi = st["lo"], st["hi"]
     counts = (vals.select(bucket_expr(F.col("_x"), lo, hi, bins).alias("bin"))
                   .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (hi - lo) / F.lit(float(bins))
+    width = hi / F.lit(float(bins)) - lo / F.lit(float(bins))
+    width = F.when(hi - lo < F.lit(float("inf")), (hi - lo) / F.lit(float(bins))).otherwise(width)
     return (spine.join(counts, "bin", "left")
                  .select("bin", (lo + F.col("bin") * width).alias("bin_lo"),
                          (lo + (F.col("bin") + 1) * width).alias("bin_hi"),
@@ -67,10 +78,10 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------------------------- A12
 def density_heatmap(df: DataFrame, x: str, y: str, bins_x: int = 10, bins_y: int = 10) -> DataFrame:
-    """2-D bin counts plus both marginal histograms in one grouping-sets aggregate.
+    """2-D bin counts plus both marginal histograms in one grouping-sets aggregate, over rows with two finite values.
     ``level`` 0 = cell, 1 = x margin (y_bin NULL), 2 = y margin (x_bin NULL)."""
     v = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
-          .filter(is_number(F.col("_x")) & is_number(F.col("_y")))
+          .filter(is_finite(F.col("_x")) & is_finite(F.col("_y")))
     st = one_row(v.agg(F.min("_x").alias("lx"), F.max("_x").alias("hx"),
                        F.min("_y").alias("ly"), F.max("_y").alias("hy")))
     lx, hx, ly, hy = st["lx"], st["hx"], st["ly"], st["hy"]
@@ -83,58 +94,96 @@ def density_heatmap(df: DataFrame, x: str, y: str, bins_x: int = 10, bins_y: int
 
 # ------------------------------------------------------------------------------- A13, A14
 def value_counts_by(df: DataFrame, by, value: str) -> DataFrame:
-    """(group..., _v, _c): values as DOUBLE (neither NULL nor NaN) with their counts (partial aggregation
+    """(group..., _v, _c): finite values as DOUBLE with their counts (partial aggregation
     before the shuffle turns a hot group's many rows into its distinct values)."""
     g = _groups(by)
-    return (df.select(*g, F.col(value).cast("double").alias("_v")).filter(is_number(F.col("_v")))
+    return (df.select(*g, F.col(value).cast("double").alias("_v")).filter(is_finite(F.col("_v")))
               .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
 
 
-def exact_quantiles(df: DataFrame, by, value: str, qs=(0.25, 0.5, 0.75), vc: DataFrame | None = None) -> DataFrame:
+#: Rank error of the sketch is n / SKETCH; groups of at most SMALL rows are kept whole (off-by-one ranks matter there).
+SKETCH = 1000
+SMALL = 4 * SKETCH
+
+
+def sketched(df: DataFrame, g: list[str], value: str, qs, **more: Column) -> DataFrame:
+    """First scan: per group _n, _min, _max, ``more`` aggregates, and for each quantile a bracket (_lo_i, _hi_i) of values that holds
+    its ranks. The brackets come from quantile summaries of bounded rank error, asked two errors to either side."""
+    around = [p for q in qs for p in (max(0.0, q - 2 / SKETCH), min(1.0, q + 2 / SKETCH))]
+    v = df.withColumn("_v", F.col(value).cast("double")).filter(is_number(F.col("_v")))
+    st = v.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+                           F.percentile_approx("_v", around, SKETCH).alias("_p"), *[c.alias(n) for n, c in more.items()])
+    small = F.col("_n") <= SMALL
+    st = st.withColumns({f"_{side}_{i}": F.when(small, F.col(f"_{bound}")).otherwise(F.col("_p")[2 * i + k])
+                         for i, _ in enumerate(qs) for k, (side, bound) in enumerate((("lo", "min"), ("hi", "max")))})
+    return st.drop("_p")
+
+
+def bracketed(df: DataFrame, g: list[str], value: str, qs, st: DataFrame) -> DataFrame:
+    """Second scan: (group..., _v, _out, _c). Rows inside a bracket keep their value; all others are only counted, at the
+    bracket end below them (_out = 1), so what is shuffled is a few counts and the brackets' distinct values."""
+    v = df.select(*g, F.col(value).cast("double").alias("_v")).filter(is_number(F.col("_v")))
+    los, his = [F.col(f"_lo_{i}") for i, _ in enumerate(qs)], [F.col(f"_hi_{i}") for i, _ in enumerate(qs)]
+    rows = attach(v, st.select(*g, "_min", *[f"_{s}_{i}" for i, _ in enumerate(qs) for s in ("lo", "hi")]), g)
+    inside = reduce(lambda a, b: a | b, [(lo <= F.col("_v")) & (F.col("_v") <= hi) for lo, hi in zip(los, his)])
+    below = F.greatest(F.col("_min"), F.col("_min"), *[F.when(hi < F.col("_v"), hi) for hi in his])
+    return (rows.select(*g, F.when(inside, F.col("_v")).otherwise(below).alias("_v"), (~inside).cast("int").alias("_out"))
+                .groupBy(*g, "_v", "_out").agg(F.count(F.lit(1)).alias("_c")))
+
+
+def exact_quantiles(df: DataFrame, by, value: str, qs=(0.25, 0.5, 0.75), st: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles per group (pandas ``quantile`` / SQL
-    ``percentile_cont``), one row per (group, q) with ``quantile``.
+    ``percentile_cont``), one row per (group, q) with ``quantile``. Infinities are values; between two equal ones lies the same.
+
+    1. one scan brackets each quantile (``sketched``; pass ``st`` to share it);
+    2. one scan counts the rows outside the brackets and keeps the distinct values inside (``bracketed``);
+    3. cumulative count per group in value order -- skew-safe segmented running sum over that small table;
+    4. keep the few (group, value) rows that hold the target ranks floor/ceil(q*(n-1)),
+       joined on the group with the per-group targets (AQE splits a hot group), and interpolate.
 
-    1. compress to (group, value, count) -- partial aggregation before the shuffle;
-    2. cumulative count per group in value order -- skew-safe segmented running sum;
-    3. keep the few (group, value) rows that hold the target ranks floor/ceil(q*(n-1)),
-       joined on the group with the per-group targets (AQE splits a hot group);
-    4. interpolate.
+    A target rank outside its bracket would contradict the summary's error bound; it raises instead of giving a wrong value.
     """
     g = _groups(by)
     if not g:  # one implicit group: a constant key keeps every join an equi-join
-        vc0 = None if vc is None else vc.withColumn("_all", F.lit(0))
-        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, vc0).drop("_all")
-    if vc is None:
-        vc = value_counts_by(df, g, value)
-    cum = running_sum(vc, g, ["_v"], "_c", "_cum")
-    n = vc.groupBy(*g).agg(F.sum("_c").alias("_n"))
+        st0 = None if st is None else st.withColumn("_all", F.lit(0))
+        return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, qs, st0).drop("_all")
+    if st is None:
+        st = sketched(df, g, value, qs)
+    cum = running_sum(bracketed(df, g, value, qs, st), g, ["_v", "_out"], "_c", "_cum")
     qarr = F.array(*[F.lit(float(q)) for q in qs])
-    targets = (n.select(*g, "_n", F.explode(qarr).alias("q"))
+    targets = (st.select(*g, F.col("_n"), F.explode(qarr).alias("q"))
                 .withColumn("_pos", F.col("q") * (F.col("_n") - 1))
                 .withColumn("_rlo", F.floor("_pos")).withColumn("_rhi", F.ceil("_pos")))
+
     def covers(r: str) -> Column:
         return (F.col("_cum") - F.col("_c") <= F.col(r)) & (F.col(r) < F.col("_cum"))
 
     hit = join_on_keys(cum, targets, g, "inner", covers("_rlo") | covers("_rhi"))
-    hit = hit.select(*g, "q", "_pos", "_rlo", "_v", covers("_rlo").alias("_is_lo"), covers("_rhi").alias("_is_hi"))
+    known = F.when(F.col("_out") == 0, F.col("_v")).otherwise(F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
+    hit = hit.select(*g, "q", "_pos", "_rlo", known.alias("_v"), covers("_rlo").alias("_is_lo"), covers("_rhi").alias("_is_hi"))
     res = hit.groupBy(*g, "q").agg(F.max(F.when(F.col("_is_lo"), F.col("_v"))).alias("_lo"),
                                    F.max(F.when(F.col("_is_hi"), F.col("_v"))).alias("_hi"),
                                    F.first("_pos").alias("_pos"), F.first("_rlo").alias("_rlo"))
     frac = F.col("_pos") - F.col("_rlo")
-    return res.select(*g, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac).alias("quantile"))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * frac
+    return res.select(*g, "q", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias("quantile"))
 
 
 def _quantile_columns(df: DataFrame, by, value: str, qs, names, approx: bool, accuracy: int,
-                      vc: DataFrame | None = None) -> DataFrame:
+                      st: DataFrame | None = None) -> DataFrame:
     g = _groups(by)
     if approx:
         arr = F.percentile_approx(F.col(value).cast("double"), [float(q) for q in qs], accuracy)
         return df.groupBy(*g).agg(arr.alias("_qs")).select(*g, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
-    long = exact_quantiles(df, g, value, qs, vc)
+    long = exact_quantiles(df, g, value, qs, st)
     return long.groupBy(*g).agg(*[F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(nm)
                                   for q, nm in zip(qs, names)])
 
 
+#: Quantiles of box and violin plots.
+QUARTILES, QUARTILE_NAMES = (0.25, 0.5, 0.75), ["q1", "median", "q3"]
+
+
 def attach(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
     """Add the columns of ``b`` (one row per group) to the rows of ``a``.
 
@@ -149,37 +198,36 @@ def attach(a: DataFrame, b: DataFrame, g: list[str]) -> DataFrame:
 
 
 def box_stats(df: DataFrame, x, y: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Per group of ``x``: q1, median, q3, iqr, min, max, n (exact unless ``approx``)."""
+    """Per group of ``x``: q1, median, q3, iqr, min, max, n (exact unless ``approx``): two scans and a small shuffle."""
     g = _groups(x)
     if approx:
-        q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], True, accuracy)
+        q = _quantile_columns(df, g, y, QUARTILES, QUARTILE_NAMES, True, accuracy)
         mm = df.groupBy(*g).agg(F.min(F.col(y).cast("double")).alias("min"),
                                 F.max(F.col(y).cast("double")).alias("max"), F.count(y).alias("n"))
     else:
-        # min, max and n come from the same compressed (value, count) table as the quantiles,
-        # so the input is aggregated once and every branch reuses that shuffle
-        vc = value_counts_by(df, g, y)
-        q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], False, accuracy, vc)
-        mm = vc.groupBy(*g).agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.sum("_c").alias("n"))
+        # min, max and n come from the scan that brackets the quantiles
+        st = sketched(df, g, y, QUARTILES)
+        q = _quantile_columns(df, g, y, QUARTILES, QUARTILE_NAMES, False, accuracy, st)
+        mm = st.select(*g, F.col("_min").alias("min"), F.col("_max").alias("max"), F.col("_n").alias("n"))
     out = attach(mm, q, g)
-    return out.withColumn("iqr", F.col("q3") - F.col("q1"))
+    return out.withColumn("iqr", F.when(F.col("q3") == F.col("q1"), F.lit(0.0)).otherwise(F.col("q3") - F.col("q1")))
 
 
 def violin_stats(df: DataFrame, x, y: str, color: str | None = None, approx: bool = False,
                  accuracy: int = 10000) -> DataFrame:
     """Per group (and colour group): mean, median, q1, q3, n."""
     g = _groups(x) + ([color] if color else [])
-    kind = df.schema[y].dataType
-    exact = kind if isinstance(kind, T.DecimalType) else T.DoubleType()  # money sums stay exact
+    exact = isinstance(df.schema[y].dataType, T.DecimalType)  # money sums stay exact
+    total = F.sum(F.col(y) if exact else F.col(y).cast("double"))
     if approx:
         v = df.filter(is_number(F.col(y).cast("double")))
-        q = _quantile_columns(v, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], True, accuracy)
+        q = _quantile_columns(v, g, y, QUARTILES, QUARTILE_NAMES, True, accuracy)
         m = v.groupBy(*g).agg((F.sum(y).cast("double") / F.count(y)).alias("mean"), F.count(y).alias("n"))
         return attach(m, q, g)
-    # mean, n and quantiles all from one compressed (value, count) table: the input is read once
-    vc = value_counts_by(df, g, y)
-    q = _quantile_columns(df, g, y, (0.25, 0.5, 0.75), ["q1", "median", "q3"], False, accuracy, vc)
-    m = vc.groupBy(*g).agg((F.sum(F.col("_v").cast(exact) * F.col("_c")).cast("double") / F.sum("_c")).alias("mean"), F.sum("_c").alias("n"))
+    # mean and n come from the scan that brackets the quantiles
+    st = sketched(df, g, y, QUARTILES, _total=total.cast("double"))
+    q = _quantile_columns(df, g, y, QUARTILES, QUARTILE_NAMES, False, accuracy, st)
+    m = st.select(*g, (F.col("_total") / F.col("_n")).alias("mean"), F.col("_n").alias("n"))
     return attach(m, q, g)
 
 

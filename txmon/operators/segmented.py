@@ -14,6 +14,7 @@ Results are exact; the segment only decides how the work is split.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,8 +36,8 @@ def default_segment(df: DataFrame, order_col: str) -> Column:
     Timestamps: the hour (a key holding a third of 100 TB over seven years is ~0.5 GB per hour,
     a right-sized task; the carry table has one small row per active key-hour). Dates: the day.
     Numbers: two monotone buckets together: ``floor(64 * sign(v) * log2(1 + |v|))``, which copes with outliers,
-    and 4096 equal parts of the data's own [min, max] (a one-row aggregate as a scalar subquery), which
-    splits a narrow range such as epoch numbers or doubles close together. Other types: a single segment
+    and 4096 equal parts of the finite data's own [min, max] (a one-row aggregate as a scalar subquery), which
+    splits a narrow range such as epoch numbers or doubles close together; infinities and NaN have the outermost ones. Other types: a single segment
     (plain window per key)."""
     dt = df.schema[order_col].dataType
     c = F.col(order_col)
@@ -45,11 +46,15 @@ def default_segment(df: DataFrame, order_col: str) -> Column:
     if isinstance(dt, T.DateType):
         return F.date_trunc("day", c.cast("timestamp"))
     if isinstance(dt, T.NumericType):
-        v = c.cast("double")
-        seen = df.select(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
-        part = F.try_divide((v - seen["lo"]) * F.lit(float(RANGE_SEGMENTS)), seen["hi"] - seen["lo"])
-        linear = F.least(F.coalesce(F.floor(part), F.lit(0)), F.lit(RANGE_SEGMENTS - 1))
-        return F.floor(F.lit(float(LOG_SEGMENTS_PER_DOUBLING)) * F.signum(v) * F.log2(F.lit(1.0) + F.abs(v))) * RANGE_SEGMENTS + linear
+        largest = F.lit(sys.float_info.max)
+        v = F.when(c.isNotNull(), F.greatest(F.least(c.cast("double"), largest), -largest))  # infinities in the outermost segments
+        finite = F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) <= largest), v)
+        seen = df.select(F.struct(F.min(finite).alias("lo"), F.max(finite).alias("hi"))).scalar()
+        part = F.try_divide(v / 2 - seen["lo"] / 2, seen["hi"] / 2 - seen["lo"] / 2) * F.lit(float(RANGE_SEGMENTS))
+        linear = F.floor(F.least(F.greatest(F.coalesce(part, F.lit(0.0)), F.lit(0.0)), F.lit(RANGE_SEGMENTS - 1.0)))
+        doubling = F.floor(F.lit(float(LOG_SEGMENTS_PER_DOUBLING)) * F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)))
+        # NaN orders above every number
+        return F.when(F.isnan(c.cast("double")), F.lit(LOG_SEGMENTS_PER_DOUBLING * 1025)).otherwise(doubling) * RANGE_SEGMENTS + linear
     return F.lit(0)
 
 

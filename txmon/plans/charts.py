@@ -62,7 +62,7 @@ CHARTS = {
                         [["x_col", "y_col", "z_col", "color_col"]]),
     "radar_chart": (lambda df, unique_col, aggregated_column, chart_name=None: agg.radar_data(df, unique_col, aggregated_column),
                     [["unique_col", "aggregated_column"]]),
-    "wordcloud": (lambda df, text_col=None, text=None, n=200: txt.word_counts(df, text_col or text, n), [["text_col"], ["text"]]),
+    "wordcloud": (lambda df, text_col=None, text=None, n=None: txt.word_counts(df, text_col or text, n), [["text_col"], ["text"]]),
 }
 #: Arguments of the drawing, which the data behind a chart do not depend on.
 _DRAWING = ("title", "image_filename", "folderpath")

@@ -22,6 +22,7 @@ from txmon.operators import topk
 from txmon.plans import fixtures as fx
 from txmon.plans.params import (DORMANT_GAP_SECONDS, DORMANT_MIN_AMOUNT, EVENT_RULES,
                                 TXN_RULES)
+from txmon.session import scratch_path
 from txmon.sources.events import decode_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,6 +269,25 @@ def q_a9(spark, sf):
     return rounded(agg.line_mean_data(t, "order_year", "amount_usd"), ["mean", "sd", "ci_low", "ci_high"])
 
 
+@register("a9_line_mean_bootstrap")
+def q_a9_bootstrap(spark, sf):
+    t = fx.txn(spark, sf).withColumn("order_year", F.year("transactiondate"))
+    return rounded(agg.line_mean_bootstrap(t, "order_year", "amount_usd", "transaction_id"), ["mean", "ci_low", "ci_high"])
+
+
+@register("a23_stored_distinct")
+def q_a23_stored(spark, sf):
+    # three loads, each reduced to sketches; the estimate must lie within 3 % of the exact number
+    path, t = scratch_path(spark, "distinct"), fx.txn(spark, sf)
+    columns = ["transaction_id", "sender_account_number", "sender_swift_code"]
+    for k in range(3):
+        agg.store_distinct(t.filter(F.col("transaction_id").cast("long") % 3 == k), columns, path, f"l{k}")
+    exact = t.agg(*[F.count_distinct(c).alias(c) for c in columns]).select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in columns])).alias("e")).select("e.*")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.03 * F.col("exact")
+    return agg.stored_distinct(spark, path).join(exact, "column_name").select("column_name", "n_loads", "n_rows", "exact", near.alias("near"))
+
+
 @register("a23_distinct_count")
 def q_a23(spark, sf):
     return agg.distinct_count(fx.txn(spark, sf), "sender_account_number")
@@ -461,7 +481,6 @@ from txmon.plans import charts  # noqa: E402
 from txmon.plans import reports as rp  # noqa: E402
 from txmon.plans.params import EVENT_DORMANT_GAP_SECONDS, EVENT_DORMANT_MIN_VALUE  # noqa: E402
 from txmon.functions.safe import safe_amount, safe_person  # noqa: E402
-from txmon.session import scratch_path  # noqa: E402
 from txmon.sources import compaction as cp  # noqa: E402
 from txmon.sources import files as fs  # noqa: E402
 from txmon.sources import sinks as sk  # noqa: E402
@@ -615,6 +634,24 @@ def q_t10(spark, sf):
     return _land_windows(spark, w, ["window_start", "window_end", "event_type"])
 
 
+def _landed_and_late(spark, sf):
+    # the oldest slice arrives last
+    out, late, ck = (scratch_path(spark, n) for n in ("parts", "late", "late-ck"))
+    ev = _sliced_events_stream(spark, sf, order=[1, 2, 3, 0])
+    pl.run_available(sw.land_windows_and_late(ev, "ts", "15 minutes", ["event_type"], out, late, ck))
+    return out, late
+
+
+@register("t10_late_rows")
+def q_t10_late(spark, sf):
+    return spark.read.parquet(_landed_and_late(spark, sf)[1] + "/rows").drop("batch_id")
+
+
+@register("t10_window_parts")
+def q_t10_parts(spark, sf):
+    return sw.read_window_parts(spark, _landed_and_late(spark, sf)[0], ["window_start", "window_end", "event_type"])
+
+
 @register("t6_windowed")
 def q_t6(spark, sf):
     ev = _events_stream(spark, sf).withColumn("amount", F.col("value").cast("decimal(18,2)"))

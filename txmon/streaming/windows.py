@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from txmon.session import ensure_folder
 from txmon.sources.compaction import compact_batches, latest, read_batches
 from txmon.sources.sinks import batch_writer
+from txmon.streaming.keyed import interval_micros
 
 
 def event_time(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
@@ -53,6 +55,52 @@ def compact_windows(spark: SparkSession, target: str, keys: list[str], compacted
     return compact_batches(spark, target, compacted, latest(keys))
 
 
+def land_windows_and_late(df: DataFrame, ts: str, duration: str, by, target: str, late: str, checkpoint: str, value: str | None = None,
+                          slide: str | None = None, delay: str = "1 hour", trigger: dict | None = None):
+    """Windows of the rows that come in time, and every row that comes too late in a side table.
+
+    The watermark of a micro-batch is the newest event time of all earlier ones less ``delay``; a row is late when its last window
+    has ended by then. Each batch lands three folders ``batch_id=N`` (a replayed batch replaces its own, with the same
+    watermark): its late rows whole under ``late/rows``, its part of each window under ``target``, and the newest event time under
+    ``late/marks``. Windows are sums of parts, so no state is kept and a window's part counts even when others have closed it.
+    Rows without an event time are late. ``read_window_parts`` adds the parts up; landed rows and late rows are all rows.
+    """
+    spark = df.sparkSession
+    keys = [by] if isinstance(by, str) else list(by)
+    marks, rows, parts = f"{late}/marks", batch_writer(f"{late}/rows"), batch_writer(target)
+    ensure_folder(spark, marks)
+    ensure_folder(spark, f"{late}/rows")
+    ensure_folder(spark, target)
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        d = event_time(batch, ts, None).persist()
+        try:
+            seen = spark.read.schema("newest timestamp, batch_id long").parquet(marks).filter(F.col("batch_id") < batch_id)
+            mark = seen.select(F.max("newest") - F.expr(f"INTERVAL {delay}")).first()[0]
+            w = F.window(ts, duration, slide) if slide else F.window(ts, duration)
+            step = interval_micros(slide or duration)  # the last window of a row begins at the last step at or before it
+            begins = F.unix_micros(ts) - F.pmod(F.unix_micros(ts), step)
+            in_time = F.col(ts).isNotNull()
+            if mark is not None:
+                in_time = in_time & (F.timestamp_micros(begins + interval_micros(duration)) > F.lit(mark))
+            rows(d.filter(~F.coalesce(in_time, F.lit(False))), batch_id)
+            sums = [F.count(F.lit(1)).alias("n")] + ([F.sum(value).alias("total")] if value else [])
+            g = d.filter(in_time).groupBy(w.alias("w"), *keys).agg(*sums)
+            parts(g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *[c for c in ("n", "total") if c in g.columns]), batch_id)
+            batch_writer(marks)(d.agg(F.max(ts).alias("newest")), batch_id)
+        finally:
+            d.unpersist()
+
+    return df.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_window_parts(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """Windows from the parts that ``land_windows_and_late`` landed."""
+    d = spark.read.parquet(target)
+    sums = [F.sum(c).cast(d.schema[c].dataType).alias(c) for c in ("n", "total") if c in d.columns]
+    return d.groupBy(*keys).agg(*sums)
+
+
 def dedup_stream(df: DataFrame, id_col: str, ts: str, delay: str) -> DataFrame:
     """Drop re-delivered copies of an id seen within ``delay`` of event time (state per id is
     dropped once the watermark passes it)."""
