@@ -288,33 +288,37 @@ def test_plain_date_folder_layout_is_read_with_dates_from_the_path(spark):
 def test_dormancy_state_step_orders_ties_ignores_late_rows_and_carries_state():
     import pandas as pd
 
-    from txmon.streaming.dormancy import _processor
+    from txmon.streaming.dormancy import Dormancy, first_and_last
 
     class State:
-        def __init__(self):
-            self.v = None
+        v = None
 
-        @property
-        def exists(self):
-            return self.v is not None
-
-        @property
         def get(self):
-            return (self.v,)
+            return self.v
 
         def update(self, v):
-            self.v = v[0]
-
-    step, st = _processor(3600.0, 10.0), State()
-    t = pd.Timestamp("2024-01-01")
-    b1 = pd.DataFrame({"id": ["b", "a", "c"], "ts": [t, t, t + pd.Timedelta(hours=2)], "amount": [50.0, 50.0, None]})
-    assert list(step(("acct",), iter([b1]), st)) == []  # no previous time; NULL amount never flags
-    assert st.v == (t + pd.Timedelta(hours=2)).to_pydatetime()
-    b2 = pd.DataFrame({"id": ["late", "d", "e"], "ts": [t, t + pd.Timedelta(hours=5), t + pd.Timedelta(hours=5)],
-                       "amount": [99.0, 20.0, 20.0]})
-    out = pd.concat(list(step(("acct",), iter([b2.iloc[:1], b2.iloc[1:]]), st)))
+            self.v = v
+
+    class Handle:
+        def getValueState(self, name, schema):
+            self.state = State()
+            return self.state
+
+    hour = 3_600_000_000
+    step, handle = Dormancy(hour, 10.0, None), Handle()
+    step.init(handle)
+
+    def rows(ids, hours, amounts):
+        ts = [int(h * hour) for h in hours]
+        return first_and_last(pd.DataFrame({"account": "acct", "segment": [t // hour for t in ts], "id": ids, "ts": ts, "amount": amounts, "last_ts": ts}))
+
+    b1 = rows(["b", "a", "c"], [0, 0, 2], [50.0, 50.0, None])
+    assert list(step.handleInputRows(("acct",), iter([b1]), None)) == []  # no previous time; NULL amount never flags
+    assert handle.state.v == (2 * hour,)
+    b2 = rows(["late", "d", "e"], [0, 5, 5], [99.0, 20.0, 20.0])
+    out = pd.concat(list(step.handleInputRows(("acct",), iter([b2.iloc[:1], b2.iloc[1:], b2.iloc[:0]]), None)))
     assert list(out["id"]) == ["d"]  # 'late' predates the state; 'e' follows 'd' with no gap
-    assert out["gap_seconds"].iloc[0] == 3 * 3600.0 and out["account"].iloc[0] == "acct"
+    assert (out["ts"] - out["prev_ts"]).iloc[0] == 3 * hour and out["account"].iloc[0] == "acct"
 
 
 def test_segmented_windows_are_exact_for_one_hot_key_within_one_day(spark):
