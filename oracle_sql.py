@@ -798,6 +798,11 @@ ORACLE["g2_describe_table"] = f"WITH {TXN} " + " UNION ALL ".join(
         (SELECT CAST({c} AS VARCHAR) FROM txn ORDER BY transaction_id LIMIT 1) AS sample_value, COUNT(*) AS row_count FROM txn"""
     for i, c in enumerate(FLAT))
 
+ORACLE["g2_describe_approx"] = f"""
+WITH d AS ({ORACLE["g2_describe_table"]})
+SELECT * EXCLUDE (distinct_count), CASE WHEN distinct_count >= 0.9 * row_count THEN 'unique' WHEN distinct_count <= 10 THEN 'few' ELSE 'some' END AS kind
+FROM d"""
+
 ORACLE["g3_run_reports"] = f"""
 WITH {TXN}
 SELECT 'by_channel' AS topic, 'ok' AS status, (SELECT COUNT(DISTINCT channel) FROM txn) AS n_rows

@@ -503,9 +503,11 @@ SLICES, SLICE_FILES = 4, 8
 
 def _sliced_events_stream(spark, sf, order=None):
     events = fx.table(spark, sf, "events")
-    path = fx.stage_time_slices(events, "ts", scratch_path(spark, "staged-events"), SLICES, SLICE_FILES, order)
-    return (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", SLICE_FILES)
-                 .option("recursiveFileLookup", "true").parquet(path))
+    return read_slices(spark, events.schema, fx.stage_time_slices(events, "ts", scratch_path(spark, "staged-events"), SLICES, SLICE_FILES, order))
+
+
+def read_slices(spark, schema, path):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", SLICE_FILES).option("recursiveFileLookup", "true").parquet(path)
 
 
 def _messages(spark, sf, faulty=False):
@@ -828,6 +830,15 @@ def q_g2(spark, sf):
     return rp.describe_table(fx.txn(spark, sf), exact_distinct=True)
 
 
+@register("g2_describe_approx")
+def q_g2_approx(spark, sf):
+    # the default: one pass without expansion; what a reader takes from a distinct count is compared
+    d = rp.describe_table(fx.txn(spark, sf))
+    share = F.try_divide(F.col("distinct_count"), F.col("row_count"))
+    kind = F.when(share >= 0.9, "unique").when(F.col("distinct_count") <= 10, "few").otherwise("some")
+    return d.withColumn("kind", kind).drop("distinct_count")
+
+
 _TOPICS = {
     "by_channel": "SELECT channel, COUNT(*) AS n FROM txn GROUP BY channel",
     "nothing_big": "SELECT * FROM txn WHERE amount_usd > 1000000000",

@@ -12,18 +12,18 @@ def register_view(df: DataFrame, name: str) -> None:
     df.createOrReplaceTempView(name)
 
 
-def describe_table(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
+def describe_table(df: DataFrame, exact_distinct: bool = False, rsd: float = 0.02) -> DataFrame:
     """One row per column: type, rows, NULL count, distinct count, min, max (as text) and the value
     of the sample row (the first row in the order of all columns' text).
 
     Every column is summarised in a single aggregate pass. Distinct counts default to
-    HyperLogLog++ (bounded memory, no re-expansion of the input); ``exact_distinct=True``
+    HyperLogLog++ with relative error ``rsd`` (bounded memory, no re-expansion of the input); ``exact_distinct=True``
     counts exactly, which Spark plans by expanding each row once per column.
     """
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
-        nd = F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c)
+        nd = F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c, rsd)
         orderable = f.dataType.typeName() not in ("struct", "array", "map", "binary", "variant")
         aggs += [F.count_if(c.isNull()).alias(f"n{i}"), nd.alias(f"d{i}"),
                  (F.min(c).cast("string") if orderable else F.lit(None).cast("string")).alias(f"lo{i}"),
