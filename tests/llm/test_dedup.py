@@ -289,3 +289,20 @@ def test_released_steps_leave_no_shuffle_files(spark):
 
     materialize(spark.range(1000).repartition(5, "id"), "release")
     release(spark)
+
+
+def test_added_columns_replace_own_ones_in_any_case(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    from txmon.llm.exact_dedup import exact_dedup
+    from txmon.llm.simhash import simhash_components
+    from txmon.llm.token_count import token_counts
+
+    import public_tokenizers
+
+    docs = make_docs([(1, "a b"), (2, "a b")]).select("*", *[F.lit("own").alias(c) for c in ("Kept", "KEEP_ID", "Stays", "N_Tokens", "Fingerprint")])
+    for found, added in ((exact_dedup(docs), ["keep_id", "kept"]), (simhash_components(docs), ["fingerprint", "stays"]),
+                         (token_counts(docs, public_tokenizers.path("word_bpe_49k.json")), ["n_tokens"])):
+        names = [c.lower() for c in found.columns]
+        assert len(names) == len(set(names)) and set(added) <= set(found.columns)
+        assert found.select(*added).count() == 2

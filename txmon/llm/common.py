@@ -62,8 +62,9 @@ def pack(docs: DataFrame, carry: list[str], **working: Column) -> DataFrame:
 
 
 def unpack(df: DataFrame, row_type, added: dict[str, Column]) -> DataFrame:
-    """The caller's columns again, with ``added`` columns in place of any of the same name."""
-    own = [F.col(ROW)[f].alias(f) for f in row_type.names if f not in added]
+    """The caller's columns again, with ``added`` columns in place of any of the same name, in any case."""
+    taken = {n.lower() for n in added}
+    own = [F.col(ROW)[f].alias(f) for f in row_type.names if f.lower() not in taken]
     return df.select(*own, *[c.alias(n) for n, c in added.items()])
 
 

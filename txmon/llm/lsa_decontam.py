@@ -225,7 +225,7 @@ class Block:
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         idf = np.log((n + 1) / (df + 1)) + 0.1
-        rare = (df <= MAX_DF * n) | (n < 100)  # a handful of passages says nothing about common words
+        rare = df - 3 * np.sqrt(df) <= MAX_DF * n  # common is a word whose count says so by three times its own error
         keep = rare.copy()
         telling = []  # of each query: its rare words and at least the rarest half
         for row in self.queries:
