@@ -270,6 +270,61 @@ def test_licences_and_nearest_ancestor(spark):
         ("d/LICENSE.md", "MIT", "inherited", ""), ("d/e/f", "MIT", "inherited", ""), ("top.txt", "MIT", "inherited", "")]
 
 
+LICENCE_LINES = [
+    ("SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("# SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("SPDX-License-Identifier: CC-BY-SA-4.0", "CC-BY-SA-4.0"), ("SPDX-License-Identifier: CC0-1.0", "CC0-1.0"),
+    ("Copyright (c) 2020 Example Corp. All rights reserved.", "all-rights-reserved"), ("Copyright 2013 The Authors. All rights reserved.", "all-rights-reserved"),
+    ("Licensed under the MIT license. See LICENSE file in the project root for full license information.", "MIT"),
+    ("Licensed under the GNU General Public License v2.0", "GPL-2.0"), ("Licensed under the GNU General Public License v3.0", "GPL-3.0"), ("GPLv2 or later", "GPL-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE", "GPL"), ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "GPL-2.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n\nVersion 2.1, February 1999", "LGPL-2.1"), ("Apache License\n  Version 2.0, January 2004\n  http://www.apache.org/licenses/", "Apache-2.0"),
+    ("ISC License", "ISC"), ("Mozilla Public License Version 2.0", "MPL-2.0"), ("@license MIT", "MIT"), ("New BSD License", "BSD-3-Clause"), ("Simplified BSD License", "BSD-2-Clause"),
+    ("Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD"),
+    ("Some words first. Licensed under the Apache License, Version 2.0; more words come after it.", "Apache-2.0"),
+    ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+     "# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.", "GPL-3.0"),
+    (" * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free "
+     "Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("the license of poetry is not one", None), ("MIT researchers got a license", None), ("the public domain of thoughts", None), ("copyright law is hard to read", None),
+    ("a driving license was issued in version 2", None), ("", None)]
+
+
+def test_licence_lines_of_all_forms(spark):
+    from txmon.llm.license_scan import license_scan
+
+    rows = [(f"f{i}/x.c", f"int f;\n\n{t}\n\nint main() {{}}") for i, (t, _) in enumerate(LICENCE_LINES)]
+    got = {r.path: r.license for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {t: got[f"f{i}/x.c"] for i, (t, _) in enumerate(LICENCE_LINES)} == dict(LICENCE_LINES)
+
+
+def test_whole_licence_files(spark):
+    from txmon.llm.license_scan import license_scan
+    from txmon.llm.license_templates import TEXTS
+
+    rows, want = [], {}
+    for name, parts in TEXTS.items():
+        wrapped = "\n\n".join(parts).replace(" of ", "\nof ")
+        for k, text in enumerate([f"Copyright (c) 2019-2021, Jane Doe and others\n\n{wrapped}", "\n".join(parts[1:]), wrapped.upper(),
+                                  "\n\n".join(parts).replace("copyright holder", "University of Somewhere")]):
+            rows.append((f"{name}{k}/LICENSE.txt", text))
+            want[f"{name}{k}/LICENSE.txt"] = name
+        rows.append((f"{name}0/src/deep/a.c", "int x;"))
+        want[f"{name}0/src/deep/a.c"] = name
+    got = {r.path: r.license for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want
+
+
+def test_the_most_specific_statement_of_a_file_counts(spark):
+    from txmon.llm.license_scan import license_scan
+
+    rows = [("a.c", "Copyright (c) 2020 A. All rights reserved.\nSPDX-License-Identifier: ISC"), ("b.c", "GNU General Public License\n\nx\n\nLicensed under the GNU GPL version 2"),
+            ("c.c", "Copyright 1999 B\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+                    "Neither the name of Google Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")]
+    got = {r.path: r.license for r in license_scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a.c": "ISC", "b.c": "GPL-2.0", "c.c": "BSD-3-Clause"}
+
+
 def test_licence_scan_runs_no_python_on_executors(spark):
     from txmon.llm.queries import op6_license_scan, op10_poisson_mix
 

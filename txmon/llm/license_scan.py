@@ -1,9 +1,12 @@
 """Licence scan, DataFrame functions only: TF-IDF cosine to templates, then nearest-ancestor inheritance.
 
-1. Header lines (lines of the whole text with a licence cue) and the whole text of licence files are
-   the candidate statements; equal statements are scored once, however often they occur.
+1. Candidate statements of a file are its lines with a licence cue, each such line's sentences, the line with the two
+   lines after it, and the paragraph it stands in (headers are wrapped, titles have their version on the next line); of licence files
+   also the whole text. Equal statements are scored once, however often they occur.
 2. A statement's terms, weighted by inverse document frequency over the templates, are joined with the templates'
-   sparse vectors; the best template of a cosine of ``min_cosine`` or more is the file's own licence.
+   sparse vectors (``license_templates``). Spellings of versions are brought to one form, what follows a copyright sign is left out, and a template
+   that names a version only counts if the statement holds it. Of the templates of a cosine of ``min_cosine`` or more the most specific is the
+   file's own licence, among those the one of the greatest cosine.
 3. A directory's licence comes from its licence files. Each distinct directory of files without one of their own is joined by path
    with its ancestors' licences; the deepest wins.
 """
@@ -11,118 +14,113 @@
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txmon.llm.common import ROW, materialize, pack, text_of, unpack
+from txmon.llm.license_templates import Template, templates
 
-# Public licence names with the words that files state them in.
-TEMPLATES = [
-    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "You may not use this file except in compliance with the Apache License, Version 2.0."),
-    ("BSD-2-Clause", "Released under the BSD 2-Clause Simplified License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("proprietary", "Copyright. All rights reserved. Proprietary and confidential."),
-]
-CUE = r"(?i)licen[cs]e|copyright|spdx|creative commons|public domain|all rights reserved|permission is hereby|redistribution and use|\bcc (by|0)"
-TERM = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+CUE = (r"(?i)licen[cs]e|copyright|spdx|creative commons|public domain|all rights reserved|permission (is|to use)|redistribution and use"
+       r"|endorse or promote|proprietary|\bcc[ -](by|0)|\bcc0|\b[al]?gpl|free software")
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]es?|copying|unlicense|notice|copyright)([._-][^/]*)?$"
 MIN_COSINE = 0.6
 
+#: A blank line, or one with nothing but comment marks, ends a paragraph.
+_PARAGRAPH = r"\n[\s*#/;%-]*(?=\n)"
 
-def template_vectors(templates: list[tuple[str, str]]) -> tuple[list[tuple[str, int, str, float]], list[tuple[str, float]], float]:
-    """((licence, template, term, unit weight), (term, idf), idf of any other term)."""
-    counts = []
-    for _, text in templates:
-        own: dict[str, int] = {}
-        for term in re.findall(TERM, text.lower()):
-            own[term] = own.get(term, 0) + 1
-        counts.append(own)
-    n = len(templates)
-    df: dict[str, int] = {}
-    for own in counts:
-        for term in own:
-            df[term] = df.get(term, 0) + 1
+
+def terms_of(statement: Column) -> Column:
+    """Terms of a statement: words and numbers; ``v2.0``, ``2.0`` and ``2`` are one, as are GPLv2 and GPL 2, licence and license."""
+    text = F.regexp_replace(F.lower(statement), "licenc", "licens")
+    holder = r"(copyright\s*)?(\(c\)|\u00a9|copyright\s+(?=[0-9]{4}))[^\n]*?(all rights reserved|\n|$)"
+    text = F.regexp_replace(text, holder, "copyright $3 ")
+    text = F.regexp_replace(text, r"\b([al]?gpl|mpl|apache|cc|epl)-?v?(?=[0-9])", "$1 ")
+    words = F.regexp_extract_all(text, F.lit(r"([a-z0-9]+(?:\.[0-9]+)*)"), F.lit(1))
+    return F.transform(words, lambda w: F.regexp_replace(w, r"^v(?=[0-9])|(?<=[0-9])(\.0)+$", ""))
+
+
+def template_vectors(spark: SparkSession, given: list[Template]) -> tuple[DataFrame, DataFrame, DataFrame, float]:
+    """(whole, template, term, unit weight, needed), (term, idf), (template, licence, rank, needs) and the idf of any other term.
+    The templates are a parameter of a few hundred short texts: their vectors pass the driver."""
+    frame = spark.createDataFrame([(k, t.text) for k, t in enumerate(given)], "template int, text string")
+    counts = {r.template: Counter(r.terms) for r in frame.select("template", terms_of(F.col("text")).alias("terms")).collect()}
+    n = len(given)
+    df = Counter(term for own in counts.values() for term in own)
     idf = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in sorted(df.items())}
     rows = []
-    for k, (own, (name, _)) in enumerate(zip(counts, templates)):
+    for k, own in sorted(counts.items()):
         norm = math.sqrt(sum((c * idf[t]) ** 2 for t, c in own.items()))
-        rows.extend((name, k, t, c * idf[t] / norm) for t, c in sorted(own.items()))
-    return rows, list(idf.items()), math.log(1 + n) + 1
+        rows += [(given[k].whole, k, t, c * idf[t] / norm, int(t in given[k].need)) for t, c in sorted(own.items())]
+    return (spark.createDataFrame(rows, "whole boolean, template int, term string, w double, needed int"),
+            spark.createDataFrame(list(idf.items()), "term string, idf double"),
+            spark.createDataFrame([(k, t.licence, t.rank, len(t.need)) for k, t in enumerate(given)], "template int, licence string, rank int, needs int"),
+            math.log(1 + n) + 1)
 
 
-def best_templates(statements: DataFrame, templates: list[tuple[str, str]], min_cosine: float) -> DataFrame:
-    """(sid, licence, cosine) of the distinct ``statements(sid, statement)`` that are close enough to a template.
+def best_templates(statements: DataFrame, given: list[Template], min_cosine: float) -> DataFrame:
+    """(sid, best: rank, cosine, licence) of the distinct ``statements(sid, statement, whole)`` that are close enough to a template.
 
     Terms carry the short statement id, never the statement, which can be a whole long file.
     """
-    spark: SparkSession = statements.sparkSession
-    vectors, idf, other = template_vectors(templates)
-    weights = spark.createDataFrame(vectors, "licence string, template int, term string, w double")
-    idfs = spark.createDataFrame(idf, "term string, idf double")
+    weights, idfs, names, other = template_vectors(statements.sparkSession, given)
     terms = (
-        statements.select("sid", F.explode(F.regexp_extract_all(F.lower("statement"), F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("sid", "term").agg(F.count("*").alias("tf"))
+        statements.select("sid", "whole", F.explode(terms_of(F.col("statement"))).alias("term"))
+        .groupBy("sid", "whole", "term").agg(F.count("*").alias("tf"))
         .join(idfs, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
     )
     norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = terms.join(weights, "term").groupBy("sid", "licence", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = (terms.join(weights, ["whole", "term"]).groupBy("sid", "template")
+            .agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.sum("needed").alias("held")))
     return (
-        dots.join(norms, "sid").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
-        .groupBy("sid").agg(F.max(F.struct("cosine", "licence")).alias("best"))
-        .select("sid", "best.licence", "best.cosine").filter(F.col("cosine") >= min_cosine)
+        dots.join(norms, "sid").join(names, "template").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
+        .filter((F.col("cosine") >= min_cosine) & (F.col("held") >= F.col("needs")))
+        .groupBy("sid").agg(F.max(F.struct("rank", "cosine", "licence")).alias("best"))
     )
 
 
+def statements_of(text: Column) -> Column:
+    """Lines with a cue, their sentences, the line with the next two, and the paragraphs with a cue; empty without any."""
+    lines = F.filter(F.split(text, r"\n"), lambda x: x.rlike(r"\S"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.coalesce(F.try_element_at(lines, i).rlike(CUE), F.lit(False)))
+    own = F.transform(at, lambda i: F.element_at(lines, i))
+    three = F.transform(at, lambda i: F.array_join(F.slice(lines, i, F.lit(3)), "\n"))
+    parts = F.filter(F.flatten(F.transform(own, lambda x: F.split(x, r"[.;:!?]\s+"))), lambda x: x.rlike(CUE))
+    paragraphs = F.filter(F.split(text, _PARAGRAPH), lambda x: x.rlike(CUE))
+    every = F.transform(F.concat(own, three, parts, paragraphs), lambda x: F.trim(x))
+    return F.when(text.rlike(CUE), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
 def parent(path: Column) -> Column:
     """The directory of a path; the top directory is the empty string."""
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
 def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text", licence_file: Column | None = None,
-                 templates: list[tuple[str, str]] = TEMPLATES, min_cosine: float = MIN_COSINE, carry: list[str] | None = None) -> DataFrame:
+                 given: list[Template] | None = None, min_cosine: float = MIN_COSINE, carry: list[str] | None = None) -> DataFrame:
     """Rows of ``files`` (``carry`` columns, default all) plus license, license_cosine, license_via, license_dir.
 
     license_via is ``own`` (a statement in the file), ``inherited`` (from the nearest ancestor directory, given in
     license_dir, that holds a licence file) or ``none`` (license is null). ``licence_file`` tells which files speak for their
-    directory (default: by name) — if several do, the greatest cosine, then the last name in order. Null texts are
+    directory (default: by name); if several do, the most specific, then the greatest cosine, then the last name in order. Null texts are
     empty, a null path lies in the top directory; repeated rows each get their own answer; an empty table gives an empty result.
     Input columns named like the added ones are replaced.
     """
     carry = files.columns if carry is None else carry
     shape = files.select(*[f"`{c}`" for c in carry]).schema
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit(""))
+    path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit(""))
     speaks = F.coalesce(path.rlike(LICENCE_FILE) if licence_file is None else licence_file, F.lit(False))
     text = text_of(text_col)
-    lines = F.when(text.rlike(CUE), F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))).otherwise(F.array().cast("array<string>"))
-    lines = F.when(speaks, F.concat(lines, F.array(text))).otherwise(lines)
-    rows = materialize(
-        pack(files, carry, _dir=parent(path), _speaks=speaks, _lines=F.transform(F.array_distinct(lines), lambda x: F.trim(x)))
-        .withColumn("_uid", F.monotonically_increasing_id()), "op6-files")
-    said = rows.select("_uid", "_dir", "_speaks", F.explode("_lines").alias("statement")).withColumn("sid", F.md5("statement"))
-    known = materialize(best_templates(said.select("sid", "statement").dropDuplicates(["sid"]), templates, min_cosine), "op6-statements")
+    own = F.transform(statements_of(text), lambda x: F.struct(x.alias("statement"), F.lit(False).alias("whole")))
+    own = F.when(speaks, F.concat(own, F.array(F.struct(text.alias("statement"), F.lit(True).alias("whole"))))).otherwise(own)
+    rows = materialize(pack(files, carry, _dir=parent(path), _speaks=speaks, _said=own).withColumn("_uid", F.monotonically_increasing_id()), "op6-files")
+    said = rows.select("_uid", "_dir", "_speaks", F.explode("_said").alias("s")).select("_uid", "_dir", "_speaks", "s.*")
+    said = said.withColumn("sid", F.md5(F.concat(F.col("whole").cast("string"), "statement")))
+    known = materialize(best_templates(said.select("sid", "statement", "whole").dropDuplicates(["sid"]), given or templates(), min_cosine), "op6-statements")
     own = materialize(
         said.drop("statement").join(known, "sid").groupBy("_uid")
-        .agg(F.max(F.struct("cosine", "licence")).alias("_own"), F.first("_dir").alias("_dir"), F.first("_speaks").alias("_speaks")), "op6-own")
+        .agg(F.max("best").alias("_own"), F.first("_dir").alias("_dir"), F.first("_speaks").alias("_speaks")), "op6-own")
     spoken = materialize(own.filter("_speaks").groupBy(F.col("_dir").alias("_from")).agg(F.max("_own").alias("_said")), "op6-directories")
     # every directory once, with itself and all directories above it
     steps = F.split("_dir", "/")

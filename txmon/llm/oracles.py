@@ -1,8 +1,12 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from txmon.llm.license_scan import CUE, MIN_COSINE, TEMPLATES, TERM
-
-_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+# The licence lines that are planted in the documents, and what they say; written apart from the operator's templates.
+_PLANTED = [(line.format(name=name), licence) for name, licence in (
+    ("the MIT License", "MIT"), ("the Apache License, Version 2.0", "Apache-2.0"), ("the GNU General Public License, version 2", "GPL-2.0"),
+    ("the GNU General Public License, version 3", "GPL-3.0"), ("CC BY 4.0", "CC-BY-4.0"), ("CC BY-SA 4.0", "CC-BY-SA-4.0"), ("CC BY-NC 4.0", "CC-BY-NC-4.0"),
+) for line in ("Licensed under {name}.", "Released under {name}.", "This work is licensed under {name}.") if not (name[:2] == "CC" and line[0] != "L")]
+# a bare reservation of rights only counts where nothing names a licence
+_PLANTED_ROWS = ", ".join([f"('{line}', '{licence}', 2)" for line, licence in _PLANTED] + ["('All rights reserved.', 'all-rights-reserved', 0)"])
 
 ORACLES = {
     "op2_progressive_exact_dedup": """
@@ -10,32 +14,20 @@ ORACLES = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op6_license_scan": f"""
-        WITH t(k, licence, text) AS (VALUES {_TEMPLATE_ROWS}),
-             tt AS (SELECT k, licence, term, count(*) AS tf FROM (SELECT k, licence, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM t) GROUP BY ALL),
-             idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1.0 + count(DISTINCT k))) + 1 AS idf FROM tt GROUP BY term),
-             tv AS (SELECT k, licence, term, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (term)),
-             f AS (SELECT doc_id, coalesce(text, '') AS text,
-                          concat_ws('/', source, lang, floor(doc_id / 1000.0)::BIGINT) AS thousand,
-                          regexp_matches(string_split(coalesce(text, ''), chr(10))[-1], '{CUE}') AS closes FROM documents),
-             g AS (SELECT doc_id, text, closes, CASE WHEN closes THEN thousand ELSE thousand || '/' || floor(doc_id / 100.0)::BIGINT END AS dir,
-                          CASE WHEN closes THEN 'LICENSE-' || doc_id ELSE doc_id::VARCHAR END AS name FROM f),
-             said AS (SELECT DISTINCT doc_id, trim(unnest(list_concat(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}')),
-                                                                      CASE WHEN closes THEN [text] ELSE [] END))) AS statement FROM g),
-             st AS (SELECT statement, term, count(*) * coalesce(any_value(idf), ln(1.0 + (SELECT count(*) FROM t)) + 1) AS x
-                    FROM (SELECT statement, unnest(regexp_extract_all(lower(statement), '{TERM}')) AS term FROM (SELECT DISTINCT statement FROM said))
-                    LEFT JOIN idf USING (term) GROUP BY statement, term),
-             nm AS (SELECT statement, sqrt(sum(x * x)) AS norm FROM st GROUP BY statement),
-             sc AS (SELECT statement, licence, k, round(sum(x * w) / any_value(norm), 6) AS cosine FROM st JOIN tv USING (term) JOIN nm USING (statement) GROUP BY ALL),
-             best AS (SELECT doc_id, arg_max(licence, {{'c': cosine, 'l': licence}}) AS licence, max(cosine) AS cosine
-                      FROM said JOIN sc USING (statement) WHERE cosine >= {MIN_COSINE} GROUP BY doc_id),
-             dirs AS (SELECT dir AS from_dir, arg_max(licence, {{'c': cosine, 'l': licence}}) AS licence, max(cosine) AS cosine
-                      FROM g JOIN best USING (doc_id) WHERE closes GROUP BY dir),
-             near AS (SELECT dir, arg_max({{'d': from_dir, 'l': licence, 'c': cosine}}, length(from_dir)) AS n
-                      FROM (SELECT DISTINCT dir FROM g) JOIN dirs ON from_dir = dir OR starts_with(dir, from_dir || '/') GROUP BY dir)
-        SELECT g.doc_id, g.dir || '/' || g.name AS path, coalesce(b.licence, n.l) AS license, coalesce(b.cosine, n.c) AS license_cosine,
-               CASE WHEN b.licence IS NOT NULL THEN 'own' WHEN n.l IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_via,
-               CASE WHEN b.licence IS NULL THEN n.d END AS license_dir
-        FROM g LEFT JOIN best b USING (doc_id) LEFT JOIN near USING (dir)""",
+        WITH planted(line, licence, rank) AS (VALUES {_PLANTED_ROWS}),
+             f AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, concat_ws('/', source, lang, floor(doc_id / 1000.0)::BIGINT) AS thousand FROM documents),
+             own AS (SELECT doc_id, max({{'r': rank, 'l': licence}}) AS said FROM (SELECT doc_id, trim(unnest(lines)) AS line FROM f) JOIN planted USING (line) GROUP BY doc_id),
+             g AS (SELECT doc_id, thousand, trim(lines[-1]) IN (SELECT line FROM planted) AS closes FROM f),
+             p AS (SELECT doc_id, closes, CASE WHEN closes THEN thousand ELSE thousand || '/' || floor(doc_id / 100.0)::BIGINT END AS dir,
+                          CASE WHEN closes THEN 'LICENSE-' || doc_id ELSE doc_id::VARCHAR END AS name FROM g),
+             dirs AS (SELECT dir AS from_dir, max(said).l AS licence FROM p JOIN own USING (doc_id) WHERE closes GROUP BY dir),
+             near AS (SELECT dir, arg_max({{'d': from_dir, 'l': licence}}, length(from_dir)) AS n
+                      FROM (SELECT DISTINCT dir FROM p) JOIN dirs ON from_dir = dir OR starts_with(dir, from_dir || '/') GROUP BY dir)
+        SELECT p.doc_id, p.dir || '/' || p.name AS path, coalesce(own.said.l, n.l) AS license,
+               CASE WHEN coalesce(own.said.l, n.l) IS NOT NULL THEN 1.0::DOUBLE END AS license_cosine,
+               CASE WHEN own.said IS NOT NULL THEN 'own' WHEN n.l IS NOT NULL THEN 'inherited' ELSE 'none' END AS license_via,
+               CASE WHEN own.said IS NULL THEN n.d END AS license_dir
+        FROM p LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)""",
     "op10_poisson_mix": """
         WITH s AS (SELECT source, count(*)::DOUBLE AS n,
                           CASE source WHEN 'src0' THEN 0.5 WHEN 'src1' THEN 2.0 WHEN 'src2' THEN 2.0 ELSE 1.0 END::DOUBLE AS w
