@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,26 +71,40 @@ def best_templates(statements: DataFrame, given: list[Template], min_cosine: flo
         .groupBy("sid", "whole", "term").agg(F.count("*").alias("tf"))
         .join(idfs, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
     )
-    norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = (terms.join(weights, ["whole", "term"]).groupBy("sid", "template")
+    known = F.col("idf").isNotNull()
+    # a cosine cannot exceed the share of the statement's length that lies in the templates' terms: prose goes here
+    norms = (terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sqrt(F.sum(F.when(known, F.col("x") * F.col("x")))).alias("held"))
+             .filter(F.col("held") >= F.col("norm") * (min_cosine - 1e-6)).select("sid", "norm"))
+    dots = (terms.filter(known).join(norms, "sid").join(weights, ["whole", "term"]).groupBy("sid", "norm", "template")
             .agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.sum("needed").alias("held")))
     return (
-        dots.join(norms, "sid").join(names, "template").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
+        dots.join(names, "template").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6))
         .filter((F.col("cosine") >= min_cosine) & (F.col("held") >= F.col("needs")))
         .groupBy("sid").agg(F.max(F.struct("rank", "cosine", "licence")).alias("best"))
     )
 
 
+#: Every cue holds one of these, lower-cased: a quick look at the texts without any.
+_HINTS = ("license", "licence", "copyright", "spdx", "commons", "public domain", "reserved", "permission", "redistribution", "endorse",
+          "proprietary", "cc by", "cc-by", "cc 0", "cc-0", "cc0", "gpl", "free software")
+
+
+def hinted(low: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(h)) for h in _HINTS])
+
+
 def statements_of(text: Column) -> Column:
-    """Lines with a cue, their sentences, the line with the next two, and the paragraphs with a cue; empty without any."""
+    """Lines with a cue, their sentences, the line with the next two, and the paragraphs with a cue."""
     lines = F.filter(F.split(text, r"\n"), lambda x: x.rlike(r"\S"))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(lines), F.lit(1))), lambda i: F.coalesce(F.try_element_at(lines, i).rlike(CUE), F.lit(False)))
-    own = F.transform(at, lambda i: F.element_at(lines, i))
-    three = F.transform(at, lambda i: F.array_join(F.slice(lines, i, F.lit(3)), "\n"))
-    parts = F.filter(F.flatten(F.transform(own, lambda x: F.split(x, r"[.;:!?]\s+"))), lambda x: x.rlike(CUE))
+    rest = [F.slice(lines, k, F.greatest(F.size(lines), F.lit(1))).alias(f"n{k}") for k in (2, 3)]
+    cued = F.filter(F.arrays_zip(lines.alias("n1"), *rest), lambda z: z["n1"].rlike(CUE))
+
+    def of_line(z: Column) -> Column:  # one pass: an expression inside a lambda is evaluated for each element
+        parts = F.filter(F.split(z["n1"], r"[.;:!?]\s+"), lambda x: x.rlike(CUE))
+        return F.concat(F.array(z["n1"], F.concat_ws("\n", z["n1"], z["n2"], z["n3"])), parts)
+
     paragraphs = F.filter(F.split(text, _PARAGRAPH), lambda x: x.rlike(CUE))
-    every = F.transform(F.concat(own, three, parts, paragraphs), lambda x: F.trim(x))
-    return F.when(text.rlike(CUE), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(F.flatten(F.transform(cued, of_line)), paragraphs), lambda x: F.trim(x)))
 
 
 def parent(path: Column) -> Column:
@@ -111,10 +126,15 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     shape = files.select(*[f"`{c}`" for c in carry]).schema
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit(""))
     speaks = F.coalesce(path.rlike(LICENCE_FILE) if licence_file is None else licence_file, F.lit(False))
-    text = text_of(text_col)
+    none = F.array().cast("array<struct<statement:string,whole:boolean>>")
+    text = F.col("_text")
     own = F.transform(statements_of(text), lambda x: F.struct(x.alias("statement"), F.lit(False).alias("whole")))
-    own = F.when(speaks, F.concat(own, F.array(F.struct(text.alias("statement"), F.lit(True).alias("whole"))))).otherwise(own)
-    rows = materialize(pack(files, carry, _dir=parent(path), _speaks=speaks, _said=own).withColumn("_uid", F.monotonically_increasing_id()), "op6-files")
+    own = F.when(F.col("_hint") & text.rlike(CUE), own).otherwise(none)
+    own = F.when(F.col("_speaks"), F.concat(own, F.array(F.struct(text.alias("statement"), F.lit(True).alias("whole"))))).otherwise(own)
+    rows = materialize(
+        pack(files, carry, _dir=parent(path), _speaks=speaks, _text=text_of(f"`{text_col}`"))
+        .withColumn("_low", F.lower("_text")).withColumn("_hint", hinted(F.col("_low")))  # lower case once, not once a hint
+        .select(ROW, "_dir", "_speaks", own.alias("_said")).withColumn("_uid", F.monotonically_increasing_id()), "op6-files")
     said = rows.select("_uid", "_dir", "_speaks", F.explode("_said").alias("s")).select("_uid", "_dir", "_speaks", "s.*")
     said = said.withColumn("sid", F.md5(F.concat(F.col("whole").cast("string"), "statement")))
     known = materialize(best_templates(said.select("sid", "statement", "whole").dropDuplicates(["sid"]), given or templates(), min_cosine), "op6-statements")

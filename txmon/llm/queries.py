@@ -75,7 +75,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from txmon.llm.license_scan import CUE, license_scan
 
     name, hundreds, thousands = F.col("doc_id").cast("string"), F.floor(F.col("doc_id") / 100), F.floor(F.col("doc_id") / 1000)
-    closes = F.element_at(F.split(text_of("text"), "\n"), -1).rlike(CUE)
+    closes = F.substring_index(text_of("text"), "\n", -1).rlike(CUE)
     path = F.concat_ws("/", "source", "lang", thousands.cast("string"),
                        F.when(closes, F.concat(F.lit("LICENSE-"), name)).otherwise(F.concat_ws("/", hundreds.cast("string"), name)))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", path.alias("path"))
