@@ -13,6 +13,7 @@ in articles, lists, tables, quotations and figures that are not mostly links.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from math import exp, log1p
@@ -76,6 +77,7 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.holders: list[tuple[str, int]] = [("", -1)]  # element name and parent, by number
         self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # name, number, furniture
+        self.names: Counter[str] = Counter()  # of the open ones: a name that is not open is not searched for
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = 0
 
@@ -87,11 +89,22 @@ class Blocks(HTMLParser):
             self.tags = 0
         self.parts, self.linked = [], 0
 
+    def push(self, tag: str, number: int, furniture: bool) -> None:
+        self.open.append((tag, number, furniture))
+        self.names[tag] += 1
+
+    def close_from(self, at: int) -> None:
+        for tag, _, _ in self.open[at:]:
+            self.names[tag] -= 1
+        del self.open[at:]
+
     def imply_end(self, names: frozenset[str], beyond: frozenset[str]) -> None:
         """Close the innermost open element of ``names``, unless it lies beyond an element of those."""
+        if not any(self.names[n] for n in names):
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] in names:
-                del self.open[at:]
+                self.close_from(at)
                 return
             if self.open[at][0] in beyond:
                 return
@@ -111,9 +124,9 @@ class Blocks(HTMLParser):
             if tag not in _BLOCK:
                 self.cut()
             self.holders.append((tag, self.open[-1][1]))
-            self.open.append((tag, len(self.holders) - 1, furniture or is_furniture(tag, attrs)))
-        elif furniture and tag not in _VOID and any(tag == name for name, _, _ in self.open):
-            self.open.append((tag, self.open[-1][1], True))  # so that its end tag does not close the outer one
+            self.push(tag, len(self.holders) - 1, furniture or is_furniture(tag, attrs))
+        elif furniture and tag not in _VOID and self.names[tag]:
+            self.push(tag, self.open[-1][1], True)  # so that its end tag does not close the outer one
 
     def handle_startendtag(self, tag, attrs):
         if tag in _BLOCK:
@@ -121,14 +134,11 @@ class Blocks(HTMLParser):
         self.tags += 1
 
     def handle_endtag(self, tag):
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at][0] == tag:
-                self.cut()
-                del self.open[at:]
-                break
-        else:
-            if tag in _BLOCK:
-                self.cut()
+        if self.names[tag]:
+            self.cut()
+            self.close_from(next(at for at in range(len(self.open) - 1, 0, -1) if self.open[at][0] == tag))
+        elif tag in _BLOCK:
+            self.cut()
         self.tags += 1
         if tag == "a":
             self.in_link = 0
@@ -167,6 +177,12 @@ def split_at(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def add_up(sums: list[int], holders: list[tuple[str, int]]) -> None:
+    """Add every element's sum to those of all elements around it; inner ones have the higher numbers."""
+    for k in range(len(holders) - 1, 0, -1):
+        sums[holders[k][1]] += sums[k]
+
+
 def main_text(html: str) -> tuple[str, int]:
     """(text, blocks in it) of one page."""
     parser = Blocks()
@@ -183,10 +199,8 @@ def main_text(html: str) -> tuple[str, int]:
     dense = [i for i in plain if smoothed[i] >= cut and 2 * blocks[i][2] <= len(blocks[i][0])] or plain
     held = [0] * len(holders)  # clustered characters in each element, its inner elements included
     for i in dense:
-        at = blocks[i][3]
-        while at >= 0:
-            held[at] += len(blocks[i][0])
-            at = holders[at][1]
+        held[blocks[i][3]] += len(blocks[i][0])
+    add_up(held, holders)
     named = [k for k, (tag, _) in enumerate(holders) if tag in ("article", "main") and held[k]]
     whole = held[0]
     if named and (best := max(named, key=lambda k: (held[k], k))) and held[best] * 3 >= whole:
@@ -198,21 +212,21 @@ def main_text(html: str) -> tuple[str, int]:
     rich = {blocks[i][3] for i in dense} | (mains if marked else set())
     sizes, links = [0] * len(holders), [0] * len(holders)  # own and inner unmarked characters of each element, and those in links
     for i in plain:
-        at = blocks[i][3]
-        while at >= 0:
-            sizes[at] += len(blocks[i][0])
-            links[at] += blocks[i][2]
-            at = holders[at][1]
+        sizes[blocks[i][3]] += len(blocks[i][0])
+        links[blocks[i][3]] += blocks[i][2]
+    add_up(sizes, holders)
+    add_up(links, holders)
+    inside, in_part = [False] * len(holders), [False] * len(holders)  # of a main element; of a rich part below it
+    for k, (tag, up) in enumerate(holders):  # parents come first
+        inside[k] = k in mains or (up >= 0 and inside[up])
+        in_part[k] = k not in mains and ((up >= 0 and in_part[up]) or (marked and tag in _PART and k in rich))
     kept = []
     for i in plain:
-        at = own = blocks[i][3]
-        part = marked and holders[own][0] in _PART and 2 * links[own] <= sizes[own]
-        while at >= 0 and at not in mains:
-            part = part or (marked and holders[at][0] in _PART and at in rich)
-            at = holders[at][1]
+        own = blocks[i][3]
+        part = in_part[own] or (marked and holders[own][0] in _PART and 2 * links[own] <= sizes[own])
         # a block that is mostly links stays inside an article's running text, where its neighbours are dense
         linked = 2 * blocks[i][2] > len(blocks[i][0])
-        if at >= 0 and (own in rich or part) and (not linked or (marked and own in rich and smoothed[i] >= cut)):
+        if inside[own] and (own in rich or part) and (not linked or (marked and own in rich and smoothed[i] >= cut)):
             kept.append(blocks[i][0])
     return " ".join(kept), len(kept)
 
