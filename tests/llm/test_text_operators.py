@@ -375,6 +375,18 @@ def test_html_without_an_article_element():
     assert main_text(PAGE.replace('class="text"', 'class="x"').replace("<div class=\"x\">", "<main><p>Intro words.</p>"))[0].startswith("Intro words. Head")
 
 
+def test_html_deep_nesting_takes_linear_time():
+    import time
+
+    from txmon.llm.html_extract import main_text
+
+    for page in ("<div><p>words of the page and more of them</p>" * 50000, "<div>" * 50000 + "text of it" + "</li></span></div>" * 50000,
+                 "<div class=comment><li>" * 50000 + "</ul>" * 50000, "<ul><li><a href=x>" * 50000 + "end"):
+        t0 = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - t0 < 10
+
+
 def test_html_implied_end_tags():
     """Elements of furniture end where HTML says so, and inner elements of the same name do not end them."""
     from txmon.llm.html_extract import main_text
@@ -569,3 +581,23 @@ def test_short_items_are_phrases_of_one_document(spark, make_docs):
     got = mark_leaks(make_docs(rows).coalesce(1), bench, carry=["doc_id"]).collect()
     found = {r.doc_id: sorted(x.item_id for x in r.leaks) for r in got}
     assert found == {k: ([1, 2] if k % 2 else [2]) for k in range(60)} | {100: [], 101: []}
+
+
+def test_token_counts_of_any_code_points_equal_the_library():
+    """Symbols beside unassigned code points, bases with several marks, jamo, astral characters."""
+    import random
+
+    import public_tokenizers
+
+    from txmon.llm.token_count import TokenCounter
+
+    counter = TokenCounter(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(11)
+    texts = ["ú᷺", "Ś᫊", "⏳՘", "+౜", "각", "ẹ́", "̈́", "Σς ΑΣ", "İstanbul", "ﬁ Ǆ", "a‍b", "\U0001F468‍\U0001F469"]
+    for _ in range(30000):
+        lo, hi = rng.choice([(0x20, 0x2FFF), (0x20, 0x17F), (0x20, 0xFFFF), (0x20, 0x10FFFF), (0x300, 0x36F)])
+        chars = (chr(rng.choice([rng.randint(lo, hi), rng.randint(0x20, 0x7E)])) for _ in range(rng.randint(1, 14)))
+        texts.append("".join(c for c in chars if not 0xD800 <= ord(c) <= 0xDFFF))
+    want = [len(e.ids) for e in counter.lib.encode_batch(texts, add_special_tokens=False)]
+    assert counter.count(texts) == want
+    assert not any(counter.strange.search(c) for c in "aéßłñç漢字かカ한글жЖα’“—€…«»¿ \n\t")
