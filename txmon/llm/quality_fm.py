@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txmon.llm.common import ROW, pack, slices, text_of, unpack
+from txmon.llm.common import ROW, materialize, pack, slices, text_of, unpack
 
 WORD_BITS = 16
 FACTORS = 8
@@ -181,8 +181,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     base = pack(docs, [], _id=F.col(id_col), _text=text_of(text_col).cast("binary"),
                 _meta=F.array(*[F.col(f"`{c}`").cast("double") for c in meta_cols]).cast("array<double>"))
     base = base.withColumn("_h", F.xxhash64("_text", "_meta"))
-    have = base.select("_id", "_h").distinct().join(marks, "_id")
-    sample = have.orderBy(F.xxhash64("_id", "_h"), "_id", "_h").limit(max_train)  # at most max_train rows of 24 bytes
+    have = materialize(base.select("_id", "_h").join(marks, "_id").distinct().withColumn("_order", F.xxhash64("_id", "_h")), "op1-labelled")
+    # the least hashes: only rows under a threshold that max_train of them pass (six errors to spare) are sorted, whatever the number of rows
+    share = min(1.0, (max_train + 6 * max_train ** 0.5) / max(1, have.count()))
+    least = have.filter(F.col("_order") <= int(-(2 ** 63) + share * (2 ** 64 - 1))) if share < 1 else have
+    sample = least.orderBy("_order", "_id", "_h").limit(max_train).drop("_order")  # at most max_train rows of 24 bytes
     rows = base.join(F.broadcast(sample), ["_id", "_h"]).select("_id", "_h", "_y", "_text", "_meta")
     key = rows.select("_id", "_h").schema
 
