@@ -36,13 +36,13 @@ ORACLES = {
              p AS (SELECT source, rate, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS pk
                    FROM r, range(0, 120) AS t(k)),
              c AS (SELECT source, k, sum(pk) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
-             d AS (SELECT doc_id, source, rate,
+             d AS (SELECT doc_id, source, rate, md5(coalesce(text, '')) AS text_md5,
                           (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':7'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
                    FROM documents JOIN r USING (source)),
-             n AS (SELECT doc_id, source, rate, (SELECT count(*) FROM c WHERE c.source = d.source AND c.cdf < d.u) AS copies FROM d),
-             e AS (SELECT doc_id, source, rate, copies, unnest(range(1, copies + 1)) AS copy_no FROM n)
+             n AS (SELECT doc_id, source, rate, text_md5, (SELECT count(*) FROM c WHERE c.source = d.source AND c.cdf < d.u) AS copies FROM d),
+             e AS (SELECT doc_id, source, rate, text_md5, copies, unnest(range(1, copies + 1)) AS copy_no FROM n)
         SELECT doc_id, source, copy_no, copies, round(rate, 9) AS mix_rate,
-               (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no || ':8'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS mix_key
+               (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || copy_no || ':8'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS mix_key, text_md5
         FROM e""",
     "op11_url_filter": """
         WITH r(rh, rp, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),

@@ -109,11 +109,12 @@ MIX_WEIGHTS = {"src0": 0.5, "src1": 2.0, "src2": 2.0}
 
 
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents are replicated and shuffled; the digest of the text is taken from the mixed rows."""
     from txmon.llm.poisson_mix import poisson_mix
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    found = poisson_mix(docs, MIX_WEIGHTS)
-    return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key")
+    found = poisson_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return found.select("doc_id", "source", "copy_no", "copies", F.round("mix_rate", 9).alias("mix_rate"), "mix_key",
+                        F.md5(text_of("text").cast("binary")).alias("text_md5"))
 
 
 #: (host, path, verdict) of the pages query.
