@@ -241,6 +241,54 @@ def test_suffix_dedup_odd_rows(make_docs):
     assert suffix_dedup(make_docs([])).count() == 0
 
 
+def test_parcels_round_trip_and_stay_small():
+    """Few records travel as they are, many compressed; a parcel of one record is not much larger than the record."""
+    from txmon.llm.suffix_dedup import KEYS, NOTHING, SEGMENTS, SMALL, opened, parcels
+
+    rng = np.random.default_rng(1)
+    counts = [1, 3, SMALL - 1, SMALL, 5 * SMALL, 1, 2000, 2] + [1] * 3000
+    n = sum(counts)
+    rec = np.zeros(n, SEGMENTS)
+    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    rec["route"] = np.sort(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+    rec["seg"], rec["ord"], rec["at"], rec["size"] = rng.integers(0, 1 << 62, n), rng.integers(-5, 5, n), rng.integers(0, 25, n), rng.integers(0, 75, n)
+    more = rng.integers(0, 256, int(rec["size"].sum()), dtype=np.uint8)
+    batches = list(parcels(rec, more, starts, b=np.zeros(len(counts), np.int64), g=np.arange(len(counts))))
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert all((r[2] < 0) == (abs(r[2]) >= SMALL) for r in rows) and len(rows) == len(counts)
+    single = [len(r[3]) + len(r[4]) for r in rows if r[2] == 1]
+    assert max(single) <= SEGMENTS.itemsize + 74
+    random.Random(1).shuffle(rows)
+    got, data, sender = opened(rows, SEGMENTS)
+    assert (got == rec).all() and (data == more).all() and rows == []
+    assert (sender == np.repeat(np.arange(len(counts)), counts)).all()
+    # bytes a key hardly depend on how many parcels they are cut into
+    keys = np.zeros(4096, KEYS)
+    keys["route"] = np.sort(rng.integers(0, 1 << 48, 4096, dtype=np.uint64))
+    sizes = []
+    for step in (1, 8, 4096):
+        cut = np.arange(0, 4096, step)
+        sizes.append(sum(len(x) for b in parcels(keys, NOTHING, cut, b=cut, g=cut) for x in b.column("rec").to_pylist()))
+    assert max(sizes) < 2 * min(sizes)
+    assert len(opened([], KEYS)[0]) == 0 and not list(parcels(np.zeros(0, KEYS), NOTHING, np.zeros(0, np.int64), g=np.zeros(0, np.int64)))
+
+
+def test_equal_first_hashes_are_told_apart():
+    """Two segments of a group with one first hash get their own answers; equal hashes of different bytes raise."""
+    import pyarrow as pa
+
+    from txmon.llm.suffix_dedup import OWNERS, Answers, check_bytes, parcels
+
+    rec = np.array([(5, 7, 100, 0), (6, 7, 200, 16), (9, 8, 300, 0)], OWNERS)
+    rows = [tuple(r.values()) for b in parcels(rec, np.array([1, 2], "<i8").view(np.uint8), np.array([0]), g=np.array([0]), kind=np.array([3])) for r in b.to_pylist()]
+    got = Answers(rows).least(np.array([7, 7, 7, 8], np.uint64), np.array([0, 0, 1, 4]), lambda: np.array([5, 6, 6, 9], np.uint64))
+    assert got.tolist() == [100, 1, 2, 300]
+    text = pa.array([b"a", b"b", b"a"], pa.binary())
+    check_bytes(text, np.array([0, 2, 1]), np.array([0, 2]))
+    with pytest.raises(ValueError):
+        check_bytes(text, np.array([0, 1, 2]), np.array([0, 2]))
+
+
 def test_string_owners_match_brute_force():
     from txmon.llm.suffix_dedup import MATCH, shard_owners
 

@@ -8,13 +8,15 @@ array of a corpus, so strings that could repeat are brought together in bounded
    ``GROUP_BYTES``; a group sends each anchor once, delta-coded, to the anchor's bucket.
 2. A bucket replies to every group which of its anchors occur in two documents or more, and which are very frequent.
 3. Groups send the strings around repeated anchors as segments (for very frequent anchors every string on its own, by its
-   own hash, so no shard gathers a hot anchor's surroundings). Equal segments of a group travel once, with the smallest id.
+   own hash, so no shard gathers a hot anchor's surroundings). Equal segments of a group travel once, with the smallest id;
+   they are equal by 112 bits of hashes, and a shard compares their bytes.
 4. A shard joins its different segments into one text, builds the suffix array by induced sorting and the permuted
    common prefixes; suffixes in a row with common prefixes of ``MATCH`` or more are one string, with one smallest id. It replies
    that id for every string to the groups.
 5. Groups mark the strings that have a smaller id elsewhere, and cut the covered bytes.
 
-Groups and buckets grow in number with the text, not in size. Rows travel packed (Arrow, zstd).
+Groups and buckets grow in number with the text, not in size. What a group and a bucket tell each other is one parcel: many
+records compressed, few as they are, so that a parcel of a single record is not much larger than the record.
 """
 
 from __future__ import annotations
@@ -45,7 +47,107 @@ _CLASSES = np.array([1, 2, 16, 128])  # documents of one group, rounded down
 LEAST = -(1 << 63)
 
 
-# --- packed rows --------------------------------------------------------------------------------
+# --- parcels ------------------------------------------------------------------------------------
+
+#: Records from which a parcel is compressed.
+SMALL = 64
+PARCEL = "n int, rec binary, more binary"
+# routes come first and rise within a parcel; size counts the bytes of a record that stand in more
+KEYS = np.dtype([("route", "<u8"), ("kind", "u1")])
+TOLD = np.dtype([("route", "<u8"), ("hot", "u1")])
+SEGMENTS = np.dtype([("route", "<u8"), ("seg", "<u8"), ("ord", "<i8"), ("at", "u1"), ("size", "u1")])
+OWNERS = np.dtype([("route", "<u8"), ("seg", "<u8"), ("first", "<i8"), ("size", "u1")])
+NOTHING = np.zeros(0, np.uint8)
+
+
+def ranges(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, .. (``many`` of them) for every entry, in a row."""
+    ends = np.cumsum(many)
+    return np.repeat(lo - (ends - many), many) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def edges(rec: np.ndarray) -> np.ndarray:
+    """Where each record's bytes begin in more, and where the last ones end."""
+    sizes = rec["size"] if "size" in rec.dtype.names else np.zeros(len(rec), np.uint8)
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def squeezed(rec: np.ndarray, more: np.ndarray) -> bytes:
+    """Records by column, routes as differences, and their bytes, compressed."""
+    columns = [np.ascontiguousarray(rec[f]) for f in rec.dtype.names]
+    columns[0] = np.diff(columns[0], prepend=np.uint64(0))
+    raw = b"".join([*[c.tobytes() for c in columns], more.tobytes()])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def swelled(blob: bytes, n: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    raw = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    rec, at = np.empty(n, kind), 0
+    for f in kind.names:
+        rec[f] = np.frombuffer(raw, kind[f], n, at)
+        at += n * kind[f].itemsize
+    rec["route"] = np.cumsum(rec["route"])
+    return rec, np.frombuffer(raw, np.uint8, offset=at)
+
+
+def parcels(rec: np.ndarray, more: np.ndarray, starts: np.ndarray, **head: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (``head``, n, rec, more): parcel k holds the records from ``starts[k]`` on; n is negative if it is compressed."""
+    many = np.diff(np.append(starts, len(rec)))
+    edge = edges(rec)
+    names = [*head, "n", "rec", "more"]
+
+    def rows(which: np.ndarray, n: np.ndarray, *values: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(x[which], pa.int32()) for x in head.values()], pa.array(n, pa.int32()), *values], names)
+
+    for k in np.flatnonzero(many >= SMALL):
+        a, b = starts[k], starts[k] + many[k]
+        blob = squeezed(rec[a:b], more[edge[a]:edge[b]])
+        yield rows(np.array([k]), -many[k:k + 1], pa.array([blob], pa.binary()), pa.array([b""], pa.binary()))
+    few = np.flatnonzero(many < SMALL)
+    for c in range(0, len(few), CHUNK // SMALL):
+        which = few[c:c + CHUNK // SMALL]
+        n, lo = many[which], edge[starts[which]]
+        size = edge[starts[which] + n] - lo
+        own = np.ascontiguousarray(rec[ranges(starts[which], n)]).view(np.uint8)
+        yield rows(which, n, binary(own, np.concatenate(([0], np.cumsum(n * rec.dtype.itemsize)))),
+                   binary(more[ranges(lo, size)], np.concatenate(([0], np.cumsum(size)))))
+
+
+def opened(rows: list[tuple], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(records, their bytes, sender) of parcels, by sender (second column); ``rows`` is emptied."""
+    rows.sort(key=lambda row: row[1])
+    sender = np.repeat(np.array([row[1] for row in rows], np.int64), np.array([abs(row[2]) for row in rows], np.int64))
+    parts: list[tuple] = []
+    few: list[tuple] = []
+
+    def plain() -> None:
+        if few:
+            parts.append((np.frombuffer(b"".join([row[3] for row in few]), kind), np.frombuffer(b"".join([row[4] for row in few]), np.uint8)))
+            few.clear()
+
+    for row in rows:
+        if row[2] > 0:
+            few.append(row)
+        else:
+            plain()
+            parts.append(swelled(row[3], -row[2], kind))
+    plain()
+    rows.clear()  # only what is unpacked is still needed
+    if not parts:
+        return np.zeros(0, kind), NOTHING, sender
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), sender
+
+
+def heads_of(x: np.ndarray) -> np.ndarray:
+    """Where a new value begins in a sorted array."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+
+
+# --- documents in groups ------------------------------------------------------------------------
 
 def packed(columns: dict[str, pa.Array]) -> bytes:
     batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
@@ -59,12 +161,8 @@ def unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def _u64(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x, dtype=np.uint64))
-
-
 def grouped_docs(base: DataFrame, groups: int) -> DataFrame:
-    """(g, kind = 1, blob) of the rows (ROW, _ord, _text) dealt to groups by hash of id and text."""
+    """(g, kind = 1, n = 0, rec = packed rows, more = nothing) of the rows (ROW, _ord, _text) dealt to groups by hash of id and text."""
     dealt = base.withColumn("_g", F.pmod(F.xxhash64("_ord", "_text"), F.lit(groups)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +173,10 @@ def grouped_docs(base: DataFrame, groups: int) -> DataFrame:
             for a, b in zip(heads.tolist(), np.append(heads[1:], len(g)).tolist()):
                 some = rows.slice(a, b - a).drop_columns(["_g"]).combine_chunks().to_batches()[0]
                 blob = packed(dict(zip(some.schema.names, [pa.concat_arrays([c]) for c in some.columns])))
-                yield _reply(int(g[a]), 1, blob)
-
-    return dealt.mapInArrow(run, "g int, kind int, blob binary")
-
+                yield pa.RecordBatch.from_arrays([*[pa.array([x], pa.int32()) for x in (int(g[a]), 1, 0)], *[pa.array([x], pa.binary()) for x in (blob, b"")]],
+                                                 ["g", "kind", "n", "rec", "more"])
 
-def _reply(g: int, kind: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())], ["g", "kind", "blob"])
+    return dealt.mapInArrow(run, f"g int, kind int, {PARCEL}")
 
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -214,7 +309,7 @@ class Anchors:
         within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
         return self.a[owner] + within, owner
 
-    def string_hashes(self, at: np.ndarray) -> np.ndarray:
+    def string_hashes(self, at: np.ndarray, first: int = 0x9E3779B97F4A7C15, factors: tuple = (0x94D049BB133111EB, 0xD6E8FEB86659FD93)) -> np.ndarray:
         """64-bit hashes of the strings starting at ``at``, from seven (overlapping) words of eight bytes."""
         out = np.zeros(len(at), dtype=np.uint64)
         if not len(at):
@@ -222,12 +317,16 @@ class Anchors:
         words = eight_bytes(self.data)
         for c in range(0, len(at), CHUNK):
             some = at[c:c + CHUNK]
-            h = _mix(words[some] * np.uint64(0x9E3779B97F4A7C15), 0xBF58476D1CE4E5B9)
-            for k, factor in zip((8, 16, 24, 32, 40, MATCH - 8), (0x94D049BB133111EB, 0xD6E8FEB86659FD93) * 3):
+            h = _mix(words[some] * np.uint64(first), 0xBF58476D1CE4E5B9)
+            for k, factor in zip((8, 16, 24, 32, 40, MATCH - 8), factors * 3):
                 h = _mix(h ^ words[some + k], factor)
             out[c:c + CHUNK] = h ^ (h >> np.uint64(29))
         return out
 
+    def string_routes(self, at: np.ndarray) -> np.ndarray:
+        """48 more bits of the strings' hashes, by other numbers."""
+        return self.string_hashes(at, 0xC2B2AE3D27D4EB4F, (0x9FB21C651E98DF25, 0xA0761D6478BD642F)) >> np.uint64(16)
+
 
 # --- steps 1 and 2: repeated anchors ------------------------------------------------------------
 
@@ -236,7 +335,7 @@ def _deal(route: np.ndarray, bits: int) -> np.ndarray:
 
 
 def anchor_keys(docs: DataFrame, bits: int) -> DataFrame:
-    """(b, g, blob): each group's distinct anchors by bucket, sorted, with the class of their document counts."""
+    """(b, g, parcel): each group's distinct anchors by bucket, sorted, with the class of their document counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, rows in by_key(batches):
@@ -247,23 +346,22 @@ def anchor_keys(docs: DataFrame, bits: int) -> DataFrame:
             route, count = route[order], count[order]
             if not len(route):
                 continue
-            heads = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
-            route, count = route[heads], np.add.reduceat(count, heads)
-            kind = (np.searchsorted(_CLASSES, count, side="right") - 1).astype(np.uint8)
-            bucket = _deal(route, bits)
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(route)).tolist()):
-                blob = packed({"d": _u64(np.diff(route[a:b], prepend=np.uint64(0))), "k": pa.array(kind[a:b])})
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([g], pa.int32()), pa.array([blob], pa.binary())], ["b", "g", "blob"])
+            heads = heads_of(route)
+            rec = np.empty(len(heads), KEYS)
+            rec["route"] = route[heads]
+            rec["kind"] = np.searchsorted(_CLASSES, np.add.reduceat(count, heads), side="right") - 1
+            bucket = _deal(rec["route"], bits)
+            starts = heads_of(bucket)
+            yield from parcels(rec, NOTHING, starts, b=bucket[starts], g=np.full(len(starts), g))
 
-    return docs.mapInArrow(run, "b int, g int, blob binary")
+    return docs.mapInArrow(run, f"b int, g int, {PARCEL}")
 
 
 def _texts(rows: list[tuple]) -> Iterator[list[bytes]]:
     """Texts of packed rows, a few megabytes at once."""
     held, size = [], 0
     for row in rows:
-        for text in unpacked(row[2]).column("_text").to_pylist():
+        for text in unpacked(row[3]).column("_text").to_pylist():
             held.append(text)
             size += len(text)
             if size >= 4 << 20:
@@ -285,41 +383,33 @@ def _unique_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(keys: DataFrame, buckets: int) -> DataFrame:
-    """(g, kind = 0, blob): to every group its anchors that occur in other documents too, and whether they are hot."""
+    """(g, kind = 0, parcel): to every group its anchors that occur in other documents too, and whether they are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            parts, sources = [unpacked(blob) for _, _, blob in rows], [g for _, g, _ in rows]
-            rows.clear()  # only what is unpacked is still needed
-            route = [np.cumsum(t.column("d").to_numpy()) for t in parts]
-            sizes = [len(r) for r in route]
-            route = np.concatenate(route)
-            docs = _CLASSES[np.concatenate([t.column("k").to_numpy() for t in parts])]
+            rec, _, sender = opened(rows, KEYS)
+            route = np.ascontiguousarray(rec["route"])
             order = np.argsort(route, kind="stable")
-            heads = np.flatnonzero(np.concatenate(([True], route[order][1:] != route[order][:-1])))
-            total = np.add.reduceat(docs[order], heads)
+            heads = heads_of(route[order])
+            total = np.add.reduceat(_CLASSES[rec["kind"]][order], heads)
             every = np.zeros(len(route), np.int64)
             every[order] = np.repeat(total, np.diff(np.append(heads, len(route))))
-            again = every > 1
-            ends = np.cumsum(sizes)
-            for k, g in enumerate(sources):
-                own = slice(ends[k] - sizes[k], ends[k])
-                mine = route[own][again[own]]
-                if len(mine):
-                    yield _reply(g, 0, packed({"d": _u64(np.diff(mine, prepend=np.uint64(0))), "hot": pa.array(every[own][again[own]] >= HOT_DOCS)}))
+            again = np.flatnonzero(every > 1)
+            out = np.empty(len(again), TOLD)
+            out["route"], out["hot"] = route[again], every[again] >= HOT_DOCS
+            starts = heads_of(sender[again])
+            yield from parcels(out, NOTHING, starts, g=sender[again][starts], kind=np.zeros(len(starts), np.int64))
 
-    return keys.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(run, "g int, kind int, blob binary")
+    return keys.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(run, f"g int, kind int, {PARCEL}")
 
 
 class Repeated:
     """A group's repeated anchors, sorted."""
 
     def __init__(self, rows: list[tuple]):
-        parts = [unpacked(blob) for _, kind, blob in rows if kind == 0]
-        route = np.concatenate([np.cumsum(t.column("d").to_numpy()) for t in parts]) if parts else np.zeros(0, np.uint64)
-        hot = np.concatenate([t.column("hot").to_numpy(zero_copy_only=False) for t in parts]) if parts else np.zeros(0, bool)
-        order = np.argsort(route)
-        self.route, self.hot = route[order], hot[order]
+        told, _, _ = opened([row for row in rows if row[1] == 0], TOLD)
+        order = np.argsort(told["route"])
+        self.route, self.hot = told["route"][order], told["hot"][order].astype(bool)
 
     def split(self, found: Anchors) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the repeated anchors: ordinary ones and hot ones."""
@@ -356,15 +446,14 @@ def finish(rows: pa.Table, found: Anchors, gone: np.ndarray, with_text: bool) ->
 def segment_columns(found: Anchors, ords: np.ndarray, plain: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
     """(route, seg, ord, first byte, end, place of the anchor) of the segments to compare."""
     at, owner = found.windows(hot)
-    own = found.string_hashes(at)
-    return (np.concatenate([found.route[plain], own >> np.uint64(16)]), np.concatenate([found.seg[plain], own]),
+    return (np.concatenate([found.route[plain], found.string_routes(at)]), np.concatenate([found.seg[plain], found.string_hashes(at)]),
             np.concatenate([ords[found.doc[plain]], ords[found.doc[owner]]]),
             np.concatenate([found.a[plain], at]), np.concatenate([found.b[plain], at]) + MATCH,
             np.concatenate([found.p[plain] - found.a[plain], np.zeros(len(at), np.int64)]).astype(np.uint8))
 
 
 def segments(both: DataFrame, bits: int) -> DataFrame:
-    """(b, g, blob): each group's distinct segments by bucket, with the smallest id that holds them in the group."""
+    """(b, g, parcel): each group's distinct segments by bucket, with the smallest id that holds them in the group."""
 
     def distinct(route, seg, ords) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((ords, seg, route))
@@ -387,33 +476,29 @@ def segments(both: DataFrame, bits: int) -> DataFrame:
                 continue
             order, new = distinct(route, seg, ords)
             pick = order[new]
-            route, seg, ords, place = route[pick], seg[pick], ords[pick], place[pick]
             text = pa.concat_arrays([h[4] for h in held]).take(pa.array(pick))
-            bucket = _deal(route, bits)
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(route)).tolist()):
-                blob = packed({"d": _u64(np.diff(route[a:b], prepend=np.uint64(0))), "seg": _u64(seg[a:b]), "ord": pa.array(ords[a:b]), "at": pa.array(place[a:b]), "text": pa.concat_arrays([text.slice(a, b - a)])})
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([g], pa.int32()), pa.array([blob], pa.binary())], ["b", "g", "blob"])
+            offsets = np.frombuffer(text.buffers()[1], np.int32)[:len(pick) + 1]
+            rec = np.empty(len(pick), SEGMENTS)
+            rec["route"], rec["seg"], rec["ord"], rec["at"], rec["size"] = route[pick], seg[pick], ords[pick], place[pick], np.diff(offsets)
+            bucket = _deal(rec["route"], bits)
+            starts = heads_of(bucket)
+            yield from parcels(rec, np.frombuffer(text.buffers()[2], np.uint8), starts, b=bucket[starts], g=np.full(len(starts), g))
 
-    return both.mapInArrow(run, "b int, g int, blob binary")
+    return both.mapInArrow(run, f"b int, g int, {PARCEL}")
 
 
 def cut_out(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     """The stretches lo:hi of ``data`` as binary values."""
-    sizes = hi - lo
-    ends = np.cumsum(sizes)
-    at = np.repeat(lo - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
-    offsets = np.concatenate(([0], ends)).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+    return binary(data[ranges(lo, hi - lo)], np.concatenate(([0], np.cumsum(hi - lo))))
 
 
 def _doc_slices(rows: list[tuple]) -> Iterator[pa.Table]:
     """The packed documents of a group, about four megabytes of text at once."""
     held, size = [], 0
-    for _, kind, blob in rows:
-        if kind != 1:
+    for row in rows:
+        if row[1] != 1:
             continue
-        docs = unpacked(blob)
+        docs = unpacked(row[3])
         lengths = pc.binary_length(docs.column("_text")).to_pylist()
         start = 0
         for k, length in enumerate(lengths):
@@ -526,22 +611,30 @@ def may_share(route: np.ndarray, text: pa.Array, place: np.ndarray) -> np.ndarra
     return np.minimum(left, left_room) + np.minimum(right, right_room) + GRAM >= MATCH
 
 
+def check_bytes(text: pa.Array, order: np.ndarray, heads: np.ndarray) -> None:
+    """Raises unless all segments of one pair of hashes (from each of ``heads`` on, in ``order``) have the same bytes."""
+    many = np.diff(np.append(heads, len(order)))
+    model = np.repeat(heads, many)
+    others = np.flatnonzero(model != np.arange(len(order)))
+    for c in range(0, len(others), 4 * CHUNK):
+        some = others[c:c + 4 * CHUNK]
+        if not pc.all(pc.equal(text.take(pa.array(order[some])), text.take(pa.array(order[model[some]])))).as_py():
+            raise ValueError("different segments have the same 112 bits of hashes")
+
+
 def resolve(shards: DataFrame, buckets: int) -> DataFrame:
-    """(g, kind = 3, blob): to every group the smallest id for each string of its segments."""
+    """(g, kind = 3, parcel): to every group the smallest id for each string of its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
-            parts, sources = [unpacked(blob) for _, _, blob in rows], [g for _, g, _ in rows]
-            rows.clear()
-            sizes = [t.num_rows for t in parts]
-            route = np.concatenate([np.cumsum(t.column("d").to_numpy()) for t in parts])
-            seg = np.concatenate([t.column("seg").to_numpy() for t in parts])
-            ords = np.concatenate([t.column("ord").to_numpy() for t in parts])
-            text = pa.concat_arrays([c for t in parts for c in t.column("text").chunks])
-            order = np.lexsort((seg, route))
-            r, s = route[order], seg[order]
+            rec, more, sender = opened(rows, SEGMENTS)
+            text = binary(more, edges(rec))
+            route, ords = np.ascontiguousarray(rec["route"]), rec["ord"]
+            order = np.lexsort((rec["seg"], route))
+            r, s = route[order], rec["seg"][order]
             new = np.concatenate(([True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])))
             heads = np.flatnonzero(new)
+            check_bytes(text, order, heads)
             least = np.minimum.reduceat(ords[order], heads)
             routes = r[heads]
             twin = np.flatnonzero(routes[1:] == routes[:-1])
@@ -549,8 +642,7 @@ def resolve(shards: DataFrame, buckets: int) -> DataFrame:
             alone[twin] = alone[twin + 1] = False
             mixed = np.flatnonzero(~alone)
             if len(mixed):  # segments that can share no string with another one are as good as alone
-                place = np.concatenate([t.column("at").to_numpy() for t in parts]).astype(np.int64)
-                able = may_share(routes[mixed], text.take(pa.array(order[heads[mixed]])), place[order[heads[mixed]]])
+                able = may_share(routes[mixed], text.take(pa.array(order[heads[mixed]])), rec["at"][order[heads[mixed]]].astype(np.int64))
                 alone[mixed[~able]] = True
                 mixed = mixed[able]
             found = shard_owners(routes[mixed], text.take(pa.array(order[heads[mixed]])).to_pylist(), least[mixed]) if len(mixed) else []
@@ -563,19 +655,43 @@ def resolve(shards: DataFrame, buckets: int) -> DataFrame:
             listed = np.where(alone, 0, many)
             place = np.empty(len(route), dtype=np.int64)
             place[order] = np.cumsum(new) - 1
-            ends = np.cumsum(sizes)
-            for k, g in enumerate(sources):
-                own = place[ends[k] - sizes[k]:ends[k]]
-                n = listed[own]
-                at = np.repeat(offset[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(flat[at]))
-                yield _reply(g, 3, packed({"seg": _u64(s[heads][own]), "first": pa.array(least[own]), "all": lists}))
+            out = np.empty(len(rec), OWNERS)
+            out["route"], out["seg"], out["first"], out["size"] = route, rec["seg"], least[place], 8 * listed[place]
+            del rec, more, text
+            told = flat[ranges(offset[place], listed[place])]
+            starts = heads_of(sender)
+            yield from parcels(out, told.astype("<i8").view(np.uint8), starts, g=sender[starts], kind=np.full(len(starts), 3))
 
-    return shards.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(run, "g int, kind int, blob binary")
+    return shards.repartition(buckets, "b").sortWithinPartitions("b").mapInArrow(run, f"g int, kind int, {PARCEL}")
 
 
 # --- step 5: cuts -------------------------------------------------------------------------------
 
+class Answers:
+    """The smallest ids that a group was told for its segments."""
+
+    def __init__(self, rows: list[tuple]):
+        rec, more, _ = opened(rows, OWNERS)
+        order = np.argsort(rec["seg"], kind="stable")
+        self.seg, self.route, self.first = (rec[f][order] for f in ("seg", "route", "first"))
+        self.listed, self.offset, self.flat = rec["size"][order] > 0, edges(rec)[:-1][order] // 8, more.view("<i8")
+        self.twins = bool((self.seg[1:] == self.seg[:-1]).any())
+
+    def least(self, seg: np.ndarray, within: np.ndarray, route) -> np.ndarray:
+        """The smallest id for each string, ``within`` being its place in its segment; every segment has been answered."""
+        k = np.searchsorted(self.seg, seg)
+        if self.twins:  # segments with equal first hashes differ in the second one
+            own = route()
+            other = np.flatnonzero(self.route[k] != own)
+            while len(other):
+                k[other] += 1
+                other = other[self.route[k[other]] != own[other]]
+        value = self.first[k]
+        listed = self.listed[k]
+        value[listed] = self.flat[self.offset[k[listed]] + within[listed]]
+        return value
+
+
 def cuts(both: DataFrame, row_schema: StructType, with_text: bool) -> DataFrame:
     row_type = row_schema[ROW].dataType
     schema = StructType(StructType().add(ROW, row_type).fields + StructType.fromDDL(RESULT).fields)
@@ -583,29 +699,17 @@ def cuts(both: DataFrame, row_schema: StructType, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
             repeated = Repeated(rows)
-            replies = [unpacked(blob) for _, kind, blob in rows if kind == 3]
-            seg = np.concatenate([t.column("seg").to_numpy() for t in replies]) if replies else np.zeros(0, np.uint64)
-            first = np.concatenate([t.column("first").to_numpy() for t in replies]) if replies else np.zeros(0, np.int64)
-            every = pa.concat_arrays([c for t in replies for c in t.column("all").chunks]) if replies else pa.array([], pa.list_(pa.int64()))
-            flat = every.flatten().to_numpy(zero_copy_only=False) if len(every) else np.zeros(0, np.int64)
-            long = np.concatenate([pc.list_value_length(t.column("all")).to_numpy() for t in replies]) if replies else np.zeros(0, np.int64)
-            offset = np.cumsum(long) - long
-            order = np.argsort(seg)
-            ranked = seg[order]
+            answers = Answers([row for row in rows if row[1] == 3])
+            rows = [row for row in rows if row[1] == 1]
             for docs in _doc_slices(rows):
                 found = Anchors(docs.column("_text").to_pylist())
                 ords = docs.column("_ord").to_numpy()
                 plain, hot = repeated.split(found)
                 gone = np.zeros(len(found.data), dtype=bool)
-                for at, owner, ids, within in _strings(found, plain, hot):
+                for at, owner, seg, within, route in _strings(found, plain, hot):
                     if not len(at):
                         continue
-                    # every repeated anchor has been answered: ids are all in ``ranked``
-                    k = order[np.minimum(np.searchsorted(ranked, ids), len(ranked) - 1)]
-                    value = first[k]
-                    listed = long[k] > 0
-                    value[listed] = flat[offset[k[listed]] + within[listed]]
-                    marked = at[value < ords[found.doc[owner]]]
+                    marked = at[answers.least(seg, within, route) < ords[found.doc[owner]]]
                     step = np.zeros(len(gone) + 1, dtype=np.int32)
                     np.add.at(step, marked, 1)
                     np.add.at(step, marked + MATCH, -1)
@@ -615,12 +719,12 @@ def cuts(both: DataFrame, row_schema: StructType, with_text: bool) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
-def _strings(found: Anchors, plain: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(start, anchor, segment hash, place in the segment) of all repeated anchors' strings."""
+def _strings(found: Anchors, plain: np.ndarray, hot: np.ndarray) -> Iterator[tuple]:
+    """(start, anchor, first hash of the segment, place in it, its second hash when asked for) of all repeated anchors' strings."""
     at, owner = found.windows(plain)
-    yield at, owner, found.seg[owner], at - found.a[owner]
-    at, owner = found.windows(hot)
-    yield at, owner, found.string_hashes(at), np.zeros(len(at), np.int64)
+    yield at, owner, found.seg[owner], at - found.a[owner], lambda: found.route[owner]
+    some, whose = found.windows(hot)
+    yield some, whose, found.string_hashes(some), np.zeros(len(some), np.int64), lambda: found.string_routes(some)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None,
@@ -639,7 +743,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = max(1, -(-total // GROUP_BYTES))
     bits = max(0, int(-(-total // BUCKET_BYTES) - 1).bit_length())
     buckets = 1 << bits
-    by_group = grouped_docs(base, groups)
+    by_group = materialize(grouped_docs(base, groups), "op9-groups", "none")
     keys = anchor_keys(by_group.repartition(groups, "g").sortWithinPartitions("g"), bits)
     again = materialize(repeated_anchors(keys, buckets), "op9-anchors", "none")
     del keys
