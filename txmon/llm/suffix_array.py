@@ -82,35 +82,30 @@ def induce(s: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndarray
     return sa
 
 
-def _induce_loops(s: list[int], small: list[bool], leftmost: list[int], width: int) -> list[int]:
-    """The same with plain loops, for large alphabets."""
-    n = len(s)
-    counts = [0] * width
-    for c in s:
-        counts[c] += 1
-    heads, tails, total = [0] * width, [0] * width, 0
-    for c in range(width):
-        heads[c] = total
-        total += counts[c]
-        tails[c] = total
-    sa, tail = [-1] * n, tails[:]
+def _induce_loops(large: list[int], small: list[int], counts: np.ndarray, leftmost: list[int]) -> list[int]:
+    """The same with plain loops, for large alphabets.
+
+    ``large`` and ``small`` hold the symbols of the positions of that type and -1 for all others, with two more -1 at the end: those
+    are what stands before position 0 and before a place not yet filled (-1).
+    """
+    ends = np.cumsum(counts)
+    heads, tails = (ends - counts).tolist(), ends.tolist()
+    sa, tail = [-1] * (len(small) - 2), tails[:]
     for i in reversed(leftmost):
-        c = s[i]
+        c = small[i]
         tail[c] -= 1
         sa[tail[c]] = i
-    for k in range(n):
-        j = sa[k] - 1
-        if j >= 0 and not small[j]:
-            c = s[j]
-            sa[heads[c]] = j
-            heads[c] += 1
-    tail = tails[:]
-    for k in range(n - 1, -1, -1):
-        j = sa[k] - 1
-        if j >= 0 and small[j]:
-            c = s[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
+    for i in sa:  # places ahead are filled on the way
+        c = large[i - 1]
+        if c >= 0:
+            head = heads[c]
+            sa[head] = i - 1
+            heads[c] = head + 1
+    for i in reversed(sa):
+        c = small[i - 1]
+        if c >= 0:
+            tails[c] = last = tails[c] - 1
+            sa[last] = i - 1
     return sa
 
 
@@ -162,10 +157,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     small = suffix_types(s)
     marks = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     wide = int(s.max()) + 1 > max(1024, n // 64)
-    loops = (s.tolist(), small.tolist()) if wide else None
+    loops = (*[np.append(np.where(own, s, -1), [-1, -1]).tolist() for own in (~small, small)], np.bincount(s)) if wide else ()
 
     def induced(order: np.ndarray) -> np.ndarray:
-        return np.array(_induce_loops(*loops, order.tolist(), int(s.max()) + 1)) if wide else induce(s, small, order)
+        return np.array(_induce_loops(*loops, order.tolist())) if wide else induce(s, small, order)
 
     found = _sorted_marks(s, small, marks)
     if found is not None:
@@ -192,11 +187,17 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, upto: int) -> np.ndarray:
     before = np.full(n, -1, dtype=np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, dtype=np.int64)
-    padded = np.concatenate((s, np.full(upto, -1, dtype=s.dtype)))
+    # several symbols at once, the first one highest; 0 stands for the end
+    bits = int(s.max(initial=0) + 1).bit_length()
+    each = max(1, min(upto, 52 // bits))  # a double holds the difference
+    padded = np.concatenate((s + 1, np.zeros(upto + each, dtype=np.int64)))
+    words = padded[:n + upto].copy()
+    for k in range(1, each):
+        words = (words << bits) | padded[k:n + upto + k]
     alive = np.flatnonzero(before >= 0)
-    for k in range(upto):
-        alive = alive[padded[alive + k] == padded[before[alive] + k]]
-        if not len(alive):
-            break
-        out[alive] = k + 1
-    return out
+    for k in range(0, upto, each):
+        differ = words[alive + k] ^ words[before[alive] + k]
+        # the highest bit that differs tells how many symbols agree before it
+        out[alive] = k + np.where(differ == 0, each, each - 1 - (np.frexp(differ.astype(np.float64))[1] - 1) // bits)
+        alive = alive[differ == 0]
+    return np.minimum(out, upto)
