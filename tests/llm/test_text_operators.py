@@ -157,6 +157,50 @@ def test_lattice_base_score_matches_formula(make_docs, sample, vocabulary):
     assert two[-1] < two[sample[0][0]]
 
 
+def test_lattice_score_matches_brute_force(make_docs, vocabulary):
+    """The whole model again with plain loops: every segmentation written out, two rounds of expectation maximisation, the mixture."""
+    from txmon.llm.lattice_lm import MARK, lattice_scores, read_vocabulary
+
+    rows = [(1, "The cat sat on the mat"), (2, "the dog sat"), (3, "A cat, a dog and the rat"), (4, None), (5, "on on on"),
+            (6, "the cats eat rats"), (7, ""), (8, "dog dogma  the\tTHE")]
+    train = {1, 2, 3, 4, 5}
+    pieces, start = read_vocabulary(vocabulary)
+    first = dict(zip(pieces, start))
+
+    def paths(text):
+        if not text:
+            yield []
+        for j in range(1, len(text) + 1):
+            if text[:j] in first:
+                for rest in paths(text[j:]):
+                    yield [text[:j], *rest]
+
+    words = {i: (t or "").lower().split() for i, t in rows}
+    counts = Counter(w for i in train for w in words[i])
+    p = first
+    for _ in range(2):
+        into = {k: 100 * x for k, x in first.items()}
+        for w in counts:
+            every = [(path, math.prod(p[k] for k in path)) for path in paths(MARK + w)]
+            whole = sum(x for _, x in every)
+            for path, x in every:
+                for k in path:
+                    into[k] += x / whole
+        mass = sum(into.values())
+        p = {k: x / mass for k, x in into.items()}
+    total = sum(counts.values()) + len(train)
+    n1, n2 = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = min(0.95, max(0.05, n1 / (n1 + 2 * n2)))
+
+    def chance(w):
+        spelled = sum(math.prod(p[k] for k in path) for path in paths(MARK + w))
+        return max(counts[w] - discount, 0) / total + discount * len(counts) / total * spelled
+
+    got = {r.doc_id: r.score for r in lattice_scores(make_docs(rows), F.col("doc_id") <= 5, vocabulary, carry=["doc_id"]).collect()}
+    for i, own in words.items():
+        assert got[i] == pytest.approx(math.log10(len(train) / total) + sum(math.log10(chance(w)) for w in own), rel=1e-9)
+
+
 def test_word_probabilities_sum_to_at_most_one(make_docs, vocabulary):
     """All training words and all unseen words of one letter keep within the mass."""
     from txmon.llm.lattice_lm import lattice_scores
