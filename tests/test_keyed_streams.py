@@ -173,3 +173,74 @@ def test_map_tasks_hold_a_bounded_number_of_reduced_rows(monkeypatch):
     out = pd.concat(keyed.reduced(rows, dm.first_and_last))
     whole = dm.first_and_last(out.copy())
     assert len(whole) == 70 and whole["ts"].max() < 70 and whole["last_ts"].max() == 999
+
+
+# --- what a key costs ---------------------------------------------------------------------------
+
+class Handle:
+    """The state of one key, and the timers set for it."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return iter(self.value or []) if self.lists else self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+HOUR = 3_600_000_000
+
+
+def test_a_key_of_many_sessions_has_one_timer(spark):
+    h, step = Handle(), ss.Sessions(HOUR)
+    h.lists = True
+    step.init(h)
+    out = list(step.handleInputRows(("k",), iter([("k", i * 3 * HOUR, i * 3 * HOUR + 5, 2, 1.0) for i in range(50)]), Now(0)))
+    assert len(out) == 50 == len(h.value) and {r.closed for r in out} == {False} and len(h.timers) == 1
+    assert h.timers[0] == (5 + HOUR) // 1000 + 1  # the earliest end
+    closed = list(step.handleExpiredTimer(("k",), Now(30 * HOUR // 1000), None))
+    assert [r["first"] for r in closed] == [i * 3 * HOUR for i in range(10)] and all(r.closed for r in closed)
+    assert len(h.value) == 40 and h.timers[1:] == [(31 * HOUR + 5) // 1000 + 1]
+    # rows that extend an open session set no other timer; what the watermark has passed is closed at once
+    out = list(step.handleInputRows(("k",), iter([("k", 147 * HOUR + 9, 147 * HOUR + 9, 1, 4.0)]), Now(100 * HOUR // 1000)))
+    assert [(r["last"], r.n, r.total) for r in out if not r.closed] == [(147 * HOUR + 9, 3, 5.0)] and sum(r.closed for r in out) == 23
+    assert len(h.timers) == 2 and len(h.value) == 17
+
+
+def test_an_account_has_one_timer_however_often_it_moves_on(spark):
+    h, step = Handle(), dm.Dormancy(HOUR, 1.0, 10 * HOUR)
+    h.lists = False
+    step.init(h)
+    for batch in range(5):
+        rows = [("a", batch, None if batch == 2 else str(batch), batch * 2 * HOUR, None if batch == 3 else 5.0, batch * 2 * HOUR + 7)]
+        hits = list(step.handleInputRows(("a",), iter(rows), Now(0)))
+        assert [(r.id, r.prev_ts) for r in hits] == ([] if batch in (0, 3) else [(rows[0][2], (batch - 1) * 2 * HOUR + 7)])
+    assert h.timers == [(7 + 10 * HOUR) // 1000]
+    list(step.handleExpiredTimer(("a",), Now(h.timers[0]), None))
+    assert h.value == (8 * HOUR + 7,) and h.timers[1:] == [(8 * HOUR + 7 + 10 * HOUR) // 1000]
+    list(step.handleExpiredTimer(("a",), Now(h.timers[1]), None))
+    assert h.value is None

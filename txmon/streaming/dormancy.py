@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -23,6 +23,7 @@ from txmon.streaming.keyed import before_state, prepare, segment_of
 HOUR = 3_600_000_000
 
 FLAGGED = "account string, id string, ts long, prev_ts long, amount double"
+FLAGGED_ROW = Row("account", "id", "ts", "prev_ts", "amount")
 
 
 def first_and_last(rows: pd.DataFrame) -> pd.DataFrame:
@@ -33,7 +34,8 @@ def first_and_last(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class Dormancy(StatefulProcessor):
-    """Flags first rows of segments whose previous transaction, in the batch or in the state, is long past."""
+    """Flags first rows of segments whose previous transaction, in the batch or in the state, is long past. An account has
+    few segments in a batch, so they are taken as plain rows."""
 
     def __init__(self, min_gap: int, min_amount: float, keep: int | None):
         self.min_gap, self.min_amount, self.keep = min_gap, min_amount, keep
@@ -42,31 +44,42 @@ class Dormancy(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "last_ts long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        chunks = [chunk for chunk in rows if len(chunk)]
-        if not chunks:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        segments: dict[int, tuple] = {}  # a segment's first row by (ts, id), missing ids last, and its last time
+        for _, segment, id_, ts, amount, last_ts, *_ in rows:
+            row, seen = ((ts, id_ is None, id_ or ""), id_, ts, amount, last_ts), segments.get(segment)
+            if seen is None or row[0] < seen[0]:
+                segments[segment] = (*row[:4], last_ts if seen is None else max(last_ts, seen[4]))
+            elif last_ts > seen[4]:
+                segments[segment] = (*seen[:4], last_ts)
+        if not segments:
             return
-        seen = first_and_last(pd.concat(chunks, ignore_index=True))
+        stored = self.last.get()
+        known = before = None if stored is None else stored[0]
+        hits = []
+        for _, (_, id_, ts, amount, last_ts) in sorted(segments.items()):
+            # a segment that begins at or before the known time cannot end a gap
+            fresh = before is not None and (known is None or ts > known)
+            if fresh and ts - before >= self.min_gap and amount is not None and amount >= self.min_amount:
+                hits.append(FLAGGED_ROW(key[0], id_, ts, before, amount))
+            before = last_ts if before is None else max(before, last_ts)
+        if before != known:
+            self.last.update((before,))
+            if known is None and self.keep is not None:
+                self._remind(before)
+        yield from hits
+
+    def _remind(self, last_ts: int) -> None:
+        """One timer per account, at or before the end of what it keeps; it sets the next one if the account has moved on."""
+        self.handle.registerTimer((last_ts + self.keep) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = self.last.get()
-        before = seen["last_ts"].shift()
         if known is not None:
-            fresh = seen["ts"] > known[0]  # a segment that begins at or before the known time cannot end a gap
-            before = before.where(before > known[0], known[0])
-        else:
-            fresh = before.notna()
-        hit = seen[fresh & (seen["ts"] - before >= self.min_gap) & (seen["amount"] >= self.min_amount)]
-        now = int(seen["last_ts"].max())
-        if known is None or now > known[0]:
-            self.last.update((now,))
-            if self.keep is not None:
-                self.handle.registerTimer((now + self.keep) // 1000)
-        if len(hit):
-            yield pd.DataFrame({"account": hit["account"], "id": hit["id"], "ts": hit["ts"], "prev_ts": before[hit.index].astype("int64"), "amount": hit["amount"]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        if known is not None and (known[0] + self.keep) // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()  # else the account has moved on and a later timer holds
+            if (known[0] + self.keep) // 1000 <= timerValues.getCurrentWatermarkInMs():
+                self.last.clear()
+            else:
+                self._remind(known[0])
         return iter(())
 
     def close(self) -> None:
@@ -97,6 +110,6 @@ def dormant_stream(df: DataFrame, account: str, ts: str, amount: str, id_col: st
         keep = int(keep_seconds * 1e6)
         segments = segments.withColumn("at", F.timestamp_micros("last_ts")).withWatermark("at", watermark)
     step = Dormancy(int(min_gap_seconds * 1e6), float(min_amount), keep)
-    flagged = segments.groupBy("account").transformWithStateInPandas(step, FLAGGED, "Append", "None" if keep is None else "EventTime")
+    flagged = segments.groupBy("account").transformWithState(step, FLAGGED, "Append", "None" if keep is None else "EventTime")
     return flagged.select("account", "id", F.timestamp_micros("ts").alias("ts"), F.timestamp_micros("prev_ts").alias("prev_ts"),
                           ((F.col("ts") - F.col("prev_ts")) / F.lit(1e6)).alias("gap_seconds"), "amount")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -61,8 +61,15 @@ def sessions(df: DataFrame, ts: str, gap: str, by, value: str | None = None) ->
     return _output(numbered.groupBy(*keys, "_session").agg(*ends), named, gap, value)
 
 
+#: Rows of the state step's output.
+CHANGE = Row("key", FIRST, LAST, N, TOTAL, "closed")
+
+
 class Sessions(StatefulProcessor):
-    """Open sessions of a key; changes leave as rows, a session that another one has absorbed as a row with no events."""
+    """Open sessions of a key; changes leave as rows, a session that another one has absorbed as a row with no events.
+
+    A key has few rows in a batch, so they are taken as plain tuples, and it has a timer at or before the end of its earliest
+    open session only: the timer closes what is over and sets the next one."""
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -71,36 +78,42 @@ class Sessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", "first long, last long, n long, total double")
 
-    def _rows(self, key, sessions: list[tuple], closed: bool) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *s, closed) for s in sessions], columns=["key", FIRST, LAST, N, TOTAL, "closed"])
+    def _keep(self, sessions: list[tuple], due: int | None = None) -> None:
+        """Store the open sessions; ``due``: an end for which a timer stands already."""
+        self.open.put(sessions) if sessions else self.open.clear()
+        ends = min((s[1] for s in sessions), default=None)
+        if ends is not None and (due is None or ends < due):
+            self.handle.registerTimer((ends + self.gap) // 1000 + 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         known = [tuple(s) for s in self.open.get()]
-        new = [row for chunk in rows if len(chunk) for row in chunk[[FIRST, LAST, N, TOTAL]].itertuples(index=False, name=None)]
         chained: list[tuple] = []
-        for first, last, n, total in sorted((int(f), int(l), int(n), float(t)) for f, l, n, t in known + new):
+        for first, last, n, total in sorted([*known, *(tuple(r)[1:5] for r in rows)]):
             if chained and first - chained[-1][1] < self.gap:
                 f, l, m, t = chained[-1]
                 chained[-1] = (f, max(l, last), m + n, t + total)
             else:
                 chained.append((first, last, n, total))
         before, starts = set(known), {s[0] for s in chained}
-        changed = [s for s in chained if s not in before]
-        gone = [(f, l, 0, 0.0) for f, l, _, _ in known if f not in starts]
-        self.open.put(chained)
-        for _, last, _, _ in changed:
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        if changed or gone:
-            yield self._rows(key, changed + gone, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = [s for s in chained if s[1] + self.gap > now]
+        self._keep(kept, min((s[1] for s in known), default=None))
+        for s in chained:
+            over = s[1] + self.gap <= now  # the watermark has passed it already
+            if over or s not in before:
+                yield CHANGE(key[0], *s, over)
+        for f, l, _, _ in known:
+            if f not in starts:
+                yield CHANGE(key[0], f, l, 0, 0.0, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         known = [tuple(s) for s in self.open.get()]
-        over = [s for s in known if s[1] + self.gap <= now]
-        if over:
-            kept = [s for s in known if s[1] + self.gap > now]
-            self.open.put(kept) if kept else self.open.clear()
-            yield self._rows(key, over, True)
+        if known:
+            self._keep([s for s in known if s[1] + self.gap > now])
+        for s in known:
+            if s[1] + self.gap <= now:
+                yield CHANGE(key[0], *s, True)
 
     def close(self) -> None:
         pass
@@ -129,9 +142,9 @@ def land_sessions(df: DataFrame, ts: str, gap: str, by, target: str, checkpoint:
     prepare(spark)
     keys = _keys(by)
     step_gap = spark.range(1).select(interval_micros(gap)).first()[0]
-    rows = segments_of(df, ts, gap, keys, value).withColumn("at", F.timestamp_micros(LAST)).withWatermark("at", watermark)
+    rows = segments_of(df, ts, gap, keys, value).select("key", FIRST, LAST, N, TOTAL, F.timestamp_micros(LAST).alias("at")).withWatermark("at", watermark)
     shape = f"key string, {FIRST} long, {LAST} long, {N} long, {TOTAL} double, closed boolean"
-    changes = rows.groupBy("key").transformWithStateInPandas(Sessions(step_gap), shape, "Update", "EventTime")
+    changes = rows.groupBy("key").transformWithState(Sessions(step_gap), shape, "Update", "EventTime")
     key = F.from_json("key", T.StructType([df.schema[k] for k in keys]), KEY_TEXT)
     out = _output(changes.withColumn("key", key), [F.col("key")[k].alias(k) for k in keys], gap, value, ["closed"])
     w = out.writeStream.outputMode("update").foreachBatch(batch_writer(target)).option("checkpointLocation", checkpoint)
