@@ -4,9 +4,11 @@ import datetime as dt
 import hashlib
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -130,6 +132,32 @@ def test_bootstrap_interval_is_about_the_normal_one_and_weights_are_poisson(spar
     assert {r.w: r["count"] / 32000 for r in w if r.w < 4} == pytest.approx({k: math.exp(-1) / math.factorial(k) for k in range(4)}, abs=0.01)
 
 
+def test_bootstrap_digests_each_block_of_a_row_once(monkeypatch):
+    # 72 digests were taken for the eight replicates of one block, in one task for one file
+    seen = []
+    monkeypatch.setattr(agg, "md5", lambda text: seen.append(text) or hashlib.md5(text))
+    batch = pa.RecordBatch.from_arrays([pa.array([2020, None, 2020]), pa.array([b"a", b"b", b"c"]), pa.array([Decimal("-123456789012345.67"), Decimal("0.01"), Decimal("99.99")], pa.decimal128(18, 2))],
+                                       names=["_x", "_id", "_y"])
+    out = pa.Table.from_batches(agg._weighted_sums(iter([batch, batch.slice(1)]), 20, 0)).to_pylist()
+    assert len(seen) == 5 * 3 and len(out) == 2 * 20  # three blocks of eight for 20 replicates
+    reached = [math.floor(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(8)]
+    w = lambda i, b: sum(int(hashlib.md5(f"{i}:0:{b // 8}".encode()).hexdigest()[4 * (b % 8):][:4], 16) >= t for t in reached)
+    for r in out:
+        rows = [("b", "0.01", 2)] if r["_x"] is None else [("a", "-123456789012345.67", 1), ("c", "99.99", 2)]
+        assert (r["_s"], r["_n"]) == (sum(k * w(i, r["_b"]) * Decimal(v) for i, v, k in rows), sum(k * w(i, r["_b"]) for i, _, k in rows))
+
+
+def test_bootstrap_work_is_spread_and_keeps_exact_sums_of_any_number(spark):
+    rows = [(i, i % 3, Decimal(10**15 + i), float(i), 2**53 + i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x int, d decimal(38,2), f double, l long").coalesce(1)
+    got = {y: sorted((r.x, r.n, r.ci_low, r.ci_high) for r in agg.line_mean_bootstrap(df, "x", y, "id", n_boot=40).collect()) for y in ("d", "f", "l")}
+    plan = agg.line_mean_bootstrap(df, "x", "d", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan[plan.index("MapInArrow"):]
+    for k in range(3):
+        low = got["f"][k][2]
+        assert got["d"][k][1] == 20 and got["d"][k][2] - 10**15 == pytest.approx(low, abs=0.2) and got["l"][k][2] - 2**53 == pytest.approx(low, abs=2)
+
+
 # --- distinct counts of loads -------------------------------------------------------------------
 
 def test_stored_sketches_merge_and_a_repeated_load_counts_once(spark):

@@ -8,13 +8,23 @@ averages are ``sum / count`` of the exact sum.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txmon.operators.segmented import join_on_keys
 from txmon.operators.topk import count_categories, top_n
+from txmon.session import share_code
+
+try:
+    from _md5 import md5  # the interpreter's own: for short texts about half the time of the TLS library's
+except ImportError:
+    from hashlib import md5
 
 
 def exact_avg(c: str) -> Column:
@@ -129,26 +139,84 @@ def poisson_weights(row_id: Column, block: Column, seed: int) -> list[Column]:
     return [sum((F.when(u >= t, 1).otherwise(0) for t in _REACHED[1:]), F.when(u >= _REACHED[0], 1).otherwise(0)) for u in fractions]
 
 
+#: Rows whose digests are held at once, and values of x whose sums a task holds before it passes them on.
+CHUNK_ROWS, HELD_X = 1024, 200
+
+
+def _weighted_sums(batches: Iterable[pa.RecordBatch], n_boot: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Per x and replicate (_x, _b): the sum of weight * y (_s) and of weights (_n) over a task's rows (_x, _id, _y).
+
+    The weights are those of ``poisson_weights``, from one digest per row and block. Decimals are summed exactly, in 32-bit parts: a
+    chunk's sums of a part stay far below 2^53."""
+    suffixes = [f":{seed}:{block}".encode() for block in range(-(-n_boot // _FRACTIONS))]
+    weight_of = np.searchsorted(_REACHED, np.arange(65536), side="right").astype("float64")
+    held: dict[str, list] = {}
+
+    def parts(y: pa.Array) -> np.ndarray:
+        if not pa.types.is_decimal(y.type):
+            return np.column_stack([y.to_numpy(zero_copy_only=False), np.ones(len(y))])
+        words = np.frombuffer(y.buffers()[1], "<u4").reshape(-1, 4)[y.offset:y.offset + len(y)]
+        return np.column_stack([words[:, :3], words[:, 3].view("<i4"), np.ones(len(y))]).astype("float64")
+
+    def sums(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for x, total in held.values():
+            if pa.types.is_decimal(kind):
+                whole = sum(total[:, i].astype("int64").astype(object) << 32 * i for i in range(4))
+                s = pa.array([Decimal(f"{v}e-{kind.scale}") for v in whole], pa.decimal128(38, kind.scale))
+            else:
+                s = pa.array(total[:, 0])
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(np.zeros(n_boot, "int32"))), pa.array(np.arange(n_boot, dtype="int32")), s, pa.array(total[:, -1].astype("int64"))],
+                                             names=["_x", "_b", "_s", "_n"])
+        held.clear()
+
+    kind = None
+    for batch in batches:
+        kind = batch.column("_y").type
+        for start in range(0, batch.num_rows, CHUNK_ROWS):
+            chunk = batch.slice(start, CHUNK_ROWS)
+            names = np.array([repr(v) for v in chunk.column("_x").to_pylist()], dtype=object)
+            order = sorted(range(len(names)), key=names.__getitem__)
+            names, ids, values = names[order], chunk.column("_id").to_pylist(), parts(chunk.column("_y"))[order]
+            digests = b"".join([md5(ids[i] + suffix).digest() for i in order for suffix in suffixes])
+            weights = weight_of.take(np.frombuffer(digests, ">u2").reshape(len(order), -1)[:, :n_boot])
+            ends = [*(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+            for lo, hi in zip([0, *ends], ends):
+                total = weights[lo:hi].T @ values[lo:hi]
+                if (kept := held.get(names[lo])) is None:
+                    held[names[lo]] = [chunk.column("_x").take(pa.array([order[lo]])), total.astype("int64") if pa.types.is_decimal(kind) else total]
+                else:
+                    kept[1] = kept[1] + (total.astype("int64") if pa.types.is_decimal(kind) else total)
+            if len(held) >= HELD_X:
+                yield from sums(kind)
+    if held:
+        yield from sums(kind)
+
+
 def line_mean_bootstrap(df: DataFrame, x: str, y: str, id_col: str, n_boot: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """Mean of y per x with the plotting library's interval: percentiles of ``n_boot`` bootstrapped means.
 
     Every row counts in each replicate as often as a Poisson(1) number says that a hash of its id and the replicate gives (a
-    multinomial resample in the limit), so one pass sums all replicates side by side, is combined in the map tasks, and shuffles
-    n_boot sums per x however many rows there are; a repeated task or run gives the same interval. Rows that share an id share their
+    multinomial resample in the limit), so one pass sums all replicates side by side: map tasks take one digest per row and eight
+    replicates and multiply the weights with y (``_weighted_sums``), and n_boot sums per x and task are shuffled
+    however many rows there are; a repeated task or run gives the same interval. Rows that share an id share their
     weights. Missing y (NULL or NaN) are left out; an x with a single value has that value at both ends, a replicate that draws
     no row of an x has no mean there.
     """
+    spark = df.sparkSession
+    share_code(spark)
     rows = df.select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(id_col).alias("_id")).filter(F.col("_y").isNotNull() & ~F.isnan(F.col("_y").cast("double")))
-    blocks = F.sequence(F.lit(0), F.lit(-(-n_boot // _FRACTIONS) - 1))
-    weights = poisson_weights(F.col("_id"), F.col("_block"), seed)
-    sums = (rows.select("*", F.explode(blocks).alias("_block")).select("_x", "_block", "_y", *[w.alias(f"_w{i}") for i, w in enumerate(weights)])
-            .groupBy("_x", "_block").agg(*[F.sum(F.col("_y") * F.col(f"_w{i}")).alias(f"_s{i}") for i in range(_FRACTIONS)],
-                                         *[F.sum(f"_w{i}").alias(f"_n{i}") for i in range(_FRACTIONS)]))
-    means = F.array(*[F.struct((F.col("_block") * _FRACTIONS + i).alias("b"), F.try_divide(F.col(f"_s{i}").cast("double"), F.col(f"_n{i}")).alias("m"))
-                      for i in range(_FRACTIONS)])
+    kind = rows.schema["_y"].dataType
+    number = kind if isinstance(kind, T.DecimalType) else T.DecimalType(20, 0) if isinstance(kind, T.IntegralType) else T.DoubleType()
+    summed = T.DecimalType(38, number.scale) if isinstance(number, T.DecimalType) else number
+    # the work is in the rows, not in their bytes: equal parts for all tasks, whatever files the rows come from
+    spread = rows.select("_x", F.coalesce(F.col("_id").cast("string"), F.lit("null")).cast("binary").alias("_id"), F.col("_y").cast(number).alias("_y")).repartition(
+        max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    shape = T.StructType([T.StructField("_x", rows.schema["_x"].dataType), T.StructField("_b", T.IntegerType()), T.StructField("_s", summed), T.StructField("_n", T.LongType())])
+    sums = (spread.mapInArrow(lambda batches: _weighted_sums(batches, n_boot, seed), shape)
+            .groupBy("_x", "_b").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n")))
     tail = (1 - level) / 2
-    ends = (sums.select("_x", F.explode(means).alias("r")).filter(F.col("r.b") < n_boot)
-            .groupBy("_x").agg(F.percentile("r.m", [tail, 1 - tail]).alias("_ends")))
+    ends = (sums.select("_x", F.try_divide(F.col("_s").cast("double"), F.col("_n")).alias("m"))
+            .groupBy("_x").agg(F.percentile("m", [tail, 1 - tail]).alias("_ends")))
     mean = rows.groupBy("_x").agg(exact_avg("_y").alias("mean"), F.count("_y").alias("n"))
     return join_on_keys(mean, ends, ["_x"]).select(F.col("_x").alias(x), "mean", "n", F.col("_ends")[0].alias("ci_low"), F.col("_ends")[1].alias("ci_high"))
 
