@@ -66,6 +66,29 @@ def test_box_statistics_take_two_scans_and_shuffle_little(spark):
     assert final.count("Scan parquet") - final.count("ReusedExchange") <= 2 or final.count("Scan parquet") <= 4
 
 
+def test_rows_of_a_hot_group_are_not_shuffled_to_meet_their_brackets(spark):
+    df = spark.range(60000, numPartitions=6).select(F.when(F.col("id") >= 0, "all").alias("g"), ((F.col("id") * 7919) % 60000).cast("double").alias("v"))
+    rows = dist.bracketed(df, ["g"], "v", dist.QUARTILES, dist.sketched(df, ["g"], "v", dist.QUARTILES))
+    assert rows.agg(F.sum("_c")).first()[0] == 60000
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    box = dist.box_stats(df, "g", "v").first()
+    assert (box.n, box.min, box.q1, box.median, box.q3, box.max) == (60000, 0.0, 14999.75, 29999.5, 44999.25, 59999.0)
+
+
+def test_groups_without_brackets_have_the_same_quantiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = {f"g{i}": rng.normal(i, 1, 5000) for i in range(3)} | {"few": rng.normal(0, 1, 5)}
+    df = frame(spark, data).withColumn("g", F.nullif("g", F.lit("g1")))
+    quantiles = lambda: {(r.g, r.q): r.quantile for r in dist.exact_quantiles(df, "g", "v").collect()}
+    want = quantiles()
+    monkeypatch.setattr(dist, "BRACKETED", 2)  # no group has half of all rows
+    st = dist.sketched(df, ["g"], "v", dist.QUARTILES)
+    assert dist.bracketed(df, ["g"], "v", dist.QUARTILES, st).count() == 15005
+    assert quantiles() == want and want[(None, 0.5)] == pytest.approx(np.median(data["g1"]))
+
+
 def test_infinities_are_left_out_of_bins_and_densities(spark):
     values = [1.0, 2.0, 3.0, 4.0, INF, -INF, NAN, None]
     df = spark.createDataFrame([("g", v, v) for v in values], "g string, v double, w double")

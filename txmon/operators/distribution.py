@@ -104,6 +104,8 @@ def value_counts_by(df: DataFrame, by, value: str) -> DataFrame:
 #: Rank error of the sketch is n / SKETCH; groups of at most SMALL rows are kept whole (off-by-one ranks matter there).
 SKETCH = 1000
 SMALL = 4 * SKETCH
+#: Brackets are sent to every task: at most this many groups have them, the others (under 1 / BRACKETED of all rows each) are kept whole.
+BRACKETED = 50_000
 
 
 def sketched(df: DataFrame, g: list[str], value: str, qs, **more: Column) -> DataFrame:
@@ -121,11 +123,16 @@ def sketched(df: DataFrame, g: list[str], value: str, qs, **more: Column) -> Dat
 
 def bracketed(df: DataFrame, g: list[str], value: str, qs, st: DataFrame) -> DataFrame:
     """Second scan: (group..., _v, _out, _c). Rows inside a bracket keep their value; all others are only counted, at the
-    bracket end below them (_out = 1), so what is shuffled is a few counts and the brackets' distinct values."""
+    bracket end below them (_out = 1), so what is shuffled is a few counts and the brackets' distinct values.
+
+    The rows meet their brackets where they are read: a shuffle on the group would bring a hot group's rows to one task."""
     v = df.select(*g, F.col(value).cast("double").alias("_v")).filter(is_number(F.col("_v")))
     los, his = [F.col(f"_lo_{i}") for i, _ in enumerate(qs)], [F.col(f"_hi_{i}") for i, _ in enumerate(qs)]
-    rows = attach(v, st.select(*g, "_min", *[f"_{s}_{i}" for i, _ in enumerate(qs) for s in ("lo", "hi")]), g)
+    total = st.select(F.sum("_n")).scalar()
+    wide = st.filter((F.col("_n") > SMALL) & (F.col("_n") > total / BRACKETED))
+    rows = join_on_keys(v, F.broadcast(wide.select(*g, "_min", *[f"_{s}_{i}" for i, _ in enumerate(qs) for s in ("lo", "hi")])), g)
     inside = reduce(lambda a, b: a | b, [(lo <= F.col("_v")) & (F.col("_v") <= hi) for lo, hi in zip(los, his)])
+    inside = F.coalesce(inside, F.lit(True))  # no bracket: a group that is kept whole
     below = F.greatest(F.col("_min"), F.col("_min"), *[F.when(hi < F.col("_v"), hi) for hi in his])
     return (rows.select(*g, F.when(inside, F.col("_v")).otherwise(below).alias("_v"), (~inside).cast("int").alias("_out"))
                 .groupBy(*g, "_v", "_out").agg(F.count(F.lit(1)).alias("_c")))
