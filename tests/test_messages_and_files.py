@@ -106,3 +106,19 @@ def test_cells_are_taken_by_name(spark):
     assert got == {"g1": ("AA", "5", *day), "g2": (None, "1,5", *day), "l1": ("BB", "6", *day), "l2": ("CC", "7", *day), "o1": ("DD", None, *day),
                    "o2": ("é", None, *day), "s1": (None, None, *day), "s2": ("EE", "8", *day)}
     assert bad.count() == 0
+
+
+def test_rows_of_a_large_file_are_neither_sorted_nor_shuffled_nor_kept(spark):
+    base = scratch_path(spark, "files")
+    for name in ("good", "ragged"):
+        put(base, name, 1)
+    rows = fs.read_file_rows(spark, base, layout="plain")
+    assert all(len(r.cells) == r.width for r in fs._numbered(rows).collect())  # not 64 cells a row
+    good, bad = fs.by_header(rows)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "SortAggregate" not in plan
+    kept = fs.file_heads(rows).persist()
+    assert {(r.source_file.rpartition("/")[2], r.error) for r in kept.collect()} == {("good.csv", None), ("ragged.csv", "a row has more cells than the header")}
+    plan = fs.by_header(rows, files=kept)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
+    kept.unpersist()

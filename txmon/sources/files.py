@@ -89,7 +89,26 @@ def read_file_rows(spark: SparkSession, base: str, streaming: bool = False, layo
     return df.select(F.array(*names).alias("cells"), width.alias("width"), "source_file", *PARTITION_COLUMNS)
 
 
-def by_header(rows: DataFrame, columns: list[str] = ROUTED_COLUMNS, required: tuple = ("transaction_id",)) -> tuple[DataFrame, DataFrame]:
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows that have cells, up to the last one, with numbers that ascend within a file."""
+    return rows.filter("width > 0").withColumns({"cells": F.slice("cells", F.lit(1), F.col("width")), "_row": F.monotonically_increasing_id()})
+
+
+def file_heads(rows: DataFrame, required: tuple = ("transaction_id",)) -> DataFrame:
+    """One row per file of ``read_file_rows``: its first row's number (_first) and cells (_names), and ``error`` where it is unreadable.
+    (The set of faults keeps this a hash aggregate: nothing sorts a file's rows for its first one.)"""
+    files = _numbered(rows).groupBy("source_file", *PARTITION_COLUMNS).agg(
+        F.min("_row").alias("_first"), F.min_by(F.struct("cells", "width"), "_row").alias("_head"), F.max("width").alias("_widest"),
+        F.collect_set(F.when(F.exists("cells", lambda c: c.contains("\ufffd")), F.lit("not UTF-8 text"))).alias("_faults"))
+    names = F.col("_head.cells")
+    errors = [F.get("_faults", F.lit(0)),
+              *[F.when(~F.array_contains(names, c) | F.array_contains(names, c).isNull(), F.lit(f"no column {c}")) for c in required],
+              F.when(F.col("_widest") >= MAX_CELLS, F.lit(f"{MAX_CELLS} cells or more in a row")),
+              F.when(F.col("_widest") > F.col("_head.width"), F.lit("a row has more cells than the header"))]
+    return files.select("source_file", *PARTITION_COLUMNS, "_first", names.alias("_names"), F.coalesce(*errors).alias("error"))
+
+
+def by_header(rows: DataFrame, columns: list[str] = ROUTED_COLUMNS, required: tuple = ("transaction_id",), files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of readable files, unreadable files) of ``read_file_rows``.
 
     Each file's first row names its columns: cells are taken by name, in whatever order the file has them, columns it does
@@ -97,22 +116,14 @@ def by_header(rows: DataFrame, columns: list[str] = ROUTED_COLUMNS, required: tu
     column is missing, a row has more cells than the header, there are ``MAX_CELLS`` cells or more, or the bytes
     are not UTF-8 (the reader puts U+FFFD for those). A file with nothing but a header gives no rows.
 
-    Both results read ``rows`` again: persist it. A file is read by one task (its rows may span lines), so the row
-    numbers that find its first row ascend within it.
+    The files are read once for their heads and once for their rows, which never leave the task that reads them: the heads, one
+    per file, are sent to all tasks. Pass ``files`` (``file_heads``, persisted) to share the first read among both results. A file is read
+    by one task (its rows may span lines), so the row numbers that find its first row ascend within it.
     """
-    cells = rows.filter("width > 0").withColumn("_row", F.monotonically_increasing_id())
-    files = cells.groupBy("source_file", *PARTITION_COLUMNS).agg(
-        F.min("_row").alias("_first"), F.min_by(F.struct("cells", "width"), "_row").alias("_head"), F.max("width").alias("_widest"),
-        F.max(F.exists("cells", lambda c: c.contains("\ufffd"))).alias("_garbled"))
-    names = F.col("_head.cells")
-    errors = [F.when(F.col("_garbled"), F.lit("not UTF-8 text")),
-              *[F.when(~F.array_contains(names, c) | F.array_contains(names, c).isNull(), F.lit(f"no column {c}")) for c in required],
-              F.when(F.col("_widest") >= MAX_CELLS, F.lit(f"{MAX_CELLS} cells or more in a row")),
-              F.when(F.col("_widest") > F.col("_head.width"), F.lit("a row has more cells than the header"))]
-    files = files.withColumn("error", F.coalesce(*errors))
+    files = file_heads(rows, required) if files is None else files
     bad = files.filter("error IS NOT NULL").select("source_file", *PARTITION_COLUMNS, "error")
-    heads = files.filter("error IS NULL").select(F.col("source_file").alias("_file"), "_first", names.alias("_names"))
-    good = cells.join(heads, (F.col("source_file") == F.col("_file")) & (F.col("_row") != F.col("_first")))
+    heads = files.filter("error IS NULL").select(F.col("source_file").alias("_file"), "_first", "_names")
+    good = _numbered(rows).join(F.broadcast(heads), (F.col("source_file") == F.col("_file")) & (F.col("_row") != F.col("_first")))
     at = {c: F.coalesce(F.array_position("_names", c), F.lit(0)).cast("int") for c in columns}
     return good.select(*[F.when(at[c] > 0, F.try_element_at("cells", at[c])).alias(c) for c in columns], "source_file", *PARTITION_COLUMNS), bad
 

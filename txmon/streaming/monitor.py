@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from txmon.operators.alerts import alert_messages, error_message
 from txmon.operators.rules import RuleConfig
 from txmon.sources.events import decode_events
-from txmon.sources.files import ROUTED_COLUMNS, by_header, read_file_rows
+from txmon.sources.files import ROUTED_COLUMNS, by_header, file_heads, read_file_rows
 from txmon.sources.sinks import PARTITIONS, batch_writer, to_text_columns, with_route_partitions
 
 
@@ -74,11 +74,11 @@ def alert_stream(spark: SparkSession, routed_base: str, target: str, checkpoint:
     write = batch_writer(target)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # headers, rows and errors come from one read
+        heads = file_heads(batch).persist()  # one row per file; the rows themselves are read again, not kept
         try:
-            write(alert_rows(*by_header(batch)), batch_id)
+            write(alert_rows(*by_header(batch, files=heads)), batch_id)
         finally:
-            batch.unpersist()
+            heads.unpersist()
 
     return _trigger(rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint), trigger).start()
 
