@@ -1,8 +1,12 @@
 """Report surface: chart dispatch validation, per-topic failures, table description."""
 
+import datetime as dt
+from decimal import Decimal
 import pytest
 
 from tests.conftest import SF_SMALL
+from pyspark.sql import functions as F
+
 from txmon.plans import charts
 from txmon.plans import fixtures as fx
 from txmon.plans import reports as rp
@@ -66,3 +70,15 @@ def test_charts_keep_every_category_unless_asked(spark):
     assert charts.chart_data(df, "bar_mean_chart", x_col="x", y_col="y", max_x=20).count() == 20
     assert charts.chart_data(df, "pie_chart", names="x", values="y").count() == 30
     assert charts.chart_data(df, "pie_chart", names="x", values="y", max_categories=10).count() == 10
+
+
+def test_exact_distinct_counts_shuffle_short_rows(spark):
+    rows = [(i, f"t{i % 7}" if i % 5 else None, [float("nan"), 0.0, -0.0, 1.5, None][i % 5], dt.datetime(2024, 1, 1 + i % 3), Decimal(i % 4), [i % 2], bool(i % 2)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, `a.b` string, f double, ts timestamp, d decimal(9,2), l array<int>, b boolean").withColumn("none", F.lit(None).cast("string")).withColumn("other", F.col("ts"))
+    exact = rp.describe_table(df, exact_distinct=True)
+    got = {r.column_name: (r.distinct_count, r.null_count, r.row_count) for r in exact.collect()}
+    assert got == {"id": (100, 0, 100), "a.b": (7, 20, 100), "f": (3, 20, 100), "ts": (3, 0, 100), "d": (4, 0, 100), "l": (2, 0, 100), "b": (2, 0, 100), "none": (0, 100, 100), "other": (3, 0, 100)}
+    want = df.select(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in df.columns]).first().asDict()
+    assert {c: n for c, (n, _, _) in got.items()} == want
+    assert "Expand" not in exact._jdf.queryExecution().executedPlan().toString()  # each row was copied whole for each column, and sorted
+    assert [r.distinct_count for r in rp.describe_table(df.limit(0), exact_distinct=True).collect()] == [0] * 9
