@@ -171,3 +171,19 @@ def test_coarser_folders_hold_the_day_as_a_column(spark):
     coarse = fs.read_routed(spark, base, schema=schema + ", day string")
     assert table(coarse.select(*fs.read_routed(spark, fine, schema=schema).columns)) == table(fs.read_routed(spark, fine, schema=schema))
     assert n_files(base) < n_files(fine) / 5
+
+
+def test_periods_that_may_hold_keys_are_found_without_asking_every_key_of_each(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"2024-01-{1 + i % 20:02}", f"key-{i}") for i in range(8000)] + [("rare", "key-rare"), ("none", "key-none")], "period string, key string")
+    index = spark.createDataFrame(ki.index_of(rows).collect(), ki.SCHEMA).persist()
+    asked, plain = [], ki.candidates
+    monkeypatch.setattr(ki, "candidates", lambda keys, periods: asked.append((keys.count(), {r.period for r in periods.select("period").distinct().collect()})) or plain(keys, periods))
+    keys = rows.filter("key <> 'key-none'").select("key")
+    got = ki.candidate_periods(keys, index)
+    want = {r.period for r in plain(keys, index).select("period").distinct().collect()}
+    assert set(got) == want and got == sorted(got) and {f"2024-01-{d:02}" for d in range(1, 21)} | {"rare"} <= want
+    (few, every), (all_keys, others) = asked
+    assert few < 8001 / 30 and len(every) == 22 and all_keys == 8001 and others <= {"rare", "none"}
+    assert ki.candidate_periods(keys.limit(0), index) == [] == ki.candidate_periods(keys, index.limit(0))
+    assert "lambda" not in plain(keys, index)._jdf.queryExecution().executedPlan().toString()  # compiled: bitmaps are not copied per key
+    index.unpersist()

@@ -2,11 +2,11 @@
 
 import datetime as dt
 from decimal import Decimal
-import pytest
 
-from tests.conftest import SF_SMALL
+import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF_SMALL
 from txmon.plans import charts
 from txmon.plans import fixtures as fx
 from txmon.plans import reports as rp

@@ -7,6 +7,8 @@ misses a key, it may name a period too many: the folders it names are read and c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,18 @@ from pyspark.sql import functions as F
 #: Bits of a bitmap of Spark's bitmap functions, bits set per key, and bits planned per key (about 1 in 200 false answers).
 BITS, HASHES, BITS_PER_KEY = 32768, 6, 12
 
+#: One key in so many is asked of every period first.
+FIRST_ASKED = 64
+
 SCHEMA = "period string, blocks long, block long, bits binary"
 
 
+def _place(key: Column, i: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BITS))
+
+
 def _places(key: Column) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BITS)) for i in range(HASHES)])
+    return F.array(*[_place(key, i) for i in range(HASHES)])
 
 
 def _block(key: Column, blocks: Column) -> Column:
@@ -26,11 +35,12 @@ def _block(key: Column, blocks: Column) -> Column:
 
 
 def _holds(bits: Column, key: Column) -> Column:
+    """One condition per hash, no lambda: it is compiled into the join, which then never copies a bitmap per row."""
     def is_set(place: Column) -> Column:
         byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
         return F.getbit(byte, (place % 8).cast("int")) == 1
 
-    return F.forall(_places(key), is_set)
+    return reduce(lambda a, b: a & b, [is_set(_place(key, i)) for i in range(HASHES)])
 
 
 def index_of(rows: DataFrame) -> DataFrame:
@@ -56,6 +66,19 @@ def candidates(keys: DataFrame, index: DataFrame) -> DataFrame:
     return maybe.join(by_period, ["blocks", "block"]).filter(_holds(F.col("bits"), F.col("key"))).select("key", "period").distinct()
 
 
+def candidate_periods(keys: DataFrame, index: DataFrame) -> list[str]:
+    """Every stored period that may hold a key of ``keys``: those of ``candidates``.
+
+    Most periods that hold keys are named by few of them: one key in ``FIRST_ASKED`` is asked of all periods, then every key of the
+    periods that are not named yet."""
+    def named(some: DataFrame, periods: DataFrame) -> list[str]:
+        return [r.period for r in candidates(some, periods).select("period").distinct().collect()]  # at most one per folder
+
+    first = named(keys.filter(F.pmod(F.xxhash64("key", F.lit(-2)), F.lit(FIRST_ASKED)) == 0), index)
+    rest = index.filter(~F.col("period").isin(first)) if first else index
+    return sorted([*first, *named(keys, rest)])
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """The stored index; empty before the first load."""
     try:

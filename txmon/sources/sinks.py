@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from txmon.operators.reconcile import dedup_earliest
 from txmon.operators.rules import RuleConfig, flag_reasons, route
-from txmon.sources.keyindex import candidates, index_of, read_index
+from txmon.sources.keyindex import candidate_periods, index_of, read_index
 
 PARTITIONS = ["route", "year", "month", "day"]
 
@@ -109,7 +109,7 @@ def load_by_period(df: DataFrame, path: str, key: str = "transaction_id", order:
         index = read_index(spark, f"{path}_keys")
         keys = new.select(F.col(key).cast("string").alias("key"))
         stored = index.select("period").distinct().count()
-        asked = sorted(r.period for r in candidates(keys, index).select("period").distinct().collect())  # at most one per folder
+        asked = candidate_periods(keys, index)
         fresh = new
         columns = T.StructType([new.schema[key], new.schema["load_period"]])  # a folder's name is text, whatever it looks like
         if asked and (table := _existing(spark, path, fmt, columns)) is not None:
