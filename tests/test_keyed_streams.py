@@ -232,7 +232,7 @@ def test_a_key_of_many_sessions_has_one_timer(spark):
 
 
 def test_an_account_has_one_timer_however_often_it_moves_on(spark):
-    h, step = Handle(), dm.Dormancy(HOUR, 1.0, 10 * HOUR)
+    h, step = Handle(), dm.RowDormancy(HOUR, 1.0, 10 * HOUR)
     h.lists = False
     step.init(h)
     for batch in range(5):

@@ -10,7 +10,7 @@ time are late: they are not flagged and do not move the state back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Row
@@ -35,7 +35,7 @@ def first_and_last(rows: pd.DataFrame) -> pd.DataFrame:
 
 class Dormancy(StatefulProcessor):
     """Flags first rows of segments whose previous transaction, in the batch or in the state, is long past. An account has
-    few segments in a batch, so they are taken as plain rows."""
+    few segments in a batch, so they are compared as plain tuples. (Takes frames; ``RowDormancy`` takes rows.)"""
 
     def __init__(self, min_gap: int, min_amount: float, keep: int | None):
         self.min_gap, self.min_amount, self.keep = min_gap, min_amount, keep
@@ -44,7 +44,13 @@ class Dormancy(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "last_ts long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = ["account", "segment", "id", "ts", "amount", "last_ts"]
+        hits = self._hits(key, (row for chunk in rows for row in chunk[columns].itertuples(index=False, name=None)))
+        if hits:
+            yield pd.DataFrame(hits, columns=["account", "id", "ts", "prev_ts", "amount"])
+
+    def _hits(self, key, rows: Iterable[tuple]) -> list[tuple]:
         segments: dict[int, tuple] = {}  # a segment's first row by (ts, id), missing ids last, and its last time
         for _, segment, id_, ts, amount, last_ts, *_ in rows:
             row, seen = ((ts, id_ is None, id_ or ""), id_, ts, amount, last_ts), segments.get(segment)
@@ -53,7 +59,7 @@ class Dormancy(StatefulProcessor):
             elif last_ts > seen[4]:
                 segments[segment] = (*seen[:4], last_ts)
         if not segments:
-            return
+            return []
         stored = self.last.get()
         known = before = None if stored is None else stored[0]
         hits = []
@@ -61,19 +67,19 @@ class Dormancy(StatefulProcessor):
             # a segment that begins at or before the known time cannot end a gap
             fresh = before is not None and (known is None or ts > known)
             if fresh and ts - before >= self.min_gap and amount is not None and amount >= self.min_amount:
-                hits.append(FLAGGED_ROW(key[0], id_, ts, before, amount))
+                hits.append((key[0], id_, ts, before, amount))
             before = last_ts if before is None else max(before, last_ts)
         if before != known:
             self.last.update((before,))
             if known is None and self.keep is not None:
                 self._remind(before)
-        yield from hits
+        return hits
 
     def _remind(self, last_ts: int) -> None:
         """One timer per account, at or before the end of what it keeps; it sets the next one if the account has moved on."""
         self.handle.registerTimer((last_ts + self.keep) // 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         known = self.last.get()
         if known is not None:
             if (known[0] + self.keep) // 1000 <= timerValues.getCurrentWatermarkInMs():
@@ -86,6 +92,14 @@ class Dormancy(StatefulProcessor):
         pass
 
 
+class RowDormancy(Dormancy):
+    """The same on rows: no frame is built for an account."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for hit in self._hits(key, (tuple(row) for row in rows)):
+            yield FLAGGED_ROW(*hit)
+
+
 def account_segments(df: DataFrame, account: str, ts: str, amount: str, id_col: str, min_gap_seconds: float) -> DataFrame:
     """The rows that reach the state step: per account and segment one (first row, last time) from each map task."""
     length = max(1, min(HOUR, int(min_gap_seconds * 1e6)))
@@ -109,7 +123,7 @@ def dormant_stream(df: DataFrame, account: str, ts: str, amount: str, id_col: st
     if keep_seconds is not None:
         keep = int(keep_seconds * 1e6)
         segments = segments.withColumn("at", F.timestamp_micros("last_ts")).withWatermark("at", watermark)
-    step = Dormancy(int(min_gap_seconds * 1e6), float(min_amount), keep)
+    step = RowDormancy(int(min_gap_seconds * 1e6), float(min_amount), keep)
     flagged = segments.groupBy("account").transformWithState(step, FLAGGED, "Append", "None" if keep is None else "EventTime")
     return flagged.select("account", "id", F.timestamp_micros("ts").alias("ts"), F.timestamp_micros("prev_ts").alias("prev_ts"),
                           ((F.col("ts") - F.col("prev_ts")) / F.lit(1e6)).alias("gap_seconds"), "amount")
