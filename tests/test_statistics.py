@@ -70,8 +70,12 @@ def test_rows_of_a_hot_group_are_not_shuffled_to_meet_their_brackets(spark):
     df = spark.range(60000, numPartitions=6).select(F.when(F.col("id") >= 0, "all").alias("g"), ((F.col("id") * 7919) % 60000).cast("double").alias("v"))
     rows = dist.bracketed(df, ["g"], "v", dist.QUARTILES, dist.sketched(df, ["g"], "v", dist.QUARTILES))
     assert rows.agg(F.sum("_c")).first()[0] == 60000
-    rows.collect()
-    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table, whose statistics have no known size
+    try:
+        plan = rows.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     box = dist.box_stats(df, "g", "v").first()
     assert (box.n, box.min, box.q1, box.median, box.q3, box.max) == (60000, 0.0, 14999.75, 29999.5, 44999.25, 59999.0)
