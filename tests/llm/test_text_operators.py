@@ -294,6 +294,132 @@ def test_decontam_odd_rows(spark, make_docs):
     assert [r.leaks for r in none] == [[]]
 
 
+def _sharing_state(queries, size, need):
+    """What ``sharing`` reads of a block: every distinct word of a query tells, ``need`` of them are enough."""
+    telling = [np.unique(q) for q in queries]
+    marked = np.concatenate(telling)
+    order = np.argsort(marked, kind="stable")
+    return {"mark_query": np.repeat(np.arange(len(queries)), [len(x) for x in telling]), "mark_need": np.full(len(queries), need),
+            "mark_of": order, "mark_at": np.searchsorted(marked[order], np.arange(size + 1))}
+
+
+def test_word_ids_are_those_of_single_words():
+    """Any case, edges of punctuation, words of points only, odd white space, final sigmas, letters that grow, empty texts."""
+    import pyarrow as pa
+
+    from txmon.llm.lsa_decontam import normal, word_ids
+
+    parts = ["ΑΣ", "ΑΣ.", "Σ", "ΣΑ", "ΟΔΟΣ'", "İstanbul", "Word", "(word)", "..word..", "*** --", "caf\u00c9", "\u201cword\u201d", "\u2014", "a\u00a0b", "a\u2028B",
+             "a\x1cb", "a\x00b", "\u1e9e", "don't", "x.y", "\U00010400", "", "WORD!", "'"]
+    rng = random.Random(9)
+    texts = ["", " ", "\t\n", "..."] + [rng.choice(" \t\n\x0b\x0c\r").join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400)]
+    known = sorted({normal(w) for p in parts[::2] for w in p.encode().split()} - {""})
+    places = {w: i for i, w in enumerate(known)}
+    got = word_ids(pa.array([t.encode() for t in ["skipped", *texts]], pa.binary()).slice(1), pa.array([*known, ""], pa.string()))
+    want = [[places.get(n, -1) for n in map(normal, t.encode().split()) if n] for t in texts]
+    assert [x.tolist() for x in got] == want
+    assert [x.tolist() for x in word_ids(pa.array([b"a b", b""], pa.binary()), pa.array([""], pa.string()))] == [[-1, -1], []]
+
+
+def test_segment_sums_of_short_and_long_runs():
+    from txmon.llm.lsa_decontam import segment_sums
+
+    rng = np.random.default_rng(2)
+    many = np.array([1, 40, 2, 32, 33, 1, 5000, 64, 3])
+    index, table = rng.integers(0, 50, many.sum()), rng.random((50, 7))
+    heads = np.cumsum(many) - many
+    assert np.allclose(segment_sums(table, index, heads), np.add.reduceat(table[index], heads, axis=0))
+
+
+def test_passages_of_words_are_counted_once(spark):
+    from txmon.llm.lsa_decontam import PASSAGE, STEP, document_frequency
+
+    rng, size, cut = np.random.default_rng(3), 30, STEP * PASSAGE
+    docs = [rng.integers(-1, size, n).astype(np.int32) for n in (0, 1, 63, 64, 65, 300, 0, 129)]
+    rows = spark.createDataFrame([(bytearray(d.tobytes()),) for d in docs], "_ids binary").coalesce(2)
+    pieces = [set(d[k:k + cut].tolist()) for d in docs for k in range(0, len(d), cut)]
+    here = np.append(np.where(np.arange(size) % 3 == 0, -1, np.arange(size)), -1)  # a third is not of the block
+    df, n = document_frequency(rows, here, size)
+    assert n == len(pieces) and df.tolist() == [0 if w % 3 == 0 else sum(w in p for p in pieces) for w in range(size)]
+
+
+def test_windows_sharing_words_equal_brute_force():
+    """Words that stand often in a window count once."""
+    from txmon.llm.lsa_decontam import STEP, WINDOWS, places, sharing
+
+    rng, size, need = np.random.default_rng(4), 40, 5
+    queries = [rng.integers(0, size, n) for n in (9, 12, 30)]
+    docs = [rng.choice([-1, *range(size)], n, p=[0.8] + [0.2 / size] * size) for n in (0, 10, 200, 400, 65)] + [np.full(100, queries[0][0])]
+    ids, at, first = places(docs, STEP)
+    got = list(sharing(ids, at, first, _sharing_state(queries, size, need)))
+    want = set()
+    for k, doc in enumerate(docs):
+        for step in range(-(-len(doc) // STEP)):
+            there = set(doc[step * STEP:(step + max(WINDOWS)) * STEP].tolist())
+            want |= {(int(first[k]) + step, max(WINDOWS), q) for q, row in enumerate(queries) if len(there & set(row.tolist())) >= need}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def _cpu_seconds(run, times=3):
+    import time
+
+    spent = []
+    for _ in range(times):
+        start = time.process_time()
+        run()
+        spent.append(time.process_time() - start)
+    return min(spent)
+
+
+def test_words_take_far_less_time_than_one_lookup_each():
+    """Numbering words was a third of the operator's time, one look-up a word and one call a distinct word."""
+    import pyarrow as pa
+
+    from txmon.llm.lsa_decontam import normal, word_ids
+
+    rng = random.Random(6)
+    texts = [" ".join(f"W{rng.randrange(500)}" if j % 4 else f"n{rng.randrange(10**9)}\u00e9" for j in range(300)).encode() for _ in range(1000)]
+    known = {f"w{i}": i for i in range(400)}
+
+    def single():
+        seen = {}
+        for t in texts:
+            for w in t.split():
+                if w not in seen:
+                    seen[w] = known.get(normal(w), -1)
+                seen[w]
+
+    column, names = pa.array(texts, pa.binary()), pa.array([*known, ""], pa.string())
+    assert _cpu_seconds(lambda: word_ids(column, names)) < 0.8 * _cpu_seconds(single)
+
+
+def test_gram_matrix_takes_far_less_time_than_one_scaled_row_a_word():
+    """Sums by segment over 240 columns were a third of the operator's time."""
+    from txmon.llm.lsa_decontam import PASSAGE, STEP, gram_times
+
+    rng = np.random.default_rng(7)
+    size, passages = 3000, 2000
+    ids = np.where(rng.random(passages * STEP * PASSAGE) < 0.2, (size * rng.random(passages * STEP * PASSAGE) ** 3).astype(np.int64), -1)
+    at = np.repeat(np.arange(passages), STEP * PASSAGE)
+    weight, omega = rng.random(size) + 0.5, rng.choice(np.float32([-1, 1]), (size, 240))
+
+    def plain():
+        out = np.zeros(omega.shape)
+        w = np.where(ids >= 0, weight[np.maximum(ids, 0)], 0.7)
+        use = np.flatnonzero(ids >= 0)
+        x = (w[use] / np.sqrt(np.bincount(at, w * w))[at[use]]).astype(np.float32)[:, None]
+        rows = np.add.reduceat(omega[ids[use]] * x, heads := np.flatnonzero(np.diff(at[use], prepend=-1)), axis=0)
+        owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(use))))
+        order = np.argsort(ids[use], kind="stable")
+        own = ids[use][order]
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[heads]] += np.add.reduceat(rows[owner[order]] * x[order], heads, axis=0)
+        return out
+
+    assert np.allclose(plain(), gram_times(ids, at, weight, 0.7, omega), atol=1e-3)
+    assert _cpu_seconds(lambda: gram_times(ids, at, weight, 0.7, omega)) < 0.7 * _cpu_seconds(plain)
+
+
 # --- licences -----------------------------------------------------------------------------------
 
 def test_licences_and_nearest_ancestor(spark):

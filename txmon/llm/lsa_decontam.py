@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,9 +53,10 @@ SURE_LCS = 0.7  # this much of an item in order needs no answer words
 SHORT_ITEM = 8
 ITEM_WEIGHT = 8.0
 _EDGE = ".,;:!?\"'()[]{}*#%&$|<>"
-_CACHE = 300_000
 _SLICE = 1 << 20  # bytes of ids, four a word
 _CHUNK = 2048  # words or windows multiplied at once
+_WORDS = 1 << 16  # words whose Gram matrix is multiplied at once
+_RUN = 32  # rows of a run summed at once
 _PAIRS = 1 << 17  # (word, query) pairs counted at once
 
 
@@ -62,25 +64,24 @@ def normal(word: bytes) -> str:
     return word.decode().lower().strip(_EDGE)
 
 
-class Words(dict):
-    """Raw words to ids of the benchmark's vocabulary; -1 for any other, -2 for words that are punctuation only."""
+def word_ids(texts: pa.Array, vocabulary: pa.Array) -> list[np.ndarray]:
+    """Every text's words as ids of the benchmark's vocabulary, -1 for any other; words that are punctuation only are left out.
 
-    def __init__(self, ids: dict[str, int]):
-        super().__init__()
-        self.ids = ids
-
-    def __missing__(self, word: bytes) -> int:
-        plain = normal(word)
-        found = self.ids.get(plain, -1) if plain else -2
-        if len(self) > _CACHE:
-            self.clear()
-        self[word] = found
-        return found
-
-    def of(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return out[out != -2]
+    ``vocabulary`` ends with the empty word. The words are made plain as ``normal`` does, as columns; those beyond ASCII are
+    lower-cased in one string, with spaces between, so that a word's last letter stays its last.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words = split.flatten()
+    odd = pc.invert(pc.string_is_ascii(words))
+    if pc.any(odd).as_py():
+        other = words.filter(odd)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(other)], other), " ")[0].as_py()
+        words = pc.replace_with_mask(words, odd, pc.ascii_split_whitespace(pa.array([joined.lower()], pa.string())).flatten())
+    ids = pc.index_in(pc.ascii_trim(words, characters=_EDGE), value_set=vocabulary).fill_null(-1).to_numpy()
+    full = ids != len(vocabulary) - 1
+    ends = np.concatenate(([0], np.cumsum(full)))[split.offsets.to_numpy()].tolist()
+    ids = ids[full]
+    return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 def places(docs: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,6 +117,11 @@ def _sum_rows(parts: DataFrame) -> DataFrame:
     return parts.repartition("i").sortWithinPartitions("i").mapInArrow(run, "i int, row binary")
 
 
+def by_word(own: np.ndarray, size: int) -> np.ndarray:
+    """Stable order of ``own``, ids under ``size``; short ids are sorted by digits."""
+    return np.argsort(own.astype(np.uint16) if size <= 1 << 16 else own, kind="stable")
+
+
 def document_frequency(rows: DataFrame, here: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     """(passages holding each of the block's words, passages) over all documents; ``here`` maps vocabulary to block ids."""
 
@@ -125,8 +131,10 @@ def document_frequency(rows: DataFrame, here: np.ndarray, size: int) -> tuple[np
             ids, at, first = places(id_rows(batch), STEP * PASSAGE)
             own = here[ids]
             known = np.flatnonzero(own >= 0)
-            pairs = np.unique(at[known] * size + own[known])
-            df[:-1] += np.bincount(pairs % size, minlength=size)
+            known = known[by_word(own[known], size)]
+            own, at = own[known], at[known]
+            new = np.concatenate((own[:1] >= 0, (own[1:] != own[:-1]) | (at[1:] != at[:-1])))  # once a passage
+            df[:-1] += np.bincount(own[new], minlength=size)
             n += int(first[-1])
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df), dtype=np.int32)), pa.array(df)], ["i", "n"])
@@ -142,31 +150,58 @@ def test_matrix(words: list[str], width: int) -> np.ndarray:
     return np.stack([np.random.default_rng(crc32(w.encode())).choice(np.float32([-1, 1]), width) for w in words]) if words else np.zeros((0, width), np.float32)
 
 
+def segment_sums(table: np.ndarray, index: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of ``table[index]`` over the runs of ``index`` that begin at ``heads``: the k-th rows of all runs are added at once.
+
+    Long runs are summed in pieces, so one frequent word costs no step of its own for each of its places.
+    """
+    many = np.diff(np.append(heads, len(index)))
+    cut = -(-many // _RUN)
+    first = np.cumsum(cut) - cut
+    within = (np.arange(int(cut.sum())) - np.repeat(first, cut)) * _RUN
+    begin, size = np.repeat(heads, cut) + within, np.minimum(np.repeat(many, cut) - within, _RUN)
+    order = np.argsort(-size, kind="stable")
+    begin = begin[order]
+    left = len(size) - np.cumsum(np.bincount(size, minlength=2))  # runs of more than k rows
+    out = table[index[begin]]
+    for k in range(1, int(size.max())):
+        out[: left[k]] += table[index[begin[: left[k]] + k]]
+    sums = np.empty_like(out)
+    sums[order] = out
+    if len(sums) == len(heads):
+        return sums
+    total, long = sums[first], np.flatnonzero(cut > 1)
+    total[long] = segment_sums(sums, np.flatnonzero(np.repeat(cut > 1, cut)), np.cumsum(cut[long]) - cut[long])
+    return total
+
+
 def gram_times(ids: np.ndarray, at: np.ndarray, weight: np.ndarray, outside: float, omega: np.ndarray, into: np.ndarray | None = None) -> np.ndarray:
     """X'X omega for the unit-length TF-IDF rows X of passages ``at``, added to ``into``.
 
-    A few thousand words at once, so that what is gathered stays in the processor's cache.
+    A word's weight is a factor of its row of omega and of its row of the result, so what is summed in between are rows as they are.
     """
     out = np.zeros((len(weight), omega.shape[1]), dtype=np.float64) if into is None else into
     if not len(ids):
         return out
-    w = np.where(ids >= 0, weight[np.maximum(ids, 0)], outside)
-    norm = np.sqrt(np.bincount(at, w * w))
-    use = np.flatnonzero((ids >= 0) & (w > 0))
-    ids, at, w = ids[use], at[use], (w[use] / norm[at[use]]).astype(np.float32)
-    if not len(ids):
+    energy = np.bincount(at, np.append(weight * weight, outside * outside)[ids])  # the last one is for words outside
+    use = np.flatnonzero(np.append(weight > 0, False)[ids])
+    if not len(use):
         return out
+    ids, at = ids[use], at[use]
     starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    cuts = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, len(ids), _CHUNK), side="right") - 1], len(ids)))
+    cuts = np.unique(np.append(starts[np.searchsorted(starts, np.arange(0, len(ids), _WORDS), side="right") - 1], len(ids)))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        own, here, x = ids[a:b], at[a:b], w[a:b, None]
-        heads = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
-        rows = np.add.reduceat(omega[own] * x, heads, axis=0)
-        owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, b - a)))
-        order = np.argsort(own, kind="stable")
-        own = own[order]
-        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        out[own[heads]] += np.add.reduceat(rows[owner[order]] * x[order], heads, axis=0)
+        own, here = ids[a:b], at[a:b]
+        order = by_word(own, len(weight))
+        heads = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+        used = own[order[heads]]
+        scale = weight[used].astype(np.float32)[:, None]
+        place = np.empty(len(own), dtype=np.int64)
+        place[order] = np.repeat(np.arange(len(used)), np.diff(np.append(heads, len(own))))
+        begin = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
+        rows = segment_sums(omega[used] * scale, place, begin) / energy[here[begin]].astype(np.float32)[:, None]
+        owner = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(own))))
+        out[used] += segment_sums(rows, owner[order], heads) * scale
     return out
 
 
@@ -312,7 +347,7 @@ def candidates(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict, min_
             many = head[end[some]] - head[some]
             begin = np.cumsum(many) - many
             place = np.repeat(head[some] - begin, many) + np.arange(int(many.sum()))
-            cosine = np.add.reduceat(s["table"][own[place]], begin, axis=0) / norm[some][:, None]
+            cosine = segment_sums(s["table"], own[place], begin) / norm[some][:, None]
             for r, item in zip(*np.nonzero(cosine >= min_cosine)):
                 yield int(some[r]), size, int(item), float(cosine[r, item])
 
@@ -332,10 +367,8 @@ def sharing(ids: np.ndarray, at: np.ndarray, first: np.ndarray, s: dict) -> Iter
         count = many[lo:hi]
         begin = np.cumsum(count) - count
         mark = s["mark_of"][np.repeat(s["mark_at"][own[lo:hi]] - begin, count) + np.arange(int(count.sum()))]
-        # two neighbouring pieces of ``size`` steps hold every window: few get there
+        # two neighbouring pieces of ``size`` steps hold every window: few get there, though words count as often as they stand
         here = np.repeat(step[lo:hi], count)
-        pair = np.unique(here * marks + mark)
-        here, mark = pair // marks, pair % marks
         query = s["mark_query"][mark]
         coarse = (here - a) // size + 1
         width = len(s["mark_need"])
@@ -385,6 +418,7 @@ def find_leaks(docs: list[np.ndarray], s: dict, min_cosine: float, min_lcs: floa
     ids = s["here"][ids]
     start_of = np.cumsum([0, *map(len, docs)]).tolist()
     heads = first.tolist()
+    plain: dict[int, tuple[list[int], list[int]]] = {}
 
     def around(place: tuple[int, int, int]) -> tuple[int, int, int, int]:
         """(document, item, first word, end) of what is compared with the item of a candidate."""
@@ -396,9 +430,11 @@ def find_leaks(docs: list[np.ndarray], s: dict, min_cosine: float, min_lcs: floa
     def hopeful(place: tuple[int, int, int]) -> bool:
         """Whether enough of the item's words are there at all, in whatever order."""
         _, item, lo, hi = around(place)
-        row, answers, there = s["rows"][item].tolist(), s["answers"][item].tolist(), set(ids[lo:hi].tolist())
-        least = min_lcs if sum(x in there for x in answers) >= min_answer * len(answers) else max(min_lcs, SURE_LCS)
-        return sum(x in there for x in row) >= (1.0 if len(row) < SHORT_ITEM else least) * len(row)
+        if item not in plain:
+            plain[item] = s["rows"][item].tolist(), s["answers"][item].tolist()
+        (row, answers), there = plain[item], set(ids[lo:hi].tolist())
+        least = min_lcs if sum(map(there.__contains__, answers)) >= min_answer * len(answers) else max(min_lcs, SURE_LCS)
+        return sum(map(there.__contains__, row)) >= (1.0 if len(row) < SHORT_ITEM else least) * len(row)
 
     close = {c[:3]: c[3] for c in candidates(ids, at, first, s, min_cosine) if hopeful(c[:3])}
     for place in (*sharing(ids, at, first, s), *phrases(ids, at, first, s)):
@@ -440,9 +476,9 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     base = pack(docs, carry, _text=text_of(text_col).cast("binary"))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared_words.value)
+        known = pa.array([*shared_words.value, ""], pa.string())
         for batch in slices(batches, "_text"):
-            ids = [words.of(t).tobytes() for t in batch.column("_text").to_pylist()]
+            ids = [x.tobytes() for x in word_ids(batch.column("_text"), known)]
             yield pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(ids, pa.binary())], [ROW, "_ids"])
 
     rows = materialize(base.mapInArrow(number, base.select(ROW).schema.add("_ids", "binary")), "op4-words")
